@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadmill.functions.lineage import settled
 from leadmill.jobs.tables import ctes, table
 from leadmill.operators import leads as op
 
@@ -44,7 +45,7 @@ def rule_map(spark: SparkSession) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.resolved_results(documents(spark, sf_dir), manifest(spark), rule_map(spark), ROOT)
+    return settled(op.resolved_results(documents(spark, sf_dir), manifest(spark), rule_map(spark), ROOT))
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:

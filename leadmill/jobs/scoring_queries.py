@@ -46,7 +46,7 @@ def staged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     results, t = tool_results(spark, sf_dir), truth(spark, sf_dir)
     cases = op.flagged_cases(t, op.flagged_by_case(results, op.rule_cwes(results)))
-    return op.confusion(cases.join(t.select("test_id", "is_real"), "test_id"), "semgrep_flagged", "is_real")
+    return op.confusion(cases.join(t.select("test_id", "is_real"), "test_id"), "flagged", "is_real")
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +134,8 @@ def built_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "ledger_rows")
     i = F.col("doc_id")
-    rows = rows.withColumn("oswe_adjudication", F.when(i % 40 == 1, "odd").when(i % 40 == 2, "no-lead").otherwise(F.col("oswe_adjudication"))).withColumn("test_id", F.when(i % 50 == 3, "Test").otherwise(F.col("test_id")))
-    rows = rows.withColumn("oswe_covered", F.when(i % 60 == 4, ~F.col("oswe_covered")).otherwise(F.col("oswe_covered")))
+    rows = rows.withColumn("adjudication", F.when(i % 40 == 1, "odd").when(i % 40 == 2, "no-lead").otherwise(F.col("adjudication"))).withColumn("test_id", F.when(i % 50 == 3, "Test").otherwise(F.col("test_id")))
+    rows = rows.withColumn("covered", F.when(i % 60 == 4, ~F.col("covered")).otherwise(F.col("covered")))
     return op.ledger_violations(rows.withColumn("pos", i), truth(spark, sf_dir)).select("pos", "test_id", F.col("step").cast("long").alias("step"), "violation")
 
 
@@ -164,16 +164,16 @@ rules AS (SELECT rule_id, coalesce(list_sort(list(DISTINCT cwe) FILTER (cwe IS N
 hits AS (SELECT regexp_extract(uri, 'BenchmarkTest\\d{5}') AS test_id, res.rule_id, cwes FROM res JOIN rules USING (rule_id) WHERE uri LIKE '%BenchmarkTest%'),
 flagged AS (SELECT test_id, list_sort(list_distinct(flatten(list(cwes)))) AS cwes FROM hits GROUP BY test_id),
 sub AS (SELECT test_id, category, is_real, row_number() OVER (PARTITION BY category, is_real ORDER BY test_id) AS nth FROM truth_rows),
-cases AS (SELECT test_id, is_real, cwe, coalesce(CASE WHEN cwe IN (326, 327) THEN list_has_any(cwes, [326, 327]) ELSE list_contains(cwes, cwe) END, false) AS semgrep_flagged FROM truth_rows LEFT JOIN flagged USING (test_id))
+cases AS (SELECT test_id, is_real, cwe, coalesce(CASE WHEN cwe IN (326, 327) THEN list_has_any(cwes, [326, 327]) ELSE list_contains(cwes, cwe) END, false) AS flagged FROM truth_rows LEFT JOIN flagged USING (test_id))
 """
 
 _MATRIX = """count_if(w AND p AND r)::BIGINT AS tp, count_if(w AND p AND NOT r)::BIGINT AS fp, count_if(w AND NOT p AND r)::BIGINT AS fn, count_if(w AND NOT p AND NOT r)::BIGINT AS tn"""
 _RATIOS = """tp, fp, fn, tn, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall, coalesce(fp / nullif(fp + tn, 0), 0)::DOUBLE AS fpr,
   (coalesce(tp / nullif(tp + fn, 0), 0) - coalesce(fp / nullif(fp + tn, 0), 0))::DOUBLE AS youden"""
 _LONG = """
-lr AS (SELECT l.*, t.cwe AS true_cwe, semgrep_flagged AND oswe_adjudication IN ('promoted', 'refuted') AS settled, NOT semgrep_flagged AND oswe_covered AS alone FROM ledger_rows l JOIN truth_rows t USING (test_id)),
-long AS (SELECT category, is_real AS r, 'raw' AS matrix, true AS w, semgrep_flagged AS p FROM lr UNION ALL SELECT category, is_real, 'adjudicated', settled, oswe_adjudication = 'promoted' FROM lr
-  UNION ALL SELECT category, is_real, 'hybrid', settled OR alone, CASE WHEN semgrep_flagged THEN oswe_adjudication = 'promoted' ELSE oswe_independent END FROM lr)
+lr AS (SELECT l.*, t.cwe AS true_cwe, flagged AND adjudication IN ('promoted', 'refuted') AS settled, NOT flagged AND covered AS alone FROM ledger_rows l JOIN truth_rows t USING (test_id)),
+long AS (SELECT category, is_real AS r, 'raw' AS matrix, true AS w, flagged AS p FROM lr UNION ALL SELECT category, is_real, 'adjudicated', settled, adjudication = 'promoted' FROM lr
+  UNION ALL SELECT category, is_real, 'hybrid', settled OR alone, CASE WHEN flagged THEN adjudication = 'promoted' ELSE independent END FROM lr)
 """
 
 #: What the reports say, straight from the labelled documents. Each is in one report only, so "the last wins" is no choice here.
@@ -188,8 +188,8 @@ amap AS (SELECT rep.test_id, coalesce(ok, false) AS attempted, coalesce(ok, fals
 """
 
 _SPOILT = """
-lv AS (SELECT doc_id AS pos, CASE WHEN doc_id % 50 = 3 THEN 'Test' ELSE test_id END AS test_id, semgrep_flagged AS f, CASE WHEN doc_id % 60 = 4 THEN NOT oswe_covered ELSE oswe_covered END AS c,
-  CASE WHEN doc_id % 40 = 1 THEN 'odd' WHEN doc_id % 40 = 2 THEN 'no-lead' ELSE oswe_adjudication END AS a FROM ledger_rows),
+lv AS (SELECT doc_id AS pos, CASE WHEN doc_id % 50 = 3 THEN 'Test' ELSE test_id END AS test_id, flagged AS f, CASE WHEN doc_id % 60 = 4 THEN NOT covered ELSE covered END AS c,
+  CASE WHEN doc_id % 40 = 1 THEN 'odd' WHEN doc_id % 40 = 2 THEN 'no-lead' ELSE adjudication END AS a FROM ledger_rows),
 lw AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY pos) AS nth, test_id IN (SELECT test_id FROM truth_rows) AS known FROM lv)
 """
 
@@ -209,30 +209,30 @@ def _reports(select: str) -> str:
 ORACLE_SQL = {
     "rule_cwes": _tool("SELECT rule_id, array_to_string(cwes, ',') AS cwes FROM rules"),
     "flagged_by_case": _tool("SELECT test_id, array_to_string(cwes, ',') AS cwes FROM flagged"),
-    "flagged_cases": _tool("SELECT test_id, semgrep_flagged, cwe FROM cases WHERE test_id IN (SELECT test_id FROM sub WHERE nth <= 40)"),
+    "flagged_cases": _tool("SELECT test_id, flagged, cwe FROM cases WHERE test_id IN (SELECT test_id FROM sub WHERE nth <= 40)"),
     "stratified_subset": _tool("SELECT test_id, category, is_real FROM sub WHERE nth <= 4"),
     "staged_results": _tool("SELECT test_id, 'stage/src/' || test_id || '.java' AS uri, rule_id FROM hits WHERE test_id IN (SELECT test_id FROM sub WHERE nth <= 4)"),
-    "raw_confusion": _tool(f", n AS (SELECT {_MATRIX} FROM (SELECT true AS w, semgrep_flagged AS p, is_real AS r FROM cases)), x AS (SELECT {_RATIOS} FROM n) SELECT tp, fp, fn, tn, round(precision, 3) AS precision, round(recall, 3) AS recall, round(fpr, 3) AS fpr, round(youden, 3) AS youden FROM x"),
+    "raw_confusion": _tool(f", n AS (SELECT {_MATRIX} FROM (SELECT true AS w, flagged AS p, is_real AS r FROM cases)), x AS (SELECT {_RATIOS} FROM n) SELECT tp, fp, fn, tn, round(precision, 3) AS precision, round(recall, 3) AS recall, round(fpr, 3) AS fpr, round(youden, 3) AS youden FROM x"),
     "three_matrices": _long(f", n AS (SELECT matrix, {_MATRIX} FROM long GROUP BY matrix) SELECT matrix, {_RATIOS} FROM n"),
     "matrices_by_category": _long(f", n AS (SELECT category, matrix, {_MATRIX} FROM long GROUP BY GROUPING SETS ((category, matrix), (matrix))) SELECT category, matrix, {_RATIOS} FROM n"),
-    "exclusions_and_deltas": _long("""SELECT count_if(semgrep_flagged AND oswe_adjudication = 'inconclusive')::BIGINT AS excluded_inconclusive, count_if(semgrep_flagged AND oswe_adjudication NOT IN ('promoted', 'refuted', 'inconclusive'))::BIGINT AS excluded_not_analyzed,
-        count_if(NOT semgrep_flagged AND NOT oswe_covered)::BIGINT AS excluded_not_covered, count_if(settled AND oswe_adjudication = 'refuted' AND NOT is_real)::BIGINT AS fp_refuted, count_if(settled AND oswe_adjudication = 'refuted' AND is_real)::BIGINT AS recall_cost, count_if(alone AND is_real AND oswe_independent)::BIGINT AS fn_recovered FROM lr"""),
+    "exclusions_and_deltas": _long("""SELECT count_if(flagged AND adjudication = 'inconclusive')::BIGINT AS excluded_inconclusive, count_if(flagged AND adjudication NOT IN ('promoted', 'refuted', 'inconclusive'))::BIGINT AS excluded_not_analyzed,
+        count_if(NOT flagged AND NOT covered)::BIGINT AS excluded_not_covered, count_if(settled AND adjudication = 'refuted' AND NOT is_real)::BIGINT AS fp_refuted, count_if(settled AND adjudication = 'refuted' AND is_real)::BIGINT AS recall_cost, count_if(alone AND is_real AND independent)::BIGINT AS fn_recovered FROM lr"""),
     "cwe_mismatches": _long("SELECT count_if(is_real AND cwe <> true_cwe)::BIGINT AS cwe_mismatches FROM lr"),
-    "quality_rates": _long(""", q AS (SELECT *, is_real AND oswe_attempted AND NOT CASE WHEN semgrep_flagged THEN oswe_adjudication = 'promoted' ELSE oswe_independent END AS lost FROM lr)
+    "quality_rates": _long(""", q AS (SELECT *, is_real AND attempted AND NOT CASE WHEN flagged THEN adjudication = 'promoted' ELSE independent END AS lost FROM lr)
         SELECT (sum(proof_complete_high_findings) / nullif(sum(accepted_high_findings), 0))::DOUBLE AS finding_proof_complete_rate, (sum(proof_complete_critical_chains) / nullif(sum(accepted_critical_chains), 0))::DOUBLE AS chain_proof_complete_rate,
-        (sum(ce_resolved_high_findings) / nullif(sum(accepted_high_findings), 0))::DOUBLE AS ce_resolved_rate, (count_if(is_real AND oswe_independent) / nullif(count_if(is_real), 0))::DOUBLE AS independent_discovery_rate,
-        (count_if(is_real AND oswe_attempted) / nullif(count_if(is_real), 0))::DOUBLE AS attempted_real_share, count_if(lost)::BIGINT AS real_not_found, count_if(lost AND oswe_covered)::BIGINT AS covered_fn, count_if(lost AND NOT oswe_covered)::BIGINT AS structural_fn,
-        (count_if(lost AND NOT oswe_covered) / nullif(count_if(lost), 0))::DOUBLE AS structural_fn_share, sum(hygiene_findings)::BIGINT AS hygiene_findings FROM q"""),
-    "attempted_per_category": _long("SELECT category, count_if(oswe_attempted)::BIGINT AS attempted FROM lr WHERE is_real GROUP BY category"),
-    "least_attempted": _long("SELECT min(n)::BIGINT AS min_attempted_per_category FROM (SELECT category, count_if(oswe_attempted) AS n FROM lr WHERE is_real GROUP BY category)"),
+        (sum(ce_resolved_high_findings) / nullif(sum(accepted_high_findings), 0))::DOUBLE AS ce_resolved_rate, (count_if(is_real AND independent) / nullif(count_if(is_real), 0))::DOUBLE AS independent_discovery_rate,
+        (count_if(is_real AND attempted) / nullif(count_if(is_real), 0))::DOUBLE AS attempted_real_share, count_if(lost)::BIGINT AS real_not_found, count_if(lost AND covered)::BIGINT AS covered_fn, count_if(lost AND NOT covered)::BIGINT AS structural_fn,
+        (count_if(lost AND NOT covered) / nullif(count_if(lost), 0))::DOUBLE AS structural_fn_share, sum(hygiene_findings)::BIGINT AS hygiene_findings FROM q"""),
+    "attempted_per_category": _long("SELECT category, count_if(attempted)::BIGINT AS attempted FROM lr WHERE is_real GROUP BY category"),
+    "least_attempted": _long("SELECT min(n)::BIGINT AS min_attempted_per_category FROM (SELECT category, count_if(attempted) AS n FROM lr WHERE is_real GROUP BY category)"),
     "case_coverage": _reports("SELECT test_id, ok AS attempted, ok AS covered FROM cov"),
     "case_finding_counters": _reports("SELECT test_id, independent, h AS accepted_high_findings, ph AS proof_complete_high_findings, ch AS ce_resolved_high_findings, hy AS hygiene_findings FROM fc"),
     "case_chain_counters": _reports("SELECT test_id, rce AS chain_reached_rce, c AS accepted_critical_chains, pc AS proof_complete_critical_chains FROM cc"),
     "case_adjudication": _reports("SELECT test_id, adjudication FROM ad"),
     "adjudication_map": _reports("SELECT * FROM amap"),
     "built_ledger": ctes("truth_rows") + _TOOL.strip() + "," + _REPORTS.strip() + """, b AS (SELECT cases.*, amap.* EXCLUDE (test_id), coalesce(adjudication IN ('promoted', 'refuted', 'inconclusive'), false) AND covered AS settled FROM cases JOIN amap USING (test_id))
-        SELECT test_id, semgrep_flagged, CASE WHEN semgrep_flagged THEN settled ELSE covered END AS oswe_covered, CASE WHEN NOT semgrep_flagged THEN 'no-lead' WHEN settled THEN adjudication ELSE 'not-analyzed' END AS oswe_adjudication,
-        NOT semgrep_flagged AND covered AND independent AS oswe_independent, cwe, attempted AS oswe_attempted, accepted_high_findings, proof_complete_high_findings, ce_resolved_high_findings, accepted_critical_chains, proof_complete_critical_chains, hygiene_findings, chain_reached_rce FROM b""",
+        SELECT test_id, flagged, CASE WHEN flagged THEN settled ELSE covered END AS covered, CASE WHEN NOT flagged THEN 'no-lead' WHEN settled THEN adjudication ELSE 'not-analyzed' END AS adjudication,
+        NOT flagged AND covered AND independent AS independent, cwe, attempted AS attempted, accepted_high_findings, proof_complete_high_findings, ce_resolved_high_findings, accepted_critical_chains, proof_complete_critical_chains, hygiene_findings, chain_reached_rce FROM b""",
     "ledger_violations": ctes("ledger_rows") + _SPOILT.strip() + """ SELECT pos, test_id, unnest(s).step::BIGINT AS step, unnest(s).v AS violation FROM (SELECT pos, test_id, list_filter([
         CASE WHEN NOT regexp_matches(test_id, '^BenchmarkTest\\d{5}$') THEN {'step': 0, 'v': 'bad test_id'} END, CASE WHEN nth > 1 THEN {'step': 1, 'v': 'duplicate test_id'} END,
         CASE WHEN a = 'odd' THEN {'step': 3, 'v': 'bad adjudication'} END, CASE WHEN f AND a = 'no-lead' THEN {'step': 4, 'v': 'flagged without a lead'} END, CASE WHEN f AND (a = 'not-analyzed') <> (NOT c) THEN {'step': 5, 'v': 'not-analyzed and covered disagree'} END,

@@ -44,11 +44,11 @@ PORTABLE = {
           d.lang AS category, l.quality = 1 AS is_real, CASE d.lang WHEN 'en' THEN 89 WHEN 'de' THEN 326 WHEN 'es' THEN 327 ELSE 501 END AS cwe, d.doc_id AS doc_id, d.n_chars AS n_chars
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "ledger_rows": """
-        SELECT test_id, category, is_real, doc_id, n_chars % 3 <> 0 AS semgrep_flagged,
-          CASE WHEN n_chars % 3 = 0 THEN 'no-lead' WHEN doc_id % 4 = 0 THEN 'promoted' WHEN doc_id % 4 = 1 THEN 'refuted' WHEN doc_id % 4 = 2 THEN 'inconclusive' ELSE 'not-analyzed' END AS oswe_adjudication,
-          NOT (n_chars % 3 <> 0 AND doc_id % 4 = 3) AND doc_id % 11 <> 0 OR (n_chars % 3 <> 0 AND doc_id % 4 < 3) AS oswe_covered,
-          n_chars % 3 = 0 AND doc_id % 5 = 0 AND doc_id % 11 <> 0 AS oswe_independent,
-          CASE WHEN doc_id % 13 = 0 THEN 1 ELSE cwe END AS cwe, doc_id % 11 <> 0 AS oswe_attempted,
+        SELECT test_id, category, is_real, doc_id, n_chars % 3 <> 0 AS flagged,
+          CASE WHEN n_chars % 3 = 0 THEN 'no-lead' WHEN doc_id % 4 = 0 THEN 'promoted' WHEN doc_id % 4 = 1 THEN 'refuted' WHEN doc_id % 4 = 2 THEN 'inconclusive' ELSE 'not-analyzed' END AS adjudication,
+          NOT (n_chars % 3 <> 0 AND doc_id % 4 = 3) AND doc_id % 11 <> 0 OR (n_chars % 3 <> 0 AND doc_id % 4 < 3) AS covered,
+          n_chars % 3 = 0 AND doc_id % 5 = 0 AND doc_id % 11 <> 0 AS independent,
+          CASE WHEN doc_id % 13 = 0 THEN 1 ELSE cwe END AS cwe, doc_id % 11 <> 0 AS attempted,
           doc_id % 3 AS accepted_high_findings, CASE WHEN doc_id % 3 > 1 THEN 1 ELSE 0 END AS proof_complete_high_findings, CASE WHEN doc_id % 6 = 2 THEN 1 ELSE 0 END AS ce_resolved_high_findings,
           doc_id % 2 AS accepted_critical_chains, CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS proof_complete_critical_chains, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS hygiene_findings, doc_id % 8 = 0 AS chain_reached_rce
         FROM {truth_rows} t""",

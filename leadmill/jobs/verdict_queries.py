@@ -6,9 +6,12 @@ next one, if neither is hygiene, form a chain; verdicts follow from n.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leadmill.functions.lineage import settled
 from leadmill.jobs.finding_queries import canon_ctes, canonical
 from leadmill.operators import findings as fop
 from leadmill.operators import marts
@@ -70,20 +73,23 @@ def spoiled(batches: DataFrame) -> DataFrame:
 
 
 class Reviewed:
-    """All tables of a reviewed corpus, as lazy frames."""
+    """All tables of a reviewed corpus. Those that several steps read are settled when they're first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.findings = canonical(spark, sf_dir)
+        self.findings = settled(canonical(spark, sf_dir))
         self.chains = chains_of(self.findings)
-        self.batches = batches_of(self.findings, self.chains)
 
-    @property
+    @cached_property
+    def batches(self) -> DataFrame:
+        return settled(batches_of(self.findings, self.chains))
+
+    @cached_property
     def final(self) -> DataFrame:
-        return op.apply_to_findings(self.findings, self.batches)
+        return settled(op.apply_to_findings(self.findings, self.batches))
 
-    @property
+    @cached_property
     def resolved(self) -> DataFrame:
-        return op.resolve_chains(self.findings, self.chains, self.batches)
+        return settled(op.resolve_chains(self.findings, self.chains, self.batches))
 
 
 def verification_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

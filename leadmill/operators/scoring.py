@@ -1,7 +1,7 @@
 """Scoring against labelled truth: raw tool flags, ledgers, confusion matrices and quality rates.
 
-truth: test_id, category, is_real, cwe. Ledger rows carry test_id, semgrep_flagged, oswe_covered, oswe_adjudication,
-oswe_independent, cwe, oswe_attempted, chain_reached_rce and COUNTERS.
+truth: test_id, category, is_real, cwe. Ledger rows carry test_id, flagged, covered, adjudication,
+independent, cwe, attempted, chain_reached_rce and COUNTERS.
 """
 
 from __future__ import annotations
@@ -50,10 +50,10 @@ def family(cwe: Column) -> Column:
 
 
 def flagged_cases(truth: DataFrame, flagged: DataFrame, subset: DataFrame | None = None) -> DataFrame:
-    """test_id, semgrep_flagged, cwe of all cases of the truth, or of those in the subset."""
+    """test_id, flagged, cwe of all cases of the truth, or of those in the subset."""
     cases = truth if subset is None else truth.join(subset.select("test_id").distinct(), "test_id", "left_semi")
     out = cases.join(flagged.select("test_id", "cwes"), "test_id", "left")
-    return out.select("test_id", F.coalesce(F.arrays_overlap(family(F.col("cwe")), F.col("cwes")), F.lit(False)).alias("semgrep_flagged"), "cwe")
+    return out.select("test_id", F.coalesce(F.arrays_overlap(family(F.col("cwe")), F.col("cwes")), F.lit(False)).alias("flagged"), "cwe")
 
 
 def stratified_subset(truth: DataFrame, per: int = 4) -> DataFrame:
@@ -88,10 +88,10 @@ def confusion(cases: DataFrame, pred: str, real: str, digits: int | None = 3) ->
 
 
 def _matrices() -> list[Column]:
-    flagged, adj, real = F.col("semgrep_flagged"), F.col("oswe_adjudication"), F.col("is_real")
+    flagged, adj, real = F.col("flagged"), F.col("adjudication"), F.col("is_real")
     settled = flagged & adj.isin("promoted", "refuted")
-    alone = ~flagged & F.col("oswe_covered")
-    pred = F.when(flagged, adj == "promoted").otherwise(F.col("oswe_independent"))
+    alone = ~flagged & F.col("covered")
+    pred = F.when(flagged, adj == "promoted").otherwise(F.col("independent"))
     return [matrix(flagged, real, F.lit(True), "raw"), matrix(pred, real, settled, "adjudicated"), matrix(pred, real, settled | alone, "hybrid")]
 
 
@@ -113,11 +113,11 @@ def matrices_by_category(rows: DataFrame) -> DataFrame:
 
 
 def exclusions_and_deltas(rows: DataFrame) -> DataFrame:
-    f, adj, real = F.col("semgrep_flagged"), F.col("oswe_adjudication"), F.col("is_real")
-    alone = ~f & F.col("oswe_covered")
+    f, adj, real = F.col("flagged"), F.col("adjudication"), F.col("is_real")
+    alone = ~f & F.col("covered")
     return rows.agg(
-        count_if(f & (adj == "inconclusive")).alias("excluded_inconclusive"), count_if(f & ~adj.isin("promoted", "refuted", "inconclusive")).alias("excluded_not_analyzed"), count_if(~f & ~F.col("oswe_covered")).alias("excluded_not_covered"),
-        count_if(f & (adj == "refuted") & ~real).alias("fp_refuted"), count_if(f & (adj == "refuted") & real).alias("recall_cost"), count_if(alone & real & F.col("oswe_independent")).alias("fn_recovered"),
+        count_if(f & (adj == "inconclusive")).alias("excluded_inconclusive"), count_if(f & ~adj.isin("promoted", "refuted", "inconclusive")).alias("excluded_not_analyzed"), count_if(~f & ~F.col("covered")).alias("excluded_not_covered"),
+        count_if(f & (adj == "refuted") & ~real).alias("fp_refuted"), count_if(f & (adj == "refuted") & real).alias("recall_cost"), count_if(alone & real & F.col("independent")).alias("fn_recovered"),
     )
 
 
@@ -127,23 +127,23 @@ def cwe_mismatches(rows: DataFrame) -> DataFrame:
 
 def quality_rates(rows: DataFrame) -> DataFrame:
     """Rates of proof and coverage; a zero denominator gives null."""
-    real, attempted = F.col("is_real"), F.coalesce("oswe_attempted", F.lit(False))
-    found = F.when(F.col("semgrep_flagged"), F.col("oswe_adjudication") == "promoted").otherwise(F.col("oswe_independent"))
+    real, attempted = F.col("is_real"), F.coalesce("attempted", F.lit(False))
+    found = F.when(F.col("flagged"), F.col("adjudication") == "promoted").otherwise(F.col("independent"))
     lost = real & attempted & ~found
     total = {c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)) for c in COUNTERS}
-    reals, missed, structural = count_if(real), count_if(lost), count_if(lost & ~F.col("oswe_covered"))
+    reals, missed, structural = count_if(real), count_if(lost), count_if(lost & ~F.col("covered"))
     return rows.agg(
         F.try_divide(total["proof_complete_high_findings"], total["accepted_high_findings"]).alias("finding_proof_complete_rate"),
         F.try_divide(total["proof_complete_critical_chains"], total["accepted_critical_chains"]).alias("chain_proof_complete_rate"),
         F.try_divide(total["ce_resolved_high_findings"], total["accepted_high_findings"]).alias("ce_resolved_rate"),
-        F.try_divide(count_if(real & F.col("oswe_independent")), reals).alias("independent_discovery_rate"), F.try_divide(count_if(real & attempted), reals).alias("attempted_real_share"), missed.alias("real_not_found"),
-        count_if(lost & F.col("oswe_covered")).alias("covered_fn"), structural.alias("structural_fn"), F.try_divide(structural, missed).alias("structural_fn_share"), total["hygiene_findings"].alias("hygiene_findings"),
+        F.try_divide(count_if(real & F.col("independent")), reals).alias("independent_discovery_rate"), F.try_divide(count_if(real & attempted), reals).alias("attempted_real_share"), missed.alias("real_not_found"),
+        count_if(lost & F.col("covered")).alias("covered_fn"), structural.alias("structural_fn"), F.try_divide(structural, missed).alias("structural_fn_share"), total["hygiene_findings"].alias("hygiene_findings"),
     )
 
 
 def attempted_per_category(rows: DataFrame) -> DataFrame:
     """category, attempted: attempted real cases of each category with a real case, 0 included."""
-    return rows.where(F.col("is_real") & F.col("category").isNotNull()).groupBy("category").agg(count_if(F.coalesce("oswe_attempted", F.lit(False))).alias("attempted"))
+    return rows.where(F.col("is_real") & F.col("category").isNotNull()).groupBy("category").agg(count_if(F.coalesce("attempted", F.lit(False))).alias("attempted"))
 
 
 def least_attempted(rows: DataFrame) -> DataFrame:
@@ -225,14 +225,14 @@ def adjudication_map(reports: DataFrame) -> DataFrame:
 
 
 def build_ledger(cases: DataFrame, found: DataFrame) -> DataFrame:
-    """Ledger rows of cases (test_id, semgrep_flagged, cwe) with what `adjudication_map` found."""
+    """Ledger rows of cases (test_id, flagged, cwe) with what `adjudication_map` found."""
     x = cases.join(found, "test_id", "left")
-    flagged, covered = F.col("semgrep_flagged"), F.coalesce("covered", F.lit(False))
+    flagged, covered = F.col("flagged"), F.coalesce("covered", F.lit(False))
     settled = F.coalesce(F.col("adjudication").isin(*OUTCOME), F.lit(False)) & covered
     return x.select(
-        "test_id", "semgrep_flagged", F.when(flagged, settled).otherwise(covered).alias("oswe_covered"),
-        F.when(~flagged, "no-lead").when(settled, F.col("adjudication")).otherwise("not-analyzed").alias("oswe_adjudication"),
-        (~flagged & covered & F.coalesce("independent", F.lit(False))).alias("oswe_independent"), "cwe", F.coalesce("attempted", F.lit(False)).alias("oswe_attempted"),
+        "test_id", "flagged", F.when(flagged, settled).otherwise(covered).alias("covered"),
+        F.when(~flagged, "no-lead").when(settled, F.col("adjudication")).otherwise("not-analyzed").alias("adjudication"),
+        (~flagged & covered & F.coalesce("independent", F.lit(False))).alias("independent"), "cwe", F.coalesce("attempted", F.lit(False)).alias("attempted"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTERS], F.coalesce("chain_reached_rce", F.lit(False)).alias("chain_reached_rce"),
     )
 
@@ -241,11 +241,11 @@ def ledger_violations(ledger: DataFrame, truth: DataFrame, position: str = "pos"
     """pos, test_id, step, violation: all violations of entries, steps in the order of checking."""
     twice = F.row_number().over(Window.partitionBy("test_id").orderBy(position)) > 1
     x = ledger.withColumn("__twice", twice).join(truth.select("test_id", F.lit(True).alias("__known")).distinct(), "test_id", "left")
-    flagged, adj, covered = F.col("semgrep_flagged"), F.col("oswe_adjudication"), F.col("oswe_covered")
+    flagged, adj, covered = F.col("flagged"), F.col("adjudication"), F.col("covered")
     rules = [
         (~F.coalesce(F.col("test_id").rlike(CASE_ID), F.lit(False)), "bad test_id"),
         (F.col("__twice"), "duplicate test_id"),
-        (flagged.isNull() | covered.isNull() | F.col("oswe_independent").isNull(), "not boolean"),
+        (flagged.isNull() | covered.isNull() | F.col("independent").isNull(), "not boolean"),
         (~F.coalesce(adj.isin(*ADJUDICATIONS), F.lit(False)), "bad adjudication"),
         (flagged & (adj == "no-lead"), "flagged without a lead"),
         (flagged & ((adj == "not-analyzed") != ~covered), "not-analyzed and covered disagree"),

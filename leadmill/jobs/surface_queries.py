@@ -107,8 +107,8 @@ _SURFACE = f"""
 {_TOKENS},
 fh AS (SELECT run_id, partition_id, f.stack, path, tok.stack IS NOT NULL AS supported, content, CASE WHEN content IS NULL THEN skip_reason END AS skip_reason, {_ANY("s")} AS has_source, {_ANY("k")} AS has_sink, {_ANY("n")} AS has_sanitizer, {_MARK} AS has_auth,
   {_HITS("s")} AS source_hits, {_HITS("k")} AS sink_hits, {_HITS("a")} AS auth_hits FROM source_rows f LEFT JOIN tok ON f.stack = tok.stack),
-g AS (SELECT run_id, partition_id, min(stack) AS stack, bool_or(supported) AS supported, count(*) AS files, count_if(has_source) AS sources, count_if(has_sink) AS sinks, count_if(has_sanitizer) AS sanitizers, count_if(has_auth) AS auth_markers,
-  count_if(has_source AND has_auth) AS source_and_auth_files, sum(CASE WHEN has_source THEN source_hits ELSE 0 END)::BIGINT AS source_hits, sum(CASE WHEN has_sink THEN sink_hits ELSE 0 END)::BIGINT AS sink_hits, sum(CASE WHEN has_auth THEN auth_hits ELSE 0 END)::BIGINT AS auth_hits,
+g AS (SELECT run_id, partition_id, min(stack) AS stack, bool_or(supported) AS supported, count(*) AS files, count(*) FILTER (has_source) AS sources, count(*) FILTER (has_sink) AS sinks, count(*) FILTER (has_sanitizer) AS sanitizers, count(*) FILTER (has_auth) AS auth_markers,
+  count(*) FILTER (has_source AND has_auth) AS source_and_auth_files, sum(CASE WHEN has_source THEN source_hits ELSE 0 END)::BIGINT AS source_hits, sum(CASE WHEN has_sink THEN sink_hits ELSE 0 END)::BIGINT AS sink_hits, sum(CASE WHEN has_auth THEN auth_hits ELSE 0 END)::BIGINT AS auth_hits,
   count(*) FILTER (skip_reason = 'missing') AS skipped_missing, count(*) FILTER (skip_reason = 'out_of_scope') AS skipped_out_of_scope, sha256(string_agg(path, chr(10) ORDER BY path)) AS content_key,
   sha256(unhex(coalesce(string_agg(CASE WHEN content IS NOT NULL THEN sha256(content) || '00' END, '' ORDER BY path), ''))) AS file_content_digest FROM fh GROUP BY ALL),
 v AS (SELECT *, supported AND skipped_missing + skipped_out_of_scope <> files AS ok FROM g),

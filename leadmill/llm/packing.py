@@ -1,6 +1,7 @@
 """Lexical retrieval packing: documents that share rare tokens go into one window of the training sequence.
 
-1. Texts become token ids in one narrow pass; each document ends with the id 0.
+1. Texts become token ids in one narrow pass, by a file of ranks (the ids are those that the library `tokenizers` gives by the
+   same vocabulary's .json file; tests compare them); each document ends with the id 0.
 2. Rows are dealt evenly over shards by a hash (equal for any source, language or group of copies, so none is hot). Only ids go
    through the shuffle, as 16-bit numbers where the vocabulary allows it.
 3. Each shard holds a BM25 inverted index over its documents (terms are token ids). A document that doesn't fill its window
@@ -18,7 +19,7 @@ packed as documents of their own. An empty table gives no piece.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,50 +27,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadmill.llm.bpe_codec import read_ranks
 from leadmill.llm.common import parts, text_volume, whole_text
-from leadmill.llm.pieces import Memo, cut, plain, slices
+from leadmill.llm.pieces import slices
 
 WINDOW, END = 1024, 0
 #: Bytes of text in a shard, about.
 SHARD = 12 << 20
-LEAST_SHARDS = 1
+LEAST_SHARDS = 16
+#: The special token that texts may hold as such, as the vocabulary's library takes it.
+SPECIAL = (("<|endoftext|>", 50256),)
 QUERY_TERMS, NEIGHBOURS = 12, 16
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 @lru_cache(maxsize=2)
-def _memo(vocabulary: str) -> tuple[Memo, np.dtype]:
-    """A worker's memo of pieces' ids, as bytes."""
-    import os
+def _encoder(ranks: str, special: tuple[tuple[str, int], ...]) -> tuple[Callable[[str], np.ndarray], np.dtype]:
+    """A worker's encoder, and the narrowest type that holds its ids."""
+    import public_tokenizers
+    import tiktoken
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    known = read_ranks(ranks)
+    own = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=dict(special))
+    kind = np.dtype("<u2" if own.max_token_value < 1 << 16 else "<u4")
+    return lambda text: own.encode_to_numpy(text, allowed_special="all"), kind
 
-    tokenizer = Tokenizer.from_file(vocabulary)
-    kind = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
-    def compute(pieces: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(pieces), 4096):
-            out += [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast([plain(p) for p in pieces[at : at + 4096]], add_special_tokens=False)]
-        return out
-
-    return Memo(compute), kind
-
-
-def encoded(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, shards: int) -> DataFrame:
+def encoded(docs: DataFrame, ranks: str, special: tuple[tuple[str, int], ...], id_col: str, text_col: str, shards: int) -> DataFrame:
     """shard, doc_id, ids: the ids with the end id, in the narrowest unsigned type that holds the vocabulary."""
     rows = docs.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, kind = _memo(vocabulary)
+        encode, kind = _encoder(ranks, special)
         end = np.array([END], kind).tobytes()
         for batch in batches:
             for part, texts in slices(batch, "t"):
-                ids = [b"".join(v) + end for v in memo([cut(t) for t in texts])]
+                ids = [encode(t).astype(kind).tobytes() + end for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
 
     return rows.mapInArrow(run, "shard int, doc_id long, ids binary")
@@ -153,12 +149,12 @@ def _room(left: int, window: int) -> int:
     return window if left >= window else 1 << (left.bit_length() - 1) if left else 0
 
 
-def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD) -> DataFrame:
+def packed(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     shards = parts(text_volume(docs, text_col)[1], shard_bytes, LEAST_SHARDS)
 
     def run(table: pa.Table) -> pa.Table:
-        kind = _memo(vocabulary)[1]
+        kind = _encoder(ranks, special)[1]
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         shard, ids = table.column("shard")[0].as_py(), [np.frombuffer(x.as_buffer(), kind) for x in table.column("ids")]
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack(ids, window), strict=True))
@@ -167,4 +163,4 @@ def packed(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         columns = {"start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": tokens, "sequence_id": sequence * shards + shard, "offset": offset}
         return pa.table({"doc_id": table.column("doc_id").take(pa.array(doc)), **{k: pa.array(v) for k, v in columns.items()}})
 
-    return encoded(docs, vocabulary, id_col, text_col, shards).groupBy("shard").applyInArrow(run, SCHEMA)
+    return encoded(docs, ranks, special, id_col, text_col, shards).groupBy("shard").applyInArrow(run, SCHEMA)

@@ -86,13 +86,22 @@ def check_pieces(pieces, texts):
 
 def test_packing(spark, sf_dir):
     check_pieces(queries.op9_packing(spark, sf_dir).collect(), rows(spark, sf_dir))
-    path, docs = public_tokenizers.path("byte_bpe_50k.json"), brute.odd_frame(spark)
+    path, docs = public_tokenizers.path("byte_bpe_50k.tiktoken"), brute.odd_frame(spark)
     check_pieces(packing.packed(docs, path).collect(), {i: t or "" for i, t in brute.ODD})
     assert packing.packed(docs.where("false"), path).count() == 0
     twice = packing.packed(docs.where("doc_id = 6").union(docs.where("doc_id = 6")), path).collect()
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
 
 
+def test_packing_has_the_ids_of_the_library():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, kind = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.SPECIAL)
+    long_ = [" " * 200_000, "x" * 200_000, "\n" * 200_000 + "y"]
+    every = ["".join(f"a{chr(c)}1 {chr(c)} " for c in range(a, a + 256)) for a in range(0, 0x30000, 256) if not 0xD800 <= a < 0xE000]
+    for t in [*odd_texts(), *long_, *every]:
+        assert encode(t).astype(kind).tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_neighbours_are_those_of_plain_bm25():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint16) for _ in range(80)]

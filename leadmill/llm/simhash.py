@@ -52,16 +52,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(first)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long): one row per row."""
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, carry: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a signed long), and h, the long column `carry` if it's named: one row per row."""
+    more = [F.col(carry).alias("h")] if carry else []
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("t"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column("t")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            own = {"doc_id": b.column("doc_id"), "fp": pa.array(fp)} | ({"h": b.column("h")} if carry else {})
+            yield pa.RecordBatch.from_pydict(own)
 
-    return kept.mapInArrow(run, "doc_id long, fp long")
+    return kept.mapInArrow(run, "doc_id long, fp long" + (", h long" if carry else ""))
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
@@ -222,18 +224,31 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
+def _grouped(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """fp, root: each distinct fingerprint of `prints` with its component's least fingerprint."""
+    fps = prints.select("fp").distinct()
+    roots = components(links(fps, radius, blocks)).select(F.col("a").alias("fp"), F.col("b").alias("r"))
+    return fps.join(roots, "fp", "left").select("fp", F.coalesce("r", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 4) -> DataFrame:
     """doc_id, fp, component_id (least id of the texts reachable over fingerprints within `radius` bits): a row per row."""
     prints = reliable(fingerprints(docs, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), radius, blocks)).select(F.col("a").alias("fp"), F.col("b").alias("r"))
-    nodes = nodes.join(roots, "fp", "left").withColumn("r", F.coalesce("r", "fp"))
-    named = nodes.join(nodes.groupBy("r").agg(F.min("least").alias("component_id")), "r").select("fp", "component_id")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_grouped(prints, radius, blocks), "fp")
+    named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2) -> DataFrame:
-    """`docs` with one row of each component: that with the least id. Of rows that share that id, one stays."""
-    chosen = near_duplicates(docs, id_col, text_col, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 4) -> DataFrame:
+    """`docs` with one row of each component: that with the least id, null ids last, and of these that with the least text hash.
+
+    Rows are told apart by id and text, so that rows of several components stay though they share an id or have none.
+    """
+    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    prints = reliable(fingerprints(docs.select(id_col, text_col, text_hash.alias("__hash")), id_col, text_col, carry="__hash"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    nodes = prints.groupBy("fp").agg(F.min(first).alias("least")).join(_grouped(prints, radius, blocks), "fp")
+    chosen = nodes.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.h").alias("__of"))
+    rows = docs.withColumn("__hash", text_hash)
+    rows = rows.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left_semi")
+    return rows.dropDuplicates([id_col, "__hash"]).drop("__hash")

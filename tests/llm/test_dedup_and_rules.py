@@ -66,6 +66,11 @@ def test_simhash_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()})
     nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert simhash.near_duplicates(nulls).count() == docs.count()
+    # Without ids, and with one id for all, a row of each component stays.
+    same = docs.withColumn("doc_id", F.lit(7).cast("long"))
+    for frame in (nulls, same, nulls.union(nulls), same.union(nulls)):
+        assert simhash.keep_one(frame).count() == len({c for _, c in got.values()})
+    assert {r.doc_id for r in simhash.keep_one(nulls.union(same)).collect()} == {7}
 
 
 @pytest.mark.parametrize("chunk", [3, 4096])

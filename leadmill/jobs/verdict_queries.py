@@ -180,7 +180,16 @@ def chain_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hygiene_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.hygiene_lane(Reviewed(spark, sf_dir).final).select("run_id", "finding_id", "final_severity")
+    """No chain or high severity asks for a review of hygiene findings, so every fourth of them is sent for one here."""
+    r = Reviewed(spark, sf_dir)
+    n = F.col("number")
+    verdict = F.when(n % 12 == 0, "rejected").when(n % 12 == 4, "downgraded").otherwise("accepted")
+    v = F.struct(
+        F.lit("finding").alias("target_type"), F.col("finding_id").alias("target_id"), verdict.alias("verdict"), F.when(verdict == "downgraded", "Info").alias("new_severity"), F.when(verdict == "downgraded", "to verify").alias("new_confidence"),
+        F.lit("seen").alias("justification"),
+    )
+    sent = r.findings.where((F.col("vuln_class") == "trust-boundary") & (n % 4 == 0)).select("run_id", n.alias("pos"), F.concat(F.lit("H"), n.cast("string")).alias("batch_id"), F.array(v).alias("verdicts"))
+    return marts.hygiene_lane(op.apply_to_findings(r.findings, sent)).select("run_id", "finding_id", "final_severity")
 
 
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +296,7 @@ ORACLE_SQL = {
         "run_verdicts": "SELECT run_id, CASE WHEN run_id IN (SELECT run_id FROM resolved WHERE status = 'accepted' AND severity = 'Critical') THEN 'unauth-rce' ELSE 'no-critique' END AS verdict FROM (SELECT DISTINCT run_id FROM canon)",
         "chain_graph": """SELECT run_id, chain_id, CASE WHEN impact = 'unauth-rce' THEN impact ELSE 'other' END AS impact, concat_ws(',', 'entry', m1, m2, CASE WHEN impact = 'unauth-rce' THEN 'RCE' ELSE 'impact' END) AS nodes,
             'entry>' || m1 || ',' || m1 || '>' || m2 || ',' || m2 || '>' || CASE WHEN impact = 'unauth-rce' THEN 'RCE' ELSE 'impact' END AS edges, true AS coherent FROM chain""",
-        "hygiene_lane": "SELECT run_id, finding_id, fs AS final_severity FROM final WHERE vuln_class = 'trust-boundary' AND status = 'accepted'",
+        "hygiene_lane": "SELECT run_id, finding_id, severity AS final_severity FROM canon WHERE vuln_class = 'trust-boundary' AND number % 12 = 8",
         "sarif_results": "SELECT run_id, section::BIGINT AS section, key, rule_id, level, file, line::BIGINT AS line, fingerprint, lane, suppressed FROM results",
         "sarif_rules": """, r AS (SELECT run_id, rule_id, level, section, length(key) AS n, key FROM results QUALIFY row_number() OVER (PARTITION BY run_id, rule_id ORDER BY section, length(key), key) = 1)
             SELECT run_id, rule_id, level, CASE WHEN rule_id = 'trust-boundary' THEN 'CWE-501' END AS cwe, row_number() OVER (PARTITION BY run_id ORDER BY section, n, key) AS place FROM r""",

@@ -2,15 +2,19 @@
 
 1. Texts become token ids in one narrow pass, by a file of ranks (the ids are those that the library `tokenizers` gives by the
    same vocabulary's .json file; tests compare them); each document ends with the id 0.
-2. Rows are dealt evenly over shards by a hash (equal for any source, language or group of copies, so none is hot). Only ids go
-   through the shuffle, as 16-bit numbers where the vocabulary allows it.
-3. Each shard holds a BM25 inverted index over its documents (terms are token ids). A document that doesn't fill its window
-   is the seed of a query with its `QUERY_TERMS` heaviest terms; the unused documents that score best follow it, in order,
-   till the window is full. The one that doesn't fit is cut, and what is left of it seeds the next window. Where no unused
-   document shares a term, the next unused one in order of ids follows.
-4. What is left at a shard's end is cut into sequences whose lengths are powers of two, so that nothing is padded.
+   The ids are checkpointed, as 16-bit numbers where the vocabulary allows it.
+2. One pass counts the documents of each term (a token id) in the whole corpus: at most a row per id of the vocabulary.
+3. Rows are dealt over shards by lexical keys: a weighted min-hash of their terms (the two that come first in an exponential race
+   with the squared IDF as rate), so documents with the same rare terms, above all near copies, meet in a shard. Shards are
+   ranges of keys with equal numbers of ids; a key ends with a hash of the document's id, so a hot group of copies is cut too.
+4. Each shard holds a BM25 inverted index over its documents, with the whole corpus's counts. A document that doesn't fill its
+   window is the seed of a query with all its terms; the unused documents that score best follow it, in order, till the
+   window is full. The one that doesn't fit is cut, and what is left of it seeds the next window. Where no unused document
+   shares a term, the next unused one in order of ids follows.
+5. What is left at a shard's end is cut into sequences whose lengths are powers of two, so that nothing is padded.
 
-Retrieval sees one shard (about SHARD bytes of text): a bound on memory and time per query at every size of the corpus.
+Retrieval still sees one shard (about SHARD bytes of text): a bound on memory and time per query at every size of the corpus.
+Neighbours whose keys differ are missed; README.md has the measured recall.
 
 Cases: a null or empty text is the id 0 alone. A text that fills several windows is cut. Equal ids and repeated rows are
 packed as documents of their own. An empty table gives no piece.
@@ -21,6 +25,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.bpe_codec import read_ranks
-from leadmill.llm.common import parts, text_volume, whole_text
+from leadmill.llm.common import parts, reliable, text_volume, whole_text
+from leadmill.llm.dealing import batch_of, id_cuts
 from leadmill.llm.pieces import slices
 
 WINDOW, END = 1024, 0
@@ -37,7 +43,11 @@ SHARD = 12 << 20
 LEAST_SHARDS = 16
 #: The special token that texts may hold as such, as the vocabulary's library takes it.
 SPECIAL = (("<|endoftext|>", 50256),)
-QUERY_TERMS, NEIGHBOURS = 12, 16
+#: Terms of a query (None: all), and documents that one query gives.
+QUERY_TERMS, NEIGHBOURS = None, 16
+DENSE = 8
+#: Bits of a key: two terms, and the hash that cuts groups with equal terms.
+TERM_BITS, TAIL_BITS = 18, 27
 K1, B = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -54,11 +64,9 @@ def _encoder(ranks: str, special: tuple[tuple[str, int], ...]) -> tuple[Callable
     return lambda text: own.encode_to_numpy(text, allowed_special="all"), kind
 
 
-def encoded(docs: DataFrame, ranks: str, special: tuple[tuple[str, int], ...], id_col: str, text_col: str, shards: int) -> DataFrame:
-    """shard, doc_id, ids: the ids with the end id, in the narrowest unsigned type that holds the vocabulary."""
-    rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(shards)).cast("int").alias("shard"), F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t")
-    )
+def encoded(docs: DataFrame, ranks: str, special: tuple[tuple[str, int], ...], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, ids: the ids with the end id, in the narrowest unsigned type that holds the vocabulary."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, kind = _encoder(ranks, special)
@@ -66,15 +74,80 @@ def encoded(docs: DataFrame, ranks: str, special: tuple[tuple[str, int], ...], i
         for batch in batches:
             for part, texts in slices(batch, "t"):
                 ids = [encode(t).astype(kind).tobytes() + end for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("shard"), part.column("doc_id"), pa.array(ids, pa.binary())], ["shard", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return rows.mapInArrow(run, "shard int, doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary")
+
+
+class Corpus(NamedTuple):
+    """Documents of each term, documents, and mean length, all of the whole corpus."""
+
+    in_docs: np.ndarray
+    n: int
+    mean: float
+
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.in_docs + 0.5) / (self.in_docs + 0.5))
+
+
+def counted(ids: DataFrame, ranks: str, special: tuple[tuple[str, int], ...]) -> Corpus:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _encoder(ranks, special)[1]
+        times, n, tokens = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for x in batch.column("ids"):
+                doc = np.frombuffer(x.as_buffer(), kind)
+                n, tokens = n + 1, tokens + len(doc)
+                seen = np.unique(doc)
+                if seen[-1] >= len(times):
+                    times = np.pad(times, (0, int(seen[-1]) + 1 - len(times)))
+                times[seen] += 1
+        term = np.flatnonzero(times)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, term]), pa.array(np.r_[n, tokens, times[term]])], ["term", "n"])
+
+    rows = {r["term"]: r["n"] for r in ids.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, tokens = rows.pop(-2, 0), rows.pop(-1, 0)
+    in_docs = np.zeros(max(rows, default=-1) + 1, np.int64)
+    in_docs[list(rows)] = list(rows.values())
+    return Corpus(in_docs, n, tokens / max(n, 1))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers as even 64-bit hashes (splitmix64)."""
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def race(corpus: Corpus) -> np.ndarray:
+    """Each term's time in the race: exponential by its hash, with the squared IDF as rate. Terms of one document come last."""
+    even = (_mixed(np.arange(len(corpus.in_docs))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    return np.where(corpus.in_docs > 1, -np.log1p(-even) / corpus.idf() ** 2, np.inf)
+
+
+def keyed(ids: DataFrame, corpus: Corpus, ranks: str, special: tuple[tuple[str, int], ...]) -> DataFrame:
+    """doc_id, ids, key: the terms that come first and second, and a hash of the document's id."""
+    times = race(corpus)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = _encoder(ranks, special)[1]
+        for batch in batches:
+            tail = _mixed(np.array([i or 0 for i in batch.column("doc_id").to_pylist()], np.int64)) >> np.uint64(64 - TAIL_BITS)
+            key = []
+            for x, low in zip(batch.column("ids"), tail.tolist(), strict=True):
+                doc = np.unique(np.frombuffer(x.as_buffer(), kind)).astype(np.int64)
+                first, second = doc[np.argsort(times[doc], kind="stable")[[0, min(1, len(doc) - 1)]]].tolist()
+                key.append((first << TERM_BITS | second) << TAIL_BITS | low)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], ["doc_id", "ids", "key"])
+
+    return ids.mapInArrow(run, "doc_id long, ids binary, key long")
 
 
 class Index:
     """BM25 over documents that are arrays of terms: postings by term, and each document's own terms."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
         size = np.fromiter(map(len, docs), np.int64, n)
         key = np.repeat(np.arange(n, dtype=np.int64), size) << 32 | np.concatenate(docs).astype(np.int64)
@@ -84,8 +157,8 @@ class Index:
         key = key[head]
         doc, term = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int64)
         in_docs = np.bincount(term)
-        idf = np.log1p((n - in_docs + 0.5) / (in_docs + 0.5))
-        weight = (idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * size[doc] / size.mean()))).astype(np.float32)
+        corpus = corpus or Corpus(in_docs, n, size.mean())
+        weight = (corpus.idf()[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * size[doc] / corpus.mean))).astype(np.float32)
         # A document's own terms, heaviest first; terms of one document find nothing.
         shared = in_docs[term] > 1
         own_doc, own_term, own_weight = doc[shared], term[shared], weight[shared]
@@ -96,29 +169,49 @@ class Index:
         self.doc, self.weight = doc[order], weight[order]
         self.first = np.r_[0, np.cumsum(in_docs)]
         self.n = n
+        # Terms of many documents as rows of a dense matrix, whose sums are faster: at most DENSE numbers for each posting.
+        hot = np.flatnonzero(in_docs * DENSE > n)
+        self.row = np.full(len(in_docs), -1, np.int64)
+        self.row[hot] = np.arange(len(hot))
+        self.dense = np.zeros((len(hot), n), np.float32)
+        at = self.row[term] >= 0
+        self.dense[self.row[term[at]], doc[at]] = weight[at]
+        self.live = np.arange(n)
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Forgets the postings of used documents, which no later query can find."""
+        stay = unused[self.live]
+        number = np.cumsum(stay, dtype=np.int32) - 1
+        at = stay[self.doc]
+        self.first = np.r_[0, np.cumsum(at)][self.first]
+        self.doc, self.weight = number[self.doc[at]], self.weight[at]
+        self.dense = np.ascontiguousarray(self.dense[:, stay])
+        self.live, self.n = self.live[stay], int(stay.sum())
 
-    def neighbours(self, seed: int, unused: np.ndarray, terms: int = QUERY_TERMS, most: int = NEIGHBOURS) -> list[int]:
-        """Unused documents with the highest scores for the seed's heaviest terms, best first; ties by number."""
-        query = self.own[self.own_first[seed] : min(self.own_first[seed + 1], self.own_first[seed] + terms)]
-        if not len(query):
+    def neighbours(self, seed: int, unused: np.ndarray, terms: int | None = QUERY_TERMS, most: int = NEIGHBOURS) -> list[int]:
+        """Unused documents with the highest scores for the seed's terms (the `terms` heaviest), best first; ties by number."""
+        query = self.own[self.own_first[seed] : self.own_first[seed + 1]][:terms]
+        if not len(query) or not self.n:
             return []
-        spans = [slice(self.first[t], self.first[t + 1]) for t in query]
-        doc = np.concatenate([self.doc[s] for s in spans])
-        score = np.bincount(doc, np.concatenate([self.weight[s] for s in spans]), self.n) * unused
-        if len(doc) < 4 * most:
+        hot = self.row[query]
+        spans = [slice(self.first[t], self.first[t + 1]) for t in query[hot < 0]]
+        doc = np.concatenate([np.empty(0, np.int32), *(self.doc[s] for s in spans)])
+        score = np.bincount(doc, np.concatenate([np.empty(0, np.float32), *(self.weight[s] for s in spans)]), self.n)
+        score = (score + self.dense[hot[hot >= 0]].sum(axis=0)) * unused[self.live]
+        if len(doc) < 4 * most and (hot < 0).all():
             best = np.unique(doc)
         else:
             best = np.argpartition(-score, min(most, self.n - 1))[:most]
         best = best[np.lexsort((best, -score[best]))][:most]
-        return best[score[best] > 0].tolist()
+        return self.live[best[score[best] > 0]].tolist()
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, int]]:
+def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece. docs: each one's ids, in order."""
     n = len(docs)
     size = np.fromiter(map(len, docs), np.int64, n)
     left = int(size.sum())
-    index, unused, following = Index(docs), np.ones(n, bool), 0
+    index, unused, following = Index(docs, corpus), np.ones(n, bool), 0
     sequence = offset = 0
     room = _room(left, window)
     doc, start, ranked = -1, 0, []
@@ -126,6 +219,8 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> Iterator[tuple[int, in
         if doc < 0 or start == size[doc]:
             if doc >= 0 and offset:
                 if not ranked:
+                    if unused.sum() < 0.8 * index.n:
+                        index.keep(unused)
                     ranked = [d for d in index.neighbours(seed, unused) if unused[d]][::-1]
                 while ranked and not unused[ranked[-1]]:
                     ranked.pop()
@@ -152,15 +247,21 @@ def _room(left: int, window: int) -> int:
 def packed(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     shards = parts(text_volume(docs, text_col)[1], shard_bytes, LEAST_SHARDS)
+    ids = reliable(encoded(docs, ranks, special, id_col, text_col))
+    corpus = counted(ids, ranks, special)
+    rows = keyed(ids, corpus, ranks, special)
+    # A key counts once for each window that its document fills, so that shards hold equal numbers of ids.
+    fills = F.ceil(F.octet_length("ids") / (window * _encoder(ranks, special)[1].itemsize)).cast("int")
+    cuts = id_cuts(rows.select(F.explode(F.array_repeat("key", fills)).alias("key")), "key", shards)
 
     def run(table: pa.Table) -> pa.Table:
         kind = _encoder(ranks, special)[1]
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         shard, ids = table.column("shard")[0].as_py(), [np.frombuffer(x.as_buffer(), kind) for x in table.column("ids")]
-        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack(ids, window), strict=True))
+        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack(ids, window, corpus), strict=True))
         crc = [zlib.crc32(ids[d][a : a + n].astype("<u4").tobytes()) for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
         tokens = np.fromiter(map(len, ids), np.int64, len(ids))[doc]
         columns = {"start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": tokens, "sequence_id": sequence * shards + shard, "offset": offset}
         return pa.table({"doc_id": table.column("doc_id").take(pa.array(doc)), **{k: pa.array(v) for k, v in columns.items()}})
 
-    return encoded(docs, ranks, special, id_col, text_col, shards).groupBy("shard").applyInArrow(run, SCHEMA)
+    return rows.select(batch_of(cuts, F.col("key")).alias("shard"), "doc_id", "ids").groupBy("shard").applyInArrow(run, SCHEMA)

@@ -121,6 +121,32 @@ def test_neighbours_are_those_of_plain_bm25():
         assert np.allclose([scores[d] for d in got], [scores[d] for d in want])
 
 
+def test_near_copies_meet_in_a_shard(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    docs = []
+    for g in range(60):
+        own = [rng.choice(words) for _ in range(150)]
+        docs += [(10 * g + k, " ".join(rng.choice(words) if rng.random() < 0.03 else w for w in own)) for k in range(4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    at = defaultdict(set)
+    for r in packing.packed(frame, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect():
+        at[r.doc_id].add(r.sequence_id % packing.LEAST_SHARDS)
+    assert at.keys() == dict(docs).keys() and all(len(s) == 1 for s in at.values()) and len(set.union(*at.values())) > packing.LEAST_SHARDS // 2
+    pairs = [(i, j) for i in at for j in at if i < j and i // 10 == j // 10]
+    assert np.mean([at[i] == at[j] for i, j in pairs]) > 0.6
+
+
+def test_a_query_has_all_terms():
+    docs = [np.array([*range(1, 14), 50]), *(np.array([t, 60 + t]) for t in range(1, 14)), np.array([50] * 1 + list(range(100, 200)))]
+    index = packing.Index(docs)
+    assert set(index.neighbours(0, np.arange(len(docs)) > 0)) == set(range(1, len(docs)))
+    unused = np.arange(len(docs)) % 2 == 1
+    want = index.neighbours(0, unused)
+    index.keep(unused)
+    assert len(want) == unused.sum() and index.neighbours(0, unused) == want
+
+
 def plain_base(text):
     import re
 

@@ -7,7 +7,8 @@
    surroundings or none, so that it learns what secrets look like and not only the words before them.
 3. On a held-out quarter of the sample, with their own, others' and no surroundings, scores are calibrated by a logistic fit,
    and the threshold is the highest at which at least RECALL of the positives are found, but LEAST or more.
-4. Each candidate that meets no base match is scored; those from the threshold up become spans of kind `net`.
+4. Each candidate that meets no base match is scored, and what base matches leave of the others, whole and in pieces between
+   `:` and `@` (labelled 2, as the network isn't trained with them); those from the threshold up become spans of kind `net`.
 
 Cases: a null or empty text has no spans. With too few findings of either label (fewer than 20) there's no network and no
 span is added. Repeated rows give repeated rows. An empty table gives none. Spans count code points, ends are exclusive.
@@ -36,7 +37,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "net")
 MARK = "[SECRET]"
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=@:-]{12,}")
+SHORTEST = 12
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=@:-]{{{SHORTEST},}}")
+_PIECE = re.compile("[^:@]+")
 _DIGIT, _LOWER, _UPPER = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
 BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
@@ -63,19 +66,39 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, spans: list[Span]) -> list[dict]:
-    """start, end, window (WIDTH characters around, `\\1` where there is none), label (1: it meets a base match)."""
+    """start, end, window (WIDTH characters around, `\\1` where there is none), label (1: it meets a base match, 2: one left it over)."""
     out = []
-    for m in CANDIDATE.finditer(text):
-        run = m.group()
+
+    def add(a: int, b: int, label: int) -> None:
+        run = text[a:b]
         if not (_DIGIT.search(run) or len(run) >= 20 and _LOWER.search(run) and _UPPER.search(run)):
-            continue
-        a, b = m.span()
+            return
         middle = run if len(run) <= INSIDE else run[: INSIDE // 2] + run[-(INSIDE // 2) :]
         window = text[max(0, a - BEFORE) : a].rjust(BEFORE, "\1") + middle.ljust(INSIDE, "\1") + text[b : b + AFTER].ljust(AFTER, "\1")
-        out.append({"start": a, "end": b, "window": window, "label": int(any(s.value < b and a < s.end for s in spans))})
+        out.append({"start": a, "end": b, "window": window, "label": label})
+
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        met = [s for s in spans if s.value < b and a < s.end]
+        add(a, b, int(bool(met)))
+        if met:
+            for c, d in _left(a, b, met):
+                for e, f in dict.fromkeys([(c, d), *((c + x.start(), c + x.end()) for x in _PIECE.finditer(text[c:d]))]):
+                    if f - e >= SHORTEST:
+                        add(e, f, 2)
     return out
 
 
+def _left(a: int, b: int, spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """The stretches of a to b in no span."""
+    for s in sorted(spans, key=lambda s: s.start):
+        if a < s.start:
+            yield a, min(s.start, b)
+        a = max(a, s.end)
+    if a < b:
+        yield a, b
+
+
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, base (spans), found (candidates): a row per row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
@@ -218,7 +241,7 @@ def train(found: DataFrame, sample: int = SAMPLE) -> Net | None:
 
 
 def _added(net: Net | None, found: list[dict]) -> list[Span]:
-    free = [f for f in found if not f["label"]]
+    free = [f for f in found if f["label"] != 1]
     if net is None or not free:
         return []
     good = net.probabilities([f["window"] for f in free]) >= net.threshold
@@ -233,7 +256,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, lists = batch.column("base").to_pylist(), batch.column("found").to_pylist()
-            free = [[f for f in fs if not f["label"]] for fs in lists]
+            free = [[f for f in fs if f["label"] != 1] for fs in lists]
             flat = [f for fs in free for f in fs]
             good = iter(net.probabilities([f["window"] for f in flat]) >= net.threshold if net and flat else [False] * len(flat))
             spans = []

@@ -1,14 +1,15 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate.
 
 1. One narrow pass finds the base matches of each text and all candidates (runs of token characters of CANDIDATE or more with
-   a digit, or of both cases), each with its surrounding characters. It's checkpointed: it's small, and read twice.
+   a digit, or of both cases), each with its surrounding characters; one longer than INSIDE in windows that overlap by half.
+   It's checkpointed: it's small, and read twice.
 2. A candidate that meets a base match is a finding labelled 1, another one 0. The network is trained in numpy on a bounded
    sample: of each label the SAMPLE findings with the least hash of document and place. Part of the training windows get other ones'
    surroundings or none, so that it learns what secrets look like and not only the words before them.
 3. On a held-out quarter of the sample, with their own, others' and no surroundings, scores are calibrated by a logistic fit,
    and the threshold is the highest at which at least RECALL of the positives are found, but LEAST or more.
 4. Each candidate that meets no base match is scored, and what base matches leave of the others, whole and in pieces between
-   `:` and `@` (labelled 2, as the network isn't trained with them); those from the threshold up become spans of kind `net`.
+   `:` and `@` (labelled 2, as the network isn't trained with them). Of a candidate's windows the highest score counts; those from the threshold up become spans of kind `net`.
 
 Cases: a null or empty text has no spans. With too few findings of either label (fewer than 20) there's no network and no
 span is added. Repeated rows give repeated rows. An empty table gives none. Spans count code points, ends are exclusive.
@@ -66,26 +67,31 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, spans: list[Span]) -> list[dict]:
-    """start, end, window (WIDTH characters around, `\\1` where there is none), label (1: it meets a base match, 2: one left it over)."""
+    """A row per window: the candidate's start and end, window (INSIDE characters of it and those around, `\\1` where there is none),
+    label (1: it meets a base match, 2: one left it over). Windows of a candidate that meets one are only those that do so too."""
     out = []
 
-    def add(a: int, b: int, label: int) -> None:
+    def add(a: int, b: int, label: int, met: list[Span]) -> None:
         run = text[a:b]
         if not (_DIGIT.search(run) or len(run) >= 20 and _LOWER.search(run) and _UPPER.search(run)):
             return
-        middle = run if len(run) <= INSIDE else run[: INSIDE // 2] + run[-(INSIDE // 2) :]
-        window = text[max(0, a - BEFORE) : a].rjust(BEFORE, "\1") + middle.ljust(INSIDE, "\1") + text[b : b + AFTER].ljust(AFTER, "\1")
-        out.append({"start": a, "end": b, "window": window, "label": label})
+        last = max(a, b - INSIDE)
+        for c in [*range(a, last, INSIDE // 2), last]:
+            d = min(c + INSIDE, b)
+            if label == 1 and not any(s.value < d and c < s.end for s in met):
+                continue
+            window = text[max(0, c - BEFORE) : c].rjust(BEFORE, "\1") + text[c:d].ljust(INSIDE, "\1") + text[d : d + AFTER].ljust(AFTER, "\1")
+            out.append({"start": a, "end": b, "window": window, "label": label})
 
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         met = [s for s in spans if s.value < b and a < s.end]
-        add(a, b, int(bool(met)))
+        add(a, b, int(bool(met)), met)
         if met:
             for c, d in _left(a, b, met):
                 for e, f in dict.fromkeys([(c, d), *((c + x.start(), c + x.end()) for x in _PIECE.finditer(text[c:d]))]):
                     if f - e >= SHORTEST:
-                        add(e, f, 2)
+                        add(e, f, 2, [])
     return out
 
 
@@ -245,7 +251,7 @@ def _added(net: Net | None, found: list[dict]) -> list[Span]:
     if net is None or not free:
         return []
     good = net.probabilities([f["window"] for f in free]) >= net.threshold
-    return [Span("net", f["start"], f["end"], f["start"]) for f, g in zip(free, good, strict=True) if g]
+    return [Span("net", a, b, a) for a, b in dict.fromkeys((f["start"], f["end"]) for f, g in zip(free, good, strict=True) if g)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
@@ -261,7 +267,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
             good = iter(net.probabilities([f["window"] for f in flat]) >= net.threshold if net and flat else [False] * len(flat))
             spans = []
             for b, fs in zip(base, free, strict=True):
-                more = [{"kind": "net", "start": f["start"], "end": f["end"], "value": f["start"]} for f in fs if next(good)]
+                more = [{"kind": "net", "start": a, "end": e, "value": a} for a, e in dict.fromkeys((f["start"], f["end"]) for f in fs if next(good))]
                 spans.append(sorted(b + more, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.array(spans, batch.column("base").type)], ["doc_id", "base", "spans"])
 

@@ -209,6 +209,18 @@ def test_what_base_matches_leave_is_scored():
     assert {text[f["start"] : f["end"]] for f in secret_scan.candidates(text, secret_scan.base_spans(text)) if f["label"] == 2} == {":Zx81kQpL09vTr5@registry.internal", "Zx81kQpL09vTr5"}
 
 
+def test_windows_read_all_of_a_long_run():
+    secret = "Zx81kQpL09vTr5"
+    for text in (f"https://build:{secret}@registry.internal.example.com/team/project.git", f"see {'/'.join(['part'] * 50)}/{secret}/{'/'.join(['path'] * 300)} there"):
+        found = secret_scan.candidates(text, [])
+        (a, b), *more = {(f["start"], f["end"]) for f in found}
+        assert not more and secret_scan._added(Knows(secret), found) == [("net", a, b, a)]
+        assert all(len(f["window"]) == secret_scan.WIDTH for f in found)
+        inside = [f["window"][secret_scan.BEFORE : -secret_scan.AFTER] for f in found]
+        assert inside[0] + "".join(w[secret_scan.INSIDE // 2 :] for w in inside[1:-1]) in text and text[a:b].endswith(inside[-1])
+        assert all(any(text[i : i + 20] in w for w in inside) for i in range(a, b - 19))
+
+
 def test_secret_network_learns(spark):
     rng = random.Random(1)
     other = lambda: rng.choice([f"{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)}", "".join(rng.choice("0123456789") for _ in range(16)), f"some.name{rng.randint(10, 99)}@mail.example.com"])

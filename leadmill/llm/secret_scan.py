@@ -7,7 +7,7 @@
    sample: of each label the SAMPLE findings with the least hash of document and place. Part of the training windows get other ones'
    surroundings or none, so that it learns what secrets look like and not only the words before them.
 3. On a held-out quarter of the sample, with their own, others' and no surroundings, scores are calibrated by a logistic fit,
-   and the threshold is the highest at which at least RECALL of the positives are found, but LEAST or more.
+   and the threshold is the highest at which at least RECALL of the positives are found.
 4. Each candidate that meets no base match is scored, and what base matches leave of the others, whole and in pieces between
    `:` and `@` (labelled 2, as the network isn't trained with them). Of a candidate's windows the highest score counts; those from the threshold up become spans of kind `net`.
 
@@ -44,8 +44,8 @@ _PIECE = re.compile("[^:@]+")
 _DIGIT, _LOWER, _UPPER = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
 BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
-#: Training: findings of each label, held-out share, recall that the threshold keeps, and its least value.
-SAMPLE, HELD_OUT, RECALL, LEAST = 2000, 4, 0.98, 0.5
+#: Training: findings of each label, held-out share, and recall that the threshold keeps.
+SAMPLE, HELD_OUT, RECALL = 2000, 4, 0.98
 EMBED, TAPS, FILTERS, EPOCHS, STEP, RATE = 8, 5, 16, 8, 128, 0.01
 
 _SPAN = "struct<kind:string,start:int,end:int,value:int>"
@@ -211,7 +211,7 @@ class Net:
                     s[k] = 0.999 * s[k] + 0.001 * g * g
                     self.p[k] -= RATE * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.999**n)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL, least: float = LEAST) -> None:
+    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
         z = np.concatenate([self.logits(v) for v in (x, _elsewhere(x, np.arange(len(x))[::-1]), _elsewhere(x))]).astype(np.float64)
         y = np.tile(y, 3)
         a, b = 1.0, 0.0
@@ -224,7 +224,7 @@ class Net:
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
         self.a, self.shift = max(float(a), 1e-3), float(b)
         positive = np.sort(_sigmoid(self.a * z + self.shift)[y == 1])
-        self.threshold = max(least, float(positive[int((1 - recall) * len(positive))]))
+        self.threshold = float(positive[int((1 - recall) * len(positive))])
 
 
 def train(found: DataFrame, sample: int = SAMPLE) -> Net | None:
@@ -235,9 +235,9 @@ def train(found: DataFrame, sample: int = SAMPLE) -> Net | None:
     y = np.array([r["label"] for r in rows])
     if min((y == 0).sum(), (y == 1).sum()) < 20:
         return None
-    held = np.array([r["h"] % HELD_OUT == 0 for r in rows])
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        return None
+    held = np.zeros(len(rows), bool)
+    for label in (0, 1):  # rows are in order of their hash
+        held[np.flatnonzero(y == label)[::HELD_OUT]] = True
     windows = [r["window"] for r in rows]
     net = Net()
     x = _codes(windows)

@@ -221,6 +221,21 @@ def test_windows_read_all_of_a_long_run():
         assert all(any(text[i : i + 20] in w for w in inside) for i in range(a, b - 19))
 
 
+def test_threshold_keeps_recall_where_labels_overlap():
+    net, rng = secret_scan.Net(), np.random.default_rng(3)
+    z = np.r_[rng.normal(-1, 1, 900), rng.normal(0, 1, 100)]
+    net.logits = lambda x: x[:, 0]
+    y = np.r_[np.zeros(900, int), np.ones(100, int)]
+    x = np.repeat(z[:, None], secret_scan.WIDTH, axis=1)
+    with_own = secret_scan._elsewhere
+    try:
+        secret_scan._elsewhere = lambda x, order=None: x
+        net.calibrate(x, y)
+    finally:
+        secret_scan._elsewhere = with_own
+    assert net.threshold < 0.5 and (secret_scan._sigmoid(net.a * z[y == 1] + net.shift) >= net.threshold).mean() >= secret_scan.RECALL
+
+
 def test_secret_network_learns(spark):
     rng = random.Random(1)
     other = lambda: rng.choice([f"{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)}", "".join(rng.choice("0123456789") for _ in range(16)), f"some.name{rng.randint(10, 99)}@mail.example.com"])

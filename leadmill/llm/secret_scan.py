@@ -1,24 +1,29 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate.
-
-1. One narrow pass finds the base matches of each text and all candidates (runs of token characters of CANDIDATE or more with
-   a digit, or of both cases), each with its surrounding characters; one longer than INSIDE in windows that overlap by half.
-   It's checkpointed: it's small, and read twice.
-2. A candidate that meets a base match is a finding labelled 1, another one 0. The network is trained in numpy on a bounded
-   sample: of each label the SAMPLE findings with the least hash of document and place. Part of the training windows get other ones'
-   surroundings or none, so that it learns what secrets look like and not only the words before them.
-3. On a held-out quarter of the sample, with their own, others' and no surroundings, scores are calibrated by a logistic fit,
-   and the threshold is the highest at which at least RECALL of the positives are found.
-4. Each candidate that meets no base match is scored, and what base matches leave of the others, whole and in pieces between
-   `:` and `@` (labelled 2, as the network isn't trained with them). Of a candidate's windows the highest score counts; those from the threshold up become spans of kind `net`.
-
-Cases: a null or empty text has no spans. With too few findings of either label (fewer than 20) there's no network and no
-span is added. Repeated rows give repeated rows. An empty table gives none. Spans count code points, ends are exclusive.
+"""Secret scans: fixed patterns, and a character convolutional network over every candidate in its surroundings.
+
+1. Candidates are all runs of LEAST or more token characters that hold a digit, a capital after a small letter or one of `:=@` between
+   others, or that have LONG characters; and the parts of a run between `:`, `=` and `@`, so that a key beside another
+   one or a password within an address is a candidate of its own. Each is read with its surroundings, one longer than INSIDE in
+   windows that overlap by half, of which the highest score counts. Candidates that base patterns match are scored like any other.
+2. The network is trained in numpy on labelled findings that are made, not on what the base patterns say: SAMPLE secrets of many
+   forms (label 1: hexadecimal, base 62 and 64, vendors' prefixes, signed tokens, passwords; under many names, within addresses, or
+   bare) and SAMPLE things of about the same lengths that are none (label 0: addresses, numbers, dates, versions, paths, names, UUIDs,
+   placeholders). They stand between pieces of the table's own texts, and their words are the table's: SNIPPETS pieces, those with
+   the least hash of id and text. An empty table gives none, and fixed words stand for them.
+3. A quarter of the findings of each label is held out. On these, scores are calibrated by a logistic fit, and the threshold of short
+   candidates and that of long ones are the highest at which at least RECALL of their secrets are found.
+4. One narrow pass over whole texts finds base matches and scores candidates. Those from the threshold up become spans of kind
+   `net`; a run isn't one where a part of it is.
+
+Cases: a null or empty text has no spans. A very long text or run is read to its end, PIECE windows at a time. Ties: spans that start
+together are in the order of KINDS, then of their ends; equal scores are equally in or out. Null or equal ids and repeated rows are
+rows of their own, each with its own spans. An empty table gives none. Columns of the input may have any names: `scan` returns its own,
+`redact` packs them. Spans count code points, ends are exclusive.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leadmill.llm.common import reliable, whole_text
+from leadmill.llm.common import whole_text
+from leadmill.llm.pieces import slices
+from leadmill.llm.planted_secrets import FALLBACK, findings
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,18 +45,19 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "net")
 MARK = "[SECRET]"
 
-SHORTEST = 12
-CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=@:-]{{{SHORTEST},}}")
-_PIECE = re.compile("[^:@]+")
-_DIGIT, _LOWER, _UPPER = re.compile("[0-9]"), re.compile("[a-z]"), re.compile("[A-Z]")
+LEAST, LONG = 8, 20
+_RUN = re.compile(rf"[A-Za-z0-9+/_.=@:!#$%&*?~^-]{{{LEAST},}}")
+_PART = re.compile("(?:[^:=@]|=+$|=(?==+$))+")
+_TELLS = re.compile("[0-9]|[a-z][A-Z]|[A-Za-z0-9][:=@][A-Za-z0-9]")
 BEFORE, INSIDE, AFTER = 16, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
-#: Training: findings of each label, held-out share, and recall that the threshold keeps.
-SAMPLE, HELD_OUT, RECALL = 2000, 4, 0.98
-EMBED, TAPS, FILTERS, EPOCHS, STEP, RATE = 8, 5, 16, 8, 128, 0.01
+#: Training: findings of each label, pieces of the table's texts, held-out share, and recall that the thresholds keep.
+SAMPLE, SNIPPETS, HELD_OUT, RECALL = 4000, 2000, 4, 0.98
+EMBED, TAPS, FILTERS, EPOCHS, STEP, RATE = 8, 5, 24, 12, 128, 0.005
+#: Windows that are scored at once; bounds a task's memory.
+PIECE = 1 << 13
 
 _SPAN = "struct<kind:string,start:int,end:int,value:int>"
-_CANDIDATE = "struct<start:int,end:int,window:string,label:int>"
 
 
 class Span(NamedTuple):
@@ -63,64 +71,33 @@ def base_spans(text: str) -> list[Span]:
     found = [Span("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= ASSIGN_LEAST]
     found += [Span("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     found += [Span("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
-    return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
+    return in_order(found)
 
 
-def candidates(text: str, spans: list[Span]) -> list[dict]:
-    """A row per window: the candidate's start and end, window (INSIDE characters of it and those around, `\\1` where there is none),
-    label (1: it meets a base match, 2: one left it over). Windows of a candidate that meets one are only those that do so too."""
-    out = []
-
-    def add(a: int, b: int, label: int, met: list[Span]) -> None:
-        run = text[a:b]
-        if not (_DIGIT.search(run) or len(run) >= 20 and _LOWER.search(run) and _UPPER.search(run)):
-            return
-        last = max(a, b - INSIDE)
-        for c in [*range(a, last, INSIDE // 2), last]:
-            d = min(c + INSIDE, b)
-            if label == 1 and not any(s.value < d and c < s.end for s in met):
-                continue
-            window = text[max(0, c - BEFORE) : c].rjust(BEFORE, "\1") + text[c:d].ljust(INSIDE, "\1") + text[d : d + AFTER].ljust(AFTER, "\1")
-            out.append({"start": a, "end": b, "window": window, "label": label})
-
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        met = [s for s in spans if s.value < b and a < s.end]
-        add(a, b, int(bool(met)), met)
-        if met:
-            for c, d in _left(a, b, met):
-                for e, f in dict.fromkeys([(c, d), *((c + x.start(), c + x.end()) for x in _PIECE.finditer(text[c:d]))]):
-                    if f - e >= SHORTEST:
-                        add(e, f, 2, [])
-    return out
-
-
-def _left(a: int, b: int, spans: list[Span]) -> Iterator[tuple[int, int]]:
-    """The stretches of a to b in no span."""
-    for s in sorted(spans, key=lambda s: s.start):
-        if a < s.start:
-            yield a, min(s.start, b)
-        a = max(a, s.end)
-    if a < b:
-        yield a, b
+def in_order(spans: list[Span]) -> list[Span]:
+    return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
-def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (spans), found (candidates): a row per row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
+def candidates(text: str) -> list[tuple[int, int, int]]:
+    """Start, end and, for a part of a run, the run's place in this list (else -1)."""
+    out = []
+    for m in _RUN.finditer(text):
+        run = m[0].rstrip(".:!?*&#")
+        if len(run) < LEAST or len(run) < LONG and not _TELLS.search(run):
+            continue
+        a, place = m.start(), len(out)
+        out.append((a, a + len(run), -1))
+        if ":" in run or "=" in run or "@" in run:
+            out += [(a + x.start(), a + x.end(), place) for x in _PART.finditer(run) if LEAST <= x.end() - x.start() < len(run)]
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            base, found = [], []
-            for t in batch.column("t"):
-                t = t.as_py()
-                spans = base_spans(t)
-                base.append([s._asdict() for s in spans])
-                found.append(candidates(t, spans))
-            kinds = (pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("window", pa.string()), ("label", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kinds[0]), pa.array(found, kinds[1])], ["doc_id", "base", "found"])
 
-    return rows.mapInArrow(run, f"doc_id long, base array<{_SPAN}>, found array<{_CANDIDATE}>")
+def windows(text: str, a: int, b: int) -> Iterator[str]:
+    """INSIDE characters of a to b with those around, `\1` where there is none; overlapping by half, to the end."""
+    last = max(a, b - INSIDE)
+    for c in [*range(a, last, INSIDE // 2), last]:
+        d = min(c + INSIDE, b)
+        yield text[max(0, c - BEFORE) : c].rjust(BEFORE, "\1") + text[c:d].ljust(INSIDE, "\1") + text[d : d + AFTER].ljust(AFTER, "\1")
 
 
 # The network: embedding, one convolution, maximum and mean over places, logistic output.
@@ -136,13 +113,6 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _elsewhere(x: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
-    """The same candidates with the surroundings of others, or with none."""
-    out = np.ones_like(x) if order is None else x[order]
-    out[:, BEFORE : BEFORE + INSIDE] = x[:, BEFORE : BEFORE + INSIDE]
-    return out
-
-
 class Net:
     """Parameters in float32; `scores` gives logits."""
 
@@ -156,7 +126,7 @@ class Net:
             "c": np.zeros(1, np.float32),
         }
         self.a, self.shift = 1.0, 0.0  # calibration: probability = sigmoid(a * logit + shift)
-        self.threshold = 1.0
+        self.thresholds = (0.5, 0.5)  # of candidates below LONG characters, and of others
 
     def _columns(self, x: np.ndarray) -> np.ndarray:
         inside = np.zeros((WIDTH, 1), np.float32)
@@ -175,9 +145,33 @@ class Net:
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.empty(0, np.float32), *(self.forward(x[i : i + 512])[-1] for i in range(0, len(x), 512))])
 
-    def probabilities(self, windows: list[str]) -> np.ndarray:
-        x = _codes(windows) if windows else np.zeros((0, WIDTH), np.int64)
-        return _sigmoid(self.a * self.logits(x) + self.shift)
+    def best(self, texts: Iterable[str], spans: Iterable[tuple[int, int]]) -> np.ndarray:
+        """The highest logit of the windows of each span of its text."""
+        found, held, of, n = [], [], [], 0
+
+        def flush() -> None:
+            if held:
+                z, first = self.logits(_codes(held)), np.flatnonzero(np.r_[True, np.diff(of) > 0])
+                for k, top in zip(np.array(of)[first].tolist(), np.maximum.reduceat(z, first).tolist(), strict=True):
+                    found[k] = max(found[k], top)
+                held.clear()
+                of.clear()
+
+        for text, (a, b) in zip(texts, spans, strict=True):
+            found.append(-np.inf)
+            for w in windows(text, a, b):
+                held.append(w)
+                of.append(n)
+                if len(held) == PIECE:
+                    flush()
+            n += 1
+        flush()
+        return np.array(found)
+
+    def good(self, texts: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
+        """Whether each span's probability reaches the threshold of its length."""
+        size = np.array([b - a for a, b in spans])
+        return _sigmoid(self.a * self.best(texts, spans) + self.shift) >= np.where(size < LONG, *self.thresholds)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         col, h, top, pooled, z = self.forward(x)
@@ -203,17 +197,14 @@ class Net:
             for i in range(0, len(x), STEP):
                 own = order[i : i + STEP]
                 xb = x[own]
-                way = rng.random(len(own))
-                xb = np.where((way < 0.3)[:, None], _elsewhere(xb, rng.permutation(len(xb))), np.where((way > 0.6)[:, None], _elsewhere(xb), xb))
                 n += 1
                 for k, g in self.gradients(xb, y[own]).items():
                     m[k] = 0.9 * m[k] + 0.1 * g
                     s[k] = 0.999 * s[k] + 0.001 * g * g
                     self.p[k] -= RATE * (m[k] / (1 - 0.9**n)) / (np.sqrt(s[k] / (1 - 0.999**n)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
-        z = np.concatenate([self.logits(v) for v in (x, _elsewhere(x, np.arange(len(x))[::-1]), _elsewhere(x))]).astype(np.float64)
-        y = np.tile(y, 3)
+    def calibrate(self, z: np.ndarray, y: np.ndarray, long: np.ndarray, recall: float = RECALL) -> None:
+        """Slope and shift by the logits z of held-out candidates with labels y, and the thresholds of short and `long` ones."""
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps of a logistic fit with a weak prior for a = 1
             p = _sigmoid(a * z + b)
@@ -223,55 +214,61 @@ class Net:
             step = np.linalg.solve(h, g)
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
         self.a, self.shift = max(float(a), 1e-3), float(b)
-        positive = np.sort(_sigmoid(self.a * z + self.shift)[y == 1])
-        self.threshold = float(positive[int((1 - recall) * len(positive))])
-
-
-def train(found: DataFrame, sample: int = SAMPLE) -> Net | None:
-    """A network fitted to the bounded sample of `found` (see `findings`)."""
-    each = found.select("doc_id", F.explode("found").alias("f")).select(F.col("f.label").alias("label"), "f.window", F.xxhash64("doc_id", "f.start", "f.window").alias("h"))
-    rows = [r for label in (0, 1) for r in each.where(F.col("label") == label).orderBy("h", "window").limit(sample).collect()]
-    rows.sort(key=lambda r: (r["h"], r["window"]))
-    y = np.array([r["label"] for r in rows])
-    if min((y == 0).sum(), (y == 1).sum()) < 20:
-        return None
-    held = np.zeros(len(rows), bool)
-    for label in (0, 1):  # rows are in order of their hash
-        held[np.flatnonzero(y == label)[::HELD_OUT]] = True
-    windows = [r["window"] for r in rows]
+        p = _sigmoid(self.a * z + self.shift)
+        own = (np.sort(p[(y == 1) & (long == k)]) for k in (False, True))
+        self.thresholds = tuple(float(x[int((1 - recall) * len(x))]) for x in own)
+
+
+def snippets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SNIPPETS) -> list[str]:
+    """A piece of each of the n texts with the least hash of id and text."""
+    h, size = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")), 64
+    at = F.pmod("h", F.greatest(F.char_length("t") - size, F.lit(1))).cast("int") + 1
+    rows = docs.select(h.alias("h"), F.col(f"`{text_col}`").alias("t")).where("t != ''").select("h", F.substring("t", at, F.lit(size)).alias("s"))
+    return [r["s"] for r in rows.orderBy("h", "s").limit(n).collect()]
+
+
+def train(pieces: list[str], sample: int = SAMPLE) -> Net:
+    """A network fitted to made findings among `pieces` of texts, calibrated on a held-out quarter of them."""
+    made = findings(pieces or FALLBACK, sample, LONG)
+    held = np.arange(len(made)) // 4 % HELD_OUT == 0  # four in a row: both labels, short and long
     net = Net()
-    x = _codes(windows)
-    net.fit(x[~held], y[~held].astype(np.float32))
-    net.calibrate(x[held], y[held])
+    each = [(w, f.label) for f, h in zip(made, held, strict=True) if not h for w in windows(f.text, f.start, f.end)]
+    net.fit(_codes([w for w, _ in each]), np.array([y for _, y in each], np.float32))
+    rest = [f for f, h in zip(made, held, strict=True) if h]
+    z = net.best([f.text for f in rest], [(f.start, f.end) for f in rest])
+    net.calibrate(z, np.array([f.label for f in rest]), np.array([f.end - f.start >= LONG for f in rest]))
     return net
 
 
-def _added(net: Net | None, found: list[dict]) -> list[Span]:
-    free = [f for f in found if f["label"] != 1]
-    if net is None or not free:
-        return []
-    good = net.probabilities([f["window"] for f in free]) >= net.threshold
-    return [Span("net", a, b, a) for a, b in dict.fromkeys((f["start"], f["end"]) for f, g in zip(free, good, strict=True) if g)]
+def net_spans(net: Net, texts: list[str]) -> list[list[Span]]:
+    """For each text the candidates that the network takes for secrets, without the runs that hold another one."""
+    each = [candidates(t) for t in texts]
+    flat = [(t, a, b) for t, found in zip(texts, each, strict=True) for a, b, _ in found]
+    good = net.good([t for t, _, _ in flat], [(a, b) for _, a, b in flat]) if flat else np.empty(0, bool)
+    out, at = [], 0
+    for found in each:
+        own = good[at : at + len(found)].tolist()
+        at += len(found)
+        holds = {run for (_, _, run), g in zip(found, own, strict=True) if g}
+        out.append([Span("net", a, b, a) for k, (a, b, _) in enumerate(found) if own[k] and k not in holds])
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """doc_id, base, spans: the base spans, and all with those that the network adds, in order: a row per row."""
-    found = reliable(findings(docs, id_col, text_col))
-    net = train(found, sample)
+    net = train(snippets(docs, id_col, text_col), sample)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, lists = batch.column("base").to_pylist(), batch.column("found").to_pylist()
-            free = [[f for f in fs if f["label"] != 1] for fs in lists]
-            flat = [f for fs in free for f in fs]
-            good = iter(net.probabilities([f["window"] for f in flat]) >= net.threshold if net and flat else [False] * len(flat))
-            spans = []
-            for b, fs in zip(base, free, strict=True):
-                more = [{"kind": "net", "start": a, "end": e, "value": a} for a, e in dict.fromkeys((f["start"], f["end"]) for f in fs if next(good))]
-                spans.append(sorted(b + more, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.array(spans, batch.column("base").type)], ["doc_id", "base", "spans"])
+            for part, texts in slices(batch, "t"):
+                base = [base_spans(t) for t in texts]
+                every = [in_order(b + n) for b, n in zip(base, net_spans(net, texts), strict=True)]
+                columns = [pa.array([[s._asdict() for s in x] for x in c], kind) for c in (base, every)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "base", "spans"])
 
-    return found.mapInArrow(run, f"doc_id long, base array<{_SPAN}>, spans array<{_SPAN}>")
+    return rows.mapInArrow(run, f"doc_id long, base array<{_SPAN}>, spans array<{_SPAN}>")
 
 
 def hide(text: str, spans: list[Span]) -> str:
@@ -286,20 +283,18 @@ def hide(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, sample: int = SAMPLE) -> DataFrame:
     """`docs` with secrets replaced; length_col, if named, gets the new text's characters where the text changed."""
-    net = train(reliable(findings(docs, id_col, text_col)), sample)
+    net = train(snippets(docs, id_col, text_col), sample)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("t"))
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("t", T.StringType()), T.StructField("changed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for t in batch.column("t").to_pylist():
-                base = base_spans(t or "")
-                spans = base + _added(net, candidates(t or "", base))
-                texts.append(hide(t, spans) if spans else t)
-            new = pa.array(texts, batch.column("t").type)
-            same = pc.fill_null(pc.equal(new, batch.column("t")), True)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), new, pc.invert(same)], ["row", "t", "changed"])
+            for part, texts in slices(batch, "t"):
+                spans = [base_spans(t) + n for t, n in zip(texts, net_spans(net, texts), strict=True)]
+                old = part.column("t").to_pylist()
+                new = pa.array([hide(t, s) if s else t for t, s in zip(old, spans, strict=True)], part.column("t").type)
+                same = pc.fill_null(pc.equal(new, part.column("t")), True)
+                yield pa.RecordBatch.from_arrays([part.column("row"), new, pc.invert(same)], ["row", "t", "changed"])
 
     out = rows.mapInArrow(run, schema)
     put = {text_col: F.col("t")}

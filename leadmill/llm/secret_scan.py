@@ -220,10 +220,11 @@ class Net:
 
 
 def snippets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SNIPPETS) -> list[str]:
-    """A piece of each of the n texts with the least hash of id and text."""
+    """A piece of each of the n texts with the least hash of id and text. Only hashes below 4 n / rows are sorted, about 4 n."""
     h, size = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`")), 64
     at = F.pmod("h", F.greatest(F.char_length("t") - size, F.lit(1))).cast("int") + 1
-    rows = docs.select(h.alias("h"), F.col(f"`{text_col}`").alias("t")).where("t != ''").select("h", F.substring("t", at, F.lit(size)).alias("s"))
+    below = min((1 << 63) - 1, -(1 << 63) + (1 << 66) * n // max(1, docs.count()))
+    rows = docs.select(h.alias("h"), F.col(f"`{text_col}`").alias("t")).where((F.col("t") != "") & (F.col("h") <= below)).select("h", F.substring("t", at, F.lit(size)).alias("s"))
     return [r["s"] for r in rows.orderBy("h", "s").limit(n).collect()]
 
 

@@ -7,11 +7,13 @@ of chunk digests with the chunks' lengths; likeness is containment weighted by l
 in bytes, that the other text has too.
 
 `fingerprint_pairs` also compares each text with the next one by descending id. Texts go through one shuffle, dealt into
-batches by ranges of ids; the first row of each batch is sent to the batch above it as well, since it follows its last row.
+batches by ranges of their order; the first row of each batch is sent to the batch before it as well, since it follows its last row.
 
-Cases: a null or empty text has the empty fingerprint; two empty ones are alike by 1, an empty and another one by 0. Rows with
-the same id follow each other in the order of their texts. Null ids are a batch of their own: they come after all others in
-descending order. One row alone is its own next. An empty table gives no row.
+Cases: a null or empty text has the empty fingerprint; two empty ones are alike by 1, an empty and another one by 0. A very long text is
+chunked as a whole, and a batch's texts SLICE bytes at a time. Rows with the same id follow each other by descending hash of their texts, then by
+text; so do rows without an id, which come after all others. Such rows are dealt over batches like any others, but for rows equal in
+both id and text. Repeated rows give repeated rows. One row alone is its own next. Columns of the input may have any names: only id and text are read. An empty
+table gives no row.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.common import parts, text_volume, whole_text
-from leadmill.llm.dealing import batch_of, id_cuts
+from leadmill.llm.dealing import cuts, order_hash, text_keys
 
 LEAST, NORMAL, MOST, BITS = 32, 128, 512, 7
 BATCH, SLICE = 8 << 20, 1 << 20
-LEAST_PARTS = 32
+#: Batches: at least so many, for their number in parallel, and at most, so that their first rows' keys stay small (16 bytes each).
+LEAST_PARTS, MOST_PARTS = 32, 1 << 20
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _EASY = np.uint32(((1 << (BITS - 2)) - 1) << (32 - BITS + 2))
 _HARD = np.uint32(((1 << (BITS + 2)) - 1) << (32 - BITS - 2))
@@ -112,20 +115,32 @@ _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edi
 
 def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row per row."""
-    n = parts(text_volume(docs, text_col)[1], BATCH, LEAST_PARTS)
-    cuts = id_cuts(docs, id_col, n)
-    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
-    rows = base.withColumn("batch", F.when(F.col("doc_id").isNull(), -1).otherwise(batch_of(cuts, F.col("doc_id"))))
-    # One small row a batch: its first row follows the last one of the batch above, and the very first the very last.
-    heads = sorted((r["batch"], r["head"]) for r in rows.groupBy("batch").agg(F.max("doc_id").alias("head")).collect())
-    sent = [(heads[(i + 1) % len(heads)][0], head) for i, (_, head) in enumerate(heads)]
-    spark = docs.sparkSession
-    to = F.broadcast(spark.createDataFrame(sent, "batch int, head long"))
-    halo = base.join(to, F.col("doc_id").eqNullSafe(F.col("head"))).select("doc_id", "t", "batch", F.lit(True).alias("halo"))
-    dealt = rows.select("doc_id", "t", "batch", F.lit(False).alias("halo")).union(halo)
+    volume = text_volume(docs, text_col)[1]
+    n = min(parts(volume, BATCH, LEAST_PARTS), MOST_PARTS)
+    cut = cuts(text_keys(docs, id_col, text_col), n, max(1, volume // n))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), order_hash(text_col).alias("h"), whole_text(text_col).alias("t"))
+    rows = base.withColumn("batch", cut.batch(F.col("doc_id"), F.col("h")))
+    # One key a batch, its first row's, and the batch before it in descending order; the very first follows the very last.
+    heads = rows.groupBy("batch").agg(F.max(F.struct("doc_id", "h")).alias("m")).select("batch", F.coalesce("m.doc_id", F.lit(0)).alias("i"), "m.h").toArrow()
+    at, size = heads.column("batch").to_numpy(), cut.n
+    order = at[np.argsort(np.where(at < cut.first_null, -at, size - at), kind="stable")]
+    head_id, head_h, before = (np.zeros(size, np.int64) for _ in range(3))
+    head_id[at], head_h[at], before[order] = heads.column("i").to_numpy(), heads.column("h").to_numpy(), np.roll(order, 1)
+
+    @F.pandas_udf("int")
+    def sent(batch, id_, h):
+        import pandas as pd
+
+        b = batch.to_numpy()
+        first = (head_id[b] == id_.fillna(0).to_numpy().astype(np.int64)) & (head_h[b] == h.to_numpy())
+        return pd.Series(np.where(first, before[b], -1).astype(np.int32))
+
+    own = F.struct("batch", F.lit(False).alias("halo"))
+    both = F.array(own, F.struct(F.col("to").alias("batch"), F.lit(True).alias("halo")))
+    dealt = rows.withColumn("to", sent("batch", "doc_id", "h")).select("doc_id", "h", "t", F.explode(F.when(F.col("to") >= 0, both).otherwise(F.array(own))).alias("at")).select("doc_id", "h", "t", "at.batch", "at.halo")
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("halo", "ascending"), ("doc_id", "descending"), ("t", "ascending")]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("halo", "ascending"), ("doc_id", "descending"), ("h", "descending"), ("t", "ascending")]))
         count = pc.sum(pc.invert(table.column("halo"))).as_py() or 0
         texts = table.column("t").slice(0, count + 1).to_pylist()  # of the rows sent here the first in order
         columns: list[list] = [[] for _ in range(6)]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from leadmill.llm.bpe_codec import read_ranks
 from leadmill.llm.common import parts, reliable, text_volume, whole_text
-from leadmill.llm.dealing import batch_of, id_cuts
+from leadmill.llm.dealing import cuts
 from leadmill.llm.pieces import slices
 
 WINDOW, END = 1024, 0
@@ -250,9 +250,10 @@ def packed(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
     ids = reliable(encoded(docs, ranks, special, id_col, text_col))
     corpus = counted(ids, ranks, special)
     rows = keyed(ids, corpus, ranks, special)
-    # A key counts once for each window that its document fills, so that shards hold equal numbers of ids.
-    fills = F.ceil(F.octet_length("ids") / (window * _encoder(ranks, special)[1].itemsize)).cast("int")
-    cuts = id_cuts(rows.select(F.explode(F.array_repeat("key", fills)).alias("key")), "key", shards)
+    size = F.octet_length("ids").cast("long")
+    volume = ids.agg(F.sum(size)).first()[0] or 0
+    cut = cuts(rows.select(F.col("key").alias("id"), F.xxhash64("ids").alias("h"), size.alias("n")), shards, max(1, volume // shards))
+    shards = cut.n
 
     def run(table: pa.Table) -> pa.Table:
         kind = _encoder(ranks, special)[1]
@@ -264,4 +265,4 @@ def packed(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
         columns = {"start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": tokens, "sequence_id": sequence * shards + shard, "offset": offset}
         return pa.table({"doc_id": table.column("doc_id").take(pa.array(doc)), **{k: pa.array(v) for k, v in columns.items()}})
 
-    return rows.select(batch_of(cuts, F.col("key")).alias("shard"), "doc_id", "ids").groupBy("shard").applyInArrow(run, SCHEMA)
+    return rows.select(cut.batch(F.col("key"), F.xxhash64("ids")).alias("shard"), "doc_id", "ids").groupBy("shard").applyInArrow(run, SCHEMA)

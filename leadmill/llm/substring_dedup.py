@@ -1,27 +1,33 @@
-"""Substring dedup: words of windows that occur earlier are removed, found by fixed-block anchors.
-
-Texts are dealt once into batches by ranges of their ids, so that an earlier batch holds earlier documents; that exchange
-serves all three passes. Hashes leave a batch as sorted distinct arrays, one packed row for each batch and hash range, so a
-passage that a third of all texts share costs one entry a batch.
-
-1. Anchors and probes. Each text is a reference: its non-overlapping blocks of `block` words are the index. It's also
-   probed with every rolling window of `block` words. Per hash range, a probe is answered by two bits: `rep`, the window
-   occurs more than once, and `hit`, it also stands at a block. A window of `window` >= 2 * block - 1 words always contains
-   a whole block of its own text, so each repeat of that length has a hit.
-2. Extension. Around hits, runs of positions with `rep` are extended as far as they go; windows of `window` words that lie
-   in such a run are candidates. Their 96-bit hashes are sent the same way, and come back with one bit: it's in an earlier
-   batch. That is exact but for collisions of 96 bits (about 1e-4 are to be expected in 100 TB of text); the 32 bits of
-   step 1 only choose candidates.
-3. Removal. A candidate that's in an earlier batch, or earlier in its own, covers its words; these go.
-
-Cases: null and empty texts have no words. Texts shorter than a window stay. Null ids come last; rows with the same id
-count in the order of their texts, and a repeated row is a repeat of the first. An empty table gives an empty result. Other
-columns of the input come back in the struct `row`, whatever their names are.
+"""Substring dedup by fixed-block anchors: words of windows that occur earlier are removed.
+
+Texts are dealt once into batches by ranges of their order, so that an earlier batch holds earlier texts; that exchange serves all three
+passes. Hashes leave a batch as sorted distinct arrays, one packed row for each batch and hash range, so a passage that a third of
+all texts share costs one entry a batch.
+
+1. Index and probes. A text's non-overlapping blocks of `block` words are its entries in the index, and nothing else is. Every rolling window
+   of `block` words is a probe. Per hash range each probe learns whether an earlier block has its words (a hit), and each block
+   whether a later probe hit it (it's live). A window of `window` >= 2 * block - 1 words holds a whole block of its text, so each
+   repeat of that length hits a block of its first occurrence, whatever the shift between the two.
+2. Extension. Each hit, and each live block on the side of the reference, is extended to both sides, in all the ways in which it can lie within
+   `window` words. Extensions are compared by 96-bit hashes, sent the same way: one that an earlier batch has too comes back
+   marked. Linear in the hits: no pair of a hot block's texts is made. It's exact but for collisions of 96 bits (about
+   1e-4 are to be expected in 100 TB of text); the hashes of step 1, 32 bits within a range, only choose what is extended.
+3. Removal. Marked extensions, and those that came earlier in their own batch, follow each other along a maximal exact repeat; its
+   words go.
+
+Batches and hash ranges grow with the square root of the input once packed rows would get less than FILL hashes on average: the number
+of rows, at most words * words / (batch * range), stays proportional to the words. See README.md for the sizes.
+
+Cases: null and empty texts have no words. Texts shorter than a window stay. A very long text is a batch of its own, hashed PIECE bytes at
+a time. Null ids come last; rows with the same id, or none, count in the order of their texts' hashes, then their texts, and a
+repeated row is a repeat of the first (rows equal in id and text are the only ones that can't be parted over batches). An empty table
+gives an empty result. Other columns of the input come back in the struct `row`, whatever their names are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import compress
@@ -34,12 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leadmill.llm.common import as_bytes, parts, text_volume
+from leadmill.llm.dealing import cuts, order_hash, text_keys
 
 WINDOW, BLOCK = 20, 10
 #: Bytes of text in a batch, and in a piece that is hashed at once; both bound a task's memory. A batch is at least a text.
 BATCH, PIECE = 8 << 20, 1 << 20
-#: Hashes in a hash range, about.
-RANGE = 1 << 21
+#: Hashes in a hash range, about; and the least number in a packed row, on average.
+RANGE, FILL = 1 << 21, 256
+#: Bytes of a word with its separator, about.
+WORD = 6
 LEAST_PARTS = 32
 LONG_WORD = 64
 
@@ -155,40 +164,41 @@ def _unbits(x: bytes, n: int) -> np.ndarray:
 
 
 class _Batch:
-    """What each pass finds out again about a batch, from its texts and the answers that came back."""
+    """A batch's rolling windows of a block's length, and what they learn from the index."""
 
     def __init__(self, texts: pa.Array, window: int, block: int, range_bits: int):
-        self.words, self.window, self.block, self.range_bits = Words(texts), window, block, range_bits
+        self.words, self.window, self.block = Words(texts), window, block
         self.fits = np.flatnonzero(self.words.room(block))
-        h = self.words.grams(block, 0)[self.fits]
-        self.key = h >> np.uint64(32 - range_bits)  # the range, and 32 bits within it
-
-    def probes(self) -> dict[str, np.ndarray]:
         size = np.diff(self.words.first)
-        place = self.fits - np.repeat(self.words.first[:-1], size)[self.fits]
-        both = np.sort(self.key << np.uint64(1) | (place % self.block == 0).astype(np.uint64))
-        key = both >> np.uint64(1)
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        tail = np.r_[head[1:], len(key)][: len(head)] - 1
-        return {"key": key[head], "many": tail > head, "anchor": (both[tail] & np.uint64(1)).astype(bool)}
-
-    def candidates(self, answers: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
-        """Positions at which windows start that lie in an extended run around a hit."""
-        key = np.unique(self.key)
-        area = (key >> np.uint64(32)).astype(np.int64)
-        rep, hit = np.zeros(len(key), bool), np.zeros(len(key), bool)
-        for r, a, b in _runs(area):
-            rep[a:b], hit[a:b] = (_unbits(x, b - a) for x in answers[r])
-        at = np.searchsorted(key, self.key)
+        self.anchor = (self.fits - np.repeat(self.words.first[:-1], size)[self.fits]) % block == 0
+        h = self.words.grams(block, 0)[self.fits] >> np.uint64(32 - range_bits)  # the range, and 32 bits within it
+        self.order = np.argsort(h, kind="stable")
+        self.h = h[self.order]
+        self.new = np.r_[True, self.h[1:] != self.h[:-1]] if len(h) else np.empty(0, bool)
+        self.head = np.flatnonzero(self.new)
+        self.key = self.h[self.head]
+
+    def indexed(self) -> np.ndarray:
+        """Of each distinct hash whether a block has it."""
+        return np.logical_or.reduceat(self.anchor[self.order], self.head) if len(self.head) else np.empty(0, bool)
+
+    def extensions(self, answers: dict[int, tuple[bytes, bytes]]) -> np.ndarray:
+        """Where windows start that hold a hit or a live block."""
+        hit, live = np.zeros(len(self.key), bool), np.zeros(len(self.key), bool)
+        for r, a, b in _runs((self.key >> np.uint64(32)).astype(np.int64)):
+            hit[a:b], live[a:b] = (_unbits(x, b - a) for x in answers[r])
+        group = np.cumsum(self.new) - 1
+        anchor = self.anchor[self.order]
+        at = np.arange(len(group))
+        first = np.minimum.reduceat(np.where(anchor, at, len(at)), self.head) if len(self.head) else at
+        last = np.r_[self.head[1:], len(at)] - 1
+        on = hit[group] | (at > first[group]) | anchor & (live[group] | (at < last[group]))
         n, span = int(self.words.first[-1]), self.window - self.block + 1
-        sums = []
-        for bit in (rep, hit):
-            on = np.zeros(n + 1, np.int64)
-            on[self.fits + 1] = bit[at]
-            sums.append(np.cumsum(on))
+        total = np.zeros(n + 1, np.int64)
+        total[self.fits[self.order[on]] + 1] = 1
+        total = np.cumsum(total)
         where = np.flatnonzero(self.words.room(self.window))
-        full = (sums[0][where + span] - sums[0][where] == span) & (sums[1][where + span] > sums[1][where])
-        return where[full]
+        return where[total[where + span] > total[where]]
 
     def exact(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes of windows in order (64 and 32 bits), and for each window its place among them."""
@@ -212,38 +222,33 @@ def _one(table: pa.Table, name: str) -> pa.Array:
 
 
 def _in_order(table: pa.Table) -> pa.Table:
-    """By id, nulls last, then by text."""
-    return table.take(pc.sort_indices(table.select(["__id", "__text"]), sort_keys=[("__id", "ascending"), ("__text", "ascending")]))
+    """By id, nulls last, then by the text's hash, then by text."""
+    keys = ["__id", "__h", "__text"]
+    return table.take(pc.sort_indices(table.select(keys), sort_keys=[(k, "ascending") for k in keys]))
 
 
-_PROBES = "area int, batch int, n int, low binary, many binary, anchor binary"
+_PROBES = "area int, batch int, n int, low binary, anchor binary"
 _EXACT = "area int, batch int, n int, a binary, b binary"
 _ANSWER = "batch int, step int, area int, x binary, y binary"
 
 
-def batches(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """`docs` as (row, __id, __text, __batch), batches in the order of ids; and the bits of the number of hash ranges."""
-    rows, size = text_volume(docs, text_col)
-    n = parts(size, BATCH, LEAST_PARTS)
-    ids = docs.select(F.col(id_col).cast("long").alias("__id")).where("__id is not null")
-    cuts = np.unique(np.array(ids.agg(F.percentile_approx("__id", [i / n for i in range(1, n)], 20 * n)).first()[0] or [], np.int64))
-    range_bits = max(5, (parts(size // 6, RANGE) - 1).bit_length())
-
-    @F.pandas_udf("int")
-    def batch_of(i):
-        return _batch_of(i, cuts)
-
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("__id"), as_bytes(text_col).alias("__text"))
-    return packed.withColumn("__batch", batch_of("__id")), range_bits
+def sizes(volume: int) -> tuple[int, int]:
+    """Bytes of a batch and hashes of a range for so many bytes of text."""
+    growth = max(1.0, math.sqrt(FILL * (volume / WORD) / (BATCH / WORD * RANGE)))
+    return int(BATCH * growth), int(RANGE * growth)
 
 
-def _batch_of(i, cuts: np.ndarray):
-    import pandas as pd
-
-    known = i.notna()
-    at = np.full(len(i), len(cuts), np.int32)
-    at[known] = np.searchsorted(cuts, i[known].astype(np.int64), "right")
-    return pd.Series(at)
+def batches(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """`docs` as (row, __id, __h, __text, __batch), batches in the order of rows; and the bits of the number of hash ranges."""
+    volume = text_volume(docs, text_col)[1]
+    batch, area = sizes(volume)
+    n = parts(volume, batch, LEAST_PARTS)
+    cut = cuts(text_keys(docs, id_col, text_col), n, max(1, volume // n))
+    range_bits = max(5, (parts(volume // WORD, area) - 1).bit_length())
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("__id"), order_hash(text_col).alias("__h"), as_bytes(text_col).alias("__text")
+    )
+    return packed.withColumn("__batch", cut.batch(F.col("__id"), F.col("__h"))), range_bits
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block: int = BLOCK, texts: bool = False) -> DataFrame:
@@ -262,30 +267,29 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
 
     def probe(table: pa.Table) -> pa.Table:
         table = _in_order(table)
-        batch, p = table.column("__batch")[0].as_py(), _Batch(_one(table, "__text"), window, block, range_bits).probes()
-        rows = [
-            {"area": r, "batch": batch, "n": b - a, "low": p["key"][a:b].astype(np.uint32).tobytes(), "many": _bits(p["many"][a:b]), "anchor": _bits(p["anchor"][a:b])}
-            for r, a, b in split(p["key"], 32)
-        ]
-        return pa.Table.from_pylist(rows, pa.schema([("area", pa.int32()), ("batch", pa.int32()), ("n", pa.int32()), ("low", pa.binary()), ("many", pa.binary()), ("anchor", pa.binary())]))
+        batch, made = table.column("__batch")[0].as_py(), _Batch(_one(table, "__text"), window, block, range_bits)
+        indexed = made.indexed()
+        rows = [{"area": r, "batch": batch, "n": b - a, "low": made.key[a:b].astype(np.uint32).tobytes(), "anchor": _bits(indexed[a:b])} for r, a, b in split(made.key, 32)]
+        return pa.Table.from_pylist(rows, pa.schema([("area", pa.int32()), ("batch", pa.int32()), ("n", pa.int32()), ("low", pa.binary()), ("anchor", pa.binary())]))
 
     answer = pa.schema([("batch", pa.int32()), ("step", pa.int32()), ("area", pa.int32()), ("x", pa.binary()), ("y", pa.binary())])
 
     def match(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
         low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
-        many = np.concatenate([_unbits(r["many"], r["n"]) for r in rows])
         anchor = np.concatenate([_unbits(r["anchor"], r["n"]) for r in rows])
-        _, at, count = np.unique(low, return_inverse=True, return_counts=True)
-        rep = count > 1
-        rep[at[many]] = True
-        indexed = np.zeros(len(count), bool)
-        indexed[at[anchor]] = True
-        rep, hit = rep[at], (rep & indexed)[at]
+        order = np.argsort(low, kind="stable")  # equal hashes in the order of their batches, one of each
+        low, anchor, at = low[order], anchor[order], np.arange(len(order))
+        head = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        size = np.diff(np.r_[head, len(low)])
+        first = np.repeat(np.minimum.reduceat(np.where(anchor, at, len(at)), head), size)
+        last = np.repeat(head + size - 1, size)
+        hit, live = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        hit[order], live[order] = at > first, anchor & (at < last)
         out, done = [], 0
         for r in rows:
             a, b = done, done + r["n"]
-            out.append({"batch": r["batch"], "step": 1, "area": r["area"], "x": _bits(rep[a:b]), "y": _bits(hit[a:b])})
+            out.append({"batch": r["batch"], "step": 1, "area": r["area"], "x": _bits(hit[a:b]), "y": _bits(live[a:b])})
             done = b
         return pa.Table.from_pylist(out, answer)
 
@@ -298,12 +302,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             return pa.Table.from_pylist([], schema)
         table = _in_order(table)
         batch, made = table.column("__batch")[0].as_py(), _Batch(_one(table, "__text"), window, block, range_bits)
-        a, b, _ = made.exact(made.candidates(read(answers, 1)))
-        rows = [{"area": r, "batch": batch, "n": y - x, "a": a[x:y].tobytes(), "b": b[x:y].tobytes()} for r, x, y in split(a, 64 - range_bits)]
+        where = made.extensions(read(answers, 1))
+        a, b, place = made.exact(where)
+        # A row for the batch itself, in an area of its own, spares the last pass all hashing.
+        rows = [{"area": -1 - batch, "batch": batch, "n": len(a), "a": where.astype(np.int32).tobytes(), "b": place.astype(np.int32).tobytes()}]
+        rows += [{"area": r, "batch": batch, "n": y - x, "a": a[x:y].tobytes(), "b": b[x:y].tobytes()} for r, x, y in split(a, 64 - range_bits)]
         return pa.Table.from_pylist(rows, schema)
 
     def earliest(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
+        if rows[0]["area"] < 0:
+            return pa.Table.from_pylist([{"batch": r["batch"], "step": 3, "area": r["n"], "x": r["a"], "y": r["b"]} for r in rows], answer)
         a = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
         b = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows])
         order = np.lexsort((b, a))  # stable: batches stay in order
@@ -312,7 +321,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         later[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
         out, done = [], 0
         for r in rows:
-            out.append({"batch": r["batch"], "step": 2, "area": r["area"], "x": _bits(later[done : done + r["n"]]), "y": b""})
+            out.append({"batch": r["batch"], "step": 2, "area": r["area"], "x": _bits(later[done : done + r["n"]]), "y": r["n"].to_bytes(8, "little")})
             done += r["n"]
         return pa.Table.from_pylist(out, answer)
 
@@ -324,21 +333,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             return pa.table({"row": _one(table, "row"), **{f.name: empty[f.name] for f in fields}})
         table = _in_order(table)
         text = _one(table, "__text")
-        made = _Batch(text, window, block, range_bits)
-        where = made.candidates(read(answers, 1))
-        a, _, place = made.exact(where)
-        earlier, back = np.zeros(len(a), bool), read(answers, 2)
-        for r, x, y in split(a, 64 - range_bits):
-            earlier[x:y] = _unbits(back[r][0], y - x)
-        first = np.full(len(a), len(where), np.int64)
+        bounds = Words(text, 0).first
+        (own,) = (r for r in answers.to_pylist() if r["step"] == 3)
+        where, place = np.frombuffer(own["x"], np.int32).astype(np.int64), np.frombuffer(own["y"], np.int32)
+        back = sorted((r["area"], r["x"], r["y"]) for r in answers.to_pylist() if r["step"] == 2)
+        earlier = np.concatenate([np.zeros(0, bool), *(_unbits(x, int.from_bytes(y, "little")) for _, x, y in back)])
+        first = np.full(own["area"], len(where), np.int64)
         np.minimum.at(first, place, np.arange(len(where)))
         gone = where[earlier[place] | (first[place] < np.arange(len(where)))]
-        n = int(made.words.first[-1])
+        n = int(bounds[-1])
         change = np.zeros(n + 1, np.int64)
         change[gone] += 1
         change[gone + window] -= 1
         keep = np.cumsum(change[:n]) == 0
-        bounds = made.words.first
         n_words = np.diff(bounds)
         n_removed = n_words - np.diff(np.r_[0, np.cumsum(keep)][bounds])
         kept, digests = [], []
@@ -346,10 +353,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             t = t.as_py()
             words = t.split()
             if n_removed[i]:
-                own = keep[bounds[i] : bounds[i + 1]].tolist()
+                stay = keep[bounds[i] : bounds[i + 1]].tolist()
                 if texts:
-                    t = _cut(t, words, own)
-                words = compress(words, own)
+                    t = _cut(t, words, stay)
+                words = compress(words, stay)
             kept.append(t)
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
         out = {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
@@ -360,7 +367,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     by_batch = dealt.groupBy("__batch")
     one = by_batch.applyInArrow(probe, _PROBES).groupBy("area").applyInArrow(match, _ANSWER)
     two = by_batch.cogroup(one.groupBy("batch")).applyInArrow(extend, _EXACT).groupBy("area").applyInArrow(earliest, _ANSWER)
-    out = by_batch.cogroup(one.union(two).groupBy("batch")).applyInArrow(remove, T.StructType([T.StructField("row", row_type), *fields]))
+    out = by_batch.cogroup(two.groupBy("batch")).applyInArrow(remove, T.StructType([T.StructField("row", row_type), *fields]))
     return out.withColumn("kept", F.col("kept").cast("string")) if texts else out
 
 

@@ -1,10 +1,12 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leadmill.llm import queries, quality_rules, simhash, substring_dedup
+from leadmill.llm import dealing, queries, quality_rules, simhash, substring_dedup
 from tests.llm import brute
 
 
@@ -30,7 +32,44 @@ def test_substring_dedup_odd_rows(spark):
     assert kept[2].text == "" and kept[4].text == " \t\r\n"
 
 
-def test_substring_dedup_random(spark, monkeypatch):
+def extended(texts, block=10, window=20, anchors=True):
+    """Which windows of one batch are extended: (text, start)."""
+    made = substring_dedup._Batch(pa.array([t.encode() for t in texts], pa.binary()), window, block, 5)
+    if not anchors:
+        made.anchor[:] = False
+    size = np.diff(made.words.first)
+    text, start = np.repeat(np.arange(len(texts)), size), np.arange(size.sum()) - np.repeat(made.words.first[:-1], size)
+    areas = substring_dedup._runs((made.key >> np.uint64(32)).astype(np.int64))
+    none = {r: (substring_dedup._bits(np.zeros(b - a, bool)),) * 2 for r, a, b in areas}
+    where = made.extensions(none)
+    return set(zip(text[where].tolist(), start[where].tolist(), strict=True))
+
+
+def test_only_hits_of_anchors_are_extended():
+    words = lambda c, n: [f"{c}{i}" for i in range(n)]
+    shared = words("s", 27)
+    for shift in range(10):  # whatever the passage's shift against the blocks of its first occurrence
+        texts = [" ".join(words("a", 20 + shift) + shared + words("b", 30)), " ".join(words("c", 33) + shared + words("d", 30))]
+        found = extended(texts)
+        assert {(0, s) for s in range(20 + shift, 28 + shift)} | {(1, s) for s in range(33, 41)} <= found
+        assert all(s + 20 > 20 + shift and s < 47 + shift for k, s in found if k == 0) and all(s + 20 > 33 and s < 60 for k, s in found if k == 1)
+        assert not extended(texts, anchors=False)
+    # Blocks longer than half a window miss repeats that hold no whole block of the first occurrence: such are refused.
+    texts = [" ".join(words("a", 25) + words("s", 20) + words("b", 30)), " ".join(words("c", 40) + words("s", 20))]
+    assert (1, 40) in extended(texts) and (1, 40) not in extended(texts, block=16)
+    with pytest.raises(ValueError):
+        substring_dedup.repeats(None, window=20, block=11)
+
+
+def test_rows_of_packed_hashes_stay_in_proportion():
+    per_hash = []
+    for volume in (1 << 30, 1 << 40, 100 << 40):
+        batch, area = substring_dedup.sizes(volume)
+        per_hash.append(batch / substring_dedup.WORD / (volume / substring_dedup.WORD / area))
+    assert all(x > substring_dedup.FILL * 0.99 for x in per_hash) and substring_dedup.sizes(30 << 30)[0] < 2 * substring_dedup.BATCH
+
+
+def test_substring_dedup_random(spark):
     rng = random.Random(7)
     base = [[rng.choice("abcdef") * rng.randint(1, 3) for _ in range(40)] for _ in range(6)]
     rows = []
@@ -51,6 +90,26 @@ def test_substring_dedup_repeated_and_null_ids(spark):
     assert sorted(r.n_removed for r in substring_dedup.repeats(docs).collect()) == [0, 30, 30]
 
 
+def test_rows_with_one_id_or_none_are_parted(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join(str(rng.randint(0, 10**6)) for _ in range(100))
+    rows = [(i, text()) for i in range(40)] + [(7, text()) for _ in range(200)] + [(None, text()) for _ in range(200)] + [(3, None), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = dealing.cuts(dealing.text_keys(frame, "doc_id", "text"), 40, 7000)
+    dealt = frame.withColumn("h", dealing.order_hash("text")).withColumn("batch", cut.batch(F.col("doc_id"), F.col("h"))).collect()
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.h)
+    dealt.sort(key=key)
+    assert [r.batch for r in dealt] == sorted(r.batch for r in dealt) and len(dealt) == len(rows)
+    sizes = Counter(r.batch for r in dealt)
+    assert len(sizes) > 30 and max(sizes.values()) < 30 and not {r.batch for r in dealt if r.doc_id is None} & {r.batch for r in dealt if r.doc_id is not None}
+    assert set(sizes) == set(range(cut.n))
+    twice = frame.unionByName(frame.where("doc_id is null"))
+    order = sorted(twice.withColumn("h", dealing.order_hash("text")).collect(), key=lambda r: (*key(r), r.text or ""))
+    want = brute.removed([(k, r.text) for k, r in enumerate(order)])
+    got = substring_dedup.repeats(twice).select("row.doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == Counter((order[k].doc_id, *x) for k, x in want.items()) and sum(n > 0 for _, n, _ in want.values()) == 200
+
+
 def test_simhash_whole_table(spark, sf_dir):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op4_simhash(spark, sf_dir).collect()}
     assert got == brute.near(texts(spark, sf_dir))

@@ -1,7 +1,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -283,20 +283,48 @@ def test_pool_adjacent():
     assert level.tolist() == [0, 0.5, 1.0] and place.tolist() == [0, 1.5, 3.5]
 
 
+def plain_chunks(data):
+    """Chunks found byte by byte."""
+    bits, out, start, h = chunk_fingerprints.BITS, [], 0, 0
+    for i, byte in enumerate(data):
+        h = (h << 1) + int(chunk_fingerprints._GEAR[byte]) & 0xFFFFFFFF
+        n = i + 1 - start
+        need = bits + 2 if n < chunk_fingerprints.NORMAL else bits - 2
+        if n == chunk_fingerprints.MOST or n >= chunk_fingerprints.LEAST and h >> (32 - need) == 0:
+            out.append(data[start : i + 1])
+            start = i + 1
+    return out + [data[start:]] * (start < len(data))
+
+
+def plain_print(text):
+    return {c: len(c) for c in plain_chunks(text.encode())}
+
+
+def share(a, b):
+    return sum(n for c, n in a.items() if c in b) / sum(a.values()) if a else float(not b)
+
+
+def plain_written(print_):
+    import xxhash
+
+    return " ".join(sorted(f"{xxhash.xxh3_64_intdigest(c):016x}:{n}" for c, n in print_.items()))
+
+
 def test_chunk_fingerprints(spark, sf_dir):
     texts = rows(spark, sf_dir)
     order = sorted(texts, reverse=True)
     after = dict(zip(order, [*order[1:], order[0]], strict=True))
     got = {r.doc_id: r for r in queries.op7_chunk_fingerprints(spark, sf_dir).collect()}
     assert got.keys() == texts.keys()
+    prints = {i: plain_print(t) for i, t in texts.items()}
     for i, r in got.items():
         t, nxt = texts[i], texts[after[i]]
-        new = chunk_fingerprints.edited(t, nxt)
-        assert r.n_chars == len(t) and r.edited_sha256 == sha(new.encode()) and new[: len(t) - len(t) // 2] == t[: len(t) - len(t) // 2]
-        own, other, following = (chunk_fingerprints.fingerprints([x.encode()])[0] for x in (t, new, nxt))
-        assert (r.fingerprint, r.edited_fingerprint) == (chunk_fingerprints.written(own), chunk_fingerprints.written(other))
-        assert (r.near_edited, r.near_next) == (chunk_fingerprints.contained(own, other), chunk_fingerprints.contained(own, following))
-        assert r.near_next == 1 if t == nxt else True
+        half = len(t) // 2
+        new = t[: len(t) - half] + nxt[:half]
+        other = plain_print(new)
+        assert r.n_chars == len(t) and r.edited_sha256 == sha(new.encode())
+        assert (r.fingerprint, r.edited_fingerprint) == (plain_written(prints[i]), plain_written(other))
+        assert (r.near_edited, r.near_next) == (share(prints[i], other), share(prints[i], prints[after[i]]))
     long_ = [r.near_edited for r in got.values() if r.n_chars > 2000]
     assert 0.3 < np.mean(long_) < 0.7
     docs = brute.odd_frame(spark)
@@ -309,6 +337,15 @@ def test_chunk_fingerprints(spark, sf_dir):
     assert one.near_next == 1.0
 
 
+def test_rows_with_one_id_or_none_follow_their_hashes(spark):
+    texts = [(i, f"text {i} {k} " * (3 + k % 5)) for i in (1, 2, None) for k in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    h = {(r.doc_id, r.text): r.h for r in frame.withColumn("h", F.xxhash64("text")).collect()}
+    order = sorted(texts, key=lambda x: (x[0] is None, -(x[0] or 0), -h[x]))
+    want = Counter((i, len(t), sha((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode())) for (i, t), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in chunk_fingerprints.fingerprint_pairs(frame).collect()) == want
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(3)
     text = "".join(rng.choice("abcdefghij ") for _ in range(20000)).encode()

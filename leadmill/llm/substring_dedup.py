@@ -302,17 +302,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             return pa.Table.from_pylist([], schema)
         table = _in_order(table)
         batch, made = table.column("__batch")[0].as_py(), _Batch(_one(table, "__text"), window, block, range_bits)
-        where = made.extensions(read(answers, 1))
-        a, b, place = made.exact(where)
-        # A row for the batch itself, in an area of its own, spares the last pass all hashing.
-        rows = [{"area": -1 - batch, "batch": batch, "n": len(a), "a": where.astype(np.int32).tobytes(), "b": place.astype(np.int32).tobytes()}]
-        rows += [{"area": r, "batch": batch, "n": y - x, "a": a[x:y].tobytes(), "b": b[x:y].tobytes()} for r, x, y in split(a, 64 - range_bits)]
+        a, b, _ = made.exact(made.extensions(read(answers, 1)))
+        rows = [{"area": r, "batch": batch, "n": y - x, "a": a[x:y].tobytes(), "b": b[x:y].tobytes()} for r, x, y in split(a, 64 - range_bits)]
         return pa.Table.from_pylist(rows, schema)
 
     def earliest(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["batch"])
-        if rows[0]["area"] < 0:
-            return pa.Table.from_pylist([{"batch": r["batch"], "step": 3, "area": r["n"], "x": r["a"], "y": r["b"]} for r in rows], answer)
         a = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows])
         b = np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows])
         order = np.lexsort((b, a))  # stable: batches stay in order
@@ -321,7 +316,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
         later[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
         out, done = [], 0
         for r in rows:
-            out.append({"batch": r["batch"], "step": 2, "area": r["area"], "x": _bits(later[done : done + r["n"]]), "y": r["n"].to_bytes(8, "little")})
+            out.append({"batch": r["batch"], "step": 2, "area": r["area"], "x": _bits(later[done : done + r["n"]]), "y": b""})
             done += r["n"]
         return pa.Table.from_pylist(out, answer)
 
@@ -333,12 +328,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
             return pa.table({"row": _one(table, "row"), **{f.name: empty[f.name] for f in fields}})
         table = _in_order(table)
         text = _one(table, "__text")
-        bounds = Words(text, 0).first
-        (own,) = (r for r in answers.to_pylist() if r["step"] == 3)
-        where, place = np.frombuffer(own["x"], np.int32).astype(np.int64), np.frombuffer(own["y"], np.int32)
-        back = sorted((r["area"], r["x"], r["y"]) for r in answers.to_pylist() if r["step"] == 2)
-        earlier = np.concatenate([np.zeros(0, bool), *(_unbits(x, int.from_bytes(y, "little")) for _, x, y in back)])
-        first = np.full(own["area"], len(where), np.int64)
+        made = _Batch(text, window, block, range_bits)
+        bounds, where = made.words.first, made.extensions(read(answers, 1))
+        a, _, place = made.exact(where)
+        earlier, back = np.zeros(len(a), bool), read(answers, 2)
+        for r, x, y in split(a, 64 - range_bits):
+            earlier[x:y] = _unbits(back[r][0], y - x)
+        first = np.full(len(a), len(where), np.int64)
         np.minimum.at(first, place, np.arange(len(where)))
         gone = where[earlier[place] | (first[place] < np.arange(len(where)))]
         n = int(bounds[-1])
@@ -367,7 +363,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     by_batch = dealt.groupBy("__batch")
     one = by_batch.applyInArrow(probe, _PROBES).groupBy("area").applyInArrow(match, _ANSWER)
     two = by_batch.cogroup(one.groupBy("batch")).applyInArrow(extend, _EXACT).groupBy("area").applyInArrow(earliest, _ANSWER)
-    out = by_batch.cogroup(two.groupBy("batch")).applyInArrow(remove, T.StructType([T.StructField("row", row_type), *fields]))
+    out = by_batch.cogroup(one.union(two).groupBy("batch")).applyInArrow(remove, T.StructType([T.StructField("row", row_type), *fields]))
     return out.withColumn("kept", F.col("kept").cast("string")) if texts else out
 
 

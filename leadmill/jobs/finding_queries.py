@@ -34,7 +34,7 @@ canon AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY source_file,
 
 
 def canon_ctes() -> str:
-    return ctes("flat_findings") + CANON.strip()
+    return ctes("flat_findings", "lead_outcomes") + CANON.strip()
 
 
 def finding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

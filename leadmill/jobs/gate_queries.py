@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.functions.lineage import settled
+from leadmill.jobs import document_queries as documents
 from leadmill.jobs import lead_queries, surface_queries
 from leadmill.jobs.finding_queries import canon_ctes, canonical
 from leadmill.jobs.tables import ctes, raw_findings, table
-from leadmill.jobs.verdict_queries import Reviewed, _review
+from leadmill.jobs.verdict_queries import Reviewed, _review, spoiled
 from leadmill.operators import gates as op
 from leadmill.operators import incremental, marts
 from leadmill.operators import verdicts as vop
@@ -42,6 +43,42 @@ def finding_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.validate("finding", texts).select("run_id", "number", "valid", F.array_join("errors", ",").alias("errors"))
 
 
+def _contract_texts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """run_id, id, n and text of documents of five kinds. By n some get the change of _KIND_BREAKS."""
+    r = Reviewed(spark, sf_dir)
+    v = F.col("v")
+    n = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("int").alias("n")
+    text = lambda *c: F.to_json(F.struct(*c)).alias("text")
+    final = r.final.select("run_id", F.col("finding_id").alias("id"), n("finding_id"), text(*documents.FINAL_FIELDS))
+    chains = documents.report_chains(r.resolved)
+    chains = chains.select("run_id", F.col("chain_id").alias("id"), n("chain_id"), text(*[c for c in chains.columns if c not in ("run_id", "pos")]))
+    verdicts = documents.report_verdicts(r.batches)
+    verdicts = verdicts.select("run_id", F.concat_ws(":", "target_type", "target_id").alias("id"), n("target_id"), text(*[c for c in verdicts.columns if c not in ("run_id", "pos")]))
+    place = F.struct("file", "line").alias("location")
+    leads = lead_queries.leads(spark, sf_dir).select("run_id", F.col("lead_id").alias("id"), n("lead_id"), text("lead_id", "tool", "rule_id", "vuln_class_hint", place, "codeflow", "message"))
+    f = raw_findings(spark, sf_dir).drop("run_id", "pos").columns
+    raw = raw_findings(spark, sf_dir).groupBy("run_id", "partition_id").agg(F.array_sort(F.collect_list(F.struct("finding_id", *[c for c in f if c != "finding_id"]))).alias("findings"))
+    none = F.array().cast("array<struct<path:string,reason:string>>")
+    answers = raw.select("run_id", F.col("partition_id").alias("id"), n("run_id"), text("partition_id", F.lit("ok").alias("status"), "findings", F.struct(F.array("partition_id").alias("analyzed"), none.alias("skipped")).alias("coverage")))
+    return {"final-finding": final, "chain": chains, "verdict": verdicts, "sarif-lead": leads, "analyzer-response": answers}
+
+
+#: Kind, every so many-th text, what is changed in it, and the errors that must come.
+_KIND_BREAKS = (
+    ("final-finding", 4, '"partitions":[', '"partitions":["p1","p1",', "$.partitions: not unique"), ("chain", 3, '"route":"/"', '"route":1', "$.entry_point.route: not a string"), ("verdict", 4, '"target_type":', '"target_kind":', "$: unknown field,$.target_type: missing"),
+    ("sarif-lead", 5, '"message":"', '"message":5,"note":"', "$: unknown field,$.message: not a string"), ("analyzer-response", 3, '"verification_status":"not-requested"', '"verification_status":"accepted"', "$.findings[]: reviewed already"),
+)
+
+
+def contract_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, out = _contract_texts(spark, sf_dir), None
+    for kind, each, a, b, _ in _KIND_BREAKS:
+        docs = texts[kind].withColumn("text", F.when(F.col("n") % each == 0, F.replace("text", F.lit(a), F.lit(b))).otherwise(F.col("text")))
+        part = op.validate(kind, docs).select("run_id", F.lit(kind).alias("kind"), "id", "valid", F.array_join("errors", ",").alias("errors"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A response per run and partition, made of its raw findings; some are wrong in a known way."""
     raw = raw_findings(spark, sf_dir)
@@ -94,19 +131,22 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def refuted_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second lead is refuted; with the place that it came from."""
-    leads = lead_queries.leads(spark, sf_dir).withColumn("run_id", F.concat("run_id", F.lit("/"), F.col("doc").cast("string")))
+    leads = settled(lead_queries.leads(spark, sf_dir))
     adjudications = leads.where("doc % 2 = 0").select("run_id", "lead_id", F.lit("refuted").alias("outcome"), F.concat(F.lit("not reachable in "), "file").alias("reason"))
     return marts.refuted_leads(adjudications, leads).select("run_id", "lead_id", "reason", "rule_id", "file", F.col("line").cast("long").alias("line"))
 
 
 def coverage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gaps of all stages in one table, counted by class."""
+    """Gaps of all stages in one table, counted by class: neutralized batches and leads left open, too."""
     r = Reviewed(spark, sf_dir)
+    bad = spoiled(r.batches)
+    lost = marts.neutralized_gaps(bad, vop.first_batch_violations(bad, r.findings, r.chains))
+    left_open = marts.inconclusive_leads(table(spark, sf_dir, "lead_outcomes"))
     surface = surface_queries.surface_gaps(spark, sf_dir)
     answers = response_gaps(spark, sf_dir)
     leads = lead_queries.assigned(spark, sf_dir).where("gap is not null").select("run_id", F.lit("lead").alias("gap_class"), F.col("lead_id").alias("target"), F.col("gap").alias("reason"))
     review = vop.verification_gaps(r.batches, r.resolved).select("run_id", F.concat(F.lit("unverified-"), "target_type").alias("gap_class"), F.col("target_id").alias("target"), "reason")
-    return marts.coverage_ledger(surface, answers, leads, review).groupBy("run_id", "gap_class").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
+    return marts.coverage_ledger(surface, answers, leads, review, lost, left_open).groupBy("run_id", "gap_class").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
 
 
 def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +179,7 @@ def stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (finding_gate, partition_binding, lead_coverage, accepted_findings, response_gaps, coverage_counts, refuted_leads, coverage_ledger, input_digests, reusable_work, stored_responses)
+    f.__name__: f for f in (finding_gate, contract_gate, partition_binding, lead_coverage, accepted_findings, response_gaps, coverage_counts, refuted_leads, coverage_ledger, input_digests, reusable_work, stored_responses)
 }
 
 _GATE = " ".join(f"WHEN {i} THEN '{e}'" for i, _, _, e in _BREAKS)
@@ -171,6 +211,16 @@ def _work(select: str) -> str:
     return ctes("work_rows") + _WORK.strip() + " " + select
 
 
+def _kinds() -> str:
+    """Which documents there are, by their numbers."""
+    tables = {
+        "final-finding": "SELECT run_id, finding_id AS id, number AS n FROM canon", "chain": "SELECT run_id, chain_id, number FROM chain", "verdict": "SELECT run_id, target_type || ':' || target_id, number FROM verdict WHERE v IS NOT NULL",
+        "sarif-lead": "SELECT run_id, lead_id, CAST(substr(lead_id, 2) AS INT) FROM lead_", "analyzer-response": "SELECT DISTINCT run_id, partition_id, CAST(split_part(run_id, '-', 2) AS INT) FROM flat_findings",
+    }
+    parts = [f"SELECT run_id, '{kind}' AS kind, id, n % {each} <> 0 AS valid, CASE WHEN n % {each} = 0 THEN '{error}' ELSE '' END AS errors FROM ({tables[kind]}) t(run_id, id, n)" for kind, each, _, _, error in _KIND_BREAKS]
+    return _review("").rstrip() + ",\n" + ctes("sarif_rows")[len("WITH ") :] + lead_queries._LEADS.strip() + " " + " UNION ALL ".join(parts)
+
+
 def _ledger() -> str:
     leads = lead_queries._LEADS.strip()
     return (
@@ -178,18 +228,21 @@ def _ledger() -> str:
         + """ SELECT run_id, gap_class, count(*) AS n, sum(score)::BIGINT AS score FROM (
             SELECT run_id, allocation AS gap_class, CASE WHEN allocation = 'deprioritized' THEN score END AS score FROM an WHERE allocation <> 'analyze' UNION ALL SELECT run_id, gap_class, NULL FROM rgap
             UNION ALL SELECT run_id, 'lead', NULL FROM asg WHERE gap IS NOT NULL UNION ALL SELECT run_id, 'unverified-' || target_type, NULL FROM verdict WHERE v IS NULL
-            UNION ALL SELECT run_id, 'unverified-chain', NULL FROM resolved WHERE status = 'not-requested' AND v IS NOT NULL) GROUP BY ALL"""
+            UNION ALL SELECT run_id, 'unverified-chain', NULL FROM resolved WHERE status = 'not-requested' AND v IS NOT NULL
+            UNION ALL SELECT run_id, 'neutralized-batch', NULL FROM (SELECT run_id, unnest(range(CASE pos % 11 WHEN 5 THEN n + 1 WHEN 6 THEN 2 ELSE n END)) FROM defect WHERE error IS NOT NULL)
+            UNION ALL SELECT run_id, 'inconclusive-lead', NULL FROM lead_outcomes WHERE outcome = 'inconclusive') GROUP BY ALL"""
     )
 
 
 ORACLE_SQL = {
     "finding_gate": canon_ctes() + f", x AS (SELECT run_id, number, CASE number % 20 {_GATE} WHEN 19 THEN '$: not JSON' ELSE '' END AS errors FROM canon) SELECT run_id, number, errors = '' AS valid, errors FROM x",
+    "contract_gate": _kinds(),
     "partition_binding": _resp("SELECT run_id, partition_id, violation FROM bind"),
     "lead_coverage": _resp("SELECT run_id, partition_id, lead_id, violation FROM cover"),
     "accepted_findings": _resp("SELECT run_id, partition_id, k AS n_findings FROM usable WHERE ok"),
     "response_gaps": _resp("SELECT run_id, partition_id, gap_class, target, reason FROM rgap"),
     "coverage_counts": _resp("SELECT run_id, count_if(ok)::BIGINT AS analyzed, count_if(NOT ok)::BIGINT AS gaps FROM usable GROUP BY run_id"),
-    "refuted_leads": ctes("sarif_rows") + lead_queries._LEADS.strip() + " SELECT run_id || '/' || doc AS run_id, lead_id, 'not reachable in ' || file AS reason, rule_id, file, line::BIGINT AS line FROM lead_ WHERE doc % 2 = 0",
+    "refuted_leads": ctes("sarif_rows") + lead_queries._LEADS.strip() + " SELECT run_id, lead_id, 'not reachable in ' || file AS reason, rule_id, file, line::BIGINT AS line FROM lead_ WHERE doc % 2 = 0",
     "coverage_ledger": _ledger(),
     "input_digests": _work("""SELECT pos, sha256('{"a":{"x":["' || input || '"],"y":' || (pos % 3) || '},"z":"' || input || '"}') AS typed, sha256('{"a":{"x":["' || input || '"],"y":' || (pos % 3) || '},"z":"' || input || '"}') AS free FROM w"""),
     "reusable_work": _work("SELECT target_id, d AS input_digest, CASE WHEN EXISTS (SELECT 1 FROM w o WHERE NOT o.is_new AND o.good AND o.target_id = new.target_id AND o.d = new.d) THEN 'reuse' ELSE 'compute' END AS plan FROM new"),

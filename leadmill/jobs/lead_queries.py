@@ -1,6 +1,6 @@
 """Queries over SARIF documents: errors, resolved results, leads, statistics and assignment to partitions.
 
-A page gives a document with one run and up to three results, written as JSON text by the same rule in every engine.
+A page gives a document with one run and up to three results, written as JSON text by the same rule in every engine; a run has 40 pages.
 """
 
 from __future__ import annotations
@@ -33,10 +33,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("run_id", F.col("doc_pos").alias("doc"), text.alias("text"))
 
 
-def manifest(spark: SparkSession) -> DataFrame:
-    """src/f0.java to src/f8.java in each of five runs."""
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src/f0.java to src/f8.java in each run."""
     names = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.concat(F.lit("src/f"), i.cast("string"), F.lit(".java")))
-    return spark.range(5).select(F.concat(F.lit("run-"), F.col("id").cast("string")).alias("run_id"), F.explode(names).alias("file"))
+    return table(spark, sf_dir, "sarif_rows").select("run_id").distinct().select("run_id", F.explode(names).alias("file"))
 
 
 def rule_map(spark: SparkSession) -> DataFrame:
@@ -45,18 +45,18 @@ def rule_map(spark: SparkSession) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(op.resolved_results(documents(spark, sf_dir), manifest(spark), rule_map(spark), ROOT))
+    return settled(op.resolved_results(documents(spark, sf_dir), manifest(spark, sf_dir), rule_map(spark), ROOT))
 
 
 def leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = results(spark, sf_dir)
-    return op.leads(r, op.codeflows(r, manifest(spark), ROOT))
+    return op.leads(r, op.codeflows(r, manifest(spark, sf_dir), ROOT))
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files f0 to f5 are in two partitions, of which the second isn't analyzed."""
     n = F.regexp_extract("file", r"f(\d)", 1).cast("int")
-    parts = manifest(spark).where(n < 6).select("run_id", F.concat(F.lit("part-"), (n % 2).cast("string")).alias("partition_id"), "file")
+    parts = manifest(spark, sf_dir).where(n < 6).select("run_id", F.concat(F.lit("part-"), (n % 2).cast("string")).alias("partition_id"), "file")
     allocation = parts.select("run_id", "partition_id").distinct().withColumn("allocation", F.when(F.col("partition_id") == "part-0", "analyze").otherwise("deprioritized"))
     return op.assigned(leads(spark, sf_dir), parts, allocation)
 
@@ -93,7 +93,7 @@ good AS (SELECT * FROM sarif_rows WHERE doc_pos % 13 <> 5 AND doc_pos % 17 <> 6
 res AS (SELECT run_id, doc_pos AS doc, unnest(range(0, n_more + 1)) AS pos, CASE tool WHEN 'Semgrep OSS' THEN 'semgrep' WHEN 'Code Tool 2' THEN 'code-tool-2' ELSE 'unknown' END AS tool, coalesce(rule_id, 'idx.rule') AS rule_id, line AS l0, message, 'src/f' || (doc_pos % 10) || '.java' AS own FROM good),
 loc AS (SELECT *, CASE WHEN l0 > 0 THEN l0 + pos ELSE 0 END AS line, CASE WHEN l0 = 0 THEN 'bad_location' WHEN doc % 7 IN (1, 5) THEN 'bad_uri' WHEN doc % 7 = 3 THEN 'out_of_scope' WHEN doc % 7 = 4 OR doc % 10 = 9 THEN 'missing' END AS drop_,
   CASE WHEN tool = 'semgrep' AND rule_id LIKE 'java.sqli%' THEN 'sqli' WHEN tool = 'semgrep' AND rule_id = 'java.xss' THEN 'xss' WHEN tool = 'semgrep' AND rule_id LIKE 'java.%' THEN 'java-other' WHEN tool = 'code-tool-2' AND rule_id = 'idx.rule' THEN 'weak-hashing' ELSE 'unknown' END AS vuln_class FROM res),
-lead_ AS (SELECT *, 'L00' || (pos + 1) AS lead_id, own AS file, CASE WHEN doc % 5 = 0 THEN 'src/f1.java:1,src/f2.java:3' END AS codeflow, doc % 10 AS f FROM loc WHERE drop_ IS NULL),
+lead_ AS (SELECT *, printf('L%03d', row_number() OVER (PARTITION BY run_id ORDER BY doc, pos)) AS lead_id, own AS file, CASE WHEN doc % 5 = 0 THEN 'src/f1.java:1,src/f2.java:3' END AS codeflow, doc % 10 AS f FROM loc WHERE drop_ IS NULL),
 asg AS (SELECT *, CASE WHEN f < 6 THEN 'part-' || (f % 2) END AS partition_id, CASE WHEN f >= 6 THEN 'lead not analyzed' WHEN f % 2 = 1 THEN 'lead not analyzed (deprioritized)' END AS gap FROM lead_)
 """
 
@@ -107,7 +107,7 @@ ORACLE_SQL = {
         WHERE doc_pos % 13 = 5 OR doc_pos % 17 = 6 OR doc_pos % 19 = 7"""),
     "sarif_locations": _leads('SELECT run_id, doc, pos, tool, rule_id, vuln_class, CASE WHEN drop_ IS NULL THEN own END AS file, line::BIGINT AS line, drop_ AS "drop" FROM loc'),
     "sarif_leads": _leads("SELECT run_id, doc, lead_id, tool, rule_id, vuln_class AS vuln_class_hint, file, line::BIGINT AS line, message, codeflow FROM lead_"),
-    "sarif_stats": _leads("""SELECT run_id, doc, count(*) AS total, count(*) FILTER (drop_ IS NULL) AS kept, count(*) FILTER (drop_ = 'out_of_scope') AS dropped_out_of_scope, count(*) FILTER (drop_ = 'missing') AS dropped_missing, count(*) FILTER (drop_ = 'bad_uri') AS dropped_bad_uri,
+    "sarif_stats": _leads("""SELECT run_id, count(*) AS total, count(*) FILTER (drop_ IS NULL) AS kept, count(*) FILTER (drop_ = 'out_of_scope') AS dropped_out_of_scope, count(*) FILTER (drop_ = 'missing') AS dropped_missing, count(*) FILTER (drop_ = 'bad_uri') AS dropped_bad_uri,
         count(*) FILTER (drop_ = 'bad_location') AS dropped_bad_location, count(*) FILTER (drop_ IS NULL AND vuln_class = 'unknown') AS unmapped_rules FROM loc GROUP BY ALL"""),
     "lead_assignment": _leads("SELECT run_id, doc, lead_id, partition_id, gap FROM asg"),
     "lead_counts": _leads("SELECT run_id, partition_id, count(*) AS leads FROM asg WHERE partition_id IS NOT NULL GROUP BY ALL"),

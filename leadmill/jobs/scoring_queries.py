@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadmill.functions.lineage import settled
 from leadmill.jobs.tables import ctes, table
 from leadmill.jobs.verdict_queries import Reviewed, _review
 from leadmill.operators import scoring as op
@@ -14,25 +15,45 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "truth_rows")
 
 
-def tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A result per labelled document that a made-up tool flags: uri, rule_id, tags."""
+def tool_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SARIF texts of a made-up tool, two per truth set: a result for each labelled document that it flags, and a second run that doesn't count."""
     rows = truth(spark, sf_dir).where("doc_id % 3 <> 1")
-    tag = F.when(F.col("doc_id") % 5 == 0, F.lit("security")).otherwise(F.concat(F.lit("CWE-"), F.when(F.col("doc_id") % 2 == 0, F.col("cwe")).otherwise(F.lit(327)).cast("string"), F.lit(": text")))
-    return rows.select(F.concat(F.lit("src/"), F.when(F.col("doc_id") % 10 == 9, F.lit("other")).otherwise(F.col("test_id")), F.lit(".java")).alias("uri"), F.concat(F.lit("rule-"), "category", F.lit("-"), (F.col("doc_id") % 10).cast("string")).alias("rule_id"), F.array(tag).alias("tags"))
+    i = F.col("doc_id")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    rule_id = F.concat(F.lit("rule-"), "category", F.lit("-"), (i % 10).cast("string"))
+    tag = F.when(i % 5 == 0, F.lit("security")).otherwise(F.concat(F.lit("CWE-"), F.when(i % 2 == 0, F.col("cwe")).otherwise(F.lit(327)).cast("string"), F.lit(": text")))
+    uri = F.concat(F.lit("src/"), F.when(i % 10 == 9, F.lit("other")).otherwise(F.col("test_id")), F.lit(".java"))
+    result = text('{"ruleId":"', rule_id, '","locations":[{"physicalLocation":{"artifactLocation":{"uri":"', uri, '"}}}]}')
+    doc = (i % 2).cast("string")
+    tags = rows.groupBy("run_id", doc.alias("doc"), rule_id.alias("rule_id")).agg(F.array_sort(F.collect_set(tag)).alias("t"))
+    rule = text('{"id":"', F.col("rule_id"), '","properties":{"tags":', F.to_json("t"), "}}")
+    rules = tags.groupBy("run_id", "doc").agg(F.array_join(F.array_sort(F.collect_list(rule)), ",").alias("rules"))
+    results = rows.groupBy("run_id", doc.alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(result)), ",").alias("results"))
+    run = lambda rules, results: text('{"tool":{"driver":{"name":"t","rules":[', rules, ']}},"results":[', results, "]}")
+    late = run('{"id":"late","properties":{"tags":["CWE-1"]}}', '{"ruleId":"late","locations":[{"physicalLocation":{"artifactLocation":{"uri":"BenchmarkTest00001.java"}}}]}')
+    both = results.join(rules, ["run_id", "doc"])
+    return both.select("run_id", "doc", text('{"version":"2.1.0","runs":[', run(F.col("rules"), F.col("results")), ",", late, "]}").alias("text"))
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = settled(tool_documents(spark, sf_dir))
+    return op.flagged_by_case(op.tool_results(docs), op.rule_cwes(op.tool_rules(docs)))
 
 
 def rule_cwes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.rule_cwes(tool_results(spark, sf_dir)).select("rule_id", F.array_join("cwes", ",").alias("cwes"))
+    return op.rule_cwes(op.tool_rules(tool_documents(spark, sf_dir))).select("run_id", "doc", "rule_id", F.array_join("cwes", ",").alias("cwes"))
 
 
 def flagged_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = tool_results(spark, sf_dir)
-    return op.flagged_by_case(results, op.rule_cwes(results)).select("test_id", F.array_join("cwes", ",").alias("cwes"))
+    return _flagged(spark, sf_dir).select("run_id", "test_id", F.array_join("cwes", ",").alias("cwes"))
 
 
 def flagged_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results, t = tool_results(spark, sf_dir), truth(spark, sf_dir)
-    return op.flagged_cases(t, op.flagged_by_case(results, op.rule_cwes(results)), op.stratified_subset(t, 40))
+    """All cases of the truth, and whether they're in the subset of four of each kind."""
+    t = truth(spark, sf_dir)
+    flagged = settled(_flagged(spark, sf_dir))
+    own = op.flagged_cases(t, flagged, op.stratified_subset(t)).select("run_id", "test_id", F.lit(True).alias("in_subset"))
+    return op.flagged_cases(t, flagged).join(own, ["run_id", "test_id"], "left").select("run_id", "test_id", "flagged", "cwe", F.coalesce("in_subset", F.lit(False)).alias("in_subset"))
 
 
 def stratified_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +61,14 @@ def stratified_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def staged_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.staged_results(tool_results(spark, sf_dir), op.stratified_subset(truth(spark, sf_dir)), "stage/src").select("test_id", "uri", "rule_id")
+    staged = op.staged_results(op.tool_results(tool_documents(spark, sf_dir)), op.stratified_subset(truth(spark, sf_dir)), "stage/src")
+    return staged.select("run_id", "doc", "test_id", "uri", "rule_id")
 
 
 def raw_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results, t = tool_results(spark, sf_dir), truth(spark, sf_dir)
-    cases = op.flagged_cases(t, op.flagged_by_case(results, op.rule_cwes(results)))
-    return op.confusion(cases.join(t.select("test_id", "is_real"), "test_id"), "flagged", "is_real")
+    t = truth(spark, sf_dir)
+    cases = op.flagged_cases(t, _flagged(spark, sf_dir))
+    return op.confusion(cases.join(t.select("run_id", "test_id", "is_real"), ["run_id", "test_id"]), "flagged", "is_real")
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +104,7 @@ def least_attempted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report per language and half of the labelled documents, made from their numbers."""
+    """A report per truth set, language and half of its labelled documents, made from their numbers."""
     t = truth(spark, sf_dir)
     i = F.col("doc_id")
     fid = F.concat(F.lit("F-"), i.cast("string"))
@@ -99,7 +121,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     case = F.struct("test_id", F.when(i % 13 == 0, "skipped").otherwise("analyzed").alias("status"))
     listed = lambda c, cond=None: F.transform(F.array_sort(F.collect_list(F.when(F.lit(True) if cond is None else cond, F.struct(i.alias("o"), c.alias("x"))))), lambda s: s["x"])
     key = F.concat_ws("-", "category", (i % 2).cast("string"))
-    return t.groupBy(key.alias("report_ord")).agg(
+    return t.groupBy("run_id", key.alias("report_ord")).agg(
         F.map_from_entries(F.collect_list(F.when(i % 4 == 0, F.struct(path, F.col("test_id"))))).alias("path_map"), listed(case, i % 3 != 2).alias("benchmark_cases"), listed(finding).alias("findings"),
         listed(verdict).alias("verdicts"), listed(chain, i % 5 == 0).alias("chains"), listed(adjudication, i % 4 != 3).alias("lead_adjudications"),
     )
@@ -126,8 +148,7 @@ def adjudication_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def built_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results, t = tool_results(spark, sf_dir), truth(spark, sf_dir)
-    cases = op.flagged_cases(t, op.flagged_by_case(results, op.rule_cwes(results)))
+    cases = op.flagged_cases(truth(spark, sf_dir), _flagged(spark, sf_dir))
     return op.build_ledger(cases, op.adjudication_map(reports(spark, sf_dir)))
 
 
@@ -136,7 +157,7 @@ def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     rows = rows.withColumn("adjudication", F.when(i % 40 == 1, "odd").when(i % 40 == 2, "no-lead").otherwise(F.col("adjudication"))).withColumn("test_id", F.when(i % 50 == 3, "Test").otherwise(F.col("test_id")))
     rows = rows.withColumn("covered", F.when(i % 60 == 4, ~F.col("covered")).otherwise(F.col("covered")))
-    return op.ledger_violations(rows.withColumn("pos", i), truth(spark, sf_dir)).select("pos", "test_id", F.col("step").cast("long").alias("step"), "violation")
+    return op.ledger_violations(rows.withColumn("pos", i), truth(spark, sf_dir)).select("run_id", "pos", "test_id", F.col("step").cast("long").alias("step"), "violation")
 
 
 def real_app_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,39 +179,40 @@ QUERIES = {
 }
 
 _TOOL = """
-res AS (SELECT 'src/' || CASE WHEN doc_id % 10 = 9 THEN 'other' ELSE test_id END || '.java' AS uri, 'rule-' || category || '-' || (doc_id % 10) AS rule_id,
+res AS (SELECT run_id, (doc_id % 2)::VARCHAR AS doc, 'src/' || CASE WHEN doc_id % 10 = 9 THEN 'other' ELSE test_id END || '.java' AS uri, 'rule-' || category || '-' || (doc_id % 10) AS rule_id,
   CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN cwe ELSE 327 END AS cwe FROM truth_rows WHERE doc_id % 3 <> 1),
-rules AS (SELECT rule_id, coalesce(list_sort(list(DISTINCT cwe) FILTER (cwe IS NOT NULL)), []) AS cwes FROM res GROUP BY rule_id),
-hits AS (SELECT regexp_extract(uri, 'BenchmarkTest\\d{5}') AS test_id, res.rule_id, cwes FROM res JOIN rules USING (rule_id) WHERE uri LIKE '%BenchmarkTest%'),
-flagged AS (SELECT test_id, list_sort(list_distinct(flatten(list(cwes)))) AS cwes FROM hits GROUP BY test_id),
-sub AS (SELECT test_id, category, is_real, row_number() OVER (PARTITION BY category, is_real ORDER BY test_id) AS nth FROM truth_rows),
-cases AS (SELECT test_id, is_real, cwe, coalesce(CASE WHEN cwe IN (326, 327) THEN list_has_any(cwes, [326, 327]) ELSE list_contains(cwes, cwe) END, false) AS flagged FROM truth_rows LEFT JOIN flagged USING (test_id))
+rules AS (SELECT run_id, doc, rule_id, coalesce(list_sort(list(DISTINCT cwe) FILTER (cwe IS NOT NULL)), []) AS cwes FROM res GROUP BY ALL),
+hits AS (SELECT run_id, doc, regexp_extract(uri, 'BenchmarkTest\\d{5}') AS test_id, rule_id, cwes FROM res JOIN rules USING (run_id, doc, rule_id) WHERE uri LIKE '%BenchmarkTest%'),
+flagged AS (SELECT run_id, test_id, list_sort(list_distinct(flatten(list(cwes)))) AS cwes FROM hits GROUP BY run_id, test_id),
+sub AS (SELECT run_id, test_id, category, is_real, row_number() OVER (PARTITION BY run_id, category, is_real ORDER BY test_id) AS nth FROM truth_rows),
+cases AS (SELECT run_id, test_id, t.is_real, cwe, nth <= 4 AS in_subset, coalesce(CASE WHEN cwe IN (326, 327) THEN list_has_any(cwes, [326, 327]) ELSE list_contains(cwes, cwe) END, false) AS flagged
+  FROM truth_rows t JOIN sub USING (run_id, test_id) LEFT JOIN flagged USING (run_id, test_id))
 """
 
 _MATRIX = """count_if(w AND p AND r)::BIGINT AS tp, count_if(w AND p AND NOT r)::BIGINT AS fp, count_if(w AND NOT p AND r)::BIGINT AS fn, count_if(w AND NOT p AND NOT r)::BIGINT AS tn"""
 _RATIOS = """tp, fp, fn, tn, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 0)::DOUBLE AS recall, coalesce(fp / nullif(fp + tn, 0), 0)::DOUBLE AS fpr,
   (coalesce(tp / nullif(tp + fn, 0), 0) - coalesce(fp / nullif(fp + tn, 0), 0))::DOUBLE AS youden"""
 _LONG = """
-lr AS (SELECT l.*, t.cwe AS true_cwe, flagged AND adjudication IN ('promoted', 'refuted') AS settled, NOT flagged AND covered AS alone FROM ledger_rows l JOIN truth_rows t USING (test_id)),
-long AS (SELECT category, is_real AS r, 'raw' AS matrix, true AS w, flagged AS p FROM lr UNION ALL SELECT category, is_real, 'adjudicated', settled, adjudication = 'promoted' FROM lr
-  UNION ALL SELECT category, is_real, 'hybrid', settled OR alone, CASE WHEN flagged THEN adjudication = 'promoted' ELSE independent END FROM lr)
+lr AS (SELECT l.*, t.cwe AS true_cwe, l.flagged AND adjudication IN ('promoted', 'refuted') AS settled, NOT flagged AND covered AS alone FROM ledger_rows l JOIN truth_rows t USING (run_id, test_id)),
+long AS (SELECT run_id, category, is_real AS r, 'raw' AS matrix, true AS w, flagged AS p FROM lr UNION ALL SELECT run_id, category, is_real, 'adjudicated', settled, adjudication = 'promoted' FROM lr
+  UNION ALL SELECT run_id, category, is_real, 'hybrid', settled OR alone, CASE WHEN flagged THEN adjudication = 'promoted' ELSE independent END FROM lr)
 """
 
 #: What the reports say, straight from the labelled documents. Each is in one report only, so "the last wins" is no choice here.
 _REPORTS = """
 rep AS (SELECT *, doc_id % 7 = 0 AS rejected, doc_id % 2 = 0 OR doc_id % 10 = 1 AS proof FROM truth_rows),
-cov AS (SELECT test_id, doc_id % 13 <> 0 AS ok FROM rep WHERE doc_id % 3 <> 2),
-fc AS (SELECT test_id, doc_id % 5 = 0 AS independent, (NOT rejected AND doc_id % 3 = 0)::BIGINT AS h, (NOT rejected AND doc_id % 3 = 0 AND proof)::BIGINT AS ph, (NOT rejected AND doc_id % 3 = 0 AND doc_id % 6 <> 0 AND doc_id % 8 <> 0)::BIGINT AS ch, (NOT rejected AND doc_id % 9 = 0)::BIGINT AS hy FROM rep),
-cc AS (SELECT test_id, NOT rejected AND doc_id % 2 = 0 AS rce, (NOT rejected AND doc_id % 4 < 2)::BIGINT AS c, (NOT rejected AND doc_id % 4 < 2 AND proof)::BIGINT AS pc FROM rep WHERE doc_id % 5 = 0),
-ad AS (SELECT test_id, CASE WHEN doc_id % 3 = 0 THEN 'refuted' WHEN doc_id % 3 = 1 THEN CASE WHEN rejected THEN 'refuted' ELSE 'promoted' END ELSE 'inconclusive' END AS adjudication FROM rep WHERE doc_id % 4 <> 3),
-amap AS (SELECT rep.test_id, coalesce(ok, false) AS attempted, coalesce(ok, false) AS covered, independent, coalesce(rce, false) AS chain_reached_rce, h AS accepted_high_findings, ph AS proof_complete_high_findings, ch AS ce_resolved_high_findings,
-  coalesce(c, 0) AS accepted_critical_chains, coalesce(pc, 0) AS proof_complete_critical_chains, hy AS hygiene_findings, adjudication FROM rep LEFT JOIN cov USING (test_id) LEFT JOIN fc USING (test_id) LEFT JOIN cc USING (test_id) LEFT JOIN ad USING (test_id))
+cov AS (SELECT run_id, test_id, doc_id % 13 <> 0 AS ok FROM rep WHERE doc_id % 3 <> 2),
+fc AS (SELECT run_id, test_id, doc_id % 5 = 0 AS independent, (NOT rejected AND doc_id % 3 = 0)::BIGINT AS h, (NOT rejected AND doc_id % 3 = 0 AND proof)::BIGINT AS ph, (NOT rejected AND doc_id % 3 = 0 AND doc_id % 6 <> 0 AND doc_id % 8 <> 0)::BIGINT AS ch, (NOT rejected AND doc_id % 9 = 0)::BIGINT AS hy FROM rep),
+cc AS (SELECT run_id, test_id, NOT rejected AND doc_id % 2 = 0 AS rce, (NOT rejected AND doc_id % 4 < 2)::BIGINT AS c, (NOT rejected AND doc_id % 4 < 2 AND proof)::BIGINT AS pc FROM rep WHERE doc_id % 5 = 0),
+ad AS (SELECT run_id, test_id, CASE WHEN doc_id % 3 = 0 THEN 'refuted' WHEN doc_id % 3 = 1 THEN CASE WHEN rejected THEN 'refuted' ELSE 'promoted' END ELSE 'inconclusive' END AS adjudication FROM rep WHERE doc_id % 4 <> 3),
+amap AS (SELECT run_id, test_id, coalesce(ok, false) AS attempted, coalesce(ok, false) AS covered, independent, coalesce(rce, false) AS chain_reached_rce, h AS accepted_high_findings, ph AS proof_complete_high_findings, ch AS ce_resolved_high_findings,
+  coalesce(c, 0) AS accepted_critical_chains, coalesce(pc, 0) AS proof_complete_critical_chains, hy AS hygiene_findings, adjudication FROM rep LEFT JOIN cov USING (run_id, test_id) LEFT JOIN fc USING (run_id, test_id) LEFT JOIN cc USING (run_id, test_id) LEFT JOIN ad USING (run_id, test_id))
 """
 
 _SPOILT = """
-lv AS (SELECT doc_id AS pos, CASE WHEN doc_id % 50 = 3 THEN 'Test' ELSE test_id END AS test_id, flagged AS f, CASE WHEN doc_id % 60 = 4 THEN NOT covered ELSE covered END AS c,
+lv AS (SELECT run_id, doc_id AS pos, CASE WHEN doc_id % 50 = 3 THEN 'Test' ELSE test_id END AS test_id, flagged AS f, CASE WHEN doc_id % 60 = 4 THEN NOT covered ELSE covered END AS c,
   CASE WHEN doc_id % 40 = 1 THEN 'odd' WHEN doc_id % 40 = 2 THEN 'no-lead' ELSE adjudication END AS a FROM ledger_rows),
-lw AS (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY pos) AS nth, test_id IN (SELECT test_id FROM truth_rows) AS known FROM lv)
+lw AS (SELECT *, row_number() OVER (PARTITION BY run_id, test_id ORDER BY pos) AS nth, (run_id, test_id) IN (SELECT (run_id, test_id) FROM truth_rows) AS known FROM lv)
 """
 
 
@@ -207,33 +229,33 @@ def _reports(select: str) -> str:
 
 
 ORACLE_SQL = {
-    "rule_cwes": _tool("SELECT rule_id, array_to_string(cwes, ',') AS cwes FROM rules"),
-    "flagged_by_case": _tool("SELECT test_id, array_to_string(cwes, ',') AS cwes FROM flagged"),
-    "flagged_cases": _tool("SELECT test_id, flagged, cwe FROM cases WHERE test_id IN (SELECT test_id FROM sub WHERE nth <= 40)"),
-    "stratified_subset": _tool("SELECT test_id, category, is_real FROM sub WHERE nth <= 4"),
-    "staged_results": _tool("SELECT test_id, 'stage/src/' || test_id || '.java' AS uri, rule_id FROM hits WHERE test_id IN (SELECT test_id FROM sub WHERE nth <= 4)"),
-    "raw_confusion": _tool(f", n AS (SELECT {_MATRIX} FROM (SELECT true AS w, flagged AS p, is_real AS r FROM cases)), x AS (SELECT {_RATIOS} FROM n) SELECT tp, fp, fn, tn, round(precision, 3) AS precision, round(recall, 3) AS recall, round(fpr, 3) AS fpr, round(youden, 3) AS youden FROM x"),
-    "three_matrices": _long(f", n AS (SELECT matrix, {_MATRIX} FROM long GROUP BY matrix) SELECT matrix, {_RATIOS} FROM n"),
-    "matrices_by_category": _long(f", n AS (SELECT category, matrix, {_MATRIX} FROM long GROUP BY GROUPING SETS ((category, matrix), (matrix))) SELECT category, matrix, {_RATIOS} FROM n"),
-    "exclusions_and_deltas": _long("""SELECT count_if(flagged AND adjudication = 'inconclusive')::BIGINT AS excluded_inconclusive, count_if(flagged AND adjudication NOT IN ('promoted', 'refuted', 'inconclusive'))::BIGINT AS excluded_not_analyzed,
-        count_if(NOT flagged AND NOT covered)::BIGINT AS excluded_not_covered, count_if(settled AND adjudication = 'refuted' AND NOT is_real)::BIGINT AS fp_refuted, count_if(settled AND adjudication = 'refuted' AND is_real)::BIGINT AS recall_cost, count_if(alone AND is_real AND independent)::BIGINT AS fn_recovered FROM lr"""),
-    "cwe_mismatches": _long("SELECT count_if(is_real AND cwe <> true_cwe)::BIGINT AS cwe_mismatches FROM lr"),
+    "rule_cwes": _tool("SELECT run_id, doc, rule_id, array_to_string(cwes, ',') AS cwes FROM rules"),
+    "flagged_by_case": _tool("SELECT run_id, test_id, array_to_string(cwes, ',') AS cwes FROM flagged"),
+    "flagged_cases": _tool("SELECT run_id, test_id, flagged, cwe, in_subset FROM cases"),
+    "stratified_subset": _tool("SELECT run_id, test_id, category, is_real FROM sub WHERE nth <= 4"),
+    "staged_results": _tool("SELECT run_id, doc, test_id, 'stage/src/' || test_id || '.java' AS uri, rule_id FROM hits JOIN sub USING (run_id, test_id) WHERE nth <= 4"),
+    "raw_confusion": _tool(f", n AS (SELECT run_id, {_MATRIX} FROM (SELECT run_id, true AS w, flagged AS p, is_real AS r FROM cases) GROUP BY run_id), x AS (SELECT run_id, {_RATIOS} FROM n) SELECT run_id, tp, fp, fn, tn, round(precision, 3) AS precision, round(recall, 3) AS recall, round(fpr, 3) AS fpr, round(youden, 3) AS youden FROM x"),
+    "three_matrices": _long(f", n AS (SELECT run_id, matrix, {_MATRIX} FROM long GROUP BY run_id, matrix) SELECT run_id, matrix, {_RATIOS} FROM n"),
+    "matrices_by_category": _long(f", n AS (SELECT run_id, category, matrix, {_MATRIX} FROM long GROUP BY GROUPING SETS ((run_id, category, matrix), (run_id, matrix))) SELECT run_id, category, matrix, {_RATIOS} FROM n"),
+    "exclusions_and_deltas": _long("""SELECT run_id, count_if(flagged AND adjudication = 'inconclusive')::BIGINT AS excluded_inconclusive, count_if(flagged AND adjudication NOT IN ('promoted', 'refuted', 'inconclusive'))::BIGINT AS excluded_not_analyzed,
+        count_if(NOT flagged AND NOT covered)::BIGINT AS excluded_not_covered, count_if(settled AND adjudication = 'refuted' AND NOT is_real)::BIGINT AS fp_refuted, count_if(settled AND adjudication = 'refuted' AND is_real)::BIGINT AS recall_cost, count_if(alone AND is_real AND independent)::BIGINT AS fn_recovered FROM lr GROUP BY run_id"""),
+    "cwe_mismatches": _long("SELECT run_id, count_if(is_real AND cwe <> true_cwe)::BIGINT AS cwe_mismatches FROM lr GROUP BY run_id"),
     "quality_rates": _long(""", q AS (SELECT *, is_real AND attempted AND NOT CASE WHEN flagged THEN adjudication = 'promoted' ELSE independent END AS lost FROM lr)
-        SELECT (sum(proof_complete_high_findings) / nullif(sum(accepted_high_findings), 0))::DOUBLE AS finding_proof_complete_rate, (sum(proof_complete_critical_chains) / nullif(sum(accepted_critical_chains), 0))::DOUBLE AS chain_proof_complete_rate,
+        SELECT run_id, (sum(proof_complete_high_findings) / nullif(sum(accepted_high_findings), 0))::DOUBLE AS finding_proof_complete_rate, (sum(proof_complete_critical_chains) / nullif(sum(accepted_critical_chains), 0))::DOUBLE AS chain_proof_complete_rate,
         (sum(ce_resolved_high_findings) / nullif(sum(accepted_high_findings), 0))::DOUBLE AS ce_resolved_rate, (count_if(is_real AND independent) / nullif(count_if(is_real), 0))::DOUBLE AS independent_discovery_rate,
         (count_if(is_real AND attempted) / nullif(count_if(is_real), 0))::DOUBLE AS attempted_real_share, count_if(lost)::BIGINT AS real_not_found, count_if(lost AND covered)::BIGINT AS covered_fn, count_if(lost AND NOT covered)::BIGINT AS structural_fn,
-        (count_if(lost AND NOT covered) / nullif(count_if(lost), 0))::DOUBLE AS structural_fn_share, sum(hygiene_findings)::BIGINT AS hygiene_findings FROM q"""),
-    "attempted_per_category": _long("SELECT category, count_if(attempted)::BIGINT AS attempted FROM lr WHERE is_real GROUP BY category"),
-    "least_attempted": _long("SELECT min(n)::BIGINT AS min_attempted_per_category FROM (SELECT category, count_if(attempted) AS n FROM lr WHERE is_real GROUP BY category)"),
-    "case_coverage": _reports("SELECT test_id, ok AS attempted, ok AS covered FROM cov"),
-    "case_finding_counters": _reports("SELECT test_id, independent, h AS accepted_high_findings, ph AS proof_complete_high_findings, ch AS ce_resolved_high_findings, hy AS hygiene_findings FROM fc"),
-    "case_chain_counters": _reports("SELECT test_id, rce AS chain_reached_rce, c AS accepted_critical_chains, pc AS proof_complete_critical_chains FROM cc"),
-    "case_adjudication": _reports("SELECT test_id, adjudication FROM ad"),
+        (count_if(lost AND NOT covered) / nullif(count_if(lost), 0))::DOUBLE AS structural_fn_share, sum(hygiene_findings)::BIGINT AS hygiene_findings FROM q GROUP BY run_id"""),
+    "attempted_per_category": _long("SELECT run_id, category, count_if(attempted)::BIGINT AS attempted FROM lr WHERE is_real GROUP BY run_id, category"),
+    "least_attempted": _long("SELECT run_id, min(n)::BIGINT AS min_attempted_per_category FROM (SELECT run_id, category, count_if(attempted) AS n FROM lr WHERE is_real GROUP BY run_id, category) GROUP BY run_id"),
+    "case_coverage": _reports("SELECT run_id, test_id, ok AS attempted, ok AS covered FROM cov"),
+    "case_finding_counters": _reports("SELECT run_id, test_id, independent, h AS accepted_high_findings, ph AS proof_complete_high_findings, ch AS ce_resolved_high_findings, hy AS hygiene_findings FROM fc"),
+    "case_chain_counters": _reports("SELECT run_id, test_id, rce AS chain_reached_rce, c AS accepted_critical_chains, pc AS proof_complete_critical_chains FROM cc"),
+    "case_adjudication": _reports("SELECT run_id, test_id, adjudication FROM ad"),
     "adjudication_map": _reports("SELECT * FROM amap"),
-    "built_ledger": ctes("truth_rows") + _TOOL.strip() + "," + _REPORTS.strip() + """, b AS (SELECT cases.*, amap.* EXCLUDE (test_id), coalesce(adjudication IN ('promoted', 'refuted', 'inconclusive'), false) AND covered AS settled FROM cases JOIN amap USING (test_id))
-        SELECT test_id, flagged, CASE WHEN flagged THEN settled ELSE covered END AS covered, CASE WHEN NOT flagged THEN 'no-lead' WHEN settled THEN adjudication ELSE 'not-analyzed' END AS adjudication,
+    "built_ledger": ctes("truth_rows") + _TOOL.strip() + "," + _REPORTS.strip() + """, b AS (SELECT cases.*, amap.* EXCLUDE (run_id, test_id), coalesce(adjudication IN ('promoted', 'refuted', 'inconclusive'), false) AND covered AS settled FROM cases JOIN amap USING (run_id, test_id))
+        SELECT run_id, test_id, flagged, CASE WHEN flagged THEN settled ELSE covered END AS covered, CASE WHEN NOT flagged THEN 'no-lead' WHEN settled THEN adjudication ELSE 'not-analyzed' END AS adjudication,
         NOT flagged AND covered AND independent AS independent, cwe, attempted AS attempted, accepted_high_findings, proof_complete_high_findings, ce_resolved_high_findings, accepted_critical_chains, proof_complete_critical_chains, hygiene_findings, chain_reached_rce FROM b""",
-    "ledger_violations": ctes("ledger_rows") + _SPOILT.strip() + """ SELECT pos, test_id, unnest(s).step::BIGINT AS step, unnest(s).v AS violation FROM (SELECT pos, test_id, list_filter([
+    "ledger_violations": ctes("ledger_rows") + _SPOILT.strip() + """ SELECT run_id, pos, test_id, unnest(s).step::BIGINT AS step, unnest(s).v AS violation FROM (SELECT run_id, pos, test_id, list_filter([
         CASE WHEN NOT regexp_matches(test_id, '^BenchmarkTest\\d{5}$') THEN {'step': 0, 'v': 'bad test_id'} END, CASE WHEN nth > 1 THEN {'step': 1, 'v': 'duplicate test_id'} END,
         CASE WHEN a = 'odd' THEN {'step': 3, 'v': 'bad adjudication'} END, CASE WHEN f AND a = 'no-lead' THEN {'step': 4, 'v': 'flagged without a lead'} END, CASE WHEN f AND (a = 'not-analyzed') <> (NOT c) THEN {'step': 5, 'v': 'not-analyzed and covered disagree'} END,
         CASE WHEN NOT f AND a <> 'no-lead' THEN {'step': 6, 'v': 'lead without a flag'} END, CASE WHEN NOT known THEN {'step': 7, 'v': 'absent from truth'} END], lambda x: x IS NOT NULL) AS s FROM lw)""",

@@ -34,17 +34,22 @@ PORTABLE = {
           'role-' || CAST(l_linenumber % 3 AS VARCHAR(20)) AS prerequisite
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM {lineitem}) x
         JOIN {orders} o ON l_orderkey = o_orderkey JOIN {part} p ON l_partkey = p_partkey""",
-    # The same ids without the row number, so that runs with a duplicate fail.
+    # Ids by order and line; every fifth run has them by line only, so that some of its own come twice. A run per supplier.
     "doubtful_ids": """
-        SELECT 'run-' || CAST(l_suppkey % 50 AS VARCHAR(20)) AS run_id, l_orderkey * 10 + l_linenumber AS pos, CAST(l_orderkey % 4000 AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) AS finding_id
-        FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x
-        WHERE l_suppkey % 3 = 0 OR l_orderkey < 4000""",
+        SELECT 'run-' || CAST(l_suppkey AS VARCHAR(20)) AS run_id, l_orderkey * 10 + l_linenumber AS pos,
+          CASE WHEN l_suppkey % 5 = 0 THEN CAST(l_orderkey % 40 AS VARCHAR(20)) ELSE CAST(l_orderkey AS VARCHAR(20)) END || '-' || CAST(l_linenumber AS VARCHAR(20)) AS finding_id
+        FROM (SELECT l_orderkey, l_linenumber, max(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) x""",
+    # What reviews made of the leads: promoted, refuted, left open, or an unknown word; some without a reason or place.
+    "lead_outcomes": """
+        SELECT run_id, lead_id, CASE WHEN n = 1 THEN 'promoted' WHEN n IN (2, 5, 0) THEN 'refuted' WHEN n IN (3, 6) THEN 'inconclusive' ELSE 'other' END AS outcome,
+          CASE WHEN n = 5 THEN '' WHEN n = 6 THEN NULL ELSE 'seen in <' || file || '> & "' || lead_id || '"' END AS reason, CASE WHEN n IN (6, 0) THEN NULL ELSE file END AS file, CASE WHEN n IN (6, 0) THEN NULL ELSE line END AS line
+        FROM (SELECT run_id, lead_id, CAST(substr(lead_id, 2) AS INT) % 7 AS n, min(source_file) AS file, min(source_line) AS line FROM {flat_findings} f WHERE lead_id IS NOT NULL GROUP BY run_id, lead_id) x""",
+    # Sets of up to 400 cases.
     "truth_rows": """
-        SELECT 'BenchmarkTest' || CASE WHEN d.doc_id < 10 THEN '0000' WHEN d.doc_id < 100 THEN '000' WHEN d.doc_id < 1000 THEN '00' WHEN d.doc_id < 10000 THEN '0' ELSE '' END || CAST(d.doc_id AS VARCHAR(20)) AS test_id,
-          d.lang AS category, l.quality = 1 AS is_real, CASE d.lang WHEN 'en' THEN 89 WHEN 'de' THEN 326 WHEN 'es' THEN 327 ELSE 501 END AS cwe, d.doc_id AS doc_id, d.n_chars AS n_chars
+        SELECT 'set-' || CAST(CAST((d.doc_id - d.doc_id % 400) / 400 AS BIGINT) AS VARCHAR(20)) AS run_id, 'BenchmarkTest' || lpad(CAST(d.doc_id % 400 AS VARCHAR(20)), 5, '0') AS test_id, d.lang AS category, l.quality = 1 AS is_real, CASE d.lang WHEN 'en' THEN 89 WHEN 'de' THEN 326 WHEN 'es' THEN 327 ELSE 501 END AS cwe, d.doc_id AS doc_id, d.n_chars AS n_chars
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id""",
     "ledger_rows": """
-        SELECT test_id, category, is_real, doc_id, n_chars % 3 <> 0 AS flagged,
+        SELECT run_id, test_id, category, is_real, doc_id, n_chars % 3 <> 0 AS flagged,
           CASE WHEN n_chars % 3 = 0 THEN 'no-lead' WHEN doc_id % 4 = 0 THEN 'promoted' WHEN doc_id % 4 = 1 THEN 'refuted' WHEN doc_id % 4 = 2 THEN 'inconclusive' ELSE 'not-analyzed' END AS adjudication,
           NOT (n_chars % 3 <> 0 AND doc_id % 4 = 3) AND doc_id % 11 <> 0 OR (n_chars % 3 <> 0 AND doc_id % 4 < 3) AS covered,
           n_chars % 3 = 0 AND doc_id % 5 = 0 AND doc_id % 11 <> 0 AS independent,
@@ -52,14 +57,14 @@ PORTABLE = {
           doc_id % 3 AS accepted_high_findings, CASE WHEN doc_id % 3 > 1 THEN 1 ELSE 0 END AS proof_complete_high_findings, CASE WHEN doc_id % 6 = 2 THEN 1 ELSE 0 END AS ce_resolved_high_findings,
           doc_id % 2 AS accepted_critical_chains, CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS proof_complete_critical_chains, CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS hygiene_findings, doc_id % 8 = 0 AS chain_reached_rce
         FROM {truth_rows} t""",
-    # Source files: a run per language, a partition per source.
+    # Source files: a run per language and thousand documents, a partition per source.
     "source_rows": """
-        SELECT lang || '-repo' AS run_id, source AS partition_id, lang AS stack, source || '/' || CAST(doc_id AS VARCHAR(20)) || '.txt' AS path,
+        SELECT lang || '-repo-' || CAST(CAST((doc_id - doc_id % 1000) / 1000 AS BIGINT) AS VARCHAR(20)) AS run_id, source AS partition_id, lang AS stack, source || '/' || CAST(doc_id AS VARCHAR(20)) || '.txt' AS path,
           CASE WHEN doc_id % 17 = 0 OR source = 'src3' THEN NULL ELSE text END AS content, CASE WHEN doc_id % 34 = 0 OR source = 'src3' AND doc_id % 2 = 0 THEN 'out_of_scope' WHEN doc_id % 17 = 0 OR source = 'src3' THEN 'missing' END AS skip_reason
         FROM {documents} d""",
-    # SARIF results of pages: relative, remote, file and escaping locations, missing ones, and such without a line.
+    # SARIF results of pages, 40 to a run: relative, remote, file and escaping locations, missing ones, and such without a line.
     "sarif_rows": """
-        SELECT 'run-' || CAST(page_id % 5 AS VARCHAR(20)) AS run_id, page_id AS doc_pos, page_id % 3 AS n_more,
+        SELECT 'run-' || CAST(CAST((page_id - page_id % 40) / 40 AS BIGINT) AS VARCHAR(20)) AS run_id, page_id AS doc_pos, page_id % 3 AS n_more,
           CASE page_id % 7 WHEN 0 THEN 'src/f' || CAST(page_id % 10 AS VARCHAR(20)) || '.java' WHEN 1 THEN url WHEN 2 THEN 'file:///work/app/src/f' || CAST(page_id % 10 AS VARCHAR(20)) || '.java'
             WHEN 3 THEN '../etc/passwd' WHEN 4 THEN 'src/none' || CAST(page_id AS VARCHAR(20)) || '.java' WHEN 5 THEN 'src/%zz.java' ELSE './src/x/../f' || CAST(page_id % 10 AS VARCHAR(20)) || '.java' END AS uri,
           CASE WHEN page_id % 10 = 9 THEN 0 ELSE CAST(page_id % 90 AS INT) + 1 END AS line,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions.lineage import settled
 from leadmill.jobs.finding_queries import canon_ctes, canonical
+from leadmill.jobs.tables import table
 from leadmill.operators import findings as fop
 from leadmill.operators import marts
 from leadmill.operators import verdicts as op
@@ -23,10 +24,12 @@ def chains_of(findings: DataFrame) -> DataFrame:
     nxt = lambda c: F.lead(c).over(w)
     rows = findings.select("run_id", "number", "finding_id", "vuln_class", "auth", F.col("source.file").alias("file"), F.col("source.line").alias("line"), nxt("finding_id").alias("next_id"), nxt("vuln_class").alias("next_class"))
     rows = rows.where("number % 5 = 1 and vuln_class != 'trust-boundary' and next_class != 'trust-boundary'")
-    step = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    here = F.struct("file", (F.col("number").cast("int") + 1).alias("line"))
+    seen = F.when(F.col("number") % 3 == 1, F.array().cast("array<struct<file:string,line:int>>")).otherwise(F.array(here))
+    step = lambda a, b, e: F.struct(a.alias("from"), b.alias("to"), e.alias("evidence"))
     return rows.select(
         "run_id", F.col("number").alias("pos"), F.concat(F.lit("CHAIN-"), F.col("number").cast("string")).alias("chain_id"), F.struct("file", "line", "auth").alias("entry_point"), F.array("finding_id", "next_id").alias("finding_ids"),
-        F.array(step(F.lit("entry"), F.col("finding_id")), step(F.col("finding_id"), F.col("next_id"))).alias("transitions"),
+        F.array(step(F.lit("entry"), F.col("finding_id"), F.array(here)), step(F.col("finding_id"), F.col("next_id"), seen)).alias("transitions"),
         F.when(F.col("number") % 2 == 0, "unauth-rce").otherwise("data-leak").alias("final_impact"),
         F.when(F.col("number") % 3 == 0, "High").when(F.col("number") % 3 == 1, "Medium").otherwise("Low").alias("severity"),
         F.when(F.col("number") % 4 == 0, "strong static proof").otherwise("likely").alias("confidence"),
@@ -51,7 +54,8 @@ def batches_of(findings: DataFrame, chains: DataFrame) -> DataFrame:
     rows = planned(findings, chains).join(chains.select("run_id", F.col("chain_id").alias("target_id"), "transitions"), ["run_id", "target_id"], "left").withColumn("verdict", verdict)
     low = F.when(F.col("verdict") == "downgraded", "Info")
     ces = F.when(~is_chain, F.array(F.struct(F.lit(True).alias("checked"), (F.col("verdict") == "accepted").alias("refuted"))))
-    steps = F.transform("transitions", lambda t: F.struct(t["from"].alias("from"), t["to"].alias("to"), F.lit("accepted").alias("verdict")))
+    fails = F.when((F.col("verdict") == "rejected") & (n % 2 == 0), F.col("target_id")).otherwise("")
+    steps = F.transform("transitions", lambda t: F.struct(t["from"].alias("from"), t["to"].alias("to"), F.when((fails != "") & (t["from"] == "entry"), "rejected").otherwise("accepted").alias("verdict")))
     v = F.struct(
         "target_type", "target_id", "verdict", low.alias("new_severity"), F.when(F.col("verdict") == "downgraded", "to verify").alias("new_confidence"), F.concat(F.lit("because of "), "target_id").alias("justification"),
         ces.alias("counterexamples"), steps.alias("transition_verdicts"),
@@ -92,6 +96,10 @@ class Reviewed:
         return settled(op.resolve_chains(self.findings, self.chains, self.batches))
 
 
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lead_outcomes")
+
+
 def verification_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
     return op.targets(r.findings, r.chains)
@@ -108,14 +116,26 @@ def batch_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third run loses its first batch and every fifth gets a broken chain; the others are valid."""
+    """The first violation of each run, of all stages.
+
+    By the run's number: every third loses its first batch (4), every fifth has a chain of one transition, so that its verdict doesn't fit (2), of
+    every seventh the first batch has an unknown status (2), every eleventh has a finding twice (1), of every thirteenth the first chain an unknown member (3),
+    every seventeenth has a batch id twice (2), and the first chain of every 19th goes from the entry to its second member, as its verdict says too (5).
+    """
     r = Reviewed(spark, sf_dir)
     n = F.substring_index("run_id", "-", -1).cast("int")
     first = F.min("pos").over(Window.partitionBy("run_id"))
-    batches = r.batches.withColumn("first", first).where(~((n % 3 == 0) & (F.col("pos") == F.col("first")))).drop("first")
-    chains = r.chains.withColumn("transitions", F.when((n % 5 == 0) & (F.col("pos") == 1), F.slice("transitions", 1, 1)).otherwise(F.col("transitions")))
-    bad_topology = op.run_violations(batches, r.findings, chains).where("stage in (4, 5)")
-    return bad_topology.groupBy("run_id").agg(F.min(F.struct("stage", "a", "b", "error", "kind")).alias("m")).select("run_id", "m.error", "m.kind")
+    own = r.batches.withColumn("first", F.col("pos") == first)
+    own = own.where(~((n % 3 == 0) & F.col("first"))).withColumn("status", F.when((n % 7 == 0) & F.col("first"), "unknown").otherwise(F.col("status")))
+    detour = lambda steps: F.transform(steps, lambda t, i: t.withField("from", F.when((n % 19 == 0) & (i == 1), F.lit("entry")).otherwise(t["from"])))
+    own = own.withColumn("verdicts", F.transform("verdicts", lambda v: v.withField("transition_verdicts", F.when((v["target_type"] == "chain"), detour(v["transition_verdicts"])).otherwise(v["transition_verdicts"]))))
+    again = own.where((n % 17 == 0) & F.col("first")).withColumn("pos", F.col("pos") + 2000000).withColumn("expected_targets", F.slice("expected_targets", 1, 1)).withColumn("verdicts", F.slice("verdicts", 1, 0)).withColumn("status", F.lit("error"))
+    batches = own.unionByName(again).drop("first")
+    one = (n % 5 == 0) & (F.col("pos") == 1)
+    chains = r.chains.withColumn("transitions", F.when(one, F.slice("transitions", 1, 1)).otherwise(detour(F.col("transitions"))))
+    chains = chains.withColumn("finding_ids", F.when((n % 13 == 0) & (F.col("pos") == 1), F.array(F.lit("nobody"), F.get("finding_ids", F.lit(1)))).otherwise(F.col("finding_ids")))
+    findings = r.findings.unionByName(r.findings.where((n % 11 == 0) & (F.col("number") == 1)))
+    return op.run_errors(settled(batches), findings, chains).select("run_id", "error", "kind", "batch_id")
 
 
 def neutralized_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,9 +194,10 @@ def run_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = marts.chain_graph(Reviewed(spark, sf_dir).chains)
-    edges = F.array_join(F.transform("edges", lambda e: F.concat(e["from"], F.lit(">"), e["to"])), ",")
-    return g.select("run_id", "chain_id", "impact", F.array_join("nodes", ",").alias("nodes"), edges.alias("edges"), "coherent")
+    r = Reviewed(spark, sf_dir)
+    g = marts.chain_graph(r.resolved, op.chain_steps(r.batches))
+    edges = F.array_join(F.transform("edges", lambda e: F.concat(e["from"], F.lit(">"), e["to"], F.lit(":"), F.coalesce(e["verdict"], F.lit("none")))), ",")
+    return g.select("run_id", "chain_id", "severity", "entry_auth", "impact", F.array_join("nodes", ",").alias("nodes"), edges.alias("edges"), "coherent")
 
 
 def hygiene_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,18 +215,20 @@ def hygiene_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sarif_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
-    out = marts.sarif_results(r.final, r.resolved)
-    return out.select("run_id", F.col("section").cast("long").alias("section"), "key", "rule_id", "level", "file", F.col("line").cast("long").alias("line"), "fingerprint", "lane", "suppressed")
+    out = marts.sarif_results(r.final, r.resolved, outcomes(spark, sf_dir))
+    flow = F.coalesce(F.array_join(F.transform("flow", lambda s: F.concat_ws(":", s["file"], s["line"])), ","), F.lit(""))
+    whole = [F.col(c).cast("long").alias(c) for c in ("section", "line", "sink_line")]
+    return out.select("run_id", "key", "rule_id", "level", "message", "file", "sink_file", flow.alias("flow"), "fingerprint", "lane", "suppressed", "reason", *whole)
 
 
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
-    return marts.sarif_rules(marts.sarif_results(r.final, r.resolved))
+    return marts.sarif_rules(marts.sarif_results(r.final, r.resolved, outcomes(spark, sf_dir)))
 
 
 def junit_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
-    return marts.junit_cases(r.final, r.resolved, fail_on="Medium")
+    return marts.junit_cases(r.final, r.resolved, outcomes(spark, sf_dir), "Medium").withColumn("section", F.col("section").cast("long"))
 
 
 def junit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,10 +273,19 @@ chain_fp AS (SELECT c.run_id, chain_id, substr(sha256(file || ':' || line || '|'
 shown AS (SELECT *, CASE WHEN status IN ('accepted', 'downgraded') THEN fs ELSE severity END AS es FROM final),
 log AS (SELECT run_id, 'finding' AS target_type, finding_id AS target_id, status AS outcome, reason FROM final UNION ALL SELECT run_id, 'chain', chain_id, status, reason FROM resolved),
 lvl AS (SELECT * FROM (VALUES ('Critical', 'error'), ('High', 'error'), ('Medium', 'warning'), ('Low', 'note'), ('Info', 'note')) t(sev, level)),
-results AS (SELECT run_id, 1 AS section, finding_id AS key, vuln_class AS rule_id, level, source_file AS file, source_line AS line, fingerprint, CASE WHEN vuln_class = 'trust-boundary' THEN 'hygiene' END AS lane, false AS suppressed FROM shown JOIN lvl ON es = sev WHERE status <> 'rejected'
-  UNION ALL SELECT r.run_id, 2, r.chain_id, 'chain/' || impact, level, file, line, fp, NULL, false FROM resolved r JOIN lvl ON severity = sev JOIN chain_fp p ON p.run_id = r.run_id AND p.chain_id = r.chain_id),
-cases AS (SELECT run_id, vuln_class AS classname, fingerprint AS name, CASE WHEN status IN ('accepted', 'downgraded') AND es IN ('Medium', 'High', 'Critical') THEN 'failure' ELSE 'passed' END AS outcome FROM shown WHERE status <> 'rejected'
-  UNION ALL SELECT r.run_id, 'chain', fp, CASE WHEN status IN ('accepted', 'downgraded') AND severity IN ('Medium', 'High', 'Critical') THEN 'failure' ELSE 'passed' END FROM resolved r JOIN chain_fp p ON p.run_id = r.run_id AND p.chain_id = r.chain_id),
+results AS (SELECT run_id, 1 AS section, finding_id AS key, vuln_class AS rule_id, level, title AS message, source_file AS file, source_line AS line, sink_file, sink_line, NULL AS flow, fingerprint, CASE WHEN vuln_class = 'trust-boundary' THEN 'hygiene' END AS lane, false AS suppressed, NULL AS reason
+    FROM shown JOIN lvl ON es = sev WHERE status <> 'rejected'
+  UNION ALL SELECT r.run_id, 2, r.chain_id, 'exploit-chain', level, impact || ' via ' || r.chain_id, file, line, NULL, NULL, file || ':' || line || ',' || file || ':' || (number + 1) || CASE WHEN number % 3 = 1 THEN '' ELSE ',' || file || ':' || (number + 1) END, fp, NULL, false, NULL
+    FROM resolved r JOIN lvl ON severity = sev JOIN chain_fp p ON p.run_id = r.run_id AND p.chain_id = r.chain_id
+  UNION ALL SELECT run_id, 3, lead_id, 'sast-lead-refuted', 'note', coalesce(nullif(reason, ''), 'refuted by audit'), file, line, NULL, NULL, NULL, NULL, NULL, true, coalesce(nullif(reason, ''), 'audit assessed not exploitable') FROM lead_outcomes WHERE outcome = 'refuted'
+  UNION ALL SELECT run_id, 4, lead_id, 'sast-lead-inconclusive', 'note', coalesce(nullif(reason, ''), 'inconclusive'), file, line, NULL, NULL, NULL, NULL, NULL, false, NULL FROM lead_outcomes WHERE outcome = 'inconclusive'),
+ruled AS (SELECT run_id, rule_id, level, CASE WHEN rule_id = 'trust-boundary' THEN 'CWE-501' END AS cwe, row_number() OVER (PARTITION BY run_id ORDER BY section, n, key) AS place
+  FROM (SELECT run_id, rule_id, level, section, length(key) AS n, key FROM results QUALIFY row_number() OVER (PARTITION BY run_id, rule_id ORDER BY section, length(key), key) = 1)),
+cases AS (SELECT run_id, 1 AS section, finding_id AS key, vuln_class AS classname, fingerprint AS name, CASE WHEN bad THEN 'failure' ELSE 'passed' END AS outcome, CASE WHEN bad THEN es || ' ' || vuln_class || ': ' || title END AS message,
+    CASE WHEN bad THEN 'finding_id=' || finding_id || ' source=' || source_file || ':' || source_line || ' sink=' || sink_file || ':' || sink_line END AS body FROM (SELECT *, status IN ('accepted', 'downgraded') AND es IN ('Medium', 'High', 'Critical') AS bad FROM shown WHERE status <> 'rejected')
+  UNION ALL SELECT r.run_id, 2, r.chain_id, 'exploit-chain', fp, CASE WHEN bad THEN 'failure' ELSE 'passed' END, CASE WHEN bad THEN severity || ' exploit-chain: ' || impact || ' via ' || r.chain_id END, CASE WHEN bad THEN 'chain_id=' || r.chain_id || ' entry=' || file || ':' || line || ' impact=' || impact END
+    FROM (SELECT *, status IN ('accepted', 'downgraded') AND severity IN ('Medium', 'High', 'Critical') AS bad FROM resolved) r JOIN chain_fp p ON p.run_id = r.run_id AND p.chain_id = r.chain_id
+  UNION ALL SELECT run_id, 3, lead_id, 'sast-lead-refuted', lead_id, 'skipped', coalesce(nullif(reason, ''), 'refuted by audit'), NULL FROM lead_outcomes WHERE outcome = 'refuted'),
 spoilt AS (SELECT *, CASE WHEN pos % 11 = 7 THEN '' ELSE batch_id END AS bid, (nv = n AND n > 0) AS was_ok, CASE WHEN nv = 0 THEN 'error' WHEN nv = n THEN 'ok' ELSE 'partial' END AS st,
   (SELECT min(target_type || ':' || target_id) FROM plan p WHERE p.run_id = b.run_id AND p.batch_id = b.batch_id AND p.number = (SELECT min(number) FROM plan q WHERE q.run_id = b.run_id AND q.batch_id = b.batch_id)) AS first_target FROM batch b),
 defect AS (SELECT run_id, pos, n, nv, bid AS batch_id, st,
@@ -274,13 +306,19 @@ ORACLE_SQL = {
         "verification_targets": "SELECT run_id, target_type, target_id FROM target",
         "batch_plan": "SELECT run_id, target_type, target_id, number, batch_id FROM plan",
         "batch_validation": "SELECT run_id, batch_id, pos, error, kind FROM defect WHERE error IS NOT NULL",
-        "run_validation": """, firsts AS (SELECT run_id, arg_min(batch_id, pos) AS batch_id FROM batch WHERE CAST(split_part(run_id, '-', 2) AS INT) % 3 = 0 GROUP BY run_id),
-            lost AS (SELECT p.run_id, p.target_type, p.target_id, p.number FROM plan p JOIN firsts USING (run_id, batch_id)),
+        "run_validation": """, nn AS (SELECT DISTINCT run_id, CAST(split_part(run_id, '-', 2) AS INT) AS n FROM canon),
+            firsts AS (SELECT run_id, any_value(n) AS n, arg_min(batch_id, pos) AS batch_id, min(pos) AS pos FROM (SELECT batch.run_id, batch_id, pos, nn.n FROM batch JOIN nn ON nn.run_id = batch.run_id) GROUP BY run_id),
+            lost AS (SELECT p.run_id, p.target_type, p.target_id, p.number FROM plan p JOIN firsts USING (run_id, batch_id) WHERE firsts.n % 3 = 0),
             wanted AS (SELECT run_id, 'chain' AS target_type, chain_id AS target_id, number AS a, -1 AS b FROM chain UNION ALL SELECT run_id, 'finding', m1, number, 0 FROM chain UNION ALL SELECT run_id, 'finding', m2, number, 1 FROM chain
               UNION ALL SELECT run_id, 'finding', finding_id, 1152921504606846976, number FROM canon WHERE severity = 'High'),
-            missed AS (SELECT w.run_id, 4 AS stage, w.a, w.b, 'not dispatched: ' || w.target_type || ':' || w.target_id AS error FROM wanted w JOIN lost l USING (run_id, target_type, target_id)
-              UNION ALL SELECT run_id, 5, number * 2, 0, 'topology: ' || chain_id FROM chain WHERE CAST(split_part(run_id, '-', 2) AS INT) % 5 = 0 AND number = 1)
-            SELECT run_id, error, 'orchestrator-input' AS kind FROM missed QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY stage, a, b, error) = 1""",
+            broken AS (SELECT run_id, 1 AS stage, 0 AS a, 0 AS b, 'duplicate finding id' AS error, 'orchestrator-input' AS kind, NULL AS batch_id FROM nn WHERE n % 11 = 0
+              UNION ALL SELECT run_id, 2, pos * 2, 0, 'unknown status', 'verifier-output', batch_id FROM firsts WHERE n % 7 = 0 AND n % 3 <> 0
+              UNION ALL SELECT run_id, 2, (c.number + 1000000) * 2, 0, 'transitions differ: chain:' || chain_id, 'verifier-output', p.batch_id FROM chain c JOIN nn USING (run_id) JOIN plan p USING (run_id) WHERE p.target_type = 'chain' AND p.target_id = chain_id AND n % 5 = 0 AND c.number = 1
+              UNION ALL SELECT run_id, 2, (pos + 2000000) * 2 + 1, -1, 'duplicate batch id: ' || batch_id, 'orchestrator-input', NULL FROM firsts WHERE n % 17 = 0 AND n % 3 <> 0
+              UNION ALL SELECT run_id, 3, 1, 0, 'unknown member: nobody', 'orchestrator-input', NULL FROM chain JOIN nn USING (run_id) WHERE n % 13 = 0 AND number = 1
+              UNION ALL SELECT w.run_id, 4, w.a, w.b, 'not dispatched: ' || w.target_type || ':' || w.target_id, 'orchestrator-input', NULL FROM wanted w JOIN lost l USING (run_id, target_type, target_id)
+              UNION ALL SELECT run_id, 5, number * 2, 0, 'topology: ' || chain_id, 'orchestrator-input', NULL FROM chain JOIN nn USING (run_id) WHERE n % 19 = 0)
+            SELECT run_id, error, kind, batch_id FROM broken QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY stage, a, b, error) = 1""",
         "neutralized_batches": "SELECT run_id, CASE WHEN error IS NULL THEN st ELSE 'error' END AS status, count(*) AS n_batches, sum(CASE WHEN error IS NULL THEN nv ELSE 0 END)::BIGINT AS n_verdicts FROM defect GROUP BY ALL",
         "chain_topology": "SELECT run_id, chain_id, number % 4 > 1 AS valid FROM chain",
         "final_findings": "SELECT run_id, finding_id, status AS verification_status, fs AS final_severity, fc AS final_confidence, reason FROM final",
@@ -294,13 +332,14 @@ ORACLE_SQL = {
             count_if(es = 'Low' AND status <> 'rejected')::BIGINT AS low, count_if(es = 'Info' AND status <> 'rejected')::BIGINT AS info FROM shown LEFT JOIN c USING (run_id) GROUP BY run_id""",
         "status_counts": "SELECT run_id, count_if(status = 'accepted')::BIGINT AS accepted, count_if(status = 'downgraded')::BIGINT AS downgraded, count_if(status = 'rejected')::BIGINT AS rejected, count_if(status = 'not-requested')::BIGINT AS not_requested FROM final GROUP BY run_id",
         "run_verdicts": "SELECT run_id, CASE WHEN run_id IN (SELECT run_id FROM resolved WHERE status = 'accepted' AND severity = 'Critical') THEN 'unauth-rce' ELSE 'no-critique' END AS verdict FROM (SELECT DISTINCT run_id FROM canon)",
-        "chain_graph": """SELECT run_id, chain_id, CASE WHEN impact = 'unauth-rce' THEN impact ELSE 'other' END AS impact, concat_ws(',', 'entry', m1, m2, CASE WHEN impact = 'unauth-rce' THEN 'RCE' ELSE 'impact' END) AS nodes,
-            'entry>' || m1 || ',' || m1 || '>' || m2 || ',' || m2 || '>' || CASE WHEN impact = 'unauth-rce' THEN 'RCE' ELSE 'impact' END AS edges, true AS coherent FROM chain""",
+        "chain_graph": """, g AS (SELECT *, impact = 'unauth-rce' AS rce, CASE WHEN status IN ('accepted', 'downgraded', 'rejected') THEN status ELSE 'none' END AS own FROM resolved),
+            e AS (SELECT *, CASE WHEN v IS NULL THEN own WHEN status = 'downgraded' THEN status ELSE 'accepted' END AS step FROM g)
+            SELECT run_id, chain_id, severity, auth AS entry_auth, CASE WHEN rce THEN impact ELSE 'other' END AS impact, concat_ws(',', 'entry', m1, m2, CASE WHEN rce THEN 'RCE' END) AS nodes,
+            concat_ws(',', 'entry>' || m1 || ':' || CASE WHEN v = 'rejected' AND number % 2 = 0 THEN 'rejected' ELSE step END, m1 || '>' || m2 || ':' || step, CASE WHEN rce THEN m2 || '>RCE:' || own END) AS edges, true AS coherent FROM e""",
         "hygiene_lane": "SELECT run_id, finding_id, severity AS final_severity FROM canon WHERE vuln_class = 'trust-boundary' AND number % 12 = 8",
-        "sarif_results": "SELECT run_id, section::BIGINT AS section, key, rule_id, level, file, line::BIGINT AS line, fingerprint, lane, suppressed FROM results",
-        "sarif_rules": """, r AS (SELECT run_id, rule_id, level, section, length(key) AS n, key FROM results QUALIFY row_number() OVER (PARTITION BY run_id, rule_id ORDER BY section, length(key), key) = 1)
-            SELECT run_id, rule_id, level, CASE WHEN rule_id = 'trust-boundary' THEN 'CWE-501' END AS cwe, row_number() OVER (PARTITION BY run_id ORDER BY section, n, key) AS place FROM r""",
-        "junit_cases": "SELECT run_id, classname, name, outcome FROM cases",
-        "junit_counts": "SELECT run_id, count(*) AS tests, count_if(outcome = 'failure')::BIGINT AS failures, 0::BIGINT AS skipped FROM cases GROUP BY run_id",
+        "sarif_results": "SELECT run_id, section::BIGINT AS section, key, rule_id, level, message, file, line::BIGINT AS line, sink_file, sink_line::BIGINT AS sink_line, coalesce(flow, '') AS flow, fingerprint, lane, suppressed, reason FROM results",
+        "sarif_rules": "SELECT run_id, rule_id, level, cwe, place FROM ruled",
+        "junit_cases": "SELECT run_id, section::BIGINT AS section, key, classname, name, outcome, message, body FROM cases",
+        "junit_counts": "SELECT run_id, count(*) AS tests, count_if(outcome = 'failure')::BIGINT AS failures, count_if(outcome = 'skipped')::BIGINT AS skipped FROM cases GROUP BY run_id",
     }.items()
 }

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadmill.functions import paths
 from leadmill.functions.text import padded, truncated
@@ -18,7 +17,9 @@ MAX = {"tool": 64, "rule_id": 256, "vuln_class_hint": 64, "file": 1024, "message
 MAX_STEPS = 64
 ALIASES = {"semgrep-oss": "semgrep"}
 VERSION = "2.1.0"
+#: Why a result is dropped, and why a lead isn't analyzed.
 DROPS = ("out_of_scope", "missing", "bad_uri", "bad_location")
+NOT_ANALYZED = "lead not analyzed"
 
 _LOCATION = "struct<physicalLocation:struct<artifactLocation:struct<uri:string,uriBaseId:string>,region:struct<startLine:int>>>"
 _RESULT = f"struct<ruleId:string,rule:struct<id:string,index:int>,message:struct<text:string>,locations:array<{_LOCATION}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{_LOCATION}>>>>>>>"
@@ -26,13 +27,21 @@ _RUN = f"struct<tool:struct<driver:struct<name:string,rules:array<struct<id:stri
 SCHEMA = f"struct<version:string,runs:array<{_RUN}>>"
 
 
+def document_error(text: Column) -> Column:
+    """Why a document can't be used: it isn't JSON, has no runs, or another version; else null. The text is parsed once."""
+
+    def found(v: Column) -> Column:
+        kind = F.schema_of_variant(F.try_variant_get(v, "$.runs", "variant"))
+        version = F.try_variant_get(v, "$.version", "string")
+        no_runs, other = ~F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False)), ~F.coalesce(version == VERSION, F.lit(False))
+        return F.when(v.isNull(), "malformed SARIF: not JSON").when(no_runs, "malformed SARIF: missing runs[]").when(other, "unsupported SARIF version")
+
+    return F.get(F.transform(F.array(F.try_parse_json(text)), found), F.lit(0))
+
+
 def document_errors(docs: DataFrame) -> DataFrame:
-    """run_id, doc, error of documents that aren't JSON, have no runs, or another version."""
-    x = docs.select("run_id", "doc", F.try_parse_json("text").alias("v"), "text")
-    kind = F.schema_of_variant(F.try_variant_get("v", "$.runs", "variant"))
-    version = F.try_variant_get("v", "$.version", "string")
-    error = F.when(F.col("v").isNull(), "malformed SARIF: not JSON").when(~F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False)), "malformed SARIF: missing runs[]").when(~F.coalesce(version == VERSION, F.lit(False)), "unsupported SARIF version")
-    return x.select("run_id", "doc", error.alias("error")).where("error is not null")
+    """run_id, doc, error of documents that can't be used."""
+    return docs.select("run_id", "doc", document_error(F.col("text")).alias("error")).where("error is not null")
 
 
 def normalized_tool(name: Column) -> Column:
@@ -44,9 +53,8 @@ def normalized_tool(name: Column) -> Column:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """One row per result in document order: run_id, doc, run, pos, tool, rules, bases, result."""
-    good = docs.join(document_errors(docs).select("run_id", "doc"), ["run_id", "doc"], "left_anti")
-    runs = good.select("run_id", "doc", F.from_json("text", SCHEMA).alias("d")).select("run_id", "doc", F.posexplode("d.runs").alias("run", "r"))
+    """One row per result in document order: run_id, doc, run, pos, tool, rules, bases, result. One narrow pass over the texts."""
+    runs = docs.where(document_error(F.col("text")).isNull()).select("run_id", "doc", F.from_json("text", SCHEMA).alias("d")).select("run_id", "doc", F.posexplode("d.runs").alias("run", "r"))
     return runs.select("run_id", "doc", "run", normalized_tool(F.col("r.tool.driver.name")).alias("tool"), F.col("r.tool.driver.rules").alias("rules"), F.col("r.originalUriBaseIds").alias("bases"), F.posexplode("r.results").alias("pos", "result"))
 
 
@@ -85,10 +93,10 @@ def confined(rows: DataFrame, manifest: DataFrame, path: str, root: str) -> Data
 def mapped_class(rows: DataFrame, rule_map: DataFrame) -> DataFrame:
     """Adds vuln_class: of the tool's entries in order the first whose rule is the id or whose prefix starts it, else unknown.
 
-    rule_map: tool, pos, rule, prefix, vuln_class: a few dozen rows, grouped into one small row per tool and broadcast.
+    rule_map: tool, pos, rule, prefix, vuln_class, grouped into one row per tool; Spark broadcasts these if they're small enough.
     """
     lists = rule_map.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("pos", "rule", "prefix", "vuln_class"))).alias("__map"))
-    x = rows.join(F.broadcast(lists), "tool", "left")
+    x = rows.join(lists, "tool", "left")
     fits = F.filter("__map", lambda e: F.coalesce(e["rule"] == F.col("rule_id"), F.lit(False)) | F.coalesce(F.startswith(F.col("rule_id"), e["prefix"]), F.lit(False)))
     return x.select(*rows.columns, F.coalesce(F.get(fits, F.lit(0))["vuln_class"], F.lit("unknown")).alias("vuln_class"))
 
@@ -118,9 +126,12 @@ def invalid_documents(results: DataFrame) -> DataFrame:
 
 
 def leads(results: DataFrame, flows: DataFrame | None = None) -> DataFrame:
-    """run_id, doc, lead_id, tool, rule_id, vuln_class_hint, file, line, message, codeflow of kept results, numbered per document."""
+    """run_id, doc, lead_id, tool, rule_id, vuln_class_hint, file, line, message, codeflow of kept results.
+
+    Numbers count a run's kept results in the order of (doc, run, pos), so a lead_id names one lead of its run.
+    """
     kept = results.where("drop is null").join(invalid_documents(results), ["run_id", "doc"], "left_anti")
-    n = F.row_number().over(Window.partitionBy("run_id", "doc").orderBy("run", "pos"))
+    n = F.row_number().over(Window.partitionBy("run_id").orderBy("doc", "run", "pos"))
     kept = kept.withColumn("n", n)
     if flows is not None:
         kept = kept.join(flows, ["run_id", "doc", "run", "pos"], "left")
@@ -132,10 +143,10 @@ def leads(results: DataFrame, flows: DataFrame | None = None) -> DataFrame:
 
 
 def ingest_stats(results: DataFrame) -> DataFrame:
-    """run_id, doc, total, kept, dropped_*, unmapped_rules."""
+    """run_id, total, kept, dropped_*, unmapped_rules: a row per run."""
     n = lambda c: F.count_if(c).cast("long")
     dropped = [n(F.col("drop") == d).alias(f"dropped_{d}") for d in DROPS]
-    return results.groupBy("run_id", "doc").agg(F.count(F.lit(1)).alias("total"), n(F.col("drop").isNull()).alias("kept"), *dropped, n(F.col("drop").isNull() & (F.col("vuln_class") == "unknown")).alias("unmapped_rules"))
+    return results.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), n(F.col("drop").isNull()).alias("kept"), *dropped, n(F.col("drop").isNull() & (F.col("vuln_class") == "unknown")).alias("unmapped_rules"))
 
 
 def assigned(leads_: DataFrame, partitions: DataFrame, allocation: DataFrame) -> DataFrame:
@@ -145,12 +156,9 @@ def assigned(leads_: DataFrame, partitions: DataFrame, allocation: DataFrame) ->
     """
     owner = partitions.groupBy("run_id", "file").agg(F.min("partition_id").alias("partition_id"))
     x = leads_.join(owner, ["run_id", "file"], "left").join(allocation.select("run_id", "partition_id", "allocation"), ["run_id", "partition_id"], "left")
-    gap = F.when(F.col("partition_id").isNull(), "lead not analyzed").when(F.coalesce(F.col("allocation") != "analyze", F.lit(True)), "lead not analyzed (deprioritized)")
+    gap = F.when(F.col("partition_id").isNull(), NOT_ANALYZED).when(F.coalesce(F.col("allocation") != "analyze", F.lit(True)), NOT_ANALYZED + " (deprioritized)")
     return x.select(*leads_.columns, "partition_id", gap.alias("gap"))
 
 
 def leads_per_partition(assigned_: DataFrame) -> DataFrame:
     return assigned_.where("partition_id is not null").groupBy("run_id", "partition_id").agg(F.count(F.lit(1)).alias("leads"))
-
-
-RULE_MAP_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("rule", "prefix", "vuln_class")])

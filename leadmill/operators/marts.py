@@ -61,13 +61,23 @@ def run_verdict(findings: DataFrame, chains: DataFrame) -> DataFrame:
     return rows.groupBy("run_id").agg(F.when(F.max("hit"), "unauth-rce").otherwise("no-critique").alias("verdict"))
 
 
-def chain_graph(chains: DataFrame) -> DataFrame:
-    """run_id, chain_id, impact, nodes, edges, coherent: every end of an edge is a node."""
+def chain_graph(chains: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+    """run_id, chain_id, severity, entry_auth, impact, nodes, edges (from, to, verdict), coherent: every end of an edge is a node.
+
+    Nodes are `entry`, the members and, where the impact is `unauth-rce`, `RCE`. An edge has the verdict of its own transition (of a downgraded
+    chain's accepted one: downgraded), else that of the chain, which is null where there's none. steps: run_id, chain_id, transition_verdicts.
+    """
     rce = F.col("final_impact") == "unauth-rce"
-    last = F.when(rce, F.lit("RCE")).otherwise(F.lit("impact"))
-    nodes = F.concat(F.array(F.lit("entry")), F.col("finding_ids"), F.array(last))
-    edges = F.concat(F.transform("transitions", lambda t: F.struct(t["from"].alias("from"), t["to"].alias("to"))), F.array(F.struct(F.element_at("finding_ids", -1).alias("from"), last.alias("to"))))
-    out = chains.select("run_id", "chain_id", F.when(rce, "unauth-rce").otherwise("other").alias("impact"), nodes.alias("nodes"), edges.alias("edges"))
+    none = F.array().cast("array<struct<from:string,to:string>>")
+    given = chains.join(steps, ["run_id", "chain_id"], "left") if steps is not None else chains.withColumn("transition_verdicts", F.lit(None).cast("array<struct<from:string,to:string,verdict:string>>"))
+    nodes = F.concat(F.array(F.lit("entry")), F.col("finding_ids"), F.when(rce, F.array(F.lit("RCE"))).otherwise(F.array().cast("array<string>")))
+    path = F.concat(F.transform("transitions", lambda t: F.struct(t["from"].alias("from"), t["to"].alias("to"))), F.when(rce, F.array(F.struct(F.element_at("finding_ids", -1).alias("from"), F.lit("RCE").alias("to")))).otherwise(none))
+    status = F.col("verification_status")
+    own = F.when(status.isin("accepted", "downgraded", "rejected"), status)
+    of = lambda e: F.get(F.filter("transition_verdicts", lambda t: (t["from"] == e["from"]) & (t["to"] == e["to"])), F.lit(0))["verdict"]
+    verdict = lambda e: F.when(of(e) == "rejected", "rejected").when(of(e) == "accepted", F.when(status == "downgraded", "downgraded").otherwise("accepted")).otherwise(own)
+    edges = F.transform(path, lambda e: F.struct(e["from"].alias("from"), e["to"].alias("to"), verdict(e).alias("verdict")))
+    out = given.select("run_id", "chain_id", "severity", F.col("entry_point.auth").alias("entry_auth"), F.when(rce, "unauth-rce").otherwise("other").alias("impact"), nodes.alias("nodes"), edges.alias("edges"))
     ends = F.flatten(F.transform("edges", lambda e: F.array(e["from"], e["to"])))
     return out.withColumn("coherent", F.size(F.array_except(ends, F.col("nodes"))) == 0)
 
@@ -80,10 +90,6 @@ def hygiene_lane(findings: DataFrame) -> DataFrame:
     return findings.where((F.col("vuln_class") == HYGIENE) & (F.col("verification_status") == "accepted"))
 
 
-def main_lane(findings: DataFrame) -> DataFrame:
-    return findings.where((F.col("vuln_class") != HYGIENE) & (F.col("verification_status") != "rejected"))
-
-
 def refuted_leads(adjudications: DataFrame, leads: DataFrame) -> DataFrame:
     """Refuted leads with the place and rule that they came from."""
     kept = leads.select("run_id", "lead_id", "rule_id", "file", "line")
@@ -102,25 +108,44 @@ def level(severity: Column) -> Column:
     return out.otherwise("warning")
 
 
-def sarif_results(findings: DataFrame, chains: DataFrame, adjudications: DataFrame | None = None) -> DataFrame:
-    """run_id, section, key, rule_id, level, file, line, fingerprint, lane, suppressed: one row per exported result.
+#: Rule ids of exported results that aren't a finding's own class.
+CHAIN_RULE, REFUTED_RULE, OPEN_RULE = "exploit-chain", "sast-lead-refuted", "sast-lead-inconclusive"
+_FLOW = "array<struct<file:string,line:int>>"
+
 
-    Sections in order: findings that aren't rejected, all chains, refuted leads (suppressed), inconclusive leads.
+def _steps(chains: DataFrame) -> Column:
+    """A chain's code flow: its entry, then the first evidence of each transition that has one."""
+    entry = F.array(F.struct(F.col("entry_point.file").alias("file"), F.col("entry_point.line").cast("int").alias("line")))
+    if "evidence" not in chains.schema["transitions"].dataType.elementType.fieldNames():
+        return entry
+    first = F.transform("transitions", lambda t: F.get(t["evidence"], F.lit(0)))
+    seen = F.filter(first, lambda e: e.isNotNull())
+    return F.concat(entry, F.transform(seen, lambda e: F.struct(e["file"].alias("file"), e["line"].cast("int").alias("line"))))
+
+
+def sarif_results(findings: DataFrame, chains: DataFrame, adjudications: DataFrame | None = None, tool: str = "audit") -> DataFrame:
+    """One row per exported result: run_id, section, key, rule_id, level, message, file, line, sink_file, sink_line, flow, fingerprint, lane, suppressed, reason.
+
+    Sections in order: findings that aren't rejected (related location: the sink), all chains (with their code flow), refuted leads (suppressed, for a
+    reason), inconclusive leads. adjudications: run_id, lead_id, outcome, reason, file, line; other outcomes give nothing.
     """
-    none = F.lit(None).cast("string")
-    hygiene = F.col("vuln_class") == HYGIENE
+    null = lambda kind: F.lit(None).cast(kind)
     f = findings.where("verification_status != 'rejected'").select(
-        "run_id", F.lit(1).alias("section"), F.col("finding_id").alias("key"), F.col("vuln_class").alias("rule_id"), level(effective_severity()).alias("level"), F.col("source.file").alias("file"),
-        F.col("source.line").alias("line"), finding_fingerprint().alias("fingerprint"), F.when(hygiene, "hygiene").alias("lane"), F.lit(False).alias("suppressed"),
+        "run_id", F.lit(1).alias("section"), F.col("finding_id").alias("key"), F.col("vuln_class").alias("rule_id"), level(F.coalesce("final_severity", "provisional_severity")).alias("level"), F.col("title").alias("message"),
+        F.col("source.file").alias("file"), F.col("source.line").cast("int").alias("line"), F.col("sink.file").alias("sink_file"), F.col("sink.line").cast("int").alias("sink_line"), null(_FLOW).alias("flow"),
+        finding_fingerprint().alias("fingerprint"), F.when(F.col("vuln_class") == HYGIENE, "hygiene").alias("lane"), F.lit(False).alias("suppressed"), null("string").alias("reason"),
     )
     c = chains.join(chain_fingerprints(chains, findings), ["run_id", "chain_id"]).select(
-        "run_id", F.lit(2), F.col("chain_id"), F.concat(F.lit("chain/"), "final_impact"), level(F.col("severity")), F.col("entry_point.file"), F.col("entry_point.line"), "fingerprint", none, F.lit(False)
-    )
+        "run_id", F.lit(2), F.col("chain_id"), F.lit(CHAIN_RULE), level(F.col("severity")), F.concat("final_impact", F.lit(" via "), "chain_id"), F.col("entry_point.file"), F.col("entry_point.line").cast("int"), null("string"), null("int"),
+        _steps(chains), "fingerprint", null("string"), F.lit(False), null("string"),
+    )
     out = f.union(c)
     if adjudications is not None:
-        leads = adjudications.where("outcome in ('refuted', 'inconclusive')")
-        refuted = F.col("outcome") == "refuted"
-        out = out.union(leads.select("run_id", F.when(refuted, 3).otherwise(4), "lead_id", F.concat(F.lit("lead/"), "outcome"), F.lit("note"), "file", "line", none, none, refuted))
+        refuted, given = F.col("outcome") == "refuted", F.nullif("reason", F.lit(""))
+        out = out.union(adjudications.where("outcome in ('refuted', 'inconclusive')").select(
+            "run_id", F.when(refuted, 3).otherwise(4), "lead_id", F.when(refuted, REFUTED_RULE).otherwise(OPEN_RULE), F.lit("note"), F.coalesce(given, F.when(refuted, f"refuted by {tool}").otherwise("inconclusive")), "file",
+            F.col("line").cast("int"), null("string"), null("int"), null(_FLOW), null("string"), null("string"), refuted, F.when(refuted, F.coalesce(given, F.lit(f"{tool} assessed not exploitable"))),
+        ))
     return out
 
 
@@ -132,20 +157,33 @@ def sarif_rules(results: DataFrame) -> DataFrame:
     return rules.select("run_id", "rule_id", F.col("m.level").alias("level"), F.when(F.col("rule_id") == HYGIENE, "CWE-501").alias("cwe"), place.cast("long").alias("place"))
 
 
-def junit_cases(findings: DataFrame, chains: DataFrame, adjudications: DataFrame | None = None, fail_on: str = "High") -> DataFrame:
-    """run_id, classname, name, outcome (failure, passed or skipped). An unknown threshold fails nothing."""
+def junit_cases(findings: DataFrame, chains: DataFrame, adjudications: DataFrame | None = None, fail_on: str = "High", tool: str = "audit") -> DataFrame:
+    """run_id, section, key, classname, name, outcome (failure, passed or skipped), message, body. An unknown threshold fails nothing."""
     least = {s: i for i, s in enumerate(SEVERITY)}.get(fail_on.capitalize())
+    none = F.lit(None).cast("string")
 
-    def outcome(severity: Column) -> Column:
+    def fails(severity: Column) -> Column:
         settled = F.col("verification_status").isin("accepted", "downgraded")
-        fails = F.lit(False) if least is None else settled & (rank(severity, SEVERITY, -1) >= least)
-        return F.when(fails, "failure").otherwise("passed")
-
-    f = findings.where("verification_status != 'rejected'").select("run_id", F.col("vuln_class").alias("classname"), finding_fingerprint().alias("name"), outcome(effective_severity()).alias("outcome"))
-    c = chains.join(chain_fingerprints(chains, findings), ["run_id", "chain_id"]).select("run_id", F.lit("chain"), "fingerprint", outcome(F.col("severity")))
+        return F.lit(False) if least is None else settled & (rank(severity, SEVERITY, -1) >= least)
+
+    def case(section: int, key: str, classname: Column, bad: Column, message: Column, body: Column) -> list[Column]:
+        columns = {"section": F.lit(section), "key": F.col(key), "classname": classname, "name": F.col("fingerprint"), "outcome": F.when(bad, "failure").otherwise("passed"), "message": F.when(bad, message), "body": F.when(bad, body)}
+        return [F.col("run_id"), *[v.alias(k) for k, v in columns.items()]]
+
+    place = lambda c: F.concat_ws(":", c["file"], c["line"])
+    severity = F.coalesce("final_severity", "provisional_severity")
+    f = findings.where("verification_status != 'rejected'").withColumn("fingerprint", finding_fingerprint()).select(case(
+        1, "finding_id", F.col("vuln_class"), fails(severity), F.concat(severity, F.lit(" "), "vuln_class", F.lit(": "), "title"),
+        F.concat(F.lit("finding_id="), "finding_id", F.lit(" source="), place(F.col("source")), F.lit(" sink="), place(F.col("sink"))),
+    ))
+    c = chains.join(chain_fingerprints(chains, findings), ["run_id", "chain_id"]).select(case(
+        2, "chain_id", F.lit(CHAIN_RULE), fails(F.col("severity")), F.concat("severity", F.lit(f" {CHAIN_RULE}: "), "final_impact", F.lit(" via "), "chain_id"),
+        F.concat(F.lit("chain_id="), "chain_id", F.lit(" entry="), place(F.col("entry_point")), F.lit(" impact="), "final_impact"),
+    ))
     out = f.union(c)
     if adjudications is not None:
-        out = out.union(adjudications.where("outcome = 'refuted'").select("run_id", F.lit("lead"), "lead_id", F.lit("skipped")))
+        reason = F.coalesce(F.nullif("reason", F.lit("")), F.lit(f"refuted by {tool}"))
+        out = out.union(adjudications.where("outcome = 'refuted'").select("run_id", F.lit(3), "lead_id", F.lit(REFUTED_RULE), "lead_id", F.lit("skipped"), reason, none))
     return out
 
 
@@ -154,6 +192,20 @@ def junit_counts(cases: DataFrame) -> DataFrame:
     return cases.groupBy("run_id").agg(F.count(F.lit(1)).alias("tests"), n("failure").alias("failures"), n("skipped").alias("skipped"))
 
 
+def inconclusive_leads(adjudications: DataFrame) -> DataFrame:
+    """Leads that a review left open, as gaps."""
+    return adjudications.where("outcome = 'inconclusive'").select("run_id", F.lit("inconclusive-lead").alias("gap_class"), F.col("lead_id").alias("target"), F.coalesce(F.nullif("reason", F.lit("")), F.lit("inconclusive")).alias("reason"))
+
+
+def neutralized_gaps(batches: DataFrame, invalid: DataFrame) -> DataFrame:
+    """The targets of batches that were made errors, each with the batch and its first violation: the neutralized batch doesn't tell these any more.
+
+    batches: as they were before; invalid: run_id, pos, batch_id, error.
+    """
+    lost = batches.select("run_id", "pos", F.explode("expected_targets").alias("t")).join(invalid.select("run_id", "pos", "batch_id", "error"), ["run_id", "pos"])
+    return lost.select("run_id", F.lit("neutralized-batch").alias("gap_class"), F.concat_ws(":", "t.target_type", "t.target_id").alias("target"), F.concat(F.lit("batch "), "batch_id", F.lit(" neutralized: "), "error").alias("reason"))
+
+
 def coverage_ledger(*gaps: DataFrame) -> DataFrame:
     """Union of gap tables with run_id, gap_class, target, reason and score (null where there's none)."""
     out = None

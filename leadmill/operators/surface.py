@@ -13,7 +13,11 @@ from leadmill.functions import paths
 
 KINDS = ("sources", "sinks", "sanitizers", "auth_markers")
 BUDGET, DENSITY_CAP, LEAD_CAP = 12, 10, 10
+#: Reasons of what isn't assessed.
 UNREADABLE = "all files unreadable (missing/escape) — surface not assessed"
+UNREADABLE_N = " files unreadable (missing/escape) — surface not assessed"
+DEPRIORITIZED = "deprioritized: analyzer budget exhausted; lower predicted attack surface"
+UNSUPPORTED = '" — surface not assessed; not covered by this audit'
 
 
 def scanned_files(files: DataFrame) -> DataFrame:
@@ -46,7 +50,7 @@ def has_marker(text: Column, tokens: Column) -> Column:
 def file_hits(files: DataFrame, tokens: DataFrame) -> DataFrame:
     """Per file: presence and hits of each kind, and the content's digest; the content itself goes no further."""
     text = F.col("content")
-    x = files.join(F.broadcast(tokens.select("stack", *KINDS, F.lit(True).alias("supported"))), "stack", "left")
+    x = files.join(tokens.select("stack", *KINDS, F.lit(True).alias("supported")), "stack", "left")
     return x.select(
         "run_id", "partition_id", "stack", "path", F.coalesce("supported", F.lit(False)).alias("supported"), F.when(text.isNull(), F.coalesce("skip_reason", F.lit("missing"))).alias("skip_reason"),
         has_any(text, F.col("sources")).alias("has_source"), has_any(text, F.col("sinks")).alias("has_sink"), has_any(text, F.col("sanitizers")).alias("has_sanitizer"), has_marker(text, F.col("auth_markers")).alias("has_auth"),
@@ -123,9 +127,9 @@ def coverage_gaps(allocated: DataFrame) -> DataFrame:
     n = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     deprioritized = F.col("allocation") == "deprioritized"
     reason = (
-        F.when(deprioritized, "deprioritized: analyzer budget exhausted; lower predicted attack surface")
-        .when(F.col("allocation") == "unreadable-partition", F.coalesce("reason", F.concat(F.lit("all "), n("files").cast("string"), F.lit(" files unreadable (missing/escape) — surface not assessed"))))
-        .otherwise(F.concat(F.lit('unsupported stack "'), stack, F.lit('" — surface not assessed; not covered by this audit')))
+        F.when(deprioritized, DEPRIORITIZED)
+        .when(F.col("allocation") == "unreadable-partition", F.coalesce("reason", F.concat(F.lit("all "), n("files").cast("string"), F.lit(UNREADABLE_N))))
+        .otherwise(F.concat(F.lit('unsupported stack "'), stack, F.lit(UNSUPPORTED)))
     )
     counts = F.struct(*[n(c) for c in ("sources", "sinks", "sanitizers", "auth_markers", "source_and_auth_files", "sink_hits", "skipped_missing", "skipped_out_of_scope")])
     gaps = allocated.where("allocation != 'analyze'")

@@ -19,7 +19,10 @@ from leadmill.functions.ranks import CONFIDENCE, SEVERITY, rank, unrank
 
 HYGIENE = "trust-boundary"
 BATCH_FINDINGS = 5
+#: Who has to mend a violation.
 OURS, THEIRS = "orchestrator-input", "verifier-output"
+#: Fixed value: the reason of what has no verdict.
+UNVERIFIED = "no verifier verdict (unverified)"
 
 
 def targets(findings: DataFrame, chains: DataFrame) -> DataFrame:
@@ -61,48 +64,61 @@ def chain_topology(chains: DataFrame) -> DataFrame:
 
 
 def _known(findings: DataFrame, chains: DataFrame) -> DataFrame:
-    f = findings.select("run_id", F.lit("finding").alias("target_type"), F.col("finding_id").alias("target_id"), F.col("provisional_severity").alias("severity"), "confidence", F.lit(None).cast("array<string>").alias("arrows"))
-    c = chains.select("run_id", F.lit("chain"), "chain_id", "severity", "confidence", _arrows(F.col("transitions")))
+    f = findings.select("run_id", F.lit("finding").alias("target_type"), F.col("finding_id").alias("target_id"), F.col("provisional_severity").alias("severity"), "confidence", F.lit(None).cast("array<string>").alias("arrows"), F.lit(True).alias("known"))
+    c = chains.select("run_id", F.lit("chain"), "chain_id", "severity", "confidence", _arrows(F.col("transitions")), F.lit(True))
     return f.union(c)
 
 
 def batch_violations(batches: DataFrame, findings: DataFrame, chains: DataFrame) -> DataFrame:
-    """run_id, pos, batch_id, step, at, error, kind: all violations of single batches, steps in the order of checking."""
+    """run_id, pos, batch_id, step, at, error, kind: all violations of single batches, steps in the order of checking.
+
+    A batch becomes one array: its violations as a whole, its expected targets and its verdicts. That is exploded once and joined once with what is known.
+    """
     b = batches.select("run_id", F.col("pos").cast("long").alias("pos"), "batch_id", "expected_targets", "status", "verdicts")
     key = lambda t: F.concat_ws(":", t["target_type"], t["target_id"])
+    text, verdict_type = "string", b.schema["verdicts"].dataType.elementType
+    of_verdict = {f: verdict_type[f].dataType for f in ("verdict", "new_severity", "new_confidence", "counterexamples", "transition_verdicts")}
+
+    def item(part: str, step: int, at: Column, error: Column | None, kind: str, target: Column | None = None, first: Column | None = None, expected: Column | None = None, verdict: Column | None = None) -> Column:
+        null = lambda t: F.lit(None).cast(t)
+        return F.struct(
+            F.lit(part).alias("part"), F.lit(step).alias("step"), at.cast("int").alias("at"), (null(text) if error is None else error).alias("given"), F.lit(kind).alias("kind"), *[(null(text) if target is None else target[c]).alias(c) for c in ("target_type", "target_id")],
+            (null("boolean") if first is None else first).alias("first"), (null("boolean") if expected is None else expected).alias("expected"), *[(null(t) if verdict is None else verdict[f]).alias(f) for f, t in of_verdict.items()],
+        )
+
+    whole = lambda step, bad, error, kind: F.when(F.coalesce(bad, F.lit(True)), item("w", step, F.lit(0), F.lit(error), kind))
     n_chains = F.size(F.filter("expected_targets", lambda t: t["target_type"] == "chain"))
     n_findings = F.size("expected_targets") - n_chains
-    whole = lambda step, bad, error, kind: b.where(F.coalesce(bad, F.lit(True))).select("run_id", "pos", "batch_id", F.lit(step).alias("step"), F.lit(0).alias("at"), F.lit(error).alias("error"), F.lit(kind).alias("kind"))
-    found = [
+    targets_, verdicts_ = F.transform("expected_targets", key), F.transform("verdicts", key)
+    covered, n, status = F.size(F.array_distinct(verdicts_)), F.size(F.array_distinct(targets_)), F.col("status")
+    rules = F.array_compact(F.array(
         whole(1, F.col("batch_id").isNull() | (F.col("batch_id") == ""), "no batch_id", OURS),
         whole(2, F.col("expected_targets").isNull() | (F.size("expected_targets") == 0), "no expected targets", OURS),
         whole(3, F.col("verdicts").isNull(), "no verdicts array", OURS),
-        whole(4, ~F.col("status").isin("ok", "partial", "error"), "unknown status", THEIRS),
+        whole(4, ~status.isin("ok", "partial", "error"), "unknown status", THEIRS),
         whole(5, F.exists("expected_targets", lambda t: t.isNull() | t["target_id"].isNull() | ~F.coalesce(t["target_type"].isin("finding", "chain"), F.lit(False))), "malformed expected target", OURS),
         whole(6, ~(((n_chains == 1) & (n_findings == 0)) | ((n_chains == 0) & n_findings.between(1, BATCH_FINDINGS))), "composition", OURS),
-    ]
-    known = _known(findings, chains)
-    exp = b.select("run_id", "pos", "batch_id", F.posexplode("expected_targets").alias("at", "t")).select("run_id", "pos", "batch_id", "at", "t.target_type", "t.target_id")
-    exp = exp.withColumn("nth", F.row_number().over(Window.partitionBy("run_id", "pos", "target_type", "target_id").orderBy("at")))
-    exp = exp.join(known.select("run_id", "target_type", "target_id", F.lit(True).alias("known")).distinct(), ["run_id", "target_type", "target_id"], "left")
-    name = F.concat_ws(":", "target_type", "target_id")
-    error = F.when(F.col("nth") > 1, F.concat(F.lit("target twice: "), name)).when(F.col("known").isNull(), F.concat(F.lit("unknown target: "), name))
-    found.append(exp.withColumn("error", error).where("error is not null").select("run_id", "pos", "batch_id", F.lit(7).alias("step"), "at", "error", F.lit(OURS).alias("kind")))
-    v = b.select("run_id", "pos", "batch_id", F.transform("expected_targets", key).alias("expected"), F.posexplode("verdicts").alias("at", "v")).select("run_id", "pos", "batch_id", "expected", "at", "v.*")
-    v = v.withColumn("nth", F.row_number().over(Window.partitionBy("run_id", "pos", "target_type", "target_id").orderBy("at")))
-    v = v.join(known, ["run_id", "target_type", "target_id"], "left")
+        whole(9, F.when(status == "error", covered != 0).when(status == "ok", covered != n).otherwise((covered == 0) | (covered == n)), "coverage doesn't fit the status", THEIRS),
+    ))
+    asked = F.transform("expected_targets", lambda t, i: item("e", 7, i, None, OURS, t, F.array_position(targets_, key(t)) == i + 1))
+    given = F.transform("verdicts", lambda v, i: item("v", 8, i, None, THEIRS, v, F.array_position(verdicts_, key(v)) == i + 1, F.coalesce(F.array_contains(targets_, key(v)), F.lit(False)), v))
+    none = F.slice(F.array(item("w", 0, F.lit(0), None, OURS)), 1, 0)
+    x = b.select("run_id", "pos", "batch_id", F.explode(F.concat(rules, F.coalesce(asked, none), F.coalesce(given, none))).alias("x")).select("run_id", "pos", "batch_id", "x.*")
+    x = x.join(_known(findings, chains), ["run_id", "target_type", "target_id"], "left")
+
+    name, verdict = F.concat_ws(":", "target_type", "target_id"), F.col("verdict")
     is_finding, is_chain = F.col("target_type") == "finding", F.col("target_type") == "chain"
-    verdict = F.col("verdict")
-    ces = F.coalesce("counterexamples", F.array().cast(v.schema["counterexamples"].dataType))
+    ces = F.coalesce("counterexamples", F.array().cast(of_verdict["counterexamples"]))
     all_refuted = F.forall(ces, lambda c: F.coalesce(c["checked"] & c["refuted"], F.lit(False)))
     one_holds = F.exists(ces, lambda c: F.coalesce(c["checked"] & ~c["refuted"], F.lit(False)))
-    tv = F.coalesce("transition_verdicts", F.array().cast(v.schema["transition_verdicts"].dataType))
-    given = _arrows(tv)
-    exact = (F.size(given) == F.size("arrows")) & (F.size(F.array_distinct(given)) == F.size(given)) & (F.size(F.array_except(given, F.col("arrows"))) == 0) & (F.size(F.array_except(F.col("arrows"), given)) == 0)
-    error = (
+    tv = F.coalesce("transition_verdicts", F.array().cast(of_verdict["transition_verdicts"]))
+    steps = _arrows(tv)
+    exact = (F.size(steps) == F.size("arrows")) & (F.size(F.array_distinct(steps)) == F.size(steps)) & (F.size(F.array_except(steps, F.col("arrows"))) == 0) & (F.size(F.array_except(F.col("arrows"), steps)) == 0)
+    of_target = F.when(~F.col("first"), F.concat(F.lit("target twice: "), name)).when(F.col("known").isNull(), F.concat(F.lit("unknown target: "), name))
+    of_verdict_ = (
         F.when(F.coalesce(~F.col("target_type").isin("finding", "chain"), F.lit(True)) | F.col("target_id").isNull(), "malformed verdict")
-        .when(~F.array_contains("expected", name), F.concat(F.lit("unexpected verdict: "), name))
-        .when(F.col("nth") > 1, F.concat(F.lit("second verdict: "), name))
+        .when(~F.col("expected"), F.concat(F.lit("unexpected verdict: "), name))
+        .when(~F.col("first"), F.concat(F.lit("second verdict: "), name))
         .when(is_finding & (verdict == "downgraded") & ~_at_most(F.col("severity"), F.col("confidence"), F.col("new_severity"), F.col("new_confidence")), F.concat(F.lit("raised: "), name))
         .when(is_finding & verdict.isin("accepted", "downgraded") & (F.size(ces) == 0), F.concat(F.lit("no counterexamples: "), name))
         .when(is_finding & (F.size(ces) > 0) & (verdict == "accepted") & ~all_refuted, F.concat(F.lit("unrefuted counterexample: "), name))
@@ -110,12 +126,8 @@ def batch_violations(batches: DataFrame, findings: DataFrame, chains: DataFrame)
         .when(is_chain & ~F.coalesce(exact, F.lit(False)), F.concat(F.lit("transitions differ: "), name))
         .when(is_chain & (verdict != "rejected") & ~F.forall(tv, lambda t: F.coalesce(t["verdict"] == "accepted", F.lit(False))), F.concat(F.lit("rejected transition: "), name))
     )
-    found.append(v.withColumn("error", error).where("error is not null").select("run_id", "pos", "batch_id", F.lit(8).alias("step"), "at", "error", F.lit(THEIRS).alias("kind")))
-    covered = F.size(F.array_distinct(F.transform("verdicts", key)))
-    n = F.size(F.array_distinct(F.transform("expected_targets", key)))
-    status = F.col("status")
-    found.append(whole(9, F.when(status == "error", covered != 0).when(status == "ok", covered != n).otherwise((covered == 0) | (covered == n)), "coverage doesn't fit the status", THEIRS))
-    return reduce(DataFrame.unionByName, found)
+    error = F.when(F.col("part") == "e", of_target).when(F.col("part") == "v", of_verdict_).otherwise(F.col("given"))
+    return x.select("run_id", "pos", "batch_id", "step", "at", error.alias("error"), "kind").where("error is not null")
 
 
 def first_batch_violations(batches: DataFrame, findings: DataFrame, chains: DataFrame) -> DataFrame:
@@ -144,6 +156,12 @@ def verdict_rows(batches: DataFrame) -> DataFrame:
     return last.select("run_id", "target_type", "target_id", "m.batch_id", *[F.col(f"m.v.{c}").alias(c) for c in ("verdict", "new_severity", "new_confidence", "justification")])
 
 
+def chain_steps(batches: DataFrame) -> DataFrame:
+    """run_id, chain_id, transition_verdicts: by the last verdict on each chain."""
+    rows = batches.select("run_id", F.col("pos").cast("long").alias("pos"), F.posexplode("verdicts").alias("at", "v")).where("v.target_type = 'chain'")
+    return rows.groupBy("run_id", F.col("v.target_id").alias("chain_id")).agg(F.max_by("v.transition_verdicts", F.struct("pos", "at")).alias("transition_verdicts"))
+
+
 def run_violations(batches: DataFrame, findings: DataFrame, chains: DataFrame) -> DataFrame:
     """run_id, stage, a, b, error, kind, batch_id: all violations of whole runs, ordered by (stage, a, b)."""
     none = F.lit(None).cast("string")
@@ -194,7 +212,7 @@ def apply_to_findings(findings: DataFrame, batches: DataFrame) -> DataFrame:
     final = lambda own, new: F.when(verdict.isNull() | (verdict == "accepted"), F.col(own)).when(verdict == "downgraded", F.col(new))
     return out.select(
         *kept, F.coalesce(verdict, F.lit("not-requested")).alias("verification_status"), final("provisional_severity", "new_severity").alias("final_severity"), final("confidence", "new_confidence").alias("final_confidence"),
-        F.when(verdict.isNull(), "no verifier verdict (unverified)").otherwise(F.col("__j")).alias("reason"),
+        F.when(verdict.isNull(), UNVERIFIED).otherwise(F.col("__j")).alias("reason"),
     )
 
 
@@ -223,7 +241,7 @@ def resolve_chains(findings: DataFrame, chains: DataFrame, batches: DataFrame) -
     severity = F.when(F.col("__st") == "rejected", unrank(F.least(own_s, F.lit(2)), SEVERITY)).when(F.col("__st") == "downgraded", F.col("ns")).when(F.col("__st") == "accepted", unrank(natural_s, SEVERITY)).otherwise(F.col("severity"))
     confidence = F.when(F.col("__st") == "rejected", "to verify").when(F.col("__st") == "downgraded", F.col("nc")).when(F.col("__st") == "accepted", unrank(natural_c, CONFIDENCE)).otherwise(F.col("confidence"))
     reason = (
-        F.when(verdict.isNull(), "no verifier verdict (unverified)").when(verdict == "rejected", F.col("justification")).when(F.col("bad") != "", F.concat(F.lit("member finding(s) rejected: "), "bad"))
+        F.when(verdict.isNull(), UNVERIFIED).when(verdict == "rejected", F.col("justification")).when(F.col("bad") != "", F.concat(F.lit("member finding(s) rejected: "), "bad"))
         .when(F.col("open") != "", F.concat(F.lit("member finding(s) unverified: "), "open")).otherwise(F.col("justification"))
     )
     low_s, low_c = unrank(F.least(own_s, natural_s), SEVERITY), unrank(F.least(own_c, natural_c), CONFIDENCE)

@@ -5,7 +5,7 @@ Readers that take a path have a twin that takes a frame of texts, for tables tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STACK = "^[a-z0-9_-]+$"
@@ -37,30 +37,39 @@ REPORT = (
 )
 
 
+def _folder() -> Column:
+    return F.element_at(F.split("_metadata.file_path", "/"), -2)
+
+
 def read_sarif(spark: SparkSession, path: str, run_id: Column | None = None) -> DataFrame:
     """run_id, doc, text of SARIF files: the run is the file's folder unless told otherwise, the document its name."""
-    folder = F.element_at(F.split("_metadata.file_path", "/"), -2)
-    return spark.read.text(path, wholetext=True).select((folder if run_id is None else run_id).alias("run_id"), F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select((_folder() if run_id is None else run_id).alias("run_id"), F.col("_metadata.file_name").alias("doc"), F.col("value").alias("text"))
 
 
 def parse_truth(files: DataFrame) -> DataFrame:
-    """test_id, category, is_real, cwe from texts of truth files (columns file and text); the last row of an id stays."""
-    lines = files.select("file", F.posexplode(F.split("text", "\r?\n")).alias("at", "line")).withColumn("line", F.trim("line"))
+    """run_id, test_id, category, is_real, cwe from texts of truth files (run_id, file, text); of a run the last row of an id stays."""
+    lines = files.select("run_id", "file", F.posexplode(F.split("text", "\r?\n")).alias("at", "line")).withColumn("line", F.trim("line"))
     lines = lines.where((F.col("line") != "") & ~F.startswith("line", F.lit("#")))
     parts = F.transform(F.split("line", ","), lambda x: F.trim(x))
-    rows = lines.select("file", "at", parts.alias("p")).where((F.size("p") >= 4) & F.get("p", F.lit(0)).rlike(r"^BenchmarkTest\d{5}$"))
+    rows = lines.select("run_id", "file", "at", parts.alias("p")).where((F.size("p") >= 4) & F.get("p", F.lit(0)).rlike(r"^BenchmarkTest\d{5}$"))
     value = F.struct(F.get("p", F.lit(1)).alias("category"), (F.lower(F.get("p", F.lit(2))) == "true").alias("is_real"), F.nullif(F.regexp_extract(F.get("p", F.lit(3)), r"^([+-]?\d+)", 1), F.lit("")).cast("int").alias("cwe"))
-    last = rows.groupBy(F.get("p", F.lit(0)).alias("test_id")).agg(F.max_by(value, F.struct("file", "at")).alias("v"))
-    return last.select("test_id", "v.category", "v.is_real", "v.cwe")
+    last = rows.groupBy("run_id", F.get("p", F.lit(0)).alias("test_id")).agg(F.max_by(value, F.struct("file", "at")).alias("v"))
+    return last.select("run_id", "test_id", "v.category", "v.is_real", "v.cwe")
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    return parse_truth(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
+def read_truth(spark: SparkSession, path: str, run_id: Column | None = None) -> DataFrame:
+    """Truth files: the run is the file's folder unless told otherwise."""
+    return parse_truth(spark.read.text(path, wholetext=True).select((_folder() if run_id is None else run_id).alias("run_id"), F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Canonical reports; report_ord is the file's name, by which "the last report" is meant."""
-    return spark.read.schema(REPORT).json(folder, multiLine=True, pathGlobFilter="*.json").withColumn("report_ord", F.col("_metadata.file_name"))
+    """Canonical reports; report_ord is the file's name, by which "the last report" is meant, run_id its folder."""
+    return spark.read.schema(REPORT).json(folder, multiLine=True, pathGlobFilter="*.json").withColumns({"report_ord": F.col("_metadata.file_name"), "run_id": _folder()})
+
+
+def parse_reports(texts: DataFrame) -> DataFrame:
+    """The same from texts: run_id, report_ord, text."""
+    return texts.select("run_id", "report_ord", F.from_json("text", REPORT).alias("r")).select("run_id", "report_ord", "r.*")
 
 
 def report_cases(reports: DataFrame) -> DataFrame:
@@ -69,7 +78,7 @@ def report_cases(reports: DataFrame) -> DataFrame:
     chain = lambda c: F.struct(c["entry_point"]["file"].alias("file"), c["final_impact"].alias("final_impact"), c["verification_status"].alias("verification_status"), c["severity"].alias("severity"), c["finding_ids"].alias("finding_ids"))
     lead = lambda a: F.struct(a["test_id"].alias("test_id"), a["location"]["file"].alias("file"), a["outcome"].alias("outcome"), a["finding_id"].alias("finding_id"))
     return reports.select(
-        "report_ord", F.col("run.path_map").alias("path_map"), F.col("coverage.benchmark_cases").alias("benchmark_cases"), F.transform("findings", finding).alias("findings"), "verdicts", F.transform("chains", chain).alias("chains"),
+        "run_id", "report_ord", F.col("run.path_map").alias("path_map"), F.col("coverage.benchmark_cases").alias("benchmark_cases"), F.transform("findings", finding).alias("findings"), "verdicts", F.transform("chains", chain).alias("chains"),
         F.transform("lead_adjudications", lead).alias("lead_adjudications"),
     )
 
@@ -79,6 +88,11 @@ def read_responses(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(RESPONSES[kind]).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
 
 
+def parse_responses(texts: DataFrame, kind: str) -> DataFrame:
+    """The same from texts: file, text."""
+    return texts.select("file", F.from_json("text", RESPONSES[kind]).alias("r")).select("r.*", "file")
+
+
 def read_source_tree(spark: SparkSession, root: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:
     """path (below the root) and content of source files; content is null for files beyond `most_bytes`, if given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
@@ -115,8 +129,3 @@ def parse_rule_map(texts: DataFrame) -> DataFrame:
 
 def read_rule_map(spark: SparkSession, path: str) -> DataFrame:
     return parse_rule_map(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
-
-
-def with_positions(rows: DataFrame, key: list[str], order: list[str], name: str = "pos") -> DataFrame:
-    """Places of rows within a key, for operators that speak of the first one."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))

@@ -97,6 +97,13 @@ def test_leads(spark):
     bad = sarif()
     bad["runs"][0]["results"][2]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"] = "."
     broken = leads.resolved_results(spark.createDataFrame([("r", "a", json.dumps(bad))], docs.schema), root, rules, "/work/app")
+    # Another document of the run goes on counting, so that a lead's id is its own.
+    more = leads.resolved_results(docs.unionByName(spark.createDataFrame([("r", "a2", json.dumps(sarif()))], docs.schema)), manifest, rules, "/work/app")
+    assert [(x.doc, x.lead_id) for x in leads.leads(more).where("run_id = 'r'").orderBy("lead_id").collect()] == [("a", f"L00{k}") for k in (1, 2, 3)] + [("a2", f"L00{k}") for k in (4, 5, 6)]
+    assert leads.ingest_stats(more).where("run_id = 'r'").first().total == 10
+    outcome = spark.createDataFrame([("r", "L001", "refuted", "no"), ("r", "L004", "inconclusive", ""), ("r", "L005", "promoted", None)], "run_id string, lead_id string, outcome string, reason string")
+    assert [tuple(x) for x in marts.refuted_leads(outcome, leads.leads(more)).collect()] == [("r", "L001", "no", "java.sqli.a", "src/a.java", 3)]
+    assert [tuple(x) for x in marts.inconclusive_leads(outcome).collect()] == [("r", "inconclusive-lead", "L004", "inconclusive")]
     assert leads.leads(broken).count() == 0 and leads.invalid_documents(broken).count() == 1
 
 
@@ -199,6 +206,70 @@ def test_first_error_of_a_run(spark):
     assert got == {f"r{k}": x[2] for k, x in enumerate(cases, 1)}
 
 
+def test_exports_and_graph(spark):
+    loc = lambda f, n: (f, n, "s", "k")
+    f = spark.createDataFrame(
+        [
+            ("r", 1, "F-1", "one", "sqli", loc("a.java", 1), loc("b.java", 2), "High", "accepted", "High"), ("r", 2, "F-2", "two", "trust-boundary", loc("c.java", 3), loc("d.java", 4), "Low", "not-requested", "Low"),
+            ("r", 3, "F-3", "three", "xss", loc("a.java", 9), loc("b.java", 9), "Medium", "rejected", None), ("r", 4, "F-4", "four", "xss", loc("a.java", 7), loc("b.java", 8), "High", "downgraded", "Info"),
+        ],
+        f"run_id string, number int, finding_id string, title string, vuln_class string, source {LOC}, sink {LOC}, provisional_severity string, verification_status string, final_severity string",
+    )
+    step = "array<struct<`from`:string,`to`:string,evidence:array<struct<file:string,line:int>>>>"
+    c = spark.createDataFrame(
+        [("r", "CHAIN-1", ("e.java", 5, "unauthenticated"), ["F-1", "F-4"], [("entry", "F-1", [("a.java", 6), ("x", 1)]), ("F-1", "F-4", [])], "unauth-rce", "Critical", "downgraded"), ("r", "CHAIN-2", ("e.java", 8, "admin"), ["F-1"], [("entry", "F-1", None)], "leak", "Low", "not-requested")],
+        f"run_id string, chain_id string, entry_point struct<file:string,line:int,auth:string>, finding_ids array<string>, transitions {step}, final_impact string, severity string, verification_status string",
+    )
+    leads_ = spark.createDataFrame(
+        [("r", "L001", "refuted", "safe", "q.java", 1), ("r", "L002", "refuted", None, None, None), ("r", "L003", "inconclusive", "", "q.java", 2), ("r", "L004", "promoted", None, "q.java", 3), ("r", "L005", "what", None, None, None)],
+        "run_id string, lead_id string, outcome string, reason string, file string, line int",
+    )
+    results = marts.sarif_results(f, c, leads_)
+    doc = json.loads(sinks.sarif_documents(results, marts.sarif_rules(results)).first().text)
+    out, rules = doc["runs"][0]["results"], doc["runs"][0]["tool"]["driver"]["rules"]
+    place = lambda file, line: {"physicalLocation": {"artifactLocation": {"uri": file}, "region": {"startLine": line}}}
+    assert [(x["ruleId"], x["level"], x["message"]["text"]) for x in out] == [
+        ("sqli", "error", "one"), ("trust-boundary", "note", "two"), ("xss", "note", "four"), ("exploit-chain", "error", "unauth-rce via CHAIN-1"), ("exploit-chain", "note", "leak via CHAIN-2"), ("sast-lead-refuted", "note", "safe"),
+        ("sast-lead-refuted", "note", "refuted by audit"), ("sast-lead-inconclusive", "note", "inconclusive"),
+    ]
+    assert out[0]["locations"] == [place("a.java", 1)] and out[0]["relatedLocations"] == [place("b.java", 2) | {"message": {"text": "sink"}}] and out[1]["properties"] == {"lane": "hygiene"} and "properties" not in out[0]
+    assert out[3]["codeFlows"] == [{"threadFlows": [{"locations": [{"location": place("e.java", 5)}, {"location": place("a.java", 6)}]}]}] and out[4]["codeFlows"][0]["threadFlows"][0]["locations"] == [{"location": place("e.java", 8)}]
+    assert [x.get("suppressions") for x in out[5:]] == [[{"kind": "external", "justification": "safe"}], [{"kind": "external", "justification": "audit assessed not exploitable"}], None] and [("locations" in x) for x in out[5:]] == [True, False, True]
+    assert [(x["id"], x["defaultConfiguration"]["level"], x.get("properties")) for x in rules] == [
+        ("sqli", "error", None), ("trust-boundary", "note", {"cwe": "CWE-501"}), ("xss", "note", None), ("exploit-chain", "error", None), ("sast-lead-refuted", "note", None), ("sast-lead-inconclusive", "note", None),
+    ]
+    cases = marts.junit_cases(f, c, leads_, "low").orderBy("section", "key").collect()
+    assert [(x.classname, x.outcome, x.message, x.body) for x in cases] == [
+        ("sqli", "failure", "High sqli: one", "finding_id=F-1 source=a.java:1 sink=b.java:2"), ("trust-boundary", "passed", None, None), ("xss", "passed", None, None),
+        ("exploit-chain", "failure", "Critical exploit-chain: unauth-rce via CHAIN-1", "chain_id=CHAIN-1 entry=e.java:5 impact=unauth-rce"), ("exploit-chain", "passed", None, None), ("sast-lead-refuted", "skipped", "safe", None), ("sast-lead-refuted", "skipped", "refuted by audit", None),
+    ]
+    assert {x.outcome for x in marts.junit_cases(f, c, leads_, "no such level").collect()} == {"passed", "skipped"}
+    steps = spark.createDataFrame([("r", "CHAIN-1", [("entry", "F-1", "accepted"), ("F-1", "F-4", "rejected")])], "run_id string, chain_id string, transition_verdicts array<struct<`from`:string,`to`:string,verdict:string>>")
+    g = {x.chain_id: x for x in marts.chain_graph(c, steps).collect()}
+    assert g["CHAIN-1"].nodes == ["entry", "F-1", "F-4", "RCE"] and [tuple(e) for e in g["CHAIN-1"].edges] == [("entry", "F-1", "downgraded"), ("F-1", "F-4", "rejected"), ("F-4", "RCE", "downgraded")]
+    assert g["CHAIN-2"].nodes == ["entry", "F-1"] and [tuple(e) for e in g["CHAIN-2"].edges] == [("entry", "F-1", None)] and g["CHAIN-2"].coherent
+    runs = spark.createDataFrame([("r", "t", "java", "d", None)], "run_id string, target string, stack string, date string, proof_level string")
+    chains = c.withColumn("confidence", F.lit("likely"))
+    parts = spark.createDataFrame([("r",)], "run_id string")
+    s = sinks.summary_documents(runs, marts.run_verdict(f, chains), marts.severity_counts(f, chains), marts.status_counts(f), marts.coverage_counts(parts, parts), marts.chain_graph(chains, steps)).first()
+    assert s.valid, s.errors
+    assert json.loads(s.text)["severity_counts"] == {"Critical": 0, "High": 1, "Medium": 0, "Low": 1, "Info": 1} and [x["id"] for x in json.loads(s.text)["chains"]] == ["CHAIN-1"]
+
+
+def test_first_run_of_a_document(spark):
+    one = {"tool": {"driver": {"rules": [{"id": "a", "properties": {"tags": ["CWE-1"]}}, {"id": "a", "properties": {"tags": ["CWE-327: x", "CWE-89", "other"]}}, {"id": "b"}]}}, "results": [{"ruleId": r, "locations": [{"physicalLocation": {"artifactLocation": {"uri": u}}}]} for r, u in (("a", "x/BenchmarkTest00001.java"), ("b", "BenchmarkTest00002"), ("c", "BenchmarkTest00003"), ("a", "other"))] + [{"ruleId": "a"}]}
+    late = {"tool": {"driver": {"rules": []}}, "results": [{"ruleId": "a", "locations": [{"physicalLocation": {"artifactLocation": {"uri": "BenchmarkTest00009"}}}]}]}
+    docs = spark.createDataFrame([("r", "d", json.dumps({"runs": [one, late]})), ("r", "e", '{"runs": []}'), ("r", "f", "no")], "run_id string, doc string, text string")
+    rules, results = scoring.rule_cwes(scoring.tool_rules(docs)), scoring.tool_results(docs)
+    assert {r.rule_id: r.cwes for r in rules.collect()} == {"a": [89, 327], "b": []} and results.count() == 5
+    flagged = scoring.flagged_by_case(results, rules)
+    assert {r.test_id: r.cwes for r in flagged.collect()} == {"BenchmarkTest00001": [89, 327], "BenchmarkTest00002": [], "BenchmarkTest00003": []}
+    truth = spark.createDataFrame([("r", "BenchmarkTest00001", "c", True, 326), ("r", "BenchmarkTest00002", "c", True, 89), ("q", "BenchmarkTest00001", "c", True, 89)], "run_id string, test_id string, category string, is_real boolean, cwe int")
+    assert {(r.run_id, r.test_id): r.flagged for r in scoring.flagged_cases(truth, flagged).collect()} == {("r", "BenchmarkTest00001"): True, ("r", "BenchmarkTest00002"): False, ("q", "BenchmarkTest00001"): False}
+    staged = scoring.staged_results(results, truth.where("run_id = 'r'"), "s").orderBy("pos").collect()
+    assert [(r.pos, r.uri) for r in staged] == [(0, "s/BenchmarkTest00001.java"), (1, "s/BenchmarkTest00002.java")]
+
+
 def golden(spark):
     """The published 88 cases by their counts."""
     kinds = [(40, True, True, "promoted", False), (1, True, True, "refuted", False), (15, True, False, "refuted", False), (1, False, True, "no-lead", True), (2, False, True, "no-lead", False), (29, False, False, "no-lead", False)]
@@ -206,9 +277,9 @@ def golden(spark):
     for count, flagged, real, adjudication, alone in kinds:
         for _ in range(count):
             n += 1
-            rows.append((f"BenchmarkTest{n:05}", flagged, True, adjudication, alone, 89, True, real, "sqli"))
-    df = spark.createDataFrame(rows, "test_id string, flagged boolean, covered boolean, adjudication string, independent boolean, cwe int, attempted boolean, is_real boolean, category string")
-    return df, df.select("test_id", "category", "is_real", "cwe")
+            rows.append(("r", f"BenchmarkTest{n:05}", flagged, True, adjudication, alone, 89, True, real, "sqli"))
+    df = spark.createDataFrame(rows, "run_id string, test_id string, flagged boolean, covered boolean, adjudication string, independent boolean, cwe int, attempted boolean, is_real boolean, category string")
+    return df, df.select("run_id", "test_id", "category", "is_real", "cwe")
 
 
 def test_published_matrices(spark):
@@ -222,8 +293,12 @@ def test_published_matrices(spark):
     d = scoring.exclusions_and_deltas(rows).first()
     assert (d.fp_refuted, d.recall_cost, d.fn_recovered) == (15, 1, 1)
     assert scoring.first_ledger_violation(ledger.withColumn("pos", F.col("test_id")), truth).count() == 0
-    empty = scoring.three_matrices(rows.where("false")).where("matrix = 'raw'").first()
-    assert cells(empty) == (0, 0, 0, 0) and empty.precision == 0.0
+    none = scoring.three_matrices(rows.where("test_id > 'BenchmarkTest00086'")).where("matrix = 'adjudicated'").first()
+    assert cells(none) == (0, 0, 0, 0) and none.precision == 0.0
+    # Two runs don't mix, though they share case ids.
+    other = lambda df: df.withColumn("run_id", F.lit("other"))
+    both = scoring.joined(ledger.union(other(ledger).where("flagged")), truth.union(other(truth)))
+    assert {(x.run_id, *cells(x)) for x in scoring.three_matrices(both).where("matrix = 'raw'").collect()} == {("r", 41, 15, 3, 29), ("other", 41, 15, 0, 0)}
 
 
 def test_last_report_wins_and_rejected_leads(spark, tmp_path):
@@ -272,7 +347,7 @@ def test_contracts(spark):
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "truth.csv").write_text("# c\n\nBenchmarkTest00001, sqli , TRUE, 89\nBenchmarkTest1,x,true,1\nBenchmarkTest00002,xss,false\nBenchmarkTest00001,sqli,false,90\n")
-    assert [tuple(r) for r in files.read_truth(spark, str(tmp_path / "t")).collect()] == [("BenchmarkTest00001", "sqli", False, 90)]
+    assert [tuple(r) for r in files.read_truth(spark, str(tmp_path / "t")).collect()] == [("t", "BenchmarkTest00001", "sqli", False, 90)]
     (tmp_path / "refs").mkdir()
     (tmp_path / "refs" / "java.md").write_text('x\n```surface\n{"sources": ["a"], "sinks": []}\n```\n')
     (tmp_path / "refs" / "bad.md").write_text("```surface\n{oops\n```\n")
@@ -289,12 +364,18 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in files.read_sarif(spark, str(tmp_path / "sarif" / "*")).collect()] == [("r1", "x.sarif", "{}")]
     (tmp_path / "resp.json").write_text('{"status": "ok", "verdicts": [{"target_id": "F-1"}]}')
     assert files.read_responses(spark, str(tmp_path / "resp.json"), "verifier").first().verdicts[0].target_id == "F-1"
-    cases = spark.createDataFrame([("r", "a<b", "n\"'&", "failure"), ("r", "z", "L001", "skipped")], "run_id string, classname string, name string, outcome string")
+    cases = spark.createDataFrame(
+        [("r", 2, "CHAIN-1", "exploit-chain", "fp", "passed", None, None), ("r", 1, "F-10", "x", "n", "passed", None, None), ("r", 1, "F-9", "a<b", "n\"'&", "failure", "High <x>", "b & c"), ("r", 3, "L001", "z", "L001", "skipped", "no \"way\"", None)],
+        "run_id string, section int, key string, classname string, name string, outcome string, message string, body string",
+    )
     docs = sinks.junit_documents(cases)
     text = docs.first().text
-    assert text == '<testsuite name="audit" tests="2" failures="1" skipped="1"><testcase classname="a&lt;b" name="n&quot;&apos;&amp;"><failure/></testcase><testcase classname="z" name="L001"><skipped/></testcase></testsuite>'
+    assert text == (
+        '<?xml version="1.0" encoding="UTF-8"?>\n<testsuite name="audit" tests="4" failures="1" skipped="1">\n  <testcase classname="a&lt;b" name="n&quot;&apos;&amp;">\n    <failure message="High &lt;x&gt;">b &amp; c</failure>\n  </testcase>\n'
+        '  <testcase classname="x" name="n"/>\n  <testcase classname="exploit-chain" name="fp"/>\n  <testcase classname="z" name="L001">\n    <skipped message="no &quot;way&quot;"/>\n  </testcase>\n</testsuite>\n'
+    )
     sinks.write_documents(docs, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).first().value == text
+    assert "\n".join(x.value for x in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()).rstrip("\n") == text.rstrip("\n")
 
 
 def test_incremental(spark):

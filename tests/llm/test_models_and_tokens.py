@@ -355,6 +355,49 @@ def test_chunks_resist_shifts():
     assert all(b - a <= chunk_fingerprints.MOST for e in ends for a, b in zip([0, *e], e, strict=False)) and ends[1][-1] == len(text)
 
 
+GPL = """/*
+ * Copyright (C) 2020 Somebody
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ */
+int main() {{ return 0; }}"""
+
+
+@pytest.mark.parametrize(("text", "license_"), [
+    (GPL.format(3), "GPL-3.0"), (GPL.format(2), "GPL-2.0"), (GPL.format(3).replace("General", "Affero General"), "AGPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007\n\nCopyright", "GPL-3.0"), ("x\n\nMIT License\n\nCopyright (c) X", "MIT"),
+    ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"), ("// SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier: WTFPL", None), ("Words of prose before it. Released under the MIT License. And more prose after that one", "MIT"),
+    (license_scan._APACHE.replace("of the", "of\n// the"), "Apache-2.0"), (license_scan._BSD_3.replace(" this", "\n * this"), "BSD-3-Clause"), ("We took the train under the bridge, licensed or not, and read the notice on the file.", None), ("", None),
+])
+def test_headers_are_compared_as_a_whole(text, license_):
+    assert license_scan.Templates().best([text], [False], license_scan.LEAST)[0][1] == license_
+
+
+def test_bounds_lose_no_window():
+    """Against every window, compared without bounds."""
+    rng, t = random.Random(4), license_scan.Templates()
+    words = [w for _, x in license_scan.TEMPLATES for w in x.split()] + ["prose", "und", "la", "x"] * 40
+    texts = ["", "\n\n", " . "]
+    for _ in range(150):
+        parts = [rng.choice(license_scan.TEMPLATES)[1] if rng.random() < 0.3 else " ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(rng.randint(1, 8))]
+        texts.append(rng.choice((" ", "\n", ". ")).join(p.replace(" ", "\n", rng.randint(0, 3)) for p in parts))
+    whole = [rng.random() < 0.5 for _ in texts]
+
+    def plain(text, whole):
+        cut = license_scan.pieces(text)
+        spans = [(a, b) for a in range(len(cut)) for b in range(a + 1, len(cut) + 1) if b - a in license_scan.WINDOWS] + [(0, len(cut))] * (whole or 0 < len(cut) <= license_scan.WINDOWS[-1])
+        best = min(filter(None, (t.match([x for p in cut[a:b] for x in p], license_scan.LEAST) for a, b in spans)), default=None)
+        return best[1:] if best else (None, None)
+
+    got = t.best(texts, whole, license_scan.LEAST)
+    want = [plain(x, w) for x, w in zip(texts, whole, strict=True)]
+    assert [(s and -s, n) for s, n in got] == want and sum(n is not None for _, n in got) > 40
+
+
 LICENSES = [
     (1, "src/LICENSE", "Released under the MIT License.\nmore"),
     (2, "src/a/f.txt", "nothing here"),
@@ -381,6 +424,10 @@ def test_license_scan(spark, licenses, sf_dir):
         1: ("MIT", "MIT", None), 2: (None, "Apache-2.0", "src/a"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, "Apache-2.0", "src/a"),
         5: ("GPL-3.0", "GPL-3.0", None), 6: (None, None, None), 7: ("CC-BY-NC-4.0", "CC-BY-NC-4.0", None), 8: (None, None, None), 9: got[9], 10: (None, None, None),
     }
+    odd = spark.createDataFrame([(None, "d/LICENSE", "MIT License"), (None, "d/LICENSE", "MIT License"), (5, "d/x/LICENSE", "x" * 300_000 + "\n" + "word " * 200_000), (5, "d/x/y/f", None), (6, "f", "")], "doc_id long, path string, text string")
+    odd = odd.withColumns({c: F.lit(1) for c in ("dir", "salt", "whole", "t")})
+    assert sorted((r.path, r.license, r.from_dir) for r in license_scan.licenses(odd).collect()) == [("d/LICENSE", "MIT", None)] * 2 + [("d/x/LICENSE", "MIT", "d"), ("d/x/y/f", "MIT", "d"), ("f", None, None)]
+    assert license_scan.licenses(odd.where("false")).count() == 0
     import duckdb
 
     base = duckdb.connect()

@@ -17,14 +17,18 @@ from leadmill.llm import packing, quality_rules, secret_scan, simhash, substring
 from leadmill.llm.common import documents, reliable
 
 
+#: Bits in which near copies may differ. On 51,000 documents 0.92 of the near copies (0.8 or more of their five-word shingles in common) are caught at 8, 0.75 at 6, 0.17 at 2.
+RADIUS = 8
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
     return quality_rules.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates the document with the least id stays; fingerprints link at RADIUS or fewer differing bits."""
+    return simhash.keep_one(docs, radius=RADIUS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

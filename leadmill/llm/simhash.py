@@ -2,15 +2,19 @@
 
 1. Each text's 64-bit fingerprint is made in one narrow pass (no shuffle of texts).
 2. Only distinct fingerprints are compared. Two that differ in at most `radius` bits agree on at least blocks - radius of
-   `blocks` bit ranges, so each goes into one bucket for every such choice of ranges: no link is lost.
+   `blocks` bit ranges, so each goes into one bucket for every such choice of ranges: no link is lost, whatever `blocks` is. More blocks mean
+   more and smaller buckets; unless told otherwise their number follows from that of the fingerprints.
 3. A bucket larger than CHUNK is cut into chunks, and every pair of chunks is a unit of its own, so that no task gets an
    unbounded group. A unit stores its fingerprints as vertical bit planes, 64 fingerprints to a machine word; distances are
    counted for 64 at a time by carry-save counters, and a block is given up once all its distances exceed the radius.
 4. A unit gives back one edge per fingerprint (to the least one that it reaches there), and components are found by
-   alternating large-star and small-star steps, each checkpointed in the shared folder.
+   alternating large-star and small-star steps, each checkpointed in the shared folder. Joins on buckets and on nodes are salted, so a hot
+   bucket or a star's hub is SALTS keys.
 
-Cases: null and empty texts have fingerprint zero and link like any other. Equal texts have equal fingerprints. A null id is
-never a component's id unless all its members' ids are null. Repeated rows give repeated rows. An empty table gives none.
+Cases: null and empty texts have fingerprint zero and link like any other. A very long text is hashed whole, 65,536 shingles at a time. Equal texts
+have equal fingerprints. A component's id is the least one, so ties don't arise; `keep_one` breaks those of ids by text hash. A null id is
+never a component's id unless all its members' ids are null. Repeated rows give repeated rows. An empty table gives none. Columns of the
+input may have any names: `near_duplicates` reads id and text only, `keep_one` packs the row.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.common import as_bytes, reliable
@@ -30,6 +34,8 @@ SHINGLE, SEED, BITS = 3, 42, 64
 CHUNK = 4096
 #: (query, block) pairs that are compared at once; bounds a task's memory.
 SLAB = 1 << 17
+#: Keys that a hot bucket or node is split into, and fingerprints in a bucket on average, at most.
+SALTS, BUCKET = 16, 1 << 14
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -72,6 +78,18 @@ def _masks(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in combinations(ranges, blocks - radius)]
 
 
+def _above(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose counters, bit by bit from the highest, exceed the radius."""
+    more, equal = over.copy(), ~over
+    for k in reversed(range(len(counters))):
+        if radius >> k & 1:
+            equal &= counters[k]
+        else:
+            more |= equal & counters[k]
+            equal &= ~counters[k]
+    return more
+
+
 def close_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j) of fingerprints of one group within `radius` bits, by bit-sliced comparison.
 
@@ -113,18 +131,19 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: in
         q = np.repeat(np.arange(at, to), count[at:to])
         b = np.arange(len(q)) - np.repeat(total[at:to] - total[at], count[at:to]) + np.repeat(first_block[at:to], count[at:to])
         f = fps[queries[q]]
-        ones, twos, over = (np.zeros(len(q), np.uint64) for _ in range(3))
+        counters = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]  # distances so far in binary, for 64 lanes each
+        over = np.zeros(len(q), np.uint64)  # or more than the counters hold
         for p in range(BITS):
-            x = planes[p][b] ^ np.where((f >> np.uint64(p)) & np.uint64(1), one, zero)
-            carry = ones & x
-            ones ^= x
-            over |= twos & carry
-            twos ^= carry
-            if p % 8 == 7:  # distances so far: ones + 2 twos, or 4 and more where over
-                alive = ~(over | {0: ones | twos, 1: twos, 2: twos & ones}.get(radius, zero)) & valid[b]
+            carry = planes[p][b] ^ np.where((f >> np.uint64(p)) & np.uint64(1), one, zero)
+            for k, c in enumerate(counters):
+                counters[k], carry = c ^ carry, c & carry
+            over |= carry
+            if p % 8 == 7:
+                alive = ~_above(counters, over, radius) & valid[b]
                 on = alive != 0
                 if not on.all():
-                    q, b, f, ones, twos, over, alive = (v[on] for v in (q, b, f, ones, twos, over, alive))
+                    q, b, f, over, alive = (v[on] for v in (q, b, f, over, alive))
+                    counters = [c[on] for c in counters]
                 if not len(q):
                     break
         if len(q):
@@ -153,15 +172,21 @@ def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(fps: DataFrame, radius: int = 2, blocks: int = 4, chunk: int = CHUNK) -> DataFrame:
+def blocks_for(n: int, radius: int) -> int:
+    """The least number of blocks, at least two more than the radius, with at most BUCKET of n even fingerprints in a bucket."""
+    return next(b for b in range(radius + 2, BITS + 1) if b == BITS or n <= BUCKET << (BITS * (b - radius) // b))
+
+
+def links(fps: DataFrame, radius: int = 2, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """a, b: edges that connect all distinct fingerprints `fp` within `radius` bits (b < a as signed longs)."""
-    if not 0 <= radius <= 3 or blocks <= radius:
-        raise ValueError("radius is 0 to 3, and there are more blocks than that")
+    if not 0 <= radius <= 15 or blocks is not None and blocks <= radius:
+        raise ValueError("radius is 0 to 15, and there are more blocks than that")
+    blocks = blocks or blocks_for(fps.count(), radius)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in _masks(blocks, radius)]
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(signed)])
     rows = fps.select("fp", F.explode(keys).alias("x")).select("fp", "x.t", "x.k")
     sizes = rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k", F.ceil(F.col("n") / chunk).cast("int").alias("c"))
-    rows = rows.join(sizes, ["t", "k"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    rows = rows.withColumn("s", _salt("fp")).join(_salted(sizes), ["t", "k", "s"]).withColumn("i", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
     units = rows.select("t", "k", "fp", "i", F.explode(pairs).alias("u")).select(
         "t", "k", "u.lo", "u.hi", (F.col("i") != F.col("u.lo")).cast("int").alias("side"), "fp"
@@ -205,6 +230,15 @@ def links(fps: DataFrame, radius: int = 2, blocks: int = 4, chunk: int = CHUNK)
     return units.mapInArrow(run, "a long, b long").distinct()
 
 
+def _salt(c: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(c), F.lit(7)), F.lit(SALTS)).cast("int")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """Small rows, one for each salt, for joins with rows of hot keys."""
+    return df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """a, b: each node `a` that isn't its component's least node, with that node `b`. `edges` has a, b with b < a."""
     edges = reliable(edges)
@@ -216,22 +250,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.withColumn("s", _salt("b")).join(_salted(least), ["a", "s"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(low, "a")
+        pairs = large.withColumn("s", _salt("b")).join(_salted(low), ["a", "s"])
         small = pairs.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         edges = reliable(small.distinct())
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
-def _grouped(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
+def _grouped(prints: DataFrame, radius: int, blocks: int | None) -> DataFrame:
     """fp, root: each distinct fingerprint of `prints` with its component's least fingerprint."""
-    fps = prints.select("fp").distinct()
+    fps = reliable(prints.select("fp").distinct())
     roots = components(links(fps, radius, blocks)).select(F.col("a").alias("fp"), F.col("b").alias("r"))
     return fps.join(roots, "fp", "left").select("fp", F.coalesce("r", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int | None = None) -> DataFrame:
     """doc_id, fp, component_id (least id of the texts reachable over fingerprints within `radius` bits): a row per row."""
     prints = reliable(fingerprints(docs, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(_grouped(prints, radius, blocks), "fp")
@@ -239,16 +273,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, blocks: int | None = None) -> DataFrame:
     """`docs` with one row of each component: that with the least id, null ids last, and of these that with the least text hash.
 
     Rows are told apart by id and text, so that rows of several components stay though they share an id or have none.
     """
-    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    prints = reliable(fingerprints(docs.select(id_col, text_col, text_hash.alias("__hash")), id_col, text_col, carry="__hash"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keys = [F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(text).alias("h")]
+    prints = reliable(fingerprints(docs.select(*keys, text.alias("t")), "i", "t", carry="h"))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     nodes = prints.groupBy("fp").agg(F.min(first).alias("least")).join(_grouped(prints, radius, blocks), "fp")
-    chosen = nodes.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.h").alias("__of"))
-    rows = docs.withColumn("__hash", text_hash)
-    rows = rows.join(chosen, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__of")), "left_semi")
-    return rows.dropDuplicates([id_col, "__hash"]).drop("__hash")
+    chosen = nodes.groupBy("root").agg(F.min("least").alias("m")).select(F.col("m.doc_id").alias("id_"), F.col("m.h").alias("of_"))
+    rows = docs.select(*keys, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(chosen, F.col("i").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("of_")), "left_semi")
+    return rows.dropDuplicates(["i", "h"]).select("row.*")

@@ -132,18 +132,47 @@ def test_simhash_odd_rows(spark):
     assert {r.doc_id for r in simhash.keep_one(nulls.union(same)).collect()} == {7}
 
 
-@pytest.mark.parametrize("chunk", [3, 4096])
-def test_links_find_every_pair(spark, chunk):
+def test_keep_one_keeps_columns_of_any_name(spark):
+    names = ["i", "h", "row", "t", "__hash", "__id", "id_", "of_", "fp", "least", "m", "root"]
+    docs = brute.odd_frame(spark).select("doc_id", "text", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    kept = simhash.keep_one(docs.union(docs))
+    assert kept.columns == docs.columns and [kept.first()[n] for n in names] == list(range(len(names)))
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in brute.near(brute.ODD).values()}
+
+
+def test_near_copies_are_caught(spark):
+    """Texts of which 1 word in 100 is another have nine of ten five-word shingles in common; the pipeline's radius links nine of ten of them."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(2000)]
+    rows = []
+    for g in range(100):
+        own = [rng.choice(words) for _ in range(300)]
+        rows += [(10 * g + k, " ".join(rng.choice(words) if k and rng.random() < 0.01 else w for w in own)) for k in range(2)]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), radius=corpus_pipeline.RADIUS).collect()}
+    assert {10 * g for g in range(100)} <= kept and len(kept) <= 110
+
+
+def test_more_blocks_for_more_fingerprints():
+    assert simhash.blocks_for(10**6, 2) == 4 and simhash.blocks_for(15 * 10**6, 8) == 10 and simhash.blocks_for(5 * 10**8, 8) == 11
+    for n in (0, 1, 10**6, 10**9, 10**12):
+        b = simhash.blocks_for(n, 8)
+        assert b >= 10 and n <= simhash.BUCKET << (64 * (b - 8) // b)
+
+
+@pytest.mark.parametrize(("radius", "blocks", "chunk"), [(2, None, 3), (2, 4, 4096), (0, 2, 4096), (8, None, 4096), (8, 11, 7), (5, 8, 4096)])
+def test_links_find_every_pair(spark, radius, blocks, chunk):
     rng = np.random.default_rng(3)
     fps = [int(x) for x in rng.integers(0, 1 << 63, 5)]
     for _ in range(300):
         x = fps[rng.integers(0, len(fps))]
-        for b in rng.integers(0, 64, rng.integers(0, 4)):
+        for b in rng.integers(0, 64, rng.integers(0, 4 + 2 * radius)):
             x ^= 1 << int(b)
         fps.append(x)
     fps = sorted({x - (1 << 64) if x >= 1 << 63 else x for x in fps})
     frame = spark.createDataFrame([(x,) for x in fps], "fp long")
-    got = {r.a: r.b for r in simhash.components(simhash.links(frame, chunk=chunk)).collect()}
+    got = {r.a: r.b for r in simhash.components(simhash.links(frame, radius, blocks, chunk)).collect()}
     root = {x: x for x in fps}
 
     def find(x):
@@ -153,7 +182,7 @@ def test_links_find_every_pair(spark, chunk):
 
     for i, x in enumerate(fps):
         for y in fps[:i]:
-            if ((x ^ y) & (2**64 - 1)).bit_count() <= 2:
+            if ((x ^ y) & (2**64 - 1)).bit_count() <= radius:
                 a, b = find(x), find(y)
                 root[max(a, b)] = min(a, b)
     assert {x: got.get(x, x) for x in fps} == {x: find(x) for x in fps}

@@ -49,7 +49,7 @@ def check(spark, docs, sf_dir):
     assert docs.columns == columns and after == {i: t for i, t in before.items() if good(t)}
 
     docs = corpus_pipeline.reliable(STAGES["simhash_near_dedup"](spark, docs, sf_dir))
-    first = {c for _, c in brute.near(list(after.items())).values()}
+    first = {c for _, c in brute.near(list(after.items()), corpus_pipeline.RADIUS).values()}
     before, after = after, texts(docs)
     assert docs.columns == columns and after == {i: t for i, t in before.items() if i in first}
 

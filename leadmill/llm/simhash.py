@@ -33,7 +33,7 @@ SHINGLE, SEED, BITS = 3, 42, 64
 #: Fingerprints of one bucket that are compared in one unit.
 CHUNK = 4096
 #: (query, block) pairs that are compared at once; bounds a task's memory.
-SLAB = 1 << 17
+SLAB = 1 << 15
 #: Keys that a hot bucket or node is split into, and fingerprints in a bucket on average, at most.
 SALTS, BUCKET = 16, 1 << 14
 
@@ -90,20 +90,21 @@ def _above(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndar
     return more
 
 
-def close_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) of fingerprints of one group within `radius` bits, by bit-sliced comparison.
+def connected(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """For each fingerprint the least place that it reaches over links within `radius` bits in its group, by bit-sliced comparison.
 
     group: ascending; side: 0 for the queries' chunk, 1 for the other (in a group with one chunk all are 0 and each is
-    compared with each).
+    compared with each). Links are joined slab by slab, and what is joined already isn't compared again, so a group of near copies
+    costs little more than its first queries, and no list of its pairs is ever held.
     """
     n = len(fps)
+    label = np.arange(n)
     two = np.zeros(int(group[-1]) + 1 if n else 0, bool)
     np.logical_or.at(two, group, side == 1)
-    lane_side = side == two[group]  # the fingerprints that stand in the planes
-    lanes = np.flatnonzero(lane_side)
+    lanes = np.flatnonzero(side == two[group])  # the fingerprints that stand in the planes
     queries = np.flatnonzero(side == 0)
     if not len(lanes) or not len(queries):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return label
     # Blocks of 64 lanes; a block holds lanes of one group.
     g = group[lanes]
     start = np.r_[True, g[1:] != g[:-1]]
@@ -117,19 +118,23 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: in
     value = fps[lanes]
     for p in range(BITS):
         planes[p] = np.bitwise_or.reduceat(((value >> np.uint64(p)) & np.uint64(1)) << bit, head)
-    slot = np.full((n_blocks, 64), -1, np.int64)
+    slot = np.repeat(lanes[head][:, None], 64, axis=1)  # what isn't filled repeats the first lane
     slot[block, bit.astype(np.int64)] = lanes
     block_group = g[head]
     first_block = np.searchsorted(block_group, group[queries], "left")
     count = np.searchsorted(block_group, group[queries], "right") - first_block
     total = np.r_[0, np.cumsum(count)]
-    left, right = [], []
     one, zero = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0)
+    of_slot = label[slot]
+    joined = np.full(n_blocks, -1)  # the label of a block whose lanes all have it
     at = 0
     while at < len(queries):
         to = max(at + 1, int(np.searchsorted(total, total[at] + SLAB, "right")) - 1)
         q = np.repeat(np.arange(at, to), count[at:to])
         b = np.arange(len(q)) - np.repeat(total[at:to] - total[at], count[at:to]) + np.repeat(first_block[at:to], count[at:to])
+        at = to
+        new = joined[b] != label[queries[q]]
+        q, b = q[new], b[new]
         f = fps[queries[q]]
         counters = [np.zeros(len(q), np.uint64) for _ in range(radius.bit_length())]  # distances so far in binary, for 64 lanes each
         over = np.zeros(len(q), np.uint64)  # or more than the counters hold
@@ -147,12 +152,13 @@ def close_pairs(fps: np.ndarray, group: np.ndarray, side: np.ndarray, radius: in
                 if not len(q):
                     break
         if len(q):
-            hit, lane = np.nonzero(np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            i, j = queries[q[hit]], slot[b[hit], lane]
-            left.append(i[i != j])
-            right.append(j[i != j])
-        at = to
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64), np.empty(0, np.int64))
+            bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(bool)
+            hit, lane = np.nonzero(bits & (of_slot[b] != label[queries[q]][:, None]))
+            if len(hit):
+                label = least_reached(n, np.r_[queries[q[hit]], np.arange(n)], np.r_[slot[b[hit], lane], label])
+                of_slot = label[slot]
+                joined = np.where((of_slot == of_slot[:, :1]).all(axis=1), of_slot[:, 0], -1)
+    return label
 
 
 def least_reached(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -200,9 +206,10 @@ def links(fps: DataFrame, radius: int = 2, blocks: int | None = None, chunk: int
         new = np.zeros(table.num_rows, bool)
         for c in unit:
             new[1:] |= cols[c][1:] != cols[c][:-1]
-        i, j = close_pairs(cols["fp"].view(np.uint64), np.cumsum(new), cols["side"], radius)
+        label = connected(cols["fp"].view(np.uint64), np.cumsum(new), cols["side"], radius)
         fp, at = np.unique(cols["fp"], return_inverse=True)
-        root = least_reached(len(fp), at[i], at[j])
+        i = np.flatnonzero(label != np.arange(len(label)))
+        root = least_reached(len(fp), at[i], at[label[i]])
         moved = root != np.arange(len(fp))
         return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[root[moved]])], ["a", "b"])
 
@@ -235,8 +242,8 @@ def _salt(c: str) -> Column:
 
 
 def _salted(df: DataFrame) -> DataFrame:
-    """Small rows, one for each salt, for joins with rows of hot keys."""
-    return df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """Rows, one for each salt, for joins with rows of hot keys. Spark doesn't see how explode makes them more, so they aren't broadcast."""
+    return df.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

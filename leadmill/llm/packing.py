@@ -1,12 +1,14 @@
 """Lexical retrieval packing: documents that share rare tokens go into one window of the training sequence.
 
 1. Texts become token ids in one narrow pass, by a file of ranks (the ids are those that the library `tokenizers` gives by the
-   same vocabulary's .json file; tests compare them); each document ends with the id 0.
-   The ids are checkpointed, as 16-bit numbers where the vocabulary allows it.
-2. One pass counts the documents of each term (a token id) in the whole corpus: at most a row per id of the vocabulary.
-3. Rows are dealt over shards by lexical keys: a weighted min-hash of their terms (the two that come first in an exponential race
-   with the squared IDF as rate), so documents with the same rare terms, above all near copies, meet in a shard. Shards are
-   ranges of keys with equal numbers of ids; a key ends with a hash of the document's id, so a hot group of copies is cut too.
+   same vocabulary's .json file; tests compare them); each document ends with the id 0. The same pass gives each row its lexical key and counts the
+   documents of each term (a token id): a packed row per task, summed over the corpus to at most a row per id of the vocabulary.
+   Ids are checkpointed, as 16-bit numbers where the vocabulary allows it.
+2. A lexical key is a weighted min-hash of a document's terms: the two that come first in an exponential race, whose rates are the squared
+   logarithms of their ranks, since a vocabulary gives rarer terms higher ranks. So documents with the same rare terms, above all near copies,
+   get the same key, whatever else is in the corpus.
+3. Shards are ranges of keys with equal numbers of ids (about SHARD bytes); a key ends with a hash of the document's id, and equal keys are
+   parted by the hash of the ids, so a hot group of copies is cut too. A table that fits one shard is one.
 4. Each shard holds a BM25 inverted index over its documents, with the whole corpus's counts. A document that doesn't fill its
    window is the seed of a query with all its terms; the unused documents that score best follow it, in order, till the
    window is full. The one that doesn't fit is cut, and what is left of it seeds the next window. Where no unused document
@@ -16,8 +18,9 @@
 Retrieval still sees one shard (about SHARD bytes of text): a bound on memory and time per query at every size of the corpus.
 Neighbours whose keys differ are missed; README.md has the measured recall.
 
-Cases: a null or empty text is the id 0 alone. A text that fills several windows is cut. Equal ids and repeated rows are
-packed as documents of their own. An empty table gives no piece.
+Cases: a null or empty text is the id 0 alone. A very long text is encoded whole and cut into as many windows as it fills. Null or equal ids and repeated
+rows are packed as documents of their own; equal scores go to the document that comes first by id, then by ids of tokens. Only id and text are
+read, whatever other columns are called. An empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -40,10 +43,9 @@ from leadmill.llm.pieces import slices
 WINDOW, END = 1024, 0
 #: Bytes of text in a shard, about.
 SHARD = 12 << 20
-LEAST_SHARDS = 16
 #: The special token that texts may hold as such, as the vocabulary's library takes it.
 SPECIAL = (("<|endoftext|>", 50256),)
-#: Terms of a query (None: all), and documents that one query gives.
+#: Terms of a query (None: all, so that none is lost), and documents that one query gives.
 QUERY_TERMS, NEIGHBOURS = None, 16
 DENSE = 8
 #: Bits of a key: two terms, and the hash that cuts groups with equal terms.
@@ -53,30 +55,63 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 @lru_cache(maxsize=2)
-def _encoder(ranks: str, special: tuple[tuple[str, int], ...]) -> tuple[Callable[[str], np.ndarray], np.dtype]:
-    """A worker's encoder, and the narrowest type that holds its ids."""
+def _encoder(ranks: str, special: tuple[tuple[str, int], ...]) -> tuple[Callable[[str], np.ndarray], np.dtype, int]:
+    """A worker's encoder, the narrowest type that holds its ids, and one more than the highest of them."""
     import public_tokenizers
     import tiktoken
 
     known = read_ranks(ranks)
     own = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens=dict(special))
     kind = np.dtype("<u2" if own.max_token_value < 1 << 16 else "<u4")
-    return lambda text: own.encode_to_numpy(text, allowed_special="all"), kind
+    return lambda text: own.encode_to_numpy(text, allowed_special="all"), kind, own.max_token_value + 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers as even 64-bit hashes (splitmix64)."""
+    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+@lru_cache(maxsize=2)
+def race(size: int) -> np.ndarray:
+    """Each id's time in the race: exponential by its hash, with the squared logarithm of its rank as rate."""
+    even = (_mixed(np.arange(size)) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    return -np.log1p(-even) / np.log(np.arange(size) + 2.0) ** 2
+
+
+def lexical_key(doc: np.ndarray, times: np.ndarray) -> int:
+    """The terms that come first and second, as one number."""
+    t = times[doc]
+    first = int(doc[t.argmin()])
+    rest = doc[doc != first]
+    second = int(rest[times[rest].argmin()]) if len(rest) else first
+    return first << TERM_BITS | second
 
 
 def encoded(docs: DataFrame, ranks: str, special: tuple[tuple[str, int], ...], id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids: the ids with the end id, in the narrowest unsigned type that holds the vocabulary."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("t"))
+    """doc_id, ids (with the end id, in the narrowest unsigned type that holds the vocabulary), key; and a row per task with key -1, whose ids
+    are the number of its documents, of their ids, and of documents with each id."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), whole_text(f"`{text_col}`").alias("t"))
+    names = ["doc_id", "ids", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = _encoder(ranks, special)
-        end = np.array([END], kind).tobytes()
+        encode, kind, size = _encoder(ranks, special)
+        end, times, counts = np.array([END], kind), race(size), np.zeros(size + 2, np.int64)
         for batch in batches:
             for part, texts in slices(batch, "t"):
-                ids = [encode(t).astype(kind).tobytes() + end for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+                ids = [np.concatenate([encode(t).astype(kind), end]) for t in texts]
+                tail = _mixed(np.array([i or 0 for i in part.column("doc_id").to_pylist()], np.int64)) >> np.uint64(64 - TAIL_BITS)
+                key = [lexical_key(doc, times) << TAIL_BITS | low for doc, low in zip(ids, tail.tolist(), strict=True)]
+                for doc in ids:
+                    counts[:2] += (1, len(doc))
+                    counts[2 + np.unique(doc).astype(np.int64)] += 1
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([doc.tobytes() for doc in ids], pa.binary()), pa.array(key, pa.int64())], names)
+        if counts[0]:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([counts.tobytes()], pa.binary()), pa.array([-1], pa.int64())], names)
 
-    return rows.mapInArrow(run, "doc_id long, ids binary")
+    return rows.mapInArrow(run, "doc_id long, ids binary, key long")
 
 
 class Corpus(NamedTuple):
@@ -90,60 +125,23 @@ class Corpus(NamedTuple):
         return np.log1p((self.n - self.in_docs + 0.5) / (self.in_docs + 0.5))
 
 
-def counted(ids: DataFrame, ranks: str, special: tuple[tuple[str, int], ...]) -> Corpus:
+def counted(rows: DataFrame) -> Corpus:
+    """What the counting rows of `encoded` sum up to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = _encoder(ranks, special)[1]
-        times, n, tokens = np.zeros(0, np.int64), 0, 0
         for batch in batches:
             for x in batch.column("ids"):
-                doc = np.frombuffer(x.as_buffer(), kind)
-                n, tokens = n + 1, tokens + len(doc)
-                seen = np.unique(doc)
-                if seen[-1] >= len(times):
-                    times = np.pad(times, (0, int(seen[-1]) + 1 - len(times)))
-                times[seen] += 1
-        term = np.flatnonzero(times)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-2, -1, term]), pa.array(np.r_[n, tokens, times[term]])], ["term", "n"])
-
-    rows = {r["term"]: r["n"] for r in ids.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n, tokens = rows.pop(-2, 0), rows.pop(-1, 0)
-    in_docs = np.zeros(max(rows, default=-1) + 1, np.int64)
-    in_docs[list(rows)] = list(rows.values())
+                counts = np.frombuffer(x.as_buffer(), np.int64)
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["term", "n"])
+
+    got = {r["term"]: r["n"] for r in rows.where("key = -1").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n, tokens = got.pop(0, 0), got.pop(1, 0)
+    in_docs = np.zeros(max(got, default=1) - 1, np.int64)
+    in_docs[np.array(list(got), np.int64) - 2] = list(got.values())
     return Corpus(in_docs, n, tokens / max(n, 1))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Numbers as even 64-bit hashes (splitmix64)."""
-    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def race(corpus: Corpus) -> np.ndarray:
-    """Each term's time in the race: exponential by its hash, with the squared IDF as rate. Terms of one document come last."""
-    even = (_mixed(np.arange(len(corpus.in_docs))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    return np.where(corpus.in_docs > 1, -np.log1p(-even) / corpus.idf() ** 2, np.inf)
-
-
-def keyed(ids: DataFrame, corpus: Corpus, ranks: str, special: tuple[tuple[str, int], ...]) -> DataFrame:
-    """doc_id, ids, key: the terms that come first and second, and a hash of the document's id."""
-    times = race(corpus)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = _encoder(ranks, special)[1]
-        for batch in batches:
-            tail = _mixed(np.array([i or 0 for i in batch.column("doc_id").to_pylist()], np.int64)) >> np.uint64(64 - TAIL_BITS)
-            key = []
-            for x, low in zip(batch.column("ids"), tail.tolist(), strict=True):
-                doc = np.unique(np.frombuffer(x.as_buffer(), kind)).astype(np.int64)
-                first, second = doc[np.argsort(times[doc], kind="stable")[[0, min(1, len(doc) - 1)]]].tolist()
-                key.append((first << TERM_BITS | second) << TAIL_BITS | low)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int64())], ["doc_id", "ids", "key"])
-
-    return ids.mapInArrow(run, "doc_id long, ids binary, key long")
-
-
 class Index:
     """BM25 over documents that are arrays of terms: postings by term, and each document's own terms."""
 
@@ -194,9 +192,11 @@ class Index:
         if not len(query) or not self.n:
             return []
         hot = self.row[query]
-        spans = [slice(self.first[t], self.first[t + 1]) for t in query[hot < 0]]
-        doc = np.concatenate([np.empty(0, np.int32), *(self.doc[s] for s in spans)])
-        score = np.bincount(doc, np.concatenate([np.empty(0, np.float32), *(self.weight[s] for s in spans)]), self.n)
+        rare = query[hot < 0]
+        begin, count = self.first[rare], self.first[rare + 1] - self.first[rare]
+        at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())  # the places of all postings of these terms
+        doc = self.doc[at]
+        score = np.bincount(doc, self.weight[at], self.n)
         score = (score + self.dense[hot[hot >= 0]].sum(axis=0)) * unused[self.live]
         if len(doc) < 4 * most and (hot < 0).all():
             best = np.unique(doc)
@@ -206,7 +206,7 @@ class Index:
         return self.live[best[score[best] > 0]].tolist()
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None, terms: int | None = QUERY_TERMS) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece. docs: each one's ids, in order."""
     n = len(docs)
     size = np.fromiter(map(len, docs), np.int64, n)
@@ -221,7 +221,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
                 if not ranked:
                     if unused.sum() < 0.8 * index.n:
                         index.keep(unused)
-                    ranked = [d for d in index.neighbours(seed, unused) if unused[d]][::-1]
+                    ranked = [d for d in index.neighbours(seed, unused, terms) if unused[d]][::-1]
                 while ranked and not unused[ranked[-1]]:
                     ranked.pop()
             if doc >= 0 and offset and ranked:
@@ -244,25 +244,26 @@ def _room(left: int, window: int) -> int:
     return window if left >= window else 1 << (left.bit_length() - 1) if left else 0
 
 
-def packed(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD, special: tuple[tuple[str, int], ...] = SPECIAL) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    shards = parts(text_volume(docs, text_col)[1], shard_bytes, LEAST_SHARDS)
-    ids = reliable(encoded(docs, ranks, special, id_col, text_col))
-    corpus = counted(ids, ranks, special)
-    rows = keyed(ids, corpus, ranks, special)
-    size = F.octet_length("ids").cast("long")
-    volume = ids.agg(F.sum(size)).first()[0] or 0
-    cut = cuts(rows.select(F.col("key").alias("id"), F.xxhash64("ids").alias("h"), size.alias("n")), shards, max(1, volume // shards))
-    shards = cut.n
+def packed(
+    docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD, special: tuple[tuple[str, int], ...] = SPECIAL, terms: int | None = QUERY_TERMS
+) -> DataFrame:
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. terms: a query's heaviest ones, None for all."""
+    shards = parts(text_volume(docs, text_col)[1], shard_bytes)
+    both = reliable(encoded(docs, ranks, special, id_col, text_col))
+    corpus, rows = counted(both), both.where("key >= 0")
+    size, h = F.octet_length("ids").cast("long"), F.xxhash64("ids")
+    volume = rows.agg(F.sum(size)).first()[0] or 0
+    cut = cuts(rows.select(F.col("key").alias("id"), h.alias("h"), size.alias("n")), shards, max(1, volume // shards))
+    n = cut.n
 
     def run(table: pa.Table) -> pa.Table:
         kind = _encoder(ranks, special)[1]
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         shard, ids = table.column("shard")[0].as_py(), [np.frombuffer(x.as_buffer(), kind) for x in table.column("ids")]
-        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack(ids, window, corpus), strict=True))
-        crc = [zlib.crc32(ids[d][a : a + n].astype("<u4").tobytes()) for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+        doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack(ids, window, corpus, terms), strict=True))
+        crc = [zlib.crc32(ids[d][a : a + k].astype("<u4").tobytes()) for d, a, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
         tokens = np.fromiter(map(len, ids), np.int64, len(ids))[doc]
-        columns = {"start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": tokens, "sequence_id": sequence * shards + shard, "offset": offset}
+        columns = {"start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": tokens, "sequence_id": sequence * n + shard, "offset": offset}
         return pa.table({"doc_id": table.column("doc_id").take(pa.array(doc)), **{k: pa.array(v) for k, v in columns.items()}})
 
-    return rows.select(cut.batch(F.col("key"), F.xxhash64("ids")).alias("shard"), "doc_id", "ids").groupBy("shard").applyInArrow(run, SCHEMA)
+    return rows.select(cut.batch(F.col("key"), h).alias("shard"), "doc_id", "ids").groupBy("shard").applyInArrow(run, SCHEMA)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -95,7 +96,7 @@ def test_packing(spark, sf_dir):
 
 def test_packing_has_the_ids_of_the_library():
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    encode, kind = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.SPECIAL)
+    encode, kind, _ = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.SPECIAL)
     long_ = [" " * 200_000, "x" * 200_000, "\n" * 200_000 + "y"]
     every = ["".join(f"a{chr(c)}1 {chr(c)} " for c in range(a, a + 256)) for a in range(0, 0x30000, 256) if not 0xD800 <= a < 0xE000]
     for t in [*odd_texts(), *long_, *every]:
@@ -121,20 +122,77 @@ def test_neighbours_are_those_of_plain_bm25():
         assert np.allclose([scores[d] for d in got], [scores[d] for d in want])
 
 
-def test_near_copies_meet_in_a_shard(spark):
+def test_near_copies_have_equal_keys():
     rng = random.Random(8)
     words = ["".join(rng.choice("bcdfghjklmnprstvwz") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
-    docs = []
+    encode, kind, size = packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.SPECIAL)
+    key = {}
     for g in range(60):
         own = [rng.choice(words) for _ in range(150)]
-        docs += [(10 * g + k, " ".join(rng.choice(words) if rng.random() < 0.03 else w for w in own)) for k in range(4)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    at = defaultdict(set)
-    for r in packing.packed(frame, public_tokenizers.path("byte_bpe_50k.tiktoken")).collect():
-        at[r.doc_id].add(r.sequence_id % packing.LEAST_SHARDS)
-    assert at.keys() == dict(docs).keys() and all(len(s) == 1 for s in at.values()) and len(set.union(*at.values())) > packing.LEAST_SHARDS // 2
-    pairs = [(i, j) for i in at for j in at if i < j and i // 10 == j // 10]
-    assert np.mean([at[i] == at[j] for i, j in pairs]) > 0.6
+        for k in range(4):
+            doc = encode(" ".join(rng.choice(words) if rng.random() < 0.03 else w for w in own)).astype(kind)
+            key[g, k] = packing.lexical_key(doc, packing.race(size))
+            times = sorted(set(doc.tolist()), key=lambda t: packing.race(size)[t])
+            assert key[g, k] == times[0] << packing.TERM_BITS | times[1]
+    pairs = [(i, j) for i in key for j in key if i < j and i[0] == j[0]]
+    assert np.mean([key[i] == key[j] for i, j in pairs]) > 0.6 and len({key[g, 0] for g in range(60)}) > 30
+    assert packing.lexical_key(np.array([0], kind), packing.race(size)) == 0
+
+
+def test_shards_part_equal_keys_and_small_tables_are_one(spark):
+    text = "the same words in each of these documents, again and again "
+    rows_ = [(i, text * 4) for i in range(300)] + [(None, f"{text} {i}") for i in range(100)] + [(7, None), (7, None), (None, "")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("ids", "key", "h", "shard", "n")})
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    one, many = packing.packed(docs, path).collect(), packing.packed(docs, path, shard_bytes=4000).collect()
+    short = lambda pieces: sum(r.length for r in pieces if r.offset == 0 and r.length < packing.WINDOW)
+    for pieces in (one, many):
+        assert sum(r.length for r in pieces) == sum(len(tiktoken_ids(t)) + 1 for _, t in rows_) and sum(r.start == 0 for r in pieces) == len(rows_)
+        whole = Counter()
+        for r in pieces:
+            whole[r.sequence_id] += r.length
+        assert all(n == packing.WINDOW or n & (n - 1) == 0 for n in whole.values()) and short(pieces) >= 0
+    assert len({r.sequence_id for r in many}) > len({r.sequence_id for r in one})
+
+
+def tiktoken_ids(text):
+    return packing._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), packing.SPECIAL)[0](text or "")
+
+
+def plain_pack(docs, window):
+    """Greedy filling with plain BM25, one document after another."""
+    n, size = len(docs), [len(d) for d in docs]
+    mean, df = sum(size) / n, Counter(t for d in docs for t in set(d.tolist()))
+    weight = lambda t, d: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * (tf := docs[d].tolist().count(t)) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size[d] / mean)) if t in docs[d] else 0
+    room = lambda: window if left >= window else 1 << (left.bit_length() - 1)
+    left, unused, out, sequence = sum(size), set(range(n)), [], 0
+    doc, start, ranked = None, 0, []
+    while left:
+        filled, space, seed, ranked = 0, room(), doc if doc is not None and start < size[doc] else None, []
+        while filled < space:
+            if doc is None or start == size[doc]:
+                if seed is not None:
+                    ranked = [d for d in ranked if d in unused]
+                    if not ranked:
+                        scores = {d: sum(weight(t, d) for t in set(docs[seed].tolist()) if df[t] > 1) for d in unused}
+                        ranked = sorted((d for d in scores if scores[d] > 0), key=lambda d: (-scores[d], d))[: packing.NEIGHBOURS]
+                doc = ranked.pop(0) if seed is not None and ranked else min(unused)
+                unused.discard(doc)
+                start = 0
+            if seed is None:
+                seed = doc
+            k = min(size[doc] - start, space - filled)
+            out.append((doc, start, k, sequence, filled))
+            start, filled, left = start + k, filled + k, left - k
+        sequence += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_windows_fill_as_plain_bm25_says(seed):
+    rng = np.random.default_rng(seed)
+    docs = [rng.integers(0, 80, rng.integers(1, 150 if k % 9 == 0 else 40)).astype(np.uint16) for k in range(60)]
+    assert [tuple(map(int, x)) for x in packing.pack(docs, 64)] == plain_pack(docs, 64)
 
 
 def test_a_query_has_all_terms():
@@ -278,6 +336,46 @@ def test_quality_model(spark):
     assert quality_model.score(docs.where("false"), some).count() == 0
 
 
+def test_scores_are_those_of_plain_ridge_and_plain_isotonic_regression(spark):
+    """The same random features, fitted in one process: least squares of stacked rows, and the minimax formula of isotonic regression."""
+    sf_dir = "/root/testdata/sf0.01"
+    texts = rows(spark, sf_dir)
+    got = {x.doc_id: x.score for x in queries.op6_quality_model(spark, sf_dir).collect()}
+    y = {x.doc_id: x.quality for x in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if x.doc_id in texts and zlib.crc32(str(x.doc_id).encode()) % 4 != 2}
+    stats = {i: quality_model.statistics(t.encode()) for i, t in texts.items()}
+    known = np.array([stats[i] for i in y])
+    model = quality_model.Model(known.mean(axis=0), np.where(known.std(axis=0) > 1e-9, known.std(axis=0), 1.0))
+    of = lambda test: [i for i in y if test(zlib.crc32(str(i).encode()) % 4)]
+    learn, check = of(lambda k: k < 2), of(lambda k: k == 3)
+    z = model.lift(np.array([stats[i] for i in learn]))
+    weight = np.sqrt(quality_model.RIDGE) * np.diag(np.r_[np.ones(z.shape[1] - 1), np.sqrt(1e-9)])
+    model.beta = np.linalg.lstsq(np.r_[z, weight], np.r_[[y[i] for i in learn], np.zeros(len(weight))], rcond=None)[0]
+    raw = model.raw(np.array([stats[i] for i in check]))
+    bins = np.floor(np.clip(raw, -0.5, 1.5) * quality_model.BINS)
+    at = np.unique(bins)
+    n = np.array([(bins == b).sum() for b in at])
+    ones = np.array([sum(y[i] for i, b in zip(check, bins, strict=True) if b == a) for a in at])
+    level = np.array([max(min(ones[j : k + 1].sum() / n[j : k + 1].sum() for k in range(i, len(at))) for j in range(i + 1)) for i in range(len(at))])
+    blocks = [np.flatnonzero(np.isclose(level, v)) for v in dict.fromkeys(np.round(level, 12))]
+    place = np.r_[-1.0, [np.average((at[b] + 0.5) / quality_model.BINS, weights=n[b]) for b in blocks], 2.0]
+    value = np.array([level[b[0]] for b in blocks])
+    model.knots, model.levels = place, 0.01 + 0.97 * np.r_[value[0], value, value[-1]] + 0.02 * (place + 1) / 3
+    want = model.scores(np.array([stats[i] for i in got]))
+    assert np.allclose(list(got.values()), want, atol=2e-4)
+    exact = lambda a, b: np.exp(-quality_model.GAMMA * ((np.clip((a - model.mean) / model.scale, -8, 8) - np.clip((b - model.mean) / model.scale, -8, 8)) ** 2).sum())
+    wide = quality_model.Model(model.mean, model.scale, features=8192)
+    for a, b in zip(known[:20], known[20:40], strict=True):  # many features come near the kernel that they stand for
+        f, g = wide.lift(np.array([a, b]))[:, :-1]
+        assert abs(f @ g - exact(a, b)) < 0.06
+
+
+def test_statistics_of_awkward_texts(spark):
+    docs = spark.createDataFrame([(None, "x" * 2_000_000), (1, ""), (1, None), (2, "a b " * 300_000), (2, "a b " * 300_000)], "doc_id long, text string").withColumns({c: F.lit(0) for c in ("x", "y", "r", "t", "score")})
+    labels = spark.createDataFrame([(1, 1, "l"), (2, 0, "l"), (None, 1, "l"), (5, None, "l")], "doc_id long, quality int, x string")
+    out = quality_model.score(docs, labels).collect()
+    assert len(out) == 5 and all(0 <= r.score <= 1 for r in out) and len({r.score for r in out if r.doc_id == 2}) == 1 and not [r for r in out if r.doc_id is None][0].held_out
+
+
 def test_pool_adjacent():
     place, level = quality_model.pool_adjacent(np.arange(5.0), np.ones(5), np.array([0, 1, 0, 1, 1.0]))
     assert level.tolist() == [0, 0.5, 1.0] and place.tolist() == [0, 1.5, 3.5]

@@ -8,7 +8,8 @@ pre-tokens, nearly all, are encoded many at once: their trees are rows of one ar
 Texts are read in one narrow pass without a shuffle; a worker encodes each distinct piece of text once while it remembers it.
 
 Cases: a null or empty text has no ids. Strings of special tokens are ordinary text. Texts and pre-tokens of any length are
-encoded whole. Repeated rows give repeated rows. An empty table gives none.
+encoded whole; of pairs with equal ranks the leftmost merges first. Null or equal ids make no difference, repeated rows give repeated rows, and
+only id and text are read, whatever other columns are called. An empty table gives none.
 """
 
 from __future__ import annotations

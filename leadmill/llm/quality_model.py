@@ -11,7 +11,8 @@
 
 Cases: null and empty texts have statistics (zeros) and a score like others. Null labels and null ids aren't learned from; a
 null id isn't held out. If there are no rows of both labels to learn from, every score is 0.5. Repeated rows are scored
-alike, and count as often as they stand there in learning. An empty table gives none.
+alike, and count as often as they stand there in learning; of ties in the raw score one bin has all. A very long text is read whole, one
+text at a time. Columns may have any names: only ids, texts and labels are read. An empty table gives none.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ a ratio (numerator and denominator are names of measures), and the range in whic
 turns the table into one boolean column.
 
 Cases: a null or empty text has no words; all its counts are 0, it fails the base rule and isn't kept. Repeated rows and
-repeated ids are each judged alone. Very long texts are judged whole. Other columns are neither read nor changed; a
+repeated or null ids are each judged alone; there is no order, so no ties. Very long texts are judged whole. Other columns are neither read nor changed; a
 column of the input that has the name of a measure stays what it was in `keep_good`.
 """
 

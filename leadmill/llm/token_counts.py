@@ -9,7 +9,8 @@ this of the vocabulary.
 Texts are read in one narrow pass without a shuffle; a worker counts each distinct piece of text once while it remembers it.
 
 Cases: a null or empty text has 0 tokens, as has one of white space. A special token's string inside a text is one token, as
-the library takes it. Texts and words of any length are counted whole. Repeated rows give repeated rows; an empty table none.
+the library takes it. Texts and words of any length are counted whole; equal pairs of a sequence merge from the left. Null or equal ids make no
+difference, repeated rows give repeated rows, and only id and text are read, whatever other columns are called. An empty table gives none.
 """
 
 from __future__ import annotations

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from leadmill.functions.ranks import AUTH, CONFIDENCE, SEVERITY, rank, unrank
 from leadmill.functions.text import digest16, distinct_by_text
@@ -100,6 +99,3 @@ def chain_fingerprints(chains: DataFrame, findings: DataFrame) -> DataFrame:
     entry = F.concat(F.col("entry_point.file"), F.lit(":"), F.col("entry_point.line").cast("string"))
     key = F.concat_ws("|", entry, F.col("final_impact"), F.coalesce("fps", F.lit("")))
     return chains.join(members, ["run_id", "chain_id"], "left").select("run_id", "chain_id", digest16(key).alias("fingerprint"))
-
-
-SOURCE_TYPE = T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("symbol", T.StringType()), T.StructField("kind", T.StringType())])

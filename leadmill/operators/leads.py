@@ -125,23 +125,29 @@ def invalid_documents(results: DataFrame) -> DataFrame:
     return results.where("drop is null and file = ''").select("run_id", "doc").distinct()
 
 
-def leads(results: DataFrame, flows: DataFrame | None = None) -> DataFrame:
-    """run_id, doc, lead_id, tool, rule_id, vuln_class_hint, file, line, message, codeflow of kept results.
-
-    Numbers count a run's kept results in the order of (doc, run, pos), so a lead_id names one lead of its run.
-    """
+def lead_rows(results: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """run_id, doc, run, pos, tool, rule_id, vuln_class_hint, file, line, message, codeflow of kept results, without a number yet."""
     kept = results.where("drop is null").join(invalid_documents(results), ["run_id", "doc"], "left_anti")
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("doc", "run", "pos"))
-    kept = kept.withColumn("n", n)
     if flows is not None:
         kept = kept.join(flows, ["run_id", "doc", "run", "pos"], "left")
     flow = F.col("codeflow") if flows is not None else F.lit(None).cast("array<struct<file:string,line:int>>")
     return kept.select(
-        "run_id", "doc", F.concat(F.lit("L"), padded(F.col("n"), 3)).alias("lead_id"), truncated(F.col("tool"), MAX["tool"]).alias("tool"), truncated(F.col("rule_id"), MAX["rule_id"]).alias("rule_id"),
-        truncated(F.col("vuln_class"), MAX["vuln_class_hint"]).alias("vuln_class_hint"), "file", "line", truncated(F.col("result.message.text"), MAX["message"]).alias("message"), flow.alias("codeflow"),
+        "run_id", "doc", "run", "pos", truncated(F.col("tool"), MAX["tool"]).alias("tool"), truncated(F.col("rule_id"), MAX["rule_id"]).alias("rule_id"), truncated(F.col("vuln_class"), MAX["vuln_class_hint"]).alias("vuln_class_hint"),
+        "file", "line", truncated(F.col("result.message.text"), MAX["message"]).alias("message"), flow.alias("codeflow"),
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Leads with lead_id: a run's leads counted in the order of (doc, run, pos), so a lead_id names one lead of its run."""
+    n = F.row_number().over(Window.partitionBy("run_id").orderBy("doc", "run", "pos"))
+    return rows.select("run_id", "doc", F.concat(F.lit("L"), padded(n, 3)).alias("lead_id"), *[c for c in rows.columns if c not in ("run_id", "doc", "run", "pos")])
+
+
+def leads(results: DataFrame, flows: DataFrame | None = None) -> DataFrame:
+    """run_id, doc, lead_id, tool, rule_id, vuln_class_hint, file, line, message, codeflow of kept results."""
+    return numbered(lead_rows(results, flows))
+
+
 def ingest_stats(results: DataFrame) -> DataFrame:
     """run_id, total, kept, dropped_*, unmapped_rules: a row per run."""
     n = lambda c: F.count_if(c).cast("long")

@@ -411,4 +411,8 @@ def test_sarif_stream(spark, tmp_path):
     (tmp_path / "in" / "r2").mkdir()
     (tmp_path / "in" / "r2" / "b.sarif").write_text(json.dumps(sarif()))
     go()
-    assert {(r.run_id, r.lead_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {(a, b) for a in ("r1", "r2") for b in ("L001", "L002", "L003")}
+    assert {(r.run_id, r.lead_id) for r in drops.read_leads(spark, str(tmp_path / "out")).collect()} == {(a, b) for a in ("r1", "r2") for b in ("L001", "L002", "L003")}
+    (tmp_path / "in" / "r1" / "b.sarif").write_text(json.dumps(sarif()))
+    go()
+    late = [(r.doc, r.lead_id) for r in drops.read_leads(spark, str(tmp_path / "out")).where("run_id = 'r1'").orderBy("lead_id").collect()]
+    assert late == [("a.sarif", f"L00{k}") for k in (1, 2, 3)] + [("b.sarif", f"L00{k}") for k in (4, 5, 6)]

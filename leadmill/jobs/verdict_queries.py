@@ -77,7 +77,10 @@ def spoiled(batches: DataFrame) -> DataFrame:
 
 
 class Reviewed:
-    """All tables of a reviewed corpus. Those that several steps read are settled when they're first asked for."""
+    """All tables of a reviewed corpus. Those that several steps read are settled when they're first asked for.
+
+    final_once and resolved_once are for queries that read them once.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.findings = settled(canonical(spark, sf_dir))
@@ -87,13 +90,21 @@ class Reviewed:
     def batches(self) -> DataFrame:
         return settled(batches_of(self.findings, self.chains))
 
+    @cached_property
+    def final_once(self) -> DataFrame:
+        return op.apply_to_findings(self.findings, self.batches)
+
+    @cached_property
+    def resolved_once(self) -> DataFrame:
+        return op.resolve_chains(self.findings, self.chains, self.batches)
+
     @cached_property
     def final(self) -> DataFrame:
-        return settled(op.apply_to_findings(self.findings, self.batches))
+        return settled(self.final_once)
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return settled(op.resolve_chains(self.findings, self.chains, self.batches))
+        return settled(self.resolved_once)
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,26 +163,26 @@ def chain_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def final_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Reviewed(spark, sf_dir).final.select("run_id", "finding_id", "verification_status", "final_severity", "final_confidence", "reason")
+    return Reviewed(spark, sf_dir).final_once.select("run_id", "finding_id", "verification_status", "final_severity", "final_confidence", "reason")
 
 
 def resolved_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Reviewed(spark, sf_dir).resolved.select("run_id", "chain_id", "severity", "confidence", "verification_status", "reason", "unverified", "raises")
+    return Reviewed(spark, sf_dir).resolved_once.select("run_id", "chain_id", "severity", "confidence", "verification_status", "reason", "unverified", "raises")
 
 
 def verification_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
-    return op.verification_gaps(r.batches, r.resolved)
+    return op.verification_gaps(r.batches, r.resolved_once)
 
 
 def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
-    return op.decision_log(r.final, r.resolved)
+    return op.decision_log(r.final_once, r.resolved_once)
 
 
 def dismissed(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
-    return marts.dismissed(op.decision_log(r.final, r.resolved))
+    return marts.dismissed(op.decision_log(r.final_once, r.resolved_once))
 
 
 def chain_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,17 +196,17 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.status_counts(Reviewed(spark, sf_dir).final)
+    return marts.status_counts(Reviewed(spark, sf_dir).final_once)
 
 
 def run_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
-    return marts.run_verdict(r.final, r.resolved)
+    return marts.run_verdict(r.final_once, r.resolved_once)
 
 
 def chain_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Reviewed(spark, sf_dir)
-    g = marts.chain_graph(r.resolved, op.chain_steps(r.batches))
+    g = marts.chain_graph(r.resolved_once, op.chain_steps(r.batches))
     edges = F.array_join(F.transform("edges", lambda e: F.concat(e["from"], F.lit(">"), e["to"], F.lit(":"), F.coalesce(e["verdict"], F.lit("none")))), ",")
     return g.select("run_id", "chain_id", "severity", "entry_auth", "impact", F.array_join("nodes", ",").alias("nodes"), edges.alias("edges"), "coherent")
 

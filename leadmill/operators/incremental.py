@@ -5,9 +5,6 @@ store and work have kind, target_id and input_digest; a store row also has respo
 
 from __future__ import annotations
 
-import hashlib
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,22 +21,11 @@ def typed_digest(value: Column, kind: T.DataType) -> Column:
 
 
 def json_digest(text: Column) -> Column:
-    """sha256 of free-form JSON with its keys sorted at every level; null where it isn't JSON.
+    """sha256 of free-form JSON with its keys sorted at every level; null where it isn't JSON, or names a key twice in an object.
 
-    Sorting the keys of an unknown structure has no SQL form, so this one is an Arrow helper.
+    Parsed JSON keeps keys sorted and writes numbers in their shortest form (1.0 as 1); only numbers with an exponent keep a fraction (1e2 as 100.0).
     """
-
-    @F.pandas_udf("string")
-    def digest(texts):
-        def one(t):
-            try:
-                return hashlib.sha256(json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()
-            except (TypeError, ValueError):
-                return None
-
-        return texts.map(one)
-
-    return digest(text)
+    return F.sha2(F.to_json(F.try_parse_json(text)), 256)
 
 
 def usable_store(store: DataFrame, contract: str, prefix: str = "F-") -> DataFrame:

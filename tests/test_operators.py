@@ -386,6 +386,9 @@ def test_incremental(spark):
     texts = spark.createDataFrame([('{"b": [2, 1], "a": {"d": null, "c": "é"}}',), ('{"a":{"c":"é","d":null},"b":[2,1]}',), ('{"a":{"c":"é","d":null},"b":[1,2]}',), ("no",)], "t string")
     a, b, c, d = (r.x for r in texts.select(incremental.json_digest(F.col("t")).alias("x")).collect())
     assert a == b != c and d is None
+    odd = {r'{"a":"\u0001\n\"\\/é😀"}': r'{"a":"\u0001\n\"\\/é😀"}', '{"z":1.0,"a":1.50,"n":-0,"m":12345678901234567890}': '{"a":1.5,"m":12345678901234567890,"n":0,"z":1}', '{"10":[true,{"c":1,"b":[]}],"9":2,"1":"x y"}': '{"1":"x y","10":[true,{"b":[],"c":1}],"9":2}', '{"😀":1,"￮":2}': '{"😀":1,"￮":2}', "[]": "[]"}
+    got = spark.createDataFrame(list(odd.items()), "t string, plain string").select(incremental.json_digest(F.col("t")).alias("x"), F.sha2("plain", 256).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and len(got) == len(odd)
 
 
 def test_real_app_score(spark):

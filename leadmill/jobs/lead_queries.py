@@ -19,16 +19,18 @@ RULES = (("semgrep", 0, None, "java.sqli", "sqli"), ("semgrep", 1, "java.xss", N
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "sarif_rows")
     place = lambda uri, line: F.concat(F.lit('{"physicalLocation":{"artifactLocation":{"uri":"'), uri, F.lit('"},"region":{"startLine":'), line.cast("string"), F.lit("}}}"))
+    # Every second relative location names its folder by a base id.
+    uri = F.when(F.col("doc_pos") % 14 == 0, F.concat(F.regexp_replace("uri", "^src/", ""), F.lit('","uriBaseId":"SRC'))).otherwise(F.col("uri"))
     rule = F.when(F.col("rule_id").isNotNull(), F.concat(F.lit('"ruleId":"'), "rule_id", F.lit('",'))).otherwise(F.lit('"rule":{"index":0},'))
     step = lambda uri, line: F.concat(F.lit('{"location":'), place(uri, line), F.lit("}"))
     flow = F.when(
         F.col("doc_pos") % 5 == 0,
         F.concat(F.lit('"codeFlows":[{"threadFlows":[{"locations":['), step(F.lit("src/f1.java"), F.lit(1)), F.lit(","), step(F.lit("src/gone.java"), F.lit(2)), F.lit(","), step(F.lit("src/f2.java"), F.lit(3)), F.lit("]}]}],")),
     ).otherwise("")
-    one = lambda k: F.concat(F.lit("{"), rule, flow, F.lit('"message":{"text":"'), "message", F.lit('"},"locations":['), place(F.col("uri"), F.when(F.col("line") == 0, F.lit(0)).otherwise(F.col("line") + k)), F.lit("]}"))
+    one = lambda k: F.concat(F.lit("{"), rule, flow, F.lit('"message":{"text":"'), "message", F.lit('"},"locations":['), place(uri, F.when(F.col("line") == 0, F.lit(0)).otherwise(F.col("line") + k)), F.lit("]}"))
     results = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_more").cast("int")), one), ",")
     version = F.when(F.col("doc_pos") % 13 == 5, "2.0.0").otherwise("2.1.0")
-    whole = F.concat(F.lit('{"version":"'), version, F.lit('","runs":[{"tool":{"driver":{"name":"'), "tool", F.lit('","rules":[{"id":"idx.rule"}]}},"results":['), results, F.lit("]}]}"))
+    whole = F.concat(F.lit('{"version":"'), version, F.lit('","runs":[{"tool":{"driver":{"name":"'), "tool", F.lit('","rules":[{"id":"idx.rule"}]}},"originalUriBaseIds":{"SRC":{"uri":"src/"}},"results":['), results, F.lit("]}]}"))
     text = F.when(F.col("doc_pos") % 17 == 6, "not json {").when(F.col("doc_pos") % 19 == 7, '{"version":"2.1.0"}').otherwise(whole)
     return rows.select("run_id", F.col("doc_pos").alias("doc"), text.alias("text"))
 

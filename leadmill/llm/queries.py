@@ -1,4 +1,4 @@
-"""The queries of the ten operators, and SQL for those that SQL can express."""
+"""The queries of the thirteen operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.llm import bpe_codec, chunk_fingerprints, license_scan, packing, quality_model, quality_rules, secret_scan, simhash, substring_dedup, token_counts
+from leadmill.llm import bpe_codec, centroid_clusters, chosen_paths, chunk_fingerprints, license_scan, merkle_manifest, packing, quality_model, quality_rules, secret_scan, simhash, substring_dedup, token_counts
 from leadmill.llm.common import documents
 
 
@@ -57,11 +57,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"m.{c}") for c in counts], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.verified(documents(spark, sf_dir))
+
+
+def op12_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_paths.near_duplicates(documents(spark, sf_dir))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroid_clusters.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    # Sums of distances of up to 2**62 could pass a long's range, which no table of unit-like vectors comes near.
+    return out.select(F.col("id").alias("vec_id"), "cluster", "distance", F.col("cluster_inertia").cast("long").alias("cluster_inertia"), F.col("inertia").cast("long").alias("inertia"), "centroid_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_substring_dedup, op3_byte_bpe, op4_simhash, op5_secret_scan, op6_quality_model, op7_chunk_fingerprints, op8_token_counts,
-        op9_packing, op10_quality_rules,
+        op9_packing, op10_quality_rules, op11_merkle_manifest, op12_chosen_paths, op13_centroid_clusters,
     )
 }
 
@@ -98,4 +112,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE_SQL = {"op1_license_scan": license_scan.oracle(), "op2_substring_dedup": _OP2, "op10_quality_rules": _op10()}
+ORACLE_SQL = {"op1_license_scan": license_scan.oracle(), "op2_substring_dedup": _OP2, "op10_quality_rules": _op10(), "op11_merkle_manifest": merkle_manifest.oracle(), "op12_chosen_paths": chosen_paths.oracle(), "op13_centroid_clusters": centroid_clusters.oracle()}

@@ -12,6 +12,11 @@ def truncated(value: Column, most: int) -> Column:
     return F.when(value.isNull(), "").when(F.char_length(value) <= most, value).otherwise(F.concat(F.substring(value, 1, most - 1), F.lit("…")))
 
 
+def decoded(content: Column) -> Column:
+    """The text of a file's bytes: each longest bad sequence is a U+FFFD, as decoders write it, so that no file is refused."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def padded(number: Column, width: int) -> Column:
     """Decimal digits, with leading zeros where there are fewer than `width`."""
     digits = number.cast("string")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.functions import paths
+from leadmill.functions.lineage import settled
+from leadmill.functions.text import decoded
 from leadmill.jobs.tables import ctes, table
 from leadmill.operators import surface as op
 
@@ -31,7 +33,7 @@ def file_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.surface_vectors(file_hits(spark, sf_dir))
+    return op.surface_vectors(settled(file_hits(spark, sf_dir)))
 
 
 def leads_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +45,23 @@ def surface_file_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_hits(spark, sf_dir).select("run_id", "path", "has_source", "has_sink", "has_sanitizer", "has_auth", "source_hits", "sink_hits", "auth_hits", "skip_reason")
 
 
+def byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files as bytes: in Latin-1, as UTF-8 that is cut in its middle, or as UTF-8."""
+    i = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    latin = F.encode(F.regexp_replace(text, r"[^\x{0}-\x{FF}]", "?"), "ISO-8859-1")
+    whole = text.cast("binary")
+    content = F.when(i % 3 == 0, latin).when(i % 3 == 1, F.substring(whole, F.lit(1), F.floor(F.octet_length(whole) / 2).cast("int"))).otherwise(whole)
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("run_id"), F.col("source").alias("partition_id"), F.col("lang").alias("stack"), i.cast("string").alias("path"), content.alias("content"), F.lit(None).cast("string").alias("skip_reason"))
+
+
+def surface_byte_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whatever their bytes: digests are those of the bytes, and the scan reads what decodes."""
+    files = byte_files(spark, sf_dir)
+    seen = files.select("path", F.char_length(decoded(F.col("content"))).cast("long").alias("n_chars"))
+    return op.file_hits(files, tokens(spark)).select("path", "digest", "has_source", "sink_hits").join(seen, "path")
+
+
 def surface_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir)
 
@@ -87,7 +106,7 @@ def confined_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confined(rows.withColumn("run_id", F.lit("run")), manifest, "path", "/work/app").select("page_id", "file", "drop")
 
 
-QUERIES = {f.__name__: f for f in (surface_file_hits, surface_vectors, budget_scores, budget_allocation, surface_gaps, excluded_paths, detected_stacks, confined_paths)}
+QUERIES = {f.__name__: f for f in (surface_file_hits, surface_byte_files, surface_vectors, budget_scores, budget_allocation, surface_gaps, excluded_paths, detected_stacks, confined_paths)}
 
 
 def _q(s: str) -> str:
@@ -127,7 +146,20 @@ _COUNTS = ("sources", "sinks", "sanitizers", "auth_markers", "source_and_auth_fi
 _FOLDERS, _NAMES = "['src', 'src/build', 'node_modules/x', 'lib', 'builds', 'app/obj', 'src/out/y']", "['A.java', 'b.min.js', 'c.py', 'package.json', 'd.cs', 'e.PHP', 'pom.xml', 'f.txt', 'g.ts', 'h_pb2.py', 'i']"
 _PF = f"WITH pf AS (SELECT 'run-' || (page_id % 5) AS run_id, page_id, {_FOLDERS}[page_id % 7 + 1] AS folder, {_NAMES}[page_id % 11 + 1] AS name FROM pages)"
 
+# Latin-1 text as a UTF-8 decoder reads its bytes: well-formed sequences, and the longest beginnings of such that end too early (Unicode, table 3-7).
+_UTF8 = (
+    r"[\x{0}-\x{7F}]|[\x{C2}-\x{DF}][\x{80}-\x{BF}]|\x{E0}[\x{A0}-\x{BF}][\x{80}-\x{BF}]|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]{2}|\x{ED}[\x{80}-\x{9F}][\x{80}-\x{BF}]|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]{2}|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{3}|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]{2}"
+    r"|\x{E0}[\x{A0}-\x{BF}]|[\x{E1}-\x{EC}\x{EE}\x{EF}][\x{80}-\x{BF}]|\x{ED}[\x{80}-\x{9F}]|\x{F0}[\x{90}-\x{BF}][\x{80}-\x{BF}]?|[\x{F1}-\x{F3}][\x{80}-\x{BF}]{1,2}|\x{F4}[\x{80}-\x{8F}][\x{80}-\x{BF}]?|[\x{80}-\x{FF}]"
+)
+_BYTES = f"""WITH {_TOKENS},
+d AS (SELECT doc_id, doc_id % 3 AS form, lang, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[^\\x{{0}}-\\x{{FF}}]', '?', 'g') AS l, strlen(coalesce(text, '')) // 2 AS half FROM documents),
+x AS (SELECT *, CASE form WHEN 0 THEN array_to_string(list_transform(string_split(l, ''), lambda c: printf('%02X', unicode(c))), '') WHEN 1 THEN substr(hex(encode(t)), 1, 2 * half) ELSE hex(encode(t)) END AS h FROM d),
+y AS (SELECT *, CASE form WHEN 0 THEN len(regexp_extract_all(l, '{_UTF8}')) WHEN 1 THEN len(regexp_extract_all(regexp_replace(h, '(..)', '\\1 ', 'g'), '[0-7C-F][0-9A-F] ')) ELSE length(t) END AS n_chars FROM x),
+z AS (SELECT *, CASE form WHEN 0 THEN l WHEN 1 THEN left(t, n_chars - CASE WHEN strlen(left(t, n_chars)) > half THEN 1 ELSE 0 END) ELSE t END AS content FROM y)
+SELECT doc_id::VARCHAR AS path, sha256(unhex(h)) AS digest, {_ANY("s")} AS has_source, {_HITS("k")} AS sink_hits, n_chars::BIGINT AS n_chars FROM z LEFT JOIN tok ON lang = tok.stack"""
+
 ORACLE_SQL = {
+    "surface_byte_files": _BYTES,
     "surface_file_hits": _surface("SELECT run_id, path, has_source, has_sink, has_sanitizer, has_auth, source_hits, sink_hits, auth_hits, skip_reason FROM fh"),
     "surface_vectors": _surface(
         "SELECT run_id, partition_id, stack, ok AS scannable, files, " + ", ".join(f"CASE WHEN ok THEN {c} END AS {c}" for c in _COUNTS)

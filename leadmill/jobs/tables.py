@@ -62,7 +62,7 @@ PORTABLE = {
         SELECT lang || '-repo-' || CAST(CAST((doc_id - doc_id % 1000) / 1000 AS BIGINT) AS VARCHAR(20)) AS run_id, source AS partition_id, lang AS stack, source || '/' || CAST(doc_id AS VARCHAR(20)) || '.txt' AS path,
           CASE WHEN doc_id % 17 = 0 OR source = 'src3' THEN NULL ELSE text END AS content, CASE WHEN doc_id % 34 = 0 OR source = 'src3' AND doc_id % 2 = 0 THEN 'out_of_scope' WHEN doc_id % 17 = 0 OR source = 'src3' THEN 'missing' END AS skip_reason
         FROM {documents} d""",
-    # SARIF results of pages, 40 to a run: relative, remote, file and escaping locations, missing ones, and such without a line.
+    # SARIF results of pages, 40 to a run: relative, remote, file and escaping locations, missing ones, and such without a line; forms say how values are written.
     "sarif_rows": """
         SELECT 'run-' || CAST(CAST((page_id - page_id % 40) / 40 AS BIGINT) AS VARCHAR(20)) AS run_id, page_id AS doc_pos, page_id % 3 AS n_more,
           CASE page_id % 7 WHEN 0 THEN 'src/f' || CAST(page_id % 10 AS VARCHAR(20)) || '.java' WHEN 1 THEN url WHEN 2 THEN 'file:///work/app/src/f' || CAST(page_id % 10 AS VARCHAR(20)) || '.java'
@@ -70,7 +70,7 @@ PORTABLE = {
           CASE WHEN page_id % 10 = 9 THEN 0 ELSE CAST(page_id % 90 AS INT) + 1 END AS line,
           CASE page_id % 4 WHEN 0 THEN 'java.sqli.x' || CAST(page_id % 3 AS VARCHAR(20)) WHEN 1 THEN 'java.xss' WHEN 2 THEN 'other.rule' END AS rule_id,
           CASE page_id % 3 WHEN 0 THEN 'Semgrep OSS' WHEN 1 THEN 'Code Tool 2' ELSE '' END AS tool,
-          'Message ' || CAST(page_id AS VARCHAR(20)) AS message
+          'Message ' || CAST(page_id AS VARCHAR(20)) AS message, page_id % 16 AS line_form, page_id % 20 AS rule_form, page_id % 9 AS message_form
         FROM {pages} p""",
     "work_rows": """
         SELECT 'analyzer' AS kind, 'u' || CAST(user_id AS VARCHAR(20)) AS target_id, event_type AS input, event_id AS pos, value AS amount, ts >= TIMESTAMP '2024-01-16 00:00:00' AS is_new FROM {events} e""",

@@ -83,7 +83,7 @@ class Reviewed:
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.findings = settled(canonical(spark, sf_dir))
+        self.findings = canonical(spark, sf_dir)  # written by its numbering
         self.chains = chains_of(self.findings)
 
     @cached_property

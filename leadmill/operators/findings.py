@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill.functions.numbering import numbered
 from leadmill.functions.ranks import AUTH, CONFIDENCE, SEVERITY, rank, unrank
 from leadmill.functions.text import digest16, distinct_by_text
 
@@ -77,8 +78,7 @@ def merge(raw: DataFrame) -> DataFrame:
 def number(merged: DataFrame, prefix: str = "F-") -> DataFrame:
     """Adds number (1, 2, ... within a run, in a total order of locations) and finding_id."""
     order = ["source.file", "source.line", "sink.file", "sink.line", "vuln_class", "sink.kind", "sink.symbol", "source.kind", "source.symbol"]
-    w = Window.partitionBy("run_id").orderBy(*order)
-    return merged.withColumn("number", F.row_number().over(w).cast("long")).withColumn("finding_id", F.concat(F.lit(prefix), F.col("number").cast("string")))
+    return numbered(merged, ["run_id"], [F.col(c) for c in order], "number").withColumn("finding_id", F.concat(F.lit(prefix), F.col("number").cast("string")))
 
 
 def canonical_findings(raw: DataFrame, prefix: str = "F-") -> DataFrame:

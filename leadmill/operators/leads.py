@@ -2,15 +2,23 @@
 
 docs: run_id, doc (place of the document in its run), text. manifest: run_id, file (root-relative), and optionally real_file.
 Documents are exploded at once; their text goes no further. A document that can't be used is a row of `document_errors`.
+
+Results are read as variants, and each value only where it has its type: a line is a whole number however it's written (3, 3.0, 3e0; up to a long), a rule id,
+a uri and a message are strings; anything else there is as if it were absent. A result that isn't an object counts and is dropped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions import paths
+from leadmill.functions.lineage import settled
+from leadmill.functions.numbering import numbered as numbered_rows
 from leadmill.functions.text import padded, truncated
+from leadmill.functions.variants import at, integer_at, list_at, text_at
 
 #: Lengths that leads keep to, steps of a code flow, and other names of tools.
 MAX = {"tool": 64, "rule_id": 256, "vuln_class_hint": 64, "file": 1024, "message": 512}
@@ -21,22 +29,19 @@ VERSION = "2.1.0"
 DROPS = ("out_of_scope", "missing", "bad_uri", "bad_location")
 NOT_ANALYZED = "lead not analyzed"
 
-_LOCATION = "struct<physicalLocation:struct<artifactLocation:struct<uri:string,uriBaseId:string>,region:struct<startLine:int>>>"
-_RESULT = f"struct<ruleId:string,rule:struct<id:string,index:int>,message:struct<text:string>,locations:array<{_LOCATION}>,codeFlows:array<struct<threadFlows:array<struct<locations:array<struct<location:{_LOCATION}>>>>>>>"
-_RUN = f"struct<tool:struct<driver:struct<name:string,rules:array<struct<id:string,properties:struct<tags:array<string>>>>>>,originalUriBaseIds:map<string,struct<uri:string>>,results:array<{_RESULT}>>"
-SCHEMA = f"struct<version:string,runs:array<{_RUN}>>"
+def _unusable(doc: Column) -> Column:
+    no_runs, other = list_at(doc, "$.runs").isNull(), ~F.coalesce(text_at(doc, "$.version") == VERSION, F.lit(False))
+    return F.when(doc.isNull(), "malformed SARIF: not JSON").when(no_runs, "malformed SARIF: missing runs[]").when(other, "unsupported SARIF version")
 
 
-def document_error(text: Column) -> Column:
-    """Why a document can't be used: it isn't JSON, has no runs, or another version; else null. The text is parsed once."""
+def _parsed(text: Column, value: Callable[[Column], Column]) -> Column:
+    """`value` of the parsed text, which is parsed once however often it reads it."""
+    return F.get(F.transform(F.array(F.try_parse_json(text)), value), F.lit(0))
 
-    def found(v: Column) -> Column:
-        kind = F.schema_of_variant(F.try_variant_get(v, "$.runs", "variant"))
-        version = F.try_variant_get(v, "$.version", "string")
-        no_runs, other = ~F.coalesce(F.startswith(kind, F.lit("ARRAY")), F.lit(False)), ~F.coalesce(version == VERSION, F.lit(False))
-        return F.when(v.isNull(), "malformed SARIF: not JSON").when(no_runs, "malformed SARIF: missing runs[]").when(other, "unsupported SARIF version")
 
-    return F.get(F.transform(F.array(F.try_parse_json(text)), found), F.lit(0))
+def document_error(text: Column) -> Column:
+    """Why a document can't be used: it isn't JSON, has no runs, or another version; else null."""
+    return _parsed(text, _unusable)
 
 
 def document_errors(docs: DataFrame) -> DataFrame:
@@ -54,22 +59,27 @@ def normalized_tool(name: Column) -> Column:
 
 def exploded(docs: DataFrame) -> DataFrame:
     """One row per result in document order: run_id, doc, run, pos, tool, rules, bases, result. One narrow pass over the texts."""
-    runs = docs.where(document_error(F.col("text")).isNull()).select("run_id", "doc", F.from_json("text", SCHEMA).alias("d")).select("run_id", "doc", F.posexplode("d.runs").alias("run", "r"))
-    return runs.select("run_id", "doc", "run", normalized_tool(F.col("r.tool.driver.name")).alias("tool"), F.col("r.tool.driver.rules").alias("rules"), F.col("r.originalUriBaseIds").alias("bases"), F.posexplode("r.results").alias("pos", "result"))
+    runs = _parsed(F.col("text"), lambda d: F.when(_unusable(d).isNull(), list_at(d, "$.runs")))
+    r = docs.select("run_id", "doc", F.posexplode(runs).alias("run", "r"))
+    bases = F.try_variant_get("r", "$.originalUriBaseIds", "map<string,variant>")
+    return r.select("run_id", "doc", "run", normalized_tool(text_at(F.col("r"), "$.tool.driver.name")).alias("tool"), list_at(F.col("r"), "$.tool.driver.rules").alias("rules"), bases.alias("bases"), F.posexplode(list_at(F.col("r"), "$.results")).alias("pos", "result"))
 
 
 def rule_id() -> Column:
-    by_index = F.get(F.col("rules"), F.col("result.rule.index"))["id"]
-    return F.coalesce(F.nullif(F.coalesce("result.ruleId", "result.rule.id", by_index), F.lit("")), F.lit("unknown"))
+    """The result's ruleId, its rule's id, or that of the tool's rule by index; `unknown` where that's empty."""
+    result = F.col("result")
+    index = integer_at(result, "$.rule.index")
+    by_index = text_at(F.get(F.col("rules"), F.when(index.between(0, 2**31 - 1), index).cast("int")), "$.id")
+    return F.coalesce(F.nullif(F.coalesce(text_at(result, "$.ruleId"), text_at(result, "$.rule.id"), by_index), F.lit("")), F.lit("unknown"))
 
 
 def located(rows: DataFrame, location: Column, root: str) -> DataFrame:
-    """Adds line and abs (the folded path), or drop: bad_location or bad_uri."""
-    phys = location["physicalLocation"]
-    line, artifact = phys["region"]["startLine"], phys["artifactLocation"]
-    abs_ = paths.resolved_uri(artifact["uri"], F.try_element_at("bases", artifact["uriBaseId"])["uri"], F.lit(root))
-    bad = F.when(phys.isNull() | line.isNull() | (line < 1), "bad_location")
-    return rows.select("*", bad.alias("__bad"), line.alias("line"), abs_.alias("abs")).select(*rows.columns, "line", "abs", F.coalesce("__bad", F.when(F.col("abs").isNull(), "bad_uri")).alias("drop"))
+    """Adds line and abs (the folded path), or drop: bad_location or bad_uri. location: a variant."""
+    artifact = lambda name: text_at(location, f"$.physicalLocation.artifactLocation.{name}")
+    base = text_at(F.try_element_at("bases", artifact("uriBaseId")), "$.uri")
+    x = rows.select("*", integer_at(location, "$.physicalLocation.region.startLine").alias("line"), artifact("uri").alias("__uri"), base.alias("__base"))
+    x = x.select(*rows.columns, "line", paths.resolved_uri(F.col("__uri"), F.col("__base"), F.lit(root)).alias("abs"))
+    return x.withColumn("drop", F.when(F.coalesce(F.col("line") < 1, F.lit(True)), "bad_location").when(F.col("abs").isNull(), "bad_uri"))
 
 
 def confined(rows: DataFrame, manifest: DataFrame, path: str, root: str) -> DataFrame:
@@ -90,30 +100,40 @@ def confined(rows: DataFrame, manifest: DataFrame, path: str, root: str) -> Data
     return x.select(*kept, F.when(F.col("drop").isNull(), truncated(F.col("__real"), MAX["file"])).alias("file"), "drop")
 
 
+def rule_index(rule_map: DataFrame) -> DataFrame:
+    """tool, key, pos, vuln_class: `=` and a rule's id, or `^` and a prefix; of entries with one key the first."""
+    keys = F.array_compact(F.array(F.concat(F.lit("="), "rule"), F.concat(F.lit("^"), "prefix")))
+    return rule_map.select("tool", "pos", "vuln_class", F.explode(keys).alias("key")).groupBy("tool", "key").agg(F.min("pos").alias("pos"), F.min_by("vuln_class", "pos").alias("vuln_class"))
+
+
 def mapped_class(rows: DataFrame, rule_map: DataFrame) -> DataFrame:
     """Adds vuln_class: of the tool's entries in order the first whose rule is the id or whose prefix starts it, else unknown.
 
-    rule_map: tool, pos, rule, prefix, vuln_class, grouped into one row per tool; Spark broadcasts these if they're small enough.
+    rule_map: tool, pos, rule, prefix, vuln_class. Distinct ids look up themselves and their beginnings, of the lengths that the tool's prefixes have, by
+    equality: an id costs as many lookups as there are lengths, however many entries there are. `rows` are read twice.
     """
-    lists = rule_map.groupBy("tool").agg(F.array_sort(F.collect_list(F.struct("pos", "rule", "prefix", "vuln_class"))).alias("__map"))
-    x = rows.join(lists, "tool", "left")
-    fits = F.filter("__map", lambda e: F.coalesce(e["rule"] == F.col("rule_id"), F.lit(False)) | F.coalesce(F.startswith(F.col("rule_id"), e["prefix"]), F.lit(False)))
-    return x.select(*rows.columns, F.coalesce(F.get(fits, F.lit(0))["vuln_class"], F.lit("unknown")).alias("vuln_class"))
+    index = rule_index(rule_map)
+    lengths = rule_map.where("prefix is not null").groupBy("tool").agg(F.collect_set(F.char_length("prefix")).alias("lengths"))
+    ids = rows.select("tool", "rule_id").distinct().join(lengths, "tool", "left")
+    fitting = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.char_length("rule_id"))
+    keys = F.concat(F.array(F.concat(F.lit("="), "rule_id")), F.transform(fitting, lambda n: F.concat(F.lit("^"), F.substr("rule_id", F.lit(1), n))))
+    found = ids.select("tool", "rule_id", F.explode(keys).alias("key")).join(index, ["tool", "key"]).groupBy("tool", "rule_id").agg(F.min_by("vuln_class", "pos").alias("__class"))
+    return rows.join(found, ["tool", "rule_id"], "left").select(*rows.columns, F.coalesce("__class", F.lit("unknown")).alias("vuln_class"))
 
 
 def resolved_results(docs: DataFrame, manifest: DataFrame, rule_map: DataFrame, root: str) -> DataFrame:
     """Every result with rule_id, vuln_class, file and line, or the reason why it's dropped."""
     rows = exploded(docs).withColumn("rule_id", rule_id())
-    rows = located(rows, F.get("result.locations", F.lit(0)), root)
+    rows = settled(located(rows, at(F.col("result"), "$.locations[0]"), root))  # read twice below, parsed once
     return mapped_class(confined(rows, manifest, "abs", root), rule_map)
 
 
 def codeflows(results: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
     """run_id, doc, run, pos, codeflow: the first MAX_STEPS steps of the first thread flow that resolve."""
     key = ["run_id", "doc", "run", "pos"]
-    flow = F.get(F.get("result.codeFlows", F.lit(0))["threadFlows"], F.lit(0))["locations"]
+    flow = list_at(F.col("result"), "$.codeFlows[0].threadFlows[0].locations")
     steps = results.where("drop is null").select(*key, "bases", F.posexplode(flow).alias("at", "step"))
-    steps = confined(located(steps, F.col("step.location"), root), manifest, "abs", root).where("drop is null")
+    steps = confined(located(steps, at(F.col("step"), "$.location"), root), manifest, "abs", root).where("drop is null")
     nth = F.row_number().over(Window.partitionBy(*key).orderBy("at"))
     steps = steps.withColumn("nth", nth).where(F.col("nth") <= MAX_STEPS)
     steps = steps.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("nth", "file", "line"))).alias("s"))
@@ -130,17 +150,17 @@ def lead_rows(results: DataFrame, flows: DataFrame | None = None) -> DataFrame:
     kept = results.where("drop is null").join(invalid_documents(results), ["run_id", "doc"], "left_anti")
     if flows is not None:
         kept = kept.join(flows, ["run_id", "doc", "run", "pos"], "left")
-    flow = F.col("codeflow") if flows is not None else F.lit(None).cast("array<struct<file:string,line:int>>")
+    flow = F.col("codeflow") if flows is not None else F.lit(None).cast("array<struct<file:string,line:bigint>>")
     return kept.select(
         "run_id", "doc", "run", "pos", truncated(F.col("tool"), MAX["tool"]).alias("tool"), truncated(F.col("rule_id"), MAX["rule_id"]).alias("rule_id"), truncated(F.col("vuln_class"), MAX["vuln_class_hint"]).alias("vuln_class_hint"),
-        "file", "line", truncated(F.col("result.message.text"), MAX["message"]).alias("message"), flow.alias("codeflow"),
+        "file", "line", truncated(text_at(F.col("result"), "$.message.text"), MAX["message"]).alias("message"), flow.alias("codeflow"),
     )
 
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Leads with lead_id: a run's leads counted in the order of (doc, run, pos), so a lead_id names one lead of its run."""
-    n = F.row_number().over(Window.partitionBy("run_id").orderBy("doc", "run", "pos"))
-    return rows.select("run_id", "doc", F.concat(F.lit("L"), padded(n, 3)).alias("lead_id"), *[c for c in rows.columns if c not in ("run_id", "doc", "run", "pos")])
+    n = numbered_rows(rows, ["run_id"], [F.col("doc"), F.col("run"), F.col("pos")], "__n")
+    return n.select("run_id", "doc", F.concat(F.lit("L"), padded(F.col("__n"), 3)).alias("lead_id"), *[c for c in rows.columns if c not in ("run_id", "doc", "run", "pos")])
 
 
 def leads(results: DataFrame, flows: DataFrame | None = None) -> DataFrame:

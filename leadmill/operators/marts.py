@@ -110,17 +110,17 @@ def level(severity: Column) -> Column:
 
 #: Rule ids of exported results that aren't a finding's own class.
 CHAIN_RULE, REFUTED_RULE, OPEN_RULE = "exploit-chain", "sast-lead-refuted", "sast-lead-inconclusive"
-_FLOW = "array<struct<file:string,line:int>>"
+_FLOW = "array<struct<file:string,line:bigint>>"
 
 
 def _steps(chains: DataFrame) -> Column:
     """A chain's code flow: its entry, then the first evidence of each transition that has one."""
-    entry = F.array(F.struct(F.col("entry_point.file").alias("file"), F.col("entry_point.line").cast("int").alias("line")))
+    entry = F.array(F.struct(F.col("entry_point.file").alias("file"), F.col("entry_point.line").cast("long").alias("line")))
     if "evidence" not in chains.schema["transitions"].dataType.elementType.fieldNames():
         return entry
     first = F.transform("transitions", lambda t: F.get(t["evidence"], F.lit(0)))
     seen = F.filter(first, lambda e: e.isNotNull())
-    return F.concat(entry, F.transform(seen, lambda e: F.struct(e["file"].alias("file"), e["line"].cast("int").alias("line"))))
+    return F.concat(entry, F.transform(seen, lambda e: F.struct(e["file"].alias("file"), e["line"].cast("long").alias("line"))))
 
 
 def sarif_results(findings: DataFrame, chains: DataFrame, adjudications: DataFrame | None = None, tool: str = "audit") -> DataFrame:
@@ -132,11 +132,11 @@ def sarif_results(findings: DataFrame, chains: DataFrame, adjudications: DataFra
     null = lambda kind: F.lit(None).cast(kind)
     f = findings.where("verification_status != 'rejected'").select(
         "run_id", F.lit(1).alias("section"), F.col("finding_id").alias("key"), F.col("vuln_class").alias("rule_id"), level(F.coalesce("final_severity", "provisional_severity")).alias("level"), F.col("title").alias("message"),
-        F.col("source.file").alias("file"), F.col("source.line").cast("int").alias("line"), F.col("sink.file").alias("sink_file"), F.col("sink.line").cast("int").alias("sink_line"), null(_FLOW).alias("flow"),
+        F.col("source.file").alias("file"), F.col("source.line").cast("long").alias("line"), F.col("sink.file").alias("sink_file"), F.col("sink.line").cast("long").alias("sink_line"), null(_FLOW).alias("flow"),
         finding_fingerprint().alias("fingerprint"), F.when(F.col("vuln_class") == HYGIENE, "hygiene").alias("lane"), F.lit(False).alias("suppressed"), null("string").alias("reason"),
     )
     c = chains.join(chain_fingerprints(chains, findings), ["run_id", "chain_id"]).select(
-        "run_id", F.lit(2), F.col("chain_id"), F.lit(CHAIN_RULE), level(F.col("severity")), F.concat("final_impact", F.lit(" via "), "chain_id"), F.col("entry_point.file"), F.col("entry_point.line").cast("int"), null("string"), null("int"),
+        "run_id", F.lit(2), F.col("chain_id"), F.lit(CHAIN_RULE), level(F.col("severity")), F.concat("final_impact", F.lit(" via "), "chain_id"), F.col("entry_point.file"), F.col("entry_point.line").cast("long"), null("string"), null("long"),
         _steps(chains), "fingerprint", null("string"), F.lit(False), null("string"),
     )
     out = f.union(c)
@@ -144,7 +144,7 @@ def sarif_results(findings: DataFrame, chains: DataFrame, adjudications: DataFra
         refuted, given = F.col("outcome") == "refuted", F.nullif("reason", F.lit(""))
         out = out.union(adjudications.where("outcome in ('refuted', 'inconclusive')").select(
             "run_id", F.when(refuted, 3).otherwise(4), "lead_id", F.when(refuted, REFUTED_RULE).otherwise(OPEN_RULE), F.lit("note"), F.coalesce(given, F.when(refuted, f"refuted by {tool}").otherwise("inconclusive")), "file",
-            F.col("line").cast("int"), null("string"), null("int"), null(_FLOW), null("string"), null("string"), refuted, F.when(refuted, F.coalesce(given, F.lit(f"{tool} assessed not exploitable"))),
+            F.col("line").cast("long"), null("string"), null("long"), null(_FLOW), null("string"), null("string"), refuted, F.when(refuted, F.coalesce(given, F.lit(f"{tool} assessed not exploitable"))),
         ))
     return out
 

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill.functions.numbering import numbered
 from leadmill.functions.ranks import CONFIDENCE, SEVERITY, rank, unrank
 
 HYGIENE = "trust-boundary"
@@ -35,9 +36,8 @@ def targets(findings: DataFrame, chains: DataFrame) -> DataFrame:
 
 def plan_batches(required: DataFrame, numbers: DataFrame) -> DataFrame:
     """Adds batch_id: five findings in the order of their numbers, or one chain. numbers: run_id, target_id, number."""
-    rows = required.join(numbers, ["run_id", "target_id"])
-    w = Window.partitionBy("run_id", "target_type").orderBy("number")
-    at = F.row_number().over(w) - 1
+    rows = numbered(required.join(numbers, ["run_id", "target_id"]), ["run_id", "target_type"], [F.col("number")], "__at")
+    at = F.col("__at") - 1
     is_chain = F.col("target_type") == "chain"
     batch = F.when(is_chain, F.concat(F.lit("C"), (at + 1).cast("string"))).otherwise(F.concat(F.lit("B"), (F.floor(at / BATCH_FINDINGS) + 1).cast("string")))
     return rows.select("run_id", "target_type", "target_id", "number", batch.alias("batch_id"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leadmill.functions.text import decoded
+
 STACK = "^[a-z0-9_-]+$"
 #: Fixed value: the fenced block of a stack's page.
 _BLOCK = r"(?s)```surface\s*\n(.*?)\n```"
@@ -94,13 +96,19 @@ def parse_responses(texts: DataFrame, kind: str) -> DataFrame:
 
 
 def read_source_tree(spark: SparkSession, root: str, glob: str = "*", most_bytes: int | None = None) -> DataFrame:
-    """path (below the root) and content of source files; content is null for files beyond `most_bytes`, if given."""
+    """path (below the root), content and digest of source files, whatever their encoding; a row per file.
+
+    content is the bytes' text as UTF-8, bad sequences replaced by U+FFFD; digest is the SHA-256 of the bytes themselves. Both are null for files
+    beyond `most_bytes`, if given, whose bytes aren't read.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    content = F.decode("content", "UTF-8")
-    if most_bytes is not None:
-        content = F.when(F.col("length") <= most_bytes, content)
     base = F.lit(root.split("://")[-1].split(":")[-1].rstrip("/") + "/")
-    return files.select(F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), F.concat(F.lit("^.*?"), F.regexp_replace(base, r"([\\.\[\]{}()*+?^$|])", r"\\$1")), "").alias("path"), content.alias("content"))
+    below = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), F.concat(F.lit("^.*?"), F.regexp_replace(base, r"([\\.\[\]{}()*+?^$|])", r"\\$1")), "").alias("path")
+    read = lambda x: x.select(below, decoded(F.col("content")).alias("content"), F.sha2("content", 256).alias("digest"))
+    if most_bytes is None:
+        return read(files)
+    null = F.lit(None).cast("string")
+    return read(files.where(F.col("length") <= most_bytes)).union(files.where(F.col("length") > most_bytes).select(below, null, null))
 
 
 def parse_surface_tokens(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions.lineage import settled
@@ -47,6 +47,14 @@ def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.sarif_documents(results, marts.sarif_rules(results))
 
 
+def sarif_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents as rows, as they're written to files: part, place in it, and text."""
+    results = _results(spark, sf_dir)
+    rows = sinks.sarif_pieces(results, marts.sarif_rules(results))
+    at = F.when(F.col("part") == 1, F.row_number().over(Window.partitionBy("run_id", "part").orderBy("place"))).otherwise(0)
+    return rows.select("run_id", F.col("part").cast("long").alias("part"), at.cast("long").alias("i"), "value")
+
+
 def summary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summaries of all runs: whether they meet their contract, and what's in them."""
     r = Reviewed(spark, sf_dir)
@@ -150,7 +158,13 @@ def parsed_surface_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("stack", F.array_join("sources", ",").alias("sources"), F.size("sinks").cast("long").alias("n_sinks"), F.size("auth_markers").cast("long").alias("n_auth"), "error")
 
 
-QUERIES = {f.__name__: f for f in (parsed_truth, junit_documents, sarif_documents, summary_documents, sarif_round_trip, report_documents, parsed_reports, parsed_responses, parsed_rule_maps, parsed_surface_tokens)}
+QUERIES = {f.__name__: f for f in (parsed_truth, junit_documents, sarif_documents, sarif_pieces, summary_documents, sarif_round_trip, report_documents, parsed_reports, parsed_responses, parsed_rule_maps, parsed_surface_tokens)}
+
+_SARIF = r""", loc AS (SELECT *, '"physicalLocation":{"artifactLocation":{"uri":"' || file || '"},"region":{"startLine":' || line || '}}' AS here, '"physicalLocation":{"artifactLocation":{"uri":"' || sink_file || '"},"region":{"startLine":' || sink_line || '}}' AS sink FROM results),
+        one AS (SELECT run_id, section, key, '{"ruleId":"' || rule_id || '","level":"' || level || '","message":{"text":' || to_json(message)::VARCHAR || '}' || coalesce(',"locations":[{' || here || '}]', '') || coalesce(',"relatedLocations":[{' || sink || ',"message":{"text":"sink"}}]', '')
+          || CASE WHEN section = 2 THEN ',"codeFlows":[{"threadFlows":[{"locations":[' || array_to_string(list_transform(string_split(flow, ','), lambda s: '{"location":{"physicalLocation":{"artifactLocation":{"uri":"' || split_part(s, ':', 1) || '"},"region":{"startLine":' || split_part(s, ':', 2) || '}}}}'), ',') || ']}]}]' ELSE '' END
+          || coalesce(',"partialFingerprints":{"audit/v1":"' || fingerprint || '"}', '') || CASE WHEN suppressed THEN ',"suppressions":[{"kind":"external","justification":' || to_json(reason)::VARCHAR || '}]' ELSE '' END || coalesce(',"properties":{"lane":"' || lane || '"}', '') || '}' AS j FROM loc),
+        head AS (SELECT run_id, string_agg('{"id":"' || rule_id || '","name":"' || rule_id || '","shortDescription":{"text":"' || rule_id || '"},"defaultConfiguration":{"level":"' || level || '"}' || coalesce(',"properties":{"cwe":"' || cwe || '"}', '') || '}', ',' ORDER BY place) AS rules FROM ruled GROUP BY run_id),"""
 
 ORACLE_SQL = {
     "parsed_truth": ctes("truth_rows") + """rows AS (SELECT *, doc_id % 9 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS own, doc_id % 5 = 0 AS again FROM truth_rows)
@@ -159,12 +173,11 @@ ORACLE_SQL = {
         SELECT run_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<testsuite name="audit" tests="' || count(*) || '" failures="' || count_if(outcome = 'failure') || '" skipped="' || count_if(outcome = 'skipped') || '">' || chr(10)
         || string_agg('  <testcase classname="' || classname || '" name="' || name || '"' || CASE outcome WHEN 'failure' THEN '>' || chr(10) || '    <failure message="' || m || '">' || body || '</failure>' || chr(10) || '  </testcase>'
           WHEN 'skipped' THEN '>' || chr(10) || '    <skipped message="' || m || '"/>' || chr(10) || '  </testcase>' ELSE '/>' END || chr(10), '' ORDER BY section, length(key), key) || '</testsuite>' || chr(10) AS text FROM x GROUP BY run_id"""),
-    "sarif_documents": _review(r""", loc AS (SELECT *, '"physicalLocation":{"artifactLocation":{"uri":"' || file || '"},"region":{"startLine":' || line || '}}' AS here, '"physicalLocation":{"artifactLocation":{"uri":"' || sink_file || '"},"region":{"startLine":' || sink_line || '}}' AS sink FROM results),
-        doc AS (SELECT run_id, string_agg('{"ruleId":"' || rule_id || '","level":"' || level || '","message":{"text":' || to_json(message)::VARCHAR || '}' || coalesce(',"locations":[{' || here || '}]', '') || coalesce(',"relatedLocations":[{' || sink || ',"message":{"text":"sink"}}]', '')
-          || CASE WHEN section = 2 THEN ',"codeFlows":[{"threadFlows":[{"locations":[' || array_to_string(list_transform(string_split(flow, ','), lambda s: '{"location":{"physicalLocation":{"artifactLocation":{"uri":"' || split_part(s, ':', 1) || '"},"region":{"startLine":' || split_part(s, ':', 2) || '}}}}'), ',') || ']}]}]' ELSE '' END
-          || coalesce(',"partialFingerprints":{"audit/v1":"' || fingerprint || '"}', '') || CASE WHEN suppressed THEN ',"suppressions":[{"kind":"external","justification":' || to_json(reason)::VARCHAR || '}]' ELSE '' END || coalesce(',"properties":{"lane":"' || lane || '"}', '') || '}', ',' ORDER BY section, length(key), key) AS body FROM loc GROUP BY run_id),
-        head AS (SELECT run_id, string_agg('{"id":"' || rule_id || '","name":"' || rule_id || '","shortDescription":{"text":"' || rule_id || '"},"defaultConfiguration":{"level":"' || level || '"}' || coalesce(',"properties":{"cwe":"' || cwe || '"}', '') || '}', ',' ORDER BY place) AS rules FROM ruled GROUP BY run_id)
+    "sarif_documents": _review(_SARIF + """ doc AS (SELECT run_id, string_agg(j, ',' ORDER BY section, length(key), key) AS body FROM one GROUP BY run_id)
         SELECT run_id, '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"audit","rules":[' || rules || ']}},"results":[' || body || ']}]}' AS text FROM doc JOIN head USING (run_id)"""),
+    "sarif_pieces": _review(_SARIF + """ n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY section, length(key), key) AS i FROM one)
+        SELECT run_id, 0::BIGINT AS part, 0::BIGINT AS i, '{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{"tool":{"driver":{"name":"audit","rules":[' || rules || ']}' AS value FROM head
+        UNION ALL SELECT run_id, 1, i, CASE WHEN i = 1 THEN ',"results":[' ELSE ',' END || left(j, length(j) - 1) FROM n UNION ALL SELECT run_id, 2, 0, ']}]' FROM head"""),
     "summary_documents": _review(""", c AS (SELECT run_id, count_if(status = 'accepted' AND severity = 'Critical') AS critical, count_if(v IS NOT NULL AND (status <> 'not-requested' OR impact <> 'unauth-rce')) AS n FROM resolved GROUP BY run_id),
         p AS (SELECT run_id, count(DISTINCT partition_id) AS np, max(CASE WHEN partition_id = 'p1' THEN 1 ELSE 0 END) AS p1 FROM flat_findings GROUP BY run_id)
         SELECT run_id, true AS valid, '' AS errors, CASE WHEN coalesce(any_value(critical), 0) > 0 THEN 'unauth-rce' ELSE 'no-critique' END AS verdict, coalesce(any_value(critical), 0)::BIGINT AS critical, count_if(es = 'Low' AND status <> 'rejected')::BIGINT AS low,

@@ -1,5 +1,6 @@
 """Operators on small literal frames."""
 
+import hashlib
 import json
 
 import pytest
@@ -117,8 +118,6 @@ def test_surface(spark):
     v = {r.partition_id: r for r in surface.surface_vectors(surface.file_hits(df, tokens)).collect()}
     p = v["p"]
     assert (p.sources, p.sinks, p.source_hits, p.sink_hits, p.auth_markers, p.auth_hits, p.source_and_auth_files, p.skipped_missing) == (2, 1, 3, 2, 1, 2, 1, 1)
-    import hashlib
-
     assert p.content_key == hashlib.sha256(b"a\nb\nc").hexdigest()
     raw_ = b"".join(hashlib.sha256(x.encode()).digest() + b"\0" for x in (f[1][4], f[0][4]))
     assert p.file_content_digest == hashlib.sha256(raw_).hexdigest()
@@ -358,7 +357,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in files.read_rule_map(spark, str(tmp_path / "map.json")).orderBy("pos").collect()] == [("t", 0, None, "a.", "x"), ("t", 1, "b", None, "y")]
     (tmp_path / "tree" / "d").mkdir(parents=True)
     (tmp_path / "tree" / "d" / "a.java").write_text("é")
-    assert [tuple(r) for r in files.read_source_tree(spark, str(tmp_path / "tree")).collect()] == [("d/a.java", "é")]
+    (tmp_path / "tree" / "latin.java").write_bytes("é»x".encode("latin-1"))
+    (tmp_path / "tree" / "wide.java").write_bytes("é = x".encode("utf-16"))
+    (tmp_path / "tree" / "cut.java").write_bytes("ab𝒳".encode()[:-1])
+    got = {r.path: (r.content, r.digest) for r in files.read_source_tree(spark, str(tmp_path / "tree")).collect()}
+    raw_ = {str(x.relative_to(tmp_path / "tree")): x.read_bytes() for x in (tmp_path / "tree").rglob("*.java")}
+    assert got == {k: (v.decode("utf-8", "replace"), hashlib.sha256(v).hexdigest()) for k, v in raw_.items()} and len(got) == 4
+    some = {r.path: r.content for r in files.read_source_tree(spark, str(tmp_path / "tree"), most_bytes=5).collect()}
+    assert some == {k: v.decode("utf-8", "replace") if len(v) <= 5 else None for k, v in raw_.items()}
     (tmp_path / "sarif" / "r1").mkdir(parents=True)
     (tmp_path / "sarif" / "r1" / "x.sarif").write_text("{}")
     assert [tuple(r) for r in files.read_sarif(spark, str(tmp_path / "sarif" / "*")).collect()] == [("r1", "x.sarif", "{}")]
@@ -376,6 +382,50 @@ def test_sources_and_sinks(spark, tmp_path):
     )
     sinks.write_documents(docs, str(tmp_path / "out"))
     assert "\n".join(x.value for x in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()).rstrip("\n") == text.rstrip("\n")
+    sinks.write_pieces(sinks.junit_pieces(cases), str(tmp_path / "pieces"), sinks.XML_END)
+    assert written(tmp_path / "pieces") == {"r": text}
+
+
+def written(folder):
+    """The one file of each run below a folder."""
+    out = {}
+    for d in folder.glob("run_id=*"):
+        (file,) = d.glob("part-*")
+        out[d.name.split("=", 1)[1]] = file.read_bytes().decode()
+    return out
+
+
+def test_pieces_have_the_bytes_of_whole_documents(spark, sf_dir, tmp_path):
+    from leadmill.jobs import document_queries as dq
+    from leadmill.jobs.verdict_queries import Reviewed
+
+    results = dq._results(spark, sf_dir)
+    rules = marts.sarif_rules(results)
+    sinks.write_pieces(sinks.sarif_pieces(results, rules), str(tmp_path / "sarif"), sinks.JSON_END)
+    assert written(tmp_path / "sarif") == {r.run_id: r.text for r in sinks.sarif_documents(results, rules).collect()}
+    r = Reviewed(spark, sf_dir)
+    f, c, v = r.final.select("run_id", "number", *dq.FINAL_FIELDS), dq.report_chains(r.resolved), dq.report_verdicts(r.batches)
+    runs = r.findings.select("run_id").distinct().select("run_id", F.lit("2024-01-01").alias("generated"), F.array(F.lit("src")).alias("scope"))
+    coverage = runs.select("run_id", F.array(F.lit("a")).alias("analyzed"), F.array().cast("array<struct<path:string,reason:string>>").alias("skipped"))
+    leads_ = f.where("number = 1 and run_id < 'run-2'").select("run_id", "number", F.lit("L001").alias("lead_id"), F.lit("promoted").alias("outcome"), "finding_id")
+    # Runs without chains, verdicts or lead outcomes.
+    c, v = c.where("run_id > 'run-3'"), v.where("run_id > 'run-5'")
+    sinks.write_pieces(sinks.report_pieces(runs, coverage, f, c, v, leads_), str(tmp_path / "reports"), sinks.JSON_END)
+    got = written(tmp_path / "reports")
+    assert got == {x.run_id: x.text for x in sinks.report_documents(runs, coverage, f, c, v, leads_).collect()} and len(got) > 5
+    assert {"lead_adjudications" in json.loads(x) for x in got.values()} == {True, False}
+
+
+def test_a_large_run_is_written_row_by_row(spark, tmp_path):
+    n = 200_000
+    results = spark.range(n).select(F.lit("hot").alias("run_id"), F.lit(1).alias("section"), F.concat(F.lit("F-"), "id").alias("key"), F.lit("sqli").alias("rule_id"), F.lit("error").alias("level"), F.lit("m").alias("message"), F.lit("a.java").alias("file"), F.col("id").alias("line"),
+        F.lit(None).cast("string").alias("sink_file"), F.lit(None).cast("long").alias("sink_line"), F.lit(None).cast("array<struct<file:string,line:bigint>>").alias("flow"), F.lit("x").alias("fingerprint"), F.lit(None).cast("string").alias("lane"), F.lit(False).alias("suppressed"), F.lit(None).cast("string").alias("reason"))
+    rules = marts.sarif_rules(results)
+    rows = sinks.sarif_pieces(results, rules)
+    sinks.write_pieces(rows, str(tmp_path / "x"), sinks.JSON_END)
+    (text,) = written(tmp_path / "x").values()
+    lines = [x["locations"][0]["physicalLocation"]["region"]["startLine"] for x in json.loads(text)["runs"][0]["results"]]
+    assert lines == list(range(n)) and rows.select(F.max(F.octet_length("value"))).first()[0] < 400
 
 
 def test_incremental(spark):

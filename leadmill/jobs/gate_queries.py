@@ -157,12 +157,21 @@ def _store(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("not is_new"), rows.where("is_new")
 
 
+#: Numbers and strings as they may stand in JSON, and as they stand in its canonical text.
+WRITTEN = (
+    ("1e2", "100"), ("1e400", "null"), ("1.5e-7", "1.5e-7"), ("-0", "0"), ("12345678901234567890", "12345678901234567000"), ("0.000001", "0.000001"), ("1E21", "1e+21"), ("123456789012345680000", "123456789012345680000"), ("2.50", "2.5"), ("-1.0e-10", "-1e-10"),
+    (r'"\u00e9\/"', '"é/"'), (r'"\ud800"', r'"\ud800"'), (r'"\u0001\n"', r'"\u0001\n"'),
+)
+
+
 def input_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of typed inputs, and of the same as JSON text in another order of keys: they're equal."""
+    """Digests of typed inputs, and of the same as JSON text in another order of keys: they're equal. `odd` is that of a text with a repeated key and odd values."""
     rows = table(spark, sf_dir, "work_rows")
     typed = rows.select("pos", F.struct(F.col("input").alias("z"), F.struct((F.col("pos") % 3).alias("y"), F.array("input").alias("x")).alias("a")).alias("v"))
     free = F.concat(F.lit('{"z": "'), F.col("v.z"), F.lit('", "a": {"y": '), F.col("v.a.y").cast("string"), F.lit(', "x": ["'), F.col("v.z"), F.lit('"]}}'))
-    return typed.select("pos", incremental.typed_digest(F.col("v"), typed.schema["v"].dataType).alias("typed"), incremental.json_digest(free).alias("free"))
+    value = F.get(F.array(*[F.lit(w) for w, _ in WRITTEN]), (F.col("pos") % len(WRITTEN)).cast("int"))
+    odd = F.concat(F.lit('{"b": 0, "😀": {}, "k": ['), value, F.lit(', {"y": true, "x": ['), value, F.lit(']}], "\ufb01": null, "b": "'), F.col("v.z"), F.lit('"}'))
+    return typed.select("pos", incremental.typed_digest(F.col("v"), typed.schema["v"].dataType).alias("typed"), incremental.json_digest(free).alias("free"), incremental.json_digest(odd).alias("odd"))
 
 
 def reusable_work(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +253,8 @@ ORACLE_SQL = {
     "coverage_counts": _resp("SELECT run_id, count_if(ok)::BIGINT AS analyzed, count_if(NOT ok)::BIGINT AS gaps FROM usable GROUP BY run_id"),
     "refuted_leads": ctes("sarif_rows") + lead_queries._LEADS.strip() + " SELECT run_id, lead_id, 'not reachable in ' || file AS reason, rule_id, file, line::BIGINT AS line FROM lead_ WHERE doc % 2 = 0",
     "coverage_ledger": _ledger(),
-    "input_digests": _work("""SELECT pos, sha256('{"a":{"x":["' || input || '"],"y":' || (pos % 3) || '},"z":"' || input || '"}') AS typed, sha256('{"a":{"x":["' || input || '"],"y":' || (pos % 3) || '},"z":"' || input || '"}') AS free FROM w"""),
+    "input_digests": _work("""SELECT pos, sha256('{"a":{"x":["' || input || '"],"y":' || (pos % 3) || '},"z":"' || input || '"}') AS typed, sha256('{"a":{"x":["' || input || '"],"y":' || (pos % 3) || '},"z":"' || input || '"}') AS free,
+        sha256('{"b":"' || input || '","k":[' || v || ',{"x":[' || v || '],"y":true}],"😀":{},"\ufb01":null}') AS odd FROM (SELECT *, [""" + ", ".join(f"'{c}'" for _, c in WRITTEN) + f"][pos % {len(WRITTEN)} + 1] AS v FROM w)"),
     "reusable_work": _work("SELECT target_id, d AS input_digest, CASE WHEN EXISTS (SELECT 1 FROM w o WHERE NOT o.is_new AND o.good AND o.target_id = new.target_id AND o.d = new.d) THEN 'reuse' ELSE 'compute' END AS plan FROM new"),
     "stored_responses": _work("SELECT target_id, d AS input_digest, max(pos) AS stored_at FROM w WHERE NOT is_new OR good GROUP BY ALL"),
 }

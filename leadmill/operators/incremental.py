@@ -1,18 +1,27 @@
 """Reuse of earlier responses: digests of inputs, reusable and remaining work, and the store's upkeep.
 
 store and work have kind, target_id and input_digest; a store row also has response (JSON text) and stored_at (an order).
+
+On disk a store is a folder of Parquet files by kind and bucket (of target and digest). A batch rewrites the buckets that it has rows for, each with the
+latest row of every key, and leaves the files of all others alone. A batch may be written again at any time: the store stays the same.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leadmill.functions.canonical import json_digest  # noqa: F401: the digest of free-form JSON, beside that of typed values
+from leadmill.functions.lineage import settled
 from leadmill.functions.text import canonical
 from leadmill.operators.gates import validate
 
 KEY = ["kind", "target_id", "input_digest"]
+_COLUMNS = [*KEY, "response", "stored_at"]
+#: Buckets of a kind. A store keeps the number that it was begun with.
+BUCKETS = 64
 
 
 def typed_digest(value: Column, kind: T.DataType) -> Column:
@@ -20,14 +29,6 @@ def typed_digest(value: Column, kind: T.DataType) -> Column:
     return F.sha2(canonical(value, kind), 256)
 
 
-def json_digest(text: Column) -> Column:
-    """sha256 of free-form JSON with its keys sorted at every level; null where it isn't JSON, or names a key twice in an object.
-
-    Parsed JSON keeps keys sorted and writes numbers in their shortest form (1.0 as 1); only numbers with an exponent keep a fraction (1e2 as 100.0).
-    """
-    return F.sha2(F.to_json(F.try_parse_json(text)), 256)
-
-
 def usable_store(store: DataFrame, contract: str, prefix: str = "F-") -> DataFrame:
     """Stored rows whose response still meets its contract; a broken one is a miss, never an error."""
     return validate(contract, store, "response", prefix).where("valid").drop("valid", "errors")
@@ -46,5 +47,28 @@ def latest_of(store: DataFrame) -> DataFrame:
 
 def stored(store: DataFrame, fresh: DataFrame) -> DataFrame:
     """The store with fresh responses that passed all gates (`passed`); a later one of the same key takes its place."""
-    columns = [*KEY, "response", "stored_at"]
-    return latest_of(store.select(*columns).union(fresh.where("passed").select(*columns)))
+    return latest_of(store.select(*_COLUMNS).union(fresh.where("passed").select(*_COLUMNS)))
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of the store in a folder, or null where there is none yet."""
+    try:
+        return spark.read.parquet(path).select(*_COLUMNS, "bucket")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def write_store(fresh: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Adds fresh responses that passed all gates (`passed`) to the store in a folder; a later one of the same key takes its place.
+
+    What is written is settled first, so a task that runs again never reads files that this batch has replaced.
+    """
+    new = fresh.where("passed").select(*_COLUMNS, F.pmod(F.xxhash64("target_id", "input_digest"), F.lit(buckets)).cast("int").alias("bucket"))
+    old = read_store(fresh.sparkSession, path)
+    if old is not None:
+        touched = new.select("kind", "bucket").distinct()  # at most `buckets` rows for each kind
+        new = old.join(F.broadcast(touched), ["kind", "bucket"], "left_semi").select(*new.columns).union(new)
+    rows = settled(latest_of(new)).repartition("kind", "bucket")
+    rows.write.partitionBy("kind", "bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)

@@ -436,11 +436,100 @@ def test_incremental(spark):
     texts = spark.createDataFrame([('{"b": [2, 1], "a": {"d": null, "c": "é"}}',), ('{"a":{"c":"é","d":null},"b":[2,1]}',), ('{"a":{"c":"é","d":null},"b":[1,2]}',), ("no",)], "t string")
     a, b, c, d = (r.x for r in texts.select(incremental.json_digest(F.col("t")).alias("x")).collect())
     assert a == b != c and d is None
-    odd = {r'{"a":"\u0001\n\"\\/é😀"}': r'{"a":"\u0001\n\"\\/é😀"}', '{"z":1.0,"a":1.50,"n":-0,"m":12345678901234567890}': '{"a":1.5,"m":12345678901234567890,"n":0,"z":1}', '{"10":[true,{"c":1,"b":[]}],"9":2,"1":"x y"}': '{"1":"x y","10":[true,{"b":[],"c":1}],"9":2}', '{"😀":1,"￮":2}': '{"😀":1,"￮":2}', "[]": "[]"}
+    odd = {r'{"a":"\u0001\n\"\\/é😀"}': r'{"a":"\u0001\n\"\\/é😀"}', '{"z":1.0,"a":1.50,"n":-0,"m":12345678901234567890}': '{"a":1.5,"m":12345678901234567000,"n":0,"z":1}', '{"10":[true,{"c":1,"b":[]}],"9":2,"1":"x y"}': '{"1":"x y","10":[true,{"b":[],"c":1}],"9":2}', '{"😀":1,"￮":2}': '{"😀":1,"￮":2}', "[]": "[]"}
     got = spark.createDataFrame(list(odd.items()), "t string, plain string").select(incremental.json_digest(F.col("t")).alias("x"), F.sha2("plain", 256).alias("y")).collect()
     assert all(r.x == r.y for r in got) and len(got) == len(odd)
 
 
+def test_canonical_json():
+    from leadmill.functions.canonical import canonical_json, number_text
+
+    numbers = {"1e2": "100", "1e400": "null", "-1e400": "null", "1.5e-7": "1.5e-7", "-0": "0", "-0.0": "0", "0.000001": "0.000001", "0.0000001": "1e-7", "1e21": "1e+21", "1e20": "100000000000000000000", "123456789012345680000": "123456789012345680000",
+        "9007199254740993": "9007199254740992", "12345678901234567890": "12345678901234567000", "5e-324": "5e-324", "1.7976931348623157e308": "1.7976931348623157e+308", "0.1": "0.1", "100": "100", "1.0": "1", "-2.50": "-2.5", "1" * 5000: "null", "4.35": "4.35", "1e-6": "0.000001"}
+    assert {k: canonical_json(k) for k in numbers} == numbers
+    assert number_text(123.0) == "123" and number_text(1e23) == "1e+23"
+    assert canonical_json('{"b":1,"a":{"y":[],"x":{}},"b":[2,{"z":null,"é":true}]}') == '{"a":{"x":{},"y":[]},"b":[2,{"z":null,"é":true}]}'
+    assert canonical_json(r'"\ud800\udc00\udfff\u2028\t\u007f\u001f"') == '"\U00010000\\udfff\u2028\\t\x7f\\u001f"'
+    assert canonical_json('{"\U00010000":1,"\uffff":2,"10":3,"9":4}') == '{"10":3,"9":4,"\U00010000":1,"\uffff":2}'  # by UTF-16 units
+    assert [canonical_json(t) for t in (None, "", "NaN", "[Infinity]", "{'a':1}", "[1,]", '"\n"', "01", "\ufeff1", '{"a":1} x')] == [None] * 10
+
+
+def test_store_on_disk(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert incremental.read_store(spark, path) is None
+    kind = "kind string, target_id string, input_digest string, response string, stored_at long, passed boolean"
+    first = spark.createDataFrame([("k", f"t{i}", "d", f"r{i}", 1, i % 3 != 0) for i in range(40)] + [("other", "t", "d", "x", 1, True)], kind)
+    incremental.write_store(first, path, buckets=4)
+    rows = lambda: sorted(tuple(r)[:5] for r in incremental.read_store(spark, path).collect())
+    want = sorted([("k", f"t{i}", "d", f"r{i}", 1) for i in range(40) if i % 3] + [("other", "t", "d", "x", 1)])
+    assert rows() == want
+    incremental.write_store(first, path, buckets=4)
+    assert rows() == want
+    files_ = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    before = files_()
+    later = spark.createDataFrame([("k", "t1", "d", "new", 2, True), ("k", "t1", "d", "old", 0, True), ("k", "t2", "d", "refused", 9, False)], kind)
+    incremental.write_store(later, path, buckets=4)
+    assert rows() == sorted([w for w in want if w[1] != "t1"] + [("k", "t1", "d", "new", 2)])
+    changed = {f.rsplit("/", 1)[0] for f in before.items() ^ files_().items() for f in [f[0]]}
+    assert len(changed) == 1 and not any("other" in f for f in changed)
+
+
+def test_numbering_spreads_a_hot_group(spark):
+    from leadmill.functions.numbering import numbered
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("k"), "id")
+    got = numbered(rows, ["g"], [F.col("k")], "n")
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (str(r.g), r.k)):
+        want.setdefault(r.g, []).append(r.id)
+    found = got.collect()
+    assert {(r.g, r.id): r.n for r in found} == {(g, i): k for g, ids in want.items() for k, i in enumerate(ids, 1)} and len(found) == 3000
+    assert got.columns == ["g", "k", "id", "n"]
+
+
+def test_values_of_other_json_types(spark):
+    lines = {"3.0": 3, "1e1": 10, "99999999999": 99999999999, "2.5": None, '"3"': None, "true": None, "null": None, "0": None, "-1": None, "1e300": None, "{}": None}
+    one = lambda line, more="": '{"locations":[{"physicalLocation":{"artifactLocation":{"uri":"src/a.java"},"region":{"startLine":%s}}}]%s}' % (line, more)  # noqa: E731, UP031
+    more = [',"ruleId":7,"rule":{"id":"r"}', ',"ruleId":"","rule":{"id":"r"}', ',"ruleId":[],"rule":{"id":2,"index":1.0}', ',"rule":{"index":-1}', ',"message":"m"', ',"message":{"text":5}', ',"codeFlows":{},"message":{"text":"ok"}']
+    odd = ["5", "null", '"x"', '{"locations":{}}', '{"locations":[{"physicalLocation":3}]}', '{"locations":[{"physicalLocation":{"region":{"startLine":1},"artifactLocation":{"uri":7}}}]}']
+    results = [one(x) for x in lines] + [one(1, x) for x in more] + odd
+    text = '{"version":"2.1.0","runs":[7,{"tool":{"driver":{"name":5,"rules":[{"id":"a"},{"id":"b"}]}},"results":[%s]},{"results":{}},null]}' % ",".join(results)  # noqa: UP031
+    docs = spark.createDataFrame([("r", "d", text)], "run_id string, doc string, text string")
+    manifest = spark.createDataFrame([("r", "src/a.java")], "run_id string, file string")
+    rules = spark.createDataFrame([("unknown", 0, None, "", "any")], "tool string, pos int, rule string, prefix string, vuln_class string")
+    got = leads.resolved_results(docs, manifest, rules, "/work/app").orderBy("pos").collect()
+    assert [r.line if r.drop is None else None for r in got[: len(lines)]] == list(lines.values())
+    at = len(lines)
+    assert [r.rule_id for r in got[at : at + 4]] == ["r", "unknown", "b", "unknown"] and {r.vuln_class for r in got} == {"any"} and {r.tool for r in got} == {"unknown"}
+    assert [r.drop for r in got[at + 7 :]] == ["bad_location"] * 5 + ["bad_uri"]
+    found = leads.leads(leads.resolved_results(docs, manifest, rules, "/work/app")).orderBy("lead_id").collect()
+    assert [r.message for r in found[-3:]] == ["", "", "ok"] and found[2].line == 99999999999
+
+
+def test_rule_index_with_many_entries(spark):
+    n = 100_000
+    entry = F.col("id")
+    rules = spark.range(n).select(F.lit("t").alias("tool"), entry.cast("int").alias("pos"), F.when(entry % 2 == 0, F.concat(F.lit("rule."), entry)).alias("rule"), F.when(entry % 2 == 1, F.concat(F.lit("p"), (entry % 977).cast("string"), F.lit("."))).alias("prefix"), F.concat(F.lit("c"), entry).alias("vuln_class"))
+    ids = ["rule.8", "rule.80", "p5.x", "p5", "q", "p976.", "rule.99998", ""]
+    rows = spark.createDataFrame([("t", i) for i in ids] + [("other", "rule.8")], "tool string, rule_id string")
+    got = {(r.tool, r.rule_id): r.vuln_class for r in leads.mapped_class(rows, rules).collect()}
+    assert got == {("t", "rule.8"): "c8", ("t", "rule.80"): "c80", ("t", "p5.x"): "c5", ("t", "p5"): "unknown", ("t", "q"): "unknown", ("t", "p976."): "c1953", ("t", "rule.99998"): "c99998", ("t", ""): "unknown", ("other", "rule.8"): "unknown"}
+
+
+def test_automata_count_as_the_join_does(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    words = lambda n: [r.choice(["ab", "aba", "b", "ba_", "@ab", "é", "a.b", "xx"]) + r.choice(["", "a", "1"]) for _ in range(n)]
+    tokens = spark.createDataFrame([("s", [*words(400), "", None], words(9), words(3), [*words(6), "aba"]), ("t", None, [], ["a"], [])], "stack string, sources array<string>, sinks array<string>, sanitizers array<string>, auth_markers array<string>")
+    texts = ["".join(r.choice(["ab", "a", "b", "_", "@", "é", ".", " ", "x", "1", "\n"]) for _ in range(r.randrange(60))) for _ in range(150)] + [None, ""]
+    files_ = spark.createDataFrame([("r", "p", r.choice(["s", "t", "u"]), str(i), x, None) for i, x in enumerate(texts)], "run_id string, partition_id string, stack string, path string, content string, skip_reason string")
+    plain = lambda: sorted(map(tuple, surface.file_hits(files_, tokens).collect()))
+    fast = plain()
+    monkeypatch.setattr(surface, "AUTOMATA", -1)
+    assert fast == plain() and any(x[10] for x in fast)
+
+
 def test_real_app_score(spark):
     f = spark.createDataFrame([("r", "F-1", "sqli", ("a", 1), "accepted"), ("r", "F-2", "xss", ("b", 1), "accepted"), ("r", "F-3", "sqli", ("c", 1), "rejected")], "run_id string, finding_id string, vuln_class string, source struct<file:string,line:int>, verification_status string")
     c = spark.createDataFrame([("r", "CHAIN-1", ["F-1", "F-2"])], "run_id string, chain_id string, finding_ids array<string>")

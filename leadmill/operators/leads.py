@@ -121,13 +121,16 @@ def mapped_class(rows: DataFrame, rule_map: DataFrame) -> DataFrame:
     return rows.join(found, ["tool", "rule_id"], "left").select(*rows.columns, F.coalesce("__class", F.lit("unknown")).alias("vuln_class"))
 
 
-def resolved_results(docs: DataFrame, manifest: DataFrame, rule_map: DataFrame, root: str) -> DataFrame:
-    """Every result with rule_id, vuln_class, file and line, or the reason why it's dropped."""
-    rows = exploded(docs).withColumn("rule_id", rule_id())
-    rows = settled(located(rows, at(F.col("result"), "$.locations[0]"), root))  # read twice below, parsed once
+def resolved(rows: DataFrame, manifest: DataFrame, rule_map: DataFrame, root: str) -> DataFrame:
+    """`rows` of `exploded`, or of large_sarif.exploded_pieces, with rule_id, vuln_class, file and line, or the reason why a result is dropped."""
+    rows = settled(located(rows.withColumn("rule_id", rule_id()), at(F.col("result"), "$.locations[0]"), root))  # read twice below, parsed once
     return mapped_class(confined(rows, manifest, "abs", root), rule_map)
 
 
+def resolved_results(docs: DataFrame, manifest: DataFrame, rule_map: DataFrame, root: str) -> DataFrame:
+    return resolved(exploded(docs), manifest, rule_map, root)
+
+
 def codeflows(results: DataFrame, manifest: DataFrame, root: str) -> DataFrame:
     """run_id, doc, run, pos, codeflow: the first MAX_STEPS steps of the first thread flow that resolve."""
     key = ["run_id", "doc", "run", "pos"]

@@ -506,6 +506,66 @@ def test_values_of_other_json_types(spark):
     assert [r.message for r in found[-3:]] == ["", "", "ok"] and found[2].line == 99999999999
 
 
+def test_walk_agrees_with_a_json_parser():
+    import random
+
+    from leadmill.sources.large_sarif import NOT_JSON, Walk
+
+    r = random.Random(9)
+    whole = sarif()
+    whole["runs"][0]["results"][0]["message"]["text"] = 'a } " \\ \u20ac ] { é\n'
+    whole["x"] = [[], {}, [1, -2.5e3, None, True, {"results": [1]}]]
+    texts = [json.dumps(whole), json.dumps(whole, indent=2, ensure_ascii=False), '{"version":"2.1.0","runs":[]}', '{"runs":[{"results":[5,"x",[1,{}],null]},7],"version":"2.1.0"} ', "5", "", "[]", '{"version":"2.1.0"}', '{"version":"2","runs":[]}', '{"version":"2.1.0","runs":{}}']
+    texts += [t[:k] + c + t[k + (c == ""):] for t in texts[:4] for k, c in ((r.randrange(len(t)), r.choice(["", "}", ",", '"', "x", "\\", "[", "\n\x01", " "])) for _ in range(150))]
+    for text in texts:
+        try:
+            doc = json.loads(text, parse_constant=lambda _: 1 / 0)
+            good = True
+        except (ValueError, ZeroDivisionError):
+            good = False
+        walk, out, at = Walk(), [], 0
+        while at < len(text):
+            n = r.randint(1, 40)
+            out += walk.feed(text[at : at + n])
+            at += n
+        out += walk.close()
+        assert (walk.error == NOT_JSON) == (not good), text
+        if not walk.error:
+            want = [(i, k, x) for i, run in enumerate(doc["runs"]) if isinstance(run, dict) and isinstance(run.get("results"), list) for k, x in enumerate(run["results"])]
+            assert [(i, k, json.loads(x)) for kind, i, k, x in out if kind == "result"] == want
+            assert [json.loads(x) for kind, i, k, x in out if kind == "tool"] == [run["tool"] for run in doc["runs"] if isinstance(run, dict) and "tool" in run]
+
+
+def test_large_files_are_read_in_pieces(spark, tmp_path):
+    from leadmill.functions.lineage import settled
+    from leadmill.sources import large_sarif
+
+    (tmp_path / "in" / "r").mkdir(parents=True)
+    texts = {"a": json.dumps(sarif()), "b": "nope", "c": json.dumps(sarif(version="2.0.0")), "d": '{"version":"2.1.0","runs":5}', "e": json.dumps(sarif())[:-1], "f": json.dumps(sarif(), indent=1) + "\n\n", "g": json.dumps(sarif()) + "}"}
+    for name, text in texts.items():
+        (tmp_path / "in" / "r" / name).write_text(text)
+    manifest = spark.createDataFrame([("r", "src/a.java")], "run_id string, file string")
+    rules = spark.createDataFrame([("semgrep", 0, None, "java.sqli", "sqli")], "tool string, pos int, rule string, prefix string, vuln_class string")
+    docs = spark.createDataFrame([("r", n, t) for n, t in texts.items() if n != "g"], "run_id string, doc string, text string")  # text after a document's end is let pass there
+    pieces = settled(large_sarif.read_pieces(spark, str(tmp_path / "in" / "*")))
+    found = {r.doc: r.error for r in large_sarif.piece_errors(pieces).collect()}
+    assert found == {r.doc: r.error for r in leads.document_errors(docs).collect()} | {"g": large_sarif.NOT_JSON}
+    as_rows = lambda results: sorted(map(str, leads.leads(results, leads.codeflows(results, manifest, "/work/app")).collect()))
+    assert as_rows(leads.resolved(large_sarif.exploded_pieces(pieces), manifest, rules, "/work/app")) == as_rows(leads.resolved_results(docs, manifest, rules, "/work/app"))
+    # A file of many blocks: no row holds more than a result.
+    (tmp_path / "big" / "r").mkdir(parents=True)
+    one, n = json.dumps(sarif()["runs"][0]["results"][1]), 60_000
+    with (tmp_path / "big" / "r" / "x").open("w") as f:
+        f.write('{"runs":[{"results":[' + one + ("," + one) * (n - 1) + '],"tool":{"driver":{"name":"late"}}}],"version":"2.1.0"}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        big = settled(large_sarif.read_pieces(spark, str(tmp_path / "big" / "*")))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    rows = large_sarif.exploded_pieces(big)
+    assert rows.where("tool = 'late'").select(F.countDistinct("pos"), F.max("pos")).first()[:] == (n, n - 1) and big.select(F.max(F.length("text"))).first()[0] <= len(one) and large_sarif.piece_errors(big).count() == 0
+
+
 def test_rule_index_with_many_entries(spark):
     n = 100_000
     entry = F.col("id")

@@ -47,3 +47,20 @@ def text_volume(docs: DataFrame, name: str = "text") -> tuple[int, int]:
 
 def parts(amount: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(amount / each))
+
+
+#: Rows of one key in a task, and rows up to which a table of hot keys is broadcast (its keys are short).
+DEALT, FEW = 1 << 14, 1 << 16
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, how: str = "inner", each: int = DEALT) -> DataFrame:
+    """`left` joined with `right` by `key`, the rows of a hot key of `left` dealt to as many tasks as their count needs; `right` goes to each of these once.
+
+    `left` is read twice. Null keys join nothing.
+    """
+    hot = reliable(left.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > each).select(key, F.ceil(F.col("__n") / each).cast("int").alias("__salts")))
+    hot = F.broadcast(hot) if hot.count() <= FEW else hot
+    salts = F.coalesce("__salts", F.lit(1))
+    dealt = left.join(hot, key, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("__salts")
+    sent = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return dealt.join(sent.hint("merge"), [key, "__salt"], how).drop("__salt")

@@ -4,14 +4,16 @@
    says is compared with every template, so a notice that is wrapped over lines, stands in a comment, or beside other prose is seen as a
    whole; a licence file, and any text with no more pieces than the largest window, is compared as a whole, too. Weights are term count times ln((1 + templates) / (1 + templates with the term)) + 1, so
    they don't depend on the corpus. Windows count from a cosine of `least` on; of these a file gets the license that matches most weight (the
-   product of the window with the unit template), so that a license isn't taken for a shorter one that it contains.
+   product of the window with the unit template), so that a license isn't taken for a shorter one that it contains. A window that names versions, none of
+   which the template has, though it has some, isn't compared with it. A file with an SPDX line has the license expression that it states, read exactly, with similarity 1:
+   identifiers joined by OR, AND and WITH stay as they are.
 2. Bounds spare most windows the exact comparison: products are sums over pieces, and the norm is at least that of counts 1. They are computed for
    all windows at once in numpy; only a window whose bound reaches `least` is counted.
 3. A licence file (LICENSE..., LICENCE..., COPYING...) with a license declares it for its directory: of several the most similar one, then the
    least path.
 4. Distinct directories are joined with the declarations of their ancestors, themselves included, and take the deepest. Files without a
    license of their own get that of their directory. Scored rows are written once and read three times; only paths and names go
-   through the joins, whose keys are salted, so a hot directory, or a root with many below it, is SALTS keys.
+   through the joins; a hot directory, or a root with many below it, is dealt to as many tasks as it needs.
 
 Cases: a null or empty text has no license of its own. A very long text is read to its end, SLICE characters' worth of texts at a time. A null path is in
 no directory: it neither declares nor inherits. Equal paths and repeated rows are each a file. Equal weights go to the higher similarity, then to the license's least name. Null
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm.common import reliable, whole_text
+from leadmill.llm.common import join_dealt, reliable, whole_text
 from leadmill.llm.pieces import slices
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
@@ -44,6 +46,12 @@ _BSD_3 = _BSD + """ 3. Neither the name of the copyright holder nor the names of
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed
 to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_LGPL_21 = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+_ONLY = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} version {} as published by the Free Software Foundation."
+_GPL_BEGIN = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble The licenses for most software are designed to take away your freedom to share and change it."
+_0BSD = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
+_BOOST = 'Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software'
+_EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"
 
 #: SPDX ids, and texts by which files declare them: titles, notices, headers, and whole short licenses.
 TEMPLATES = (
@@ -53,41 +61,42 @@ TEMPLATES = (
     ("MIT", "Licensed under the MIT license. See LICENSE in the project root for license information."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MIT", _MIT),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("ISC", _ISC),
-    ("ISC", "SPDX-License-Identifier: ISC"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("Apache-2.0", _APACHE),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", _GNU.format("General Public License", 3)),
+    ("GPL-3.0-or-later", _GNU.format("General Public License", 3)),
+    ("GPL-3.0-only", _ONLY.format("General Public License", 3)),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. " + _GPL_BEGIN.replace("most software", "most software and other practical works")),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-2.0", _GNU.format("General Public License", 2)),
+    ("GPL-2.0-or-later", _GNU.format("General Public License", 2)),
+    ("GPL-2.0-only", _ONLY.format("General Public License", 2)),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
-    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. " + _GPL_BEGIN),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("LGPL-3.0", _GNU.format("Lesser General Public License", 3)),
+    ("LGPL-3.0-or-later", _GNU.format("Lesser General Public License", 3)),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
-    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1-or-later", _LGPL_21),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("AGPL-3.0", _GNU.format("Affero General Public License", 3)),
+    ("AGPL-3.0-or-later", _GNU.format("Affero General Public License", 3)),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
-    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"),
+    ("EPL-2.0", _EPL),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", _BOOST),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("0BSD", _0BSD),
+    ("0BSD", "BSD Zero Clause License"),
     ("BSD-2-Clause", _BSD),
-    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", _BSD_3),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
-    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -98,19 +107,26 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying of this file is prohibited, proprietary and confidential."),
 )
-LEAST, WINDOWS, SALTS = 0.7, (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32), 16
+LEAST, WINDOWS = 0.7, (*range(1, 13), 14, 16, 20, 24, 28, 32)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWERED = str.maketrans(UPPER, LOWER)
 _TERM = re.compile("[a-z0-9]+")
 _SENTENCE_END = re.compile("([.!?])[ \t]+")
 _LICENCE_FILE = r"^(?i)(LICEN[SC]E|COPYING)[^/]*$"
 _SLACK = 1e-6
+VERSION = r"\bv(?:ersion)?[ .]{0,2}([0-9]+(?:[.][0-9]+)?)"
+_ID = "[A-Za-z0-9.+-]+"
+SPDX = rf"SPDX-License-Identifier:[ \t]*([(]*{_ID}[)]*(?: +(?:OR|AND|WITH) +[(]*{_ID}[)]*)*)"
 
 
-def pieces(text: str) -> list[list[str]]:
-    """The terms of each piece that has any."""
+def pieces(text: str) -> list[tuple[list[str], list[str]]]:
+    """The terms of each piece that has any, and the versions that it names, without `.0`."""
     cut = _SENTENCE_END.sub(r"\1\n", text.translate(_LOWERED)).split("\n")
-    return [t for t in map(_TERM.findall, cut) if t]
+    return [(t, versions(x)) for x in cut if (t := _TERM.findall(x))]
+
+
+def versions(text: str) -> list[str]:
+    return [v.removesuffix(".0") for v in re.findall(VERSION, text, re.ASCII)]
 
 
 class Templates:
@@ -122,6 +138,7 @@ class Templates:
         self.idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in in_templates.items()}
         self.other = math.log(1 + len(templates)) + 1
         self.names = [name for name, _ in templates]
+        self.versions = [set(versions(text.translate(_LOWERED))) for _, text in templates]
         self.by_term: dict[str, list[tuple[int, float]]] = {}
         for k, c in enumerate(counts):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in c.items()))
@@ -135,19 +152,20 @@ class Templates:
             for k, w in self.by_term[t]:
                 self.product[i, k] = self.idf[t] * w
 
-    def match(self, terms: list[str], least: float) -> tuple[float, float, str] | None:
+    def match(self, window: list[tuple[list[str], list[str]]], least: float) -> tuple[float, float, str] | None:
         """-weight, -similarity and license of a window's best template at `least` or more."""
-        count, dots = Counter(terms), {}
+        count, dots = Counter(t for terms, _ in window for t in terms), {}
+        named = {v for _, own in window for v in own}
         for t, n in count.items():
             for k, w in self.by_term.get(t, ()):
                 dots[k] = dots.get(k, 0.0) + n * self.idf[t] * w
         norm = math.sqrt(sum((n * self.idf.get(t, self.other)) ** 2 for t, n in count.items()))
-        return min(((-round(d, 6), -round(d / norm, 6), self.names[k]) for k, d in dots.items() if round(d / norm, 6) >= least), default=None)
+        return min(((-round(d, 6), -round(d / norm, 6), self.names[k]) for k, d in dots.items() if round(d / norm, 6) >= least and not (named and self.versions[k] and named.isdisjoint(self.versions[k]))), default=None)
 
-    def windows(self, texts: list[list[list[str]]], least: float) -> Iterator[tuple[int, int, int]]:
+    def windows(self, texts: list[list[tuple[list[str], list[str]]]], least: float) -> Iterator[tuple[int, int, int]]:
         """(text, first piece, last piece + 1) of all windows whose similarity may reach `least`."""
         of_text = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        flat = [p for t in texts for p in t]
+        flat = [terms for t in texts for terms, _ in t]
         if not flat:
             return
         number = np.fromiter((self.number.get(t, 0) for p in flat for t in p), np.int64)
@@ -175,10 +193,11 @@ class Templates:
         spans = [*self.windows(cut, least), *((k, 0, len(c)) for k, (c, w) in enumerate(zip(cut, whole, strict=True)) if c and (w or len(c) <= WINDOWS[-1]))]
         found: list[tuple[float, float, str] | None] = [None] * len(texts)
         for k, a, b in spans:
-            m = self.match([t for p in cut[k][a:b] for t in p], least)
+            m = self.match(cut[k][a:b], least)
             if m and (found[k] is None or m < found[k]):
                 found[k] = m
-        return [(-m[1], m[2]) if m else (None, None) for m in found]
+        stated = [re.search(SPDX, t, re.ASCII) if "SPDX-License-Identifier:" in t else None for t in texts]
+        return [(1.0, re.sub(" +", " ", s[1])) if s else (-m[1], m[2]) if m else (None, None) for s, m in zip(stated, found, strict=True)]
 
 
 def _file_name(path: Column) -> Column:
@@ -209,11 +228,9 @@ def licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", t
     dirs = rows.where("dir is not null").select("dir").distinct()
     names = F.split("dir", "/")
     ancestors = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.array_join(F.slice(names, F.lit(1), i), "/")))
-    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
-    near = dirs.select("dir", F.posexplode(F.array_distinct(ancestors)).alias("depth", "from_dir")).withColumn("salt", salt(F.col("dir"))).join(declared.withColumn("salt", every), ["from_dir", "salt"])
+    near = join_dealt(dirs.select("dir", F.posexplode(F.array_distinct(ancestors)).alias("depth", "from_dir")), declared, "from_dir")
     near = near.groupBy("dir").agg(F.max(F.struct("depth", "from_dir", "declared")).alias("n")).select("dir", F.col("n.from_dir").alias("from_dir"), F.col("n.declared").alias("declared"))
-    out = rows.withColumn("salt", salt(F.coalesce("doc_id", F.xxhash64("path")))).join(near.withColumn("salt", every), ["dir", "salt"], "left")
+    out = join_dealt(rows, reliable(near), "dir", "left")
     inherits = F.col("own_license").isNull()
     return out.select("doc_id", "path", "similarity", "own_license", F.coalesce("own_license", "declared").alias("license"), F.when(inherits, F.col("from_dir")).alias("from_dir"))
 
@@ -238,12 +255,14 @@ tf AS (SELECT k, name, term, count(*) AS n FROM tt GROUP BY ALL),
 idf AS (SELECT term, ln((1 + {len(TEMPLATES)}) / (1.0 + count(DISTINCT k))) + 1 AS idf FROM tf GROUP BY term),
 tw AS (SELECT k, name, term, n * idf AS w FROM tf JOIN idf USING (term)),
 tn AS (SELECT k, sqrt(sum(w * w)) AS norm FROM tw GROUP BY k),
+tv AS (SELECT k, list_transform(regexp_extract_all(translate(body, '{UPPER}', '{LOWER}'), '{VERSION}', 1), lambda x: regexp_replace(x, '[.]0$', '')) AS versions FROM template),
 files AS (
   SELECT doc_id, coalesce(text, '') AS text,
     source || CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN '/a' || (doc_id % 7) ELSE '/a' || (doc_id % 7) || '/b' || (doc_id % 5) END AS dir,
     CASE WHEN doc_id % 3 = 0 THEN 'LICENSE.' ELSE 'f' END || doc_id AS name
   FROM documents),
-cut AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '([.!?])[ \t]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: regexp_extract_all(x, '[a-z0-9]+')), lambda x: len(x) > 0) AS p FROM files),
+raw AS (SELECT doc_id, list_filter(string_split(regexp_replace(translate(text, '{UPPER}', '{LOWER}'), '([.!?])[ \t]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: regexp_matches(x, '[a-z0-9]')) AS x FROM files),
+cut AS (SELECT doc_id, list_transform(x, lambda y: regexp_extract_all(y, '[a-z0-9]+')) AS p, list_transform(x, lambda y: list_transform(regexp_extract_all(y, '{VERSION}', 1), lambda z: regexp_replace(z, '[.]0$', ''))) AS v FROM raw),
 win AS (SELECT doc_id, i, n FROM (SELECT doc_id, len(p) AS np, unnest(range(1, len(p) + 1)) AS i FROM cut) x, (SELECT unnest({list(WINDOWS)}) AS n) y WHERE i + n - 1 <= np
   UNION ALL SELECT doc_id, 0, len(p) FROM cut WHERE len(p) > 0 AND (doc_id % 3 = 0 OR len(p) <= {WINDOWS[-1]})),
 wt AS (SELECT w.doc_id, w.i, w.n, unnest(flatten(p[greatest(w.i, 1) : greatest(w.i, 1) + w.n - 1])) AS term FROM win w JOIN cut USING (doc_id)),
@@ -251,9 +270,12 @@ wf AS (SELECT doc_id, i, n, term, count(*) AS c FROM wt GROUP BY ALL),
 ww AS (SELECT doc_id, i, n, wf.term, c * coalesce(idf, ln(1 + {len(TEMPLATES)}) + 1) AS w, idf IS NOT NULL AS known FROM wf LEFT JOIN idf ON wf.term = idf.term),
 wn AS (SELECT doc_id, i, n, sqrt(sum(w * w)) AS norm, sqrt(sum(w * w) FILTER (known)) / sqrt(sum(w * w)) AS most FROM ww GROUP BY ALL),
 dots AS (SELECT ww.doc_id, ww.i, ww.n, wn.norm, tw.k, tw.name, sum(ww.w * tw.w) AS dot FROM wn JOIN ww ON ww.doc_id = wn.doc_id AND ww.i = wn.i AND ww.n = wn.n AND wn.most > {LEAST - 0.01} JOIN tw ON ww.term = tw.term GROUP BY ALL),
-sims AS (SELECT doc_id, name, round(dot / tn.norm, 6) AS weight, round(dot / (dots.norm * tn.norm), 6) AS s FROM dots JOIN tn USING (k)),
+sims AS (
+  SELECT doc_id, name, round(dot / tn.norm, 6) AS weight, round(dot / (dots.norm * tn.norm), 6) AS s FROM dots JOIN tn USING (k) JOIN tv USING (k) JOIN cut USING (doc_id)
+  WHERE len(versions) = 0 OR len(flatten(v[greatest(i, 1) : greatest(i, 1) + n - 1])) = 0 OR list_has_any(versions, flatten(v[greatest(i, 1) : greatest(i, 1) + n - 1]))),
+spdx AS (SELECT doc_id, regexp_replace(regexp_extract(text, '{SPDX}', 1), ' +', ' ', 'g') AS stated FROM files),
 best AS (SELECT doc_id, s, name FROM sims WHERE s >= {LEAST} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, s DESC, name) = 1),
-own AS (SELECT f.doc_id, f.dir, f.name AS file, f.dir || '/' || f.name AS path, s AS similarity, best.name AS own_license FROM files f LEFT JOIN best USING (doc_id)),
+own AS (SELECT f.doc_id, f.dir, f.name AS file, f.dir || '/' || f.name AS path, CASE WHEN stated <> '' THEN 1.0::DOUBLE ELSE s END AS similarity, CASE WHEN stated <> '' THEN stated ELSE best.name END AS own_license FROM files f LEFT JOIN best USING (doc_id) LEFT JOIN spdx USING (doc_id)),
 declared AS (SELECT dir AS from_dir, own_license AS declared FROM own WHERE own_license IS NOT NULL AND starts_with(file, 'LICENSE') QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, path) = 1),
 near AS (
   SELECT d.dir, from_dir, declared FROM (SELECT DISTINCT dir FROM own) d JOIN declared ON d.dir = from_dir OR starts_with(d.dir, from_dir || '/')

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -432,6 +433,29 @@ def test_scores_are_those_of_plain_ridge_and_plain_isotonic_regression(spark):
         assert abs(f @ g - exact(a, b)) < 0.06
 
 
+def plain_statistics(text):
+    """The 24 numbers by characters and loops."""
+    import math
+
+    data = text.encode()
+    words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
+    lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+    sizes = [len(w.encode()) for w in words]
+    share = lambda chars: sum(chr(c) in chars for c in data if c < 128) / max(1, len(data))
+    out = [math.log(1 + len(data)), math.log(1 + len(words)), sum(sizes) / max(1, len(words)), len(set(words)) / max(1, len(words)), math.log(1 + max(sizes, default=0)), math.log(1 + len(lines)), len(set(lines)) / max(1, len(lines)), math.log(1 + len(words) / max(1, len(lines)))]
+    out += [share(c) for c in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".?:;", ",", "!", "#*$%&<>@^~_=+", "|/\\", "()[]{}", "'\"`")]
+    out += [share({chr(i) for i in range(32)} - {"\t", "\n", "\r"}), sum(c >= 128 for c in data) / max(1, len(data)), share("\t\n\v\f\r ")]
+    out += [sum(n <= 3 for n in sizes) / max(1, len(words)), sum(w[-1] in ".!?" for w in words) / max(1, len(words))]
+    counts = [data.count(bytes([i])) for i in range(256)]
+    return [*out, -sum(c / len(data) * math.log(c / len(data)) for c in counts if c)]
+
+
+def test_statistics_by_plain_loops(spark, sf_dir):
+    texts = [t or "" for t in rows(spark, sf_dir).values()] + [t or "" for _, t in brute.ODD] + ["\x01\x0b a\x0c(b) 'c' | é!\r\n\n x?", "über über\nüber über\n"]
+    for t in texts:
+        assert np.allclose(quality_model.statistics(t.encode()), plain_statistics(t)), t[:80]
+
+
 def test_statistics_of_awkward_texts(spark):
     docs = spark.createDataFrame([(None, "x" * 2_000_000), (1, ""), (1, None), (2, "a b " * 300_000), (2, "a b " * 300_000)], "doc_id long, text string").withColumns({c: F.lit(0) for c in ("x", "y", "r", "t", "score")})
     labels = spark.createDataFrame([(1, 1, "l"), (2, 0, "l"), (None, 1, "l"), (5, None, "l")], "doc_id long, quality int, x string")

@@ -142,6 +142,7 @@ def sarif_results(findings: DataFrame, chains: DataFrame, adjudications: DataFra
     out = f.union(c)
     if adjudications is not None:
         refuted, given = F.col("outcome") == "refuted", F.nullif("reason", F.lit(""))
+        # The texts that stand for a missing reason.
         out = out.union(adjudications.where("outcome in ('refuted', 'inconclusive')").select(
             "run_id", F.when(refuted, 3).otherwise(4), "lead_id", F.when(refuted, REFUTED_RULE).otherwise(OPEN_RULE), F.lit("note"), F.coalesce(given, F.when(refuted, f"refuted by {tool}").otherwise("inconclusive")), "file",
             F.col("line").cast("long"), null("string"), null("long"), null(_FLOW), null("string"), null("string"), refuted, F.when(refuted, F.coalesce(given, F.lit(f"{tool} assessed not exploitable"))),

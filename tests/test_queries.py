@@ -10,7 +10,7 @@ from leadmill.jobs.registry import ORACLE_SQL, QUERIES
 
 #: One of each area; the driver compares all of them.
 SOME = ("finding_merge", "finding_arrays", "resolved_chains", "batch_validation", "sarif_results", "matrices_by_category", "built_ledger", "surface_vectors", "budget_allocation", "sarif_leads", "lead_coverage", "parsed_truth", "stored_responses",
-        "sarif_documents", "junit_documents", "run_validation", "contract_gate", "refuted_leads", "coverage_ledger", "summary_documents", "flagged_cases", "input_digests")
+        "sarif_documents", "junit_documents", "run_validation", "contract_gate", "refuted_leads", "coverage_ledger", "summary_documents", "flagged_cases", "input_digests", "sarif_pieces", "surface_byte_files")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

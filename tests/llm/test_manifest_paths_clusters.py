@@ -200,6 +200,20 @@ def test_chosen_paths_recall_of_links_at_the_bound(spark):
     assert out.where("component_id = doc_id - doc_id % 2").count() >= 2 * 400 - 1
 
 
+@pytest.mark.parametrize("each", [7, 50, 1 << 18])
+def test_connected_finds_the_least_node_at_any_number_of_links_in_a_task(spark, each):
+    rng = np.random.default_rng(each)
+    pairs = {(int(max(p)), int(min(p))) for p in rng.integers(0, 300, (220, 2)).tolist() if p[0] != p[1]} | {(k + 1, k) for k in range(400, 460)}
+    root = {n: n for p in pairs for n in p}
+    while any(root[a] != root[b] for a, b in pairs):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    named = [(b"%03d" % a, b"%03d" % b) for a, b in sorted(pairs) * 2]  # links may repeat
+    got = chosen_paths.connected(spark.createDataFrame(named, "a binary, b binary").repartition(5), each).collect()
+    assert sorted((int(bytes(r["a"])), int(bytes(r["b"]))) for r in got) == sorted((n, r) for n, r in root.items() if n != r)
+    assert chosen_paths.connected(spark.createDataFrame([], "a binary, b binary"), each).count() == 0
+
+
 def test_joined_is_exact_for_dissimilar_groups(spark, monkeypatch):
     """Groups of many components and few links, far more members than pivots."""
     monkeypatch.setattr(chosen_paths, "DEALT", 20)

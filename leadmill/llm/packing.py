@@ -7,15 +7,16 @@
 2. A lexical key is a weighted min-hash of a document's terms: the two that come first in an exponential race, whose rates are the squared
    logarithms of their ranks, since a vocabulary gives rarer terms higher ranks. So documents with the same rare terms, above all near copies,
    get the same key, whatever else is in the corpus.
-3. Shards are ranges of keys with equal numbers of ids (about SHARD bytes); a key ends with a hash of the document's id, and equal keys are
-   parted by the hash of the ids, so a hot group of copies is cut too. A table that fits one shard is one.
+3. Spark's range partitioning deals documents by their keys. A task walks its range in order and cuts a shard at every SHARD bytes of text, about (half to one
+   and a half of that, less where a range is smaller), so that it holds one shard at a time and the driver knows no cuts. A key ends with a hash of the
+   document's id, and equal keys are parted by the hash of the ids, so a hot group of copies is cut too. A table that fits one shard is one.
 4. Each shard holds a BM25 inverted index over its documents, with the whole corpus's counts. A document that doesn't fill its
    window is the seed of a query with all its terms; the unused documents that score best follow it, in order, till the
    window is full. The one that doesn't fit is cut, and what is left of it seeds the next window. Where no unused document
    shares a term, the next unused one in order of ids follows.
 5. What is left at a shard's end is cut into sequences whose lengths are powers of two, so that nothing is padded.
 
-Retrieval still sees one shard (about SHARD bytes of text): a bound on memory and time per query at every size of the corpus.
+Retrieval sees one shard (about SHARD bytes of text): a bound on memory and time per query at every size of the corpus.
 Neighbours whose keys differ are missed; README.md has the measured recall.
 
 Cases: a null or empty text is the id 0 alone. A very long text is encoded whole and cut into as many windows as it fills. Null or equal ids and repeated
@@ -32,17 +33,19 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.llm.bpe_codec import read_ranks
 from leadmill.llm.common import parts, reliable, text_volume, whole_text
-from leadmill.llm.dealing import cuts
 from leadmill.llm.pieces import slices
 
 WINDOW, END = 1024, 0
 #: Bytes of text in a shard, about.
 SHARD = 12 << 20
+#: Ranges of keys, a task each: one for each shard up to TASKS, then at most IN_TASK shards each.
+TASKS, IN_TASK = 1 << 12, 1 << 6
 #: The special token that texts may hold as such, as the vocabulary's library takes it.
 SPECIAL = (("<|endoftext|>", 50256),)
 #: Terms of a query (None: all, so that none is lost), and documents that one query gives.
@@ -251,19 +254,36 @@ def packed(
     shards = parts(text_volume(docs, text_col)[1], shard_bytes)
     both = reliable(encoded(docs, ranks, special, id_col, text_col))
     corpus, rows = counted(both), both.where("key >= 0")
-    size, h = F.octet_length("ids").cast("long"), F.xxhash64("ids")
-    volume = rows.agg(F.sum(size)).first()[0] or 0
-    cut = cuts(rows.select(F.col("key").alias("id"), h.alias("h"), size.alias("n")), shards, max(1, volume // shards))
-    n = cut.n
+    each = max(1, round(corpus.n * corpus.mean) // shards)
+    n = max(min(shards, TASKS), parts(shards, IN_TASK))
+    order = ["key", F.xxhash64("ids")]
+    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "doc_id").select(F.spark_partition_id().alias("range"), "doc_id", "ids")
 
-    def run(table: pa.Table) -> pa.Table:
+    def shard(table: pa.Table, done: int) -> tuple[pa.RecordBatch, int]:
+        """The pieces of one shard, whose sequences are numbered from `done` on, and the next number."""
         kind = _encoder(ranks, special)[1]
         table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
-        shard, ids = table.column("shard")[0].as_py(), [np.frombuffer(x.as_buffer(), kind) for x in table.column("ids")]
+        ids = [np.frombuffer(x.as_buffer(), kind) for x in table.column("ids")]
         doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pack(ids, window, corpus, terms), strict=True))
         crc = [zlib.crc32(ids[d][a : a + k].astype("<u4").tobytes()) for d, a, k in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
         tokens = np.fromiter(map(len, ids), np.int64, len(ids))[doc]
-        columns = {"start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": tokens, "sequence_id": sequence * n + shard, "offset": offset}
-        return pa.table({"doc_id": table.column("doc_id").take(pa.array(doc)), **{k: pa.array(v) for k, v in columns.items()}})
+        number = (sequence + done) * n + table.column("range")[0].as_py()
+        columns = {"start": start, "length": length, "ids_crc32": np.array(crc, np.int64), "doc_tokens": tokens, "sequence_id": number, "offset": offset}
+        out = pa.table({"doc_id": table.column("doc_id").take(pa.array(doc)), **{k: pa.array(v) for k, v in columns.items()}})
+        return out.combine_chunks().to_batches()[0], done + int(sequence[-1]) + 1
 
-    return rows.select(cut.batch(F.col("key"), h).alias("shard"), "doc_id", "ids").groupBy("shard").applyInArrow(run, SCHEMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, held, done = _encoder(ranks, special)[1].itemsize, [], 0
+        for batch in batches:
+            held.append(batch)
+            while sum(pc.sum(pc.binary_length(b.column("ids"))).as_py() or 0 for b in held) >= 1.5 * each * width:
+                table = pa.Table.from_batches(held)
+                ends = np.cumsum(pc.binary_length(table.column("ids")).to_numpy().astype(np.int64))
+                cut = int(np.searchsorted(ends, each * width)) + 1
+                out, done = shard(table.slice(0, cut), done)
+                yield out
+                held = table.slice(cut).to_batches()
+        if sum(b.num_rows for b in held):
+            yield shard(pa.Table.from_batches(held), done)[0]
+
+    return ranged.mapInArrow(run, SCHEMA)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leadmill.llm import bpe_codec, chunk_fingerprints, license_scan, packing, planted_secrets, quality_model, queries, secret_scan, token_counts
+from leadmill.llm.common import documents
 from leadmill.llm.pieces import cut, plain
 from tests.llm import brute
 
@@ -140,6 +141,17 @@ def test_near_copies_have_equal_keys():
     assert packing.lexical_key(np.array([0], kind), packing.race(size)) == 0
 
 
+def test_a_task_walks_many_shards_whole_at_any_number_of_ranges(spark, sf_dir, monkeypatch):
+    path, docs, texts = public_tokenizers.path("byte_bpe_50k.tiktoken"), documents(spark, sf_dir), rows(spark, sf_dir)
+    monkeypatch.setattr(packing, "TASKS", 2)
+    volume = sum(len(t.encode()) for t in texts.values())
+    for in_task, bytes_ in ((1 << 6, volume // 20), (3, volume // 7), (1, 2000)):
+        monkeypatch.setattr(packing, "IN_TASK", in_task)
+        out = packing.packed(docs, path, shard_bytes=bytes_)
+        check_pieces(out.collect(), texts)
+        check_pieces(out.coalesce(1).collect(), texts)  # ranges that share a task keep their numbers apart
+
+
 def test_shards_part_equal_keys_and_small_tables_are_one(spark):
     text = "the same words in each of these documents, again and again "
     rows_ = [(i, text * 4) for i in range(300)] + [(None, f"{text} {i}") for i in range(100)] + [(7, None), (7, None), (None, "")]

@@ -7,8 +7,8 @@
 2. A lexical key is a weighted min-hash of a document's terms: the two that come first in an exponential race, whose rates are the squared
    logarithms of their ranks, since a vocabulary gives rarer terms higher ranks. So documents with the same rare terms, above all near copies,
    get the same key, whatever else is in the corpus.
-3. Spark's range partitioning deals documents by their keys. A task walks its range in order and cuts a shard at every SHARD bytes of text, about (half to one
-   and a half of that, less where a range is smaller), so that it holds one shard at a time and the driver knows no cuts. A key ends with a hash of the
+3. Documents are dealt by ranges of keys with equal numbers of ids; the driver holds two numbers for each range. A task walks its range in order and cuts a shard
+   at every SHARD bytes of text, about (half to one and a half of that), so that it holds one shard at a time however long the range is. A key ends with a hash of the
    document's id, and equal keys are parted by the hash of the ids, so a hot group of copies is cut too. A table that fits one shard is one.
 4. Each shard holds a BM25 inverted index over its documents, with the whole corpus's counts. A document that doesn't fill its
    window is the seed of a query with all its terms; the unused documents that score best follow it, in order, till the
@@ -39,13 +39,14 @@ from pyspark.sql import functions as F
 
 from leadmill.llm.bpe_codec import read_ranks
 from leadmill.llm.common import parts, reliable, text_volume, whole_text
+from leadmill.llm.dealing import cuts
 from leadmill.llm.pieces import slices
 
 WINDOW, END = 1024, 0
 #: Bytes of text in a shard, about.
 SHARD = 12 << 20
 #: Ranges of keys, a task each: one for each shard up to TASKS, then at most IN_TASK shards each.
-TASKS, IN_TASK = 1 << 12, 1 << 6
+TASKS, IN_TASK = 1 << 12, 1 << 8
 #: The special token that texts may hold as such, as the vocabulary's library takes it.
 SPECIAL = (("<|endoftext|>", 50256),)
 #: Terms of a query (None: all, so that none is lost), and documents that one query gives.
@@ -254,10 +255,13 @@ def packed(
     shards = parts(text_volume(docs, text_col)[1], shard_bytes)
     both = reliable(encoded(docs, ranks, special, id_col, text_col))
     corpus, rows = counted(both), both.where("key >= 0")
-    each = max(1, round(corpus.n * corpus.mean) // shards)
-    n = max(min(shards, TASKS), parts(shards, IN_TASK))
-    order = ["key", F.xxhash64("ids")]
-    ranged = rows.repartitionByRange(n, *order).sortWithinPartitions(*order, "doc_id").select(F.spark_partition_id().alias("range"), "doc_id", "ids")
+    tokens = round(corpus.n * corpus.mean)
+    each = max(1, tokens // shards)
+    ranges = max(min(shards, TASKS), parts(shards, IN_TASK))
+    width, h = _encoder(ranks, special)[1].itemsize, F.xxhash64("ids")
+    cut = cuts(rows.select(F.col("key").alias("id"), h.alias("h"), F.octet_length("ids").cast("long").alias("n")), ranges, max(1, tokens * width // ranges))
+    n = cut.n
+    ranged = rows.select(cut.batch(F.col("key"), h).alias("range"), "key", h.alias("h"), "doc_id", "ids").repartitionById(n, "range").sortWithinPartitions("key", "h", "doc_id").select("range", "doc_id", "ids")
 
     def shard(table: pa.Table, done: int) -> tuple[pa.RecordBatch, int]:
         """The pieces of one shard, whose sequences are numbered from `done` on, and the next number."""
@@ -273,16 +277,16 @@ def packed(
         return out.combine_chunks().to_batches()[0], done + int(sequence[-1]) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, held, done = _encoder(ranks, special)[1].itemsize, [], 0
+        held, done = [], 0
         for batch in batches:
             held.append(batch)
             while sum(pc.sum(pc.binary_length(b.column("ids"))).as_py() or 0 for b in held) >= 1.5 * each * width:
                 table = pa.Table.from_batches(held)
                 ends = np.cumsum(pc.binary_length(table.column("ids")).to_numpy().astype(np.int64))
-                cut = int(np.searchsorted(ends, each * width)) + 1
-                out, done = shard(table.slice(0, cut), done)
+                first = int(np.searchsorted(ends, each * width)) + 1
+                out, done = shard(table.slice(0, first), done)
                 yield out
-                held = table.slice(cut).to_batches()
+                held = table.slice(first).to_batches()
         if sum(b.num_rows for b in held):
             yield shard(pa.Table.from_batches(held), done)[0]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions.lineage import settled
 from leadmill.jobs.tables import ctes, table
-from leadmill.jobs.verdict_queries import Reviewed, _review
+from leadmill.jobs.verdict_queries import _review, reviewed
 from leadmill.operators import scoring as op
 
 
@@ -162,7 +162,7 @@ def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def real_app_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical findings against documented ones: every finding with n % 3 = 0, some under another class or file."""
-    r = Reviewed(spark, sf_dir)
+    r = reviewed(spark, sf_dir)
     n = F.col("number")
     documented = r.findings.where("number % 3 = 0").select("run_id", F.concat(F.lit("V-"), n.cast("string")).alias("id"), F.when(n % 2 == 0, "injection").otherwise(F.col("vuln_class")).alias("vuln_class"), F.when(n % 9 == 0, "src/none.java").otherwise(F.col("source.file")).alias("file"))
     analyzed = r.findings.select("run_id", F.col("source.file").alias("file")).distinct()

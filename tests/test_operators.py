@@ -618,3 +618,37 @@ def test_sarif_stream(spark, tmp_path):
     go()
     late = [(r.doc, r.lead_id) for r in drops.read_leads(spark, str(tmp_path / "out")).where("run_id = 'r1'").orderBy("lead_id").collect()]
     assert late == [("a.sarif", f"L00{k}") for k in (1, 2, 3)] + [("b.sarif", f"L00{k}") for k in (4, 5, 6)]
+
+
+def test_only_named_columns_are_numbered_and_written(spark):
+    df = raw(spark, ROWS)
+    whole = {(r.run_id, r.source.line, r.sink.symbol): (r.number, r.finding_id, r.auth) for r in findings.canonical_findings(df).collect()}
+    some = findings.canonical_findings(df, columns=["auth", "source"])
+    assert some.columns == ["run_id", "vuln_class", "source", "sink", "auth", "number", "finding_id"]
+    assert {(r.run_id, r.source.line, r.sink.symbol): (r.number, r.finding_id, r.auth) for r in some.collect()} == whole
+    assert some.inputFiles() and all("/stored-" in f and f.endswith(".parquet") for f in some.inputFiles())
+
+
+def test_lineitem_is_dealt_once_for_row_numbers_and_orders(spark, sf_dir):
+    from leadmill.jobs.tables import table
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table(spark, sf_dir, "flat_findings")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # By orders once and by parts once, where there were three; and those of orders and parts.
+    assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_reports_have_wide_columns_of_all_final_findings(spark, sf_dir):
+    from leadmill.jobs import document_queries as dq
+    from leadmill.jobs.verdict_queries import Reviewed, reviewed
+
+    narrow = reviewed(spark, sf_dir)
+    assert "evidence" not in narrow.findings.columns
+    pick = ["run_id", "number", *dq.FINAL_FIELDS]
+    text = F.to_json(F.struct(*pick)).alias("text")
+    got, want = narrow.whole(*dq.MERGED_FIELDS).select(text).collect(), Reviewed(spark, sf_dir).final.select(text).collect()
+    assert sorted(r.text for r in got) == sorted(r.text for r in want)

@@ -652,3 +652,16 @@ def test_reports_have_wide_columns_of_all_final_findings(spark, sf_dir):
     text = F.to_json(F.struct(*pick)).alias("text")
     got, want = narrow.whole(*dq.MERGED_FIELDS).select(text).collect(), Reviewed(spark, sf_dir).final.select(text).collect()
     assert sorted(r.text for r in got) == sorted(r.text for r in want)
+
+
+def test_errors_of_arrays_and_objects_walk_no_schema(spark):
+    node = gates.Obj({"a": gates.Arr(gates.AnyObject(), 1), "b": gates.Arr(gates.Arr(gates.Obj({})))})
+    found = gates.errors(F.col("v"), node)
+    docs = ['{"a":[{}],"b":[[{}]]}', '{"a":[],"b":[[]]}', '{"a":"[]","b":{}}', '{"a":[[],null,{"x":1}],"b":[[7,"{}",null],3]}', "[]", "null", '"{}"']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string").select("i", F.try_parse_json("d").alias("v")).select("i", found.alias("e"))
+    assert [r.e for r in df.orderBy("i").collect()] == [
+        [], ["$.a: too few"], ["$.a: not an array", "$.b: not an array"],
+        ["$.a[]: not an object", "$.a[]: not an object", "$.b[][]: not an object", "$.b[][]: not an object", "$.b[][]: not an object", "$.b[]: not an array"],
+        ["$: not an object"], ["$: not an object"], ["$: not an object"],
+    ]
+    assert "schema_of_variant" not in df._jdf.queryExecution().analyzed().toString().lower().replace("schemaofvariant", "schema_of_variant")

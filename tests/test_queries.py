@@ -45,3 +45,16 @@ def test_every_sql_has_its_query():
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_the_coverage_ledger_tells_each_gap(spark, sf_dir):
+    ledger = QUERIES["coverage_ledger"](spark, sf_dir).cache()
+    assert set(ledger.columns) == {"run_id", "gap_class", "target", "reason", "score"}
+    assert ledger.where("target is null or reason is null or reason = ''").count() == 0
+    assert {"neutralized-batch", "unverified-finding", "unverified-chain", "response-failed", "lead", "inconclusive-lead"} <= {r[0] for r in ledger.select("gap_class").distinct().collect()}
+    # A chain has its own batch, and counts as open if a member's batch was neutralized.
+    lost = ledger.where("gap_class = 'neutralized-batch'").selectExpr("run_id", "split_part(target, ':', 2) AS member")
+    open_ = ledger.where("reason like 'member finding(s) unverified: %'").selectExpr("run_id", "explode(split(substring(reason, 31), ', ')) AS member")
+    assert open_.join(lost, ["run_id", "member"]).count() > 0
+    assert ledger.where("gap_class = 'unverified-finding'").selectExpr("run_id", "target AS member").join(lost, ["run_id", "member"]).count() == 0
+    ledger.unpersist()

@@ -738,3 +738,15 @@ def test_reviews_deal_no_lines_by_parts_and_merge_by_narrow_keys(spark, sf_dir):
     assert titled.index("p_brand") > titled.index("Join Inner") and "l_extendedprice" not in titled
     joins = [x for x in titled.splitlines() if "Join " in x]
     assert len(joins) == 3 and sum("LeftAnti" in x for x in joins) == 1
+
+
+def test_stored_tables_of_many_rows_are_not_broadcast_for_their_small_files(spark):
+    from leadmill.functions.lineage import FEW, stored
+
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    many, few = [stored(spark.range(n).selectExpr("id", "array('a', 'b') AS x")) for n in (FEW + 1, FEW)]
+    left = spark.range(10_000_000)
+    assert "BroadcastHashJoin" not in plan(left.join(many, "id")) and "BroadcastHashJoin" in plan(left.join(few, "id"))
+    assert "BroadcastHashJoin" not in plan(left.join(many.selectExpr("id", "explode(x) AS x").groupBy("id").count(), "id", "left"))
+    assert "BroadcastHashJoin" in plan(many.join(F.broadcast(few), "id")) and "BroadcastHashJoin" in plan(left.join(F.broadcast(many), "id"))
+    assert left.join(many, "id").count() == FEW + 1

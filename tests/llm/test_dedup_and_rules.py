@@ -199,3 +199,10 @@ def test_rules_whole_table_and_odd_rows(spark, sf_dir):
         assert tuple(r.m[n] for n in names[:-1]) + (r["__base_failed"],) == brute.rules(dict(brute.ODD)[r.doc_id]), r.doc_id
     assert quality_rules.keep_good(docs).columns == docs.columns
     assert quality_rules.judge(docs.where("false"), ["doc_id"]).count() == 0
+
+
+def test_tables_of_ids_beyond_a_few_mb_are_not_broadcast(spark):
+    from leadmill.llm.chosen_paths import _small
+
+    plan = lambda n: spark.range(1 << 20).join(_small(spark.range(n)), "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan(40_000) and "BroadcastHashJoin" in plan(20_000)
